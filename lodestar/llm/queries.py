@@ -50,8 +50,28 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .window_dedup import remove_repeated_windows
+
+    return remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
+SQL_OP8 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM d WHERE len(w) >= 20),
+h AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS h FROM v),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS nth FROM h),
+g AS (SELECT DISTINCT doc_id, s + k AS pos FROM r, (SELECT unnest(range(0, 20)) AS k) WHERE nth > 1),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM x WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = x.doc_id AND g.pos = x.pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mix": op6_source_mix,
+    "op8_window_dedup": op8_window_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
-SQL: dict[str, str] = {"op6_source_mix": SQL_OP6}
+SQL: dict[str, str] = {"op6_source_mix": SQL_OP6, "op8_window_dedup": SQL_OP8}
