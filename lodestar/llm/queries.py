@@ -69,9 +69,23 @@ FROM d LEFT JOIN k USING (doc_id)
 """
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_main import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cotraining import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_source_mix": op6_source_mix,
     "op8_window_dedup": op8_window_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_main_text": op10_main_text,
 }
 SQL: dict[str, str] = {"op6_source_mix": SQL_OP6, "op8_window_dedup": SQL_OP8}
