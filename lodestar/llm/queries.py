@@ -81,9 +81,16 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op6_source_mix": op6_source_mix,
+    "op7_near_dedup": op7_near_dedup,
     "op8_window_dedup": op8_window_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_main_text": op10_main_text,
