@@ -87,7 +87,44 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_recurring_lines
+
+    return drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+SQL_OP2 = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM d),
+m AS (
+  SELECT doc_id, pos, regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM l WHERE trim(line, ' ') <> ''),
+t AS (
+  SELECT *, string_split(masked, ' ') AS tokens, len(string_split(masked, ' ')) AS n,
+         array_to_string(string_split(masked, ' ')[1:3], ' ') AS head FROM m),
+f AS (SELECT * FROM t JOIN (SELECT n, head FROM t GROUP BY n, head HAVING count(DISTINCT doc_id) >= 10) USING (n, head)),
+e AS (SELECT n, masked FROM f GROUP BY n, masked HAVING count(DISTINCT doc_id) >= 10),
+same AS (SELECT doc_id, pos, 'e ' || masked AS template FROM f JOIN e USING (n, masked)),
+o AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.n = f.n AND e.masked = f.masked)),
+p AS (SELECT doc_id, pos, n, head, unnest(tokens) AS token, unnest(range(0, n)) AS i FROM o),
+c AS (SELECT n, head, i, token, count(*) AS k FROM p GROUP BY ALL),
+g AS (SELECT n, head, count(*) AS total FROM o GROUP BY ALL),
+k AS (SELECT n, head, i, token FROM c JOIN g USING (n, head) WHERE 2 * k > total),
+a AS (
+  SELECT p.doc_id, p.pos, p.n, p.head FROM p JOIN k ON p.n = k.n AND p.head = k.head AND p.i = k.i AND p.token = k.token
+  GROUP BY ALL HAVING count(*) >= 0.7 * p.n),
+r AS (SELECT n, head FROM a GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+h AS (SELECT * FROM same UNION ALL SELECT doc_id, pos, 'l ' || n || ' ' || head FROM a JOIN r USING (n, head)),
+x AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY doc_id, pos) AS nth FROM h) WHERE nth > 1),
+w AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text, count(*) AS left_
+  FROM l WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = l.doc_id AND x.pos = l.pos) GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(left_, 0) AS BIGINT) AS n_dropped, coalesce(w.text, '') AS text
+FROM d LEFT JOIN w USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_source_mix": op6_source_mix,
     "op7_near_dedup": op7_near_dedup,
@@ -95,4 +132,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_main_text": op10_main_text,
 }
-SQL: dict[str, str] = {"op6_source_mix": SQL_OP6, "op8_window_dedup": SQL_OP8}
+SQL: dict[str, str] = {"op2_line_dedup": SQL_OP2, "op6_source_mix": SQL_OP6, "op8_window_dedup": SQL_OP8}
