@@ -123,8 +123,15 @@ FROM d LEFT JOIN w USING (doc_id)
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import match_items
+
+    return match_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_source_mix": op6_source_mix,
     "op7_near_dedup": op7_near_dedup,
