@@ -129,14 +129,38 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_string_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeated_strings
+
+    return remove_repeated_strings(table(spark, sf_dir, "documents"))
+
+
+SQL_OP5 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+n AS (SELECT doc_id, hx, CAST(len(hx) // 2 AS BIGINT) AS n FROM d),
+v AS (SELECT doc_id, unnest(range(0, n - 99)) AS s, hx FROM n WHERE n >= 100),
+h AS (SELECT doc_id, s, md5(substr(hx, 2 * s + 1, 200)) AS h FROM v),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS nth FROM h),
+g AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER w + 100 THEN 0 ELSE 1 END AS fresh FROM r WHERE nth > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+i AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM g),
+j AS (SELECT doc_id, k, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY ALL),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM j),
+t AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(n.hx, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM e JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN t USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_string_dedup": op5_string_dedup,
     "op6_source_mix": op6_source_mix,
     "op7_near_dedup": op7_near_dedup,
     "op8_window_dedup": op8_window_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_main_text": op10_main_text,
 }
-SQL: dict[str, str] = {"op2_line_dedup": SQL_OP2, "op6_source_mix": SQL_OP6, "op8_window_dedup": SQL_OP8}
+SQL: dict[str, str] = {"op2_line_dedup": SQL_OP2, "op5_string_dedup": SQL_OP5, "op6_source_mix": SQL_OP6, "op8_window_dedup": SQL_OP8}
