@@ -100,6 +100,33 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=U64)
 
 
+def bits(x: np.ndarray) -> bytes:
+    """Marks, eight to a byte."""
+    return np.packbits(x).tobytes()
+
+
+def unbits(data: bytes, n: int) -> np.ndarray:
+    """The first n marks."""
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed message."""
+    raw = [np.ascontiguousarray(a).tobytes() for a in arrays]
+    body = b"".join(raw)
+    return np.array([len(body), *map(len, raw)], np.uint64).tobytes() + pa.compress(body, "zstd", asbytes=True) if body else np.zeros(len(arrays) + 1, np.uint64).tobytes()
+
+
+def spread(data: bytes, *kinds: type) -> list[np.ndarray]:
+    head = np.frombuffer(data, np.uint64, len(kinds) + 1).astype(np.int64)
+    body = pa.decompress(data[8 * (len(kinds) + 1) :], int(head[0]), "zstd", asbytes=True) if head[0] else b""
+    out, a = [], 0
+    for kind, size in zip(kinds, head[1:].tolist(), strict=True):
+        out.append(np.frombuffer(body[a : a + size], kind))
+        a += size
+    return out
+
+
 def rounds(sent: DataFrame, answer: Callable[[list[bytes], np.ndarray], list[bytes]], by: str = "slice") -> DataFrame:
     """Brings the messages (slice, block, rank, at, payload) of each slice together and returns the answers (block, at, payload)."""
     n = partitions(sent.sparkSession)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 
@@ -152,7 +152,38 @@ FROM n LEFT JOIN t USING (doc_id)
 """
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import backoff_scores
+
+    out = backoff_scores(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_full", F.round("score", 5).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+
+
+SQL_OP1 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS w0 FROM d),
+l AS (SELECT *, lag(w0) OVER p AS w1, lag(w0, 2) OVER p AS w2 FROM x WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+c AS (
+  SELECT *, count(*) OVER (PARTITION BY w0) - count(*) OVER (PARTITION BY doc_id, w0) AS c1,
+         CASE WHEN w1 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY w1, w0) - count(*) OVER (PARTITION BY doc_id, w1, w0) END AS c2,
+         CASE WHEN w2 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY w2, w1, w0) - count(*) OVER (PARTITION BY doc_id, w2, w1, w0) END AS c3,
+         greatest(count(*) OVER () - count(*) OVER (PARTITION BY doc_id), 1) AS n, least(pos, 3) AS k
+  FROM l),
+b AS (SELECT *, lag(c1) OVER p AS b1, lag(c2) OVER p AS b2 FROM c WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+s AS (
+  SELECT doc_id, CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS found, k,
+         CASE WHEN c3 > 0 THEN ln(c3) - ln(b2) WHEN c2 > 0 THEN (k - 2) * ln(0.4) + ln(c2) - ln(b1)
+              WHEN c1 > 0 THEN (k - 1) * ln(0.4) + ln(c1) - ln(n) ELSE k * ln(0.4) - ln(n) END AS v
+  FROM b),
+t AS (SELECT doc_id, sum(v) AS score, count(*) FILTER (WHERE found = k) AS n_full FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_full, 0) AS BIGINT) AS n_full, round(coalesce(score, 0), 5) AS score,
+       round(coalesce(score, 0) / greatest(len(w), 1), 6) AS mean_score
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_classifier": op4_quality_classifier,
@@ -163,4 +194,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_main_text": op10_main_text,
 }
-SQL: dict[str, str] = {"op2_line_dedup": SQL_OP2, "op5_string_dedup": SQL_OP5, "op6_source_mix": SQL_OP6, "op8_window_dedup": SQL_OP8}
+SQL: dict[str, str] = {"op1_lm_score": SQL_OP1, "op2_line_dedup": SQL_OP2, "op5_string_dedup": SQL_OP5, "op6_source_mix": SQL_OP6, "op8_window_dedup": SQL_OP8}

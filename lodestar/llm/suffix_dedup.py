@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import SENT, blocked, in_order, labels, messages, pack, rounds, slices_of, unpack
+from .blocks import SENT, bits, blocked, in_order, labels, messages, pack, rounds, slices_of, spread, squeeze, unbits, unpack
 from .common import partitions
 from .text import Fingerprints, Texts, covered, inside, per_document
 
@@ -150,8 +150,7 @@ class Anchors:
             if not ok.any():
                 continue
             h = Fingerprints(part.data).windows(gram)
-            bits = U64(int(len(h)).bit_length())
-            low = (U64(1) << bits) - U64(1)
+            low = (U64(1) << U64(int(len(h)).bit_length())) - U64(1)
             least = (h & ~low) | np.arange(len(h), dtype=U64)
             width = 1
             while width * 2 <= span:
@@ -180,31 +179,6 @@ class Anchors:
         return out
 
 
-def _bits(x: np.ndarray) -> bytes:
-    return np.packbits(x).tobytes()
-
-
-def _unbits(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
-
-
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed message."""
-    raw = [np.ascontiguousarray(a).tobytes() for a in arrays]
-    body = b"".join(raw)
-    return np.array([len(body), *map(len, raw)], np.uint64).tobytes() + pa.compress(body, "zstd", asbytes=True) if body else np.zeros(len(arrays) + 1, np.uint64).tobytes()
-
-
-def _spread(data: bytes, *kinds: type) -> list[np.ndarray]:
-    head = np.frombuffer(data, np.uint64, len(kinds) + 1).astype(np.int64)
-    body = pa.decompress(data[8 * (len(kinds) + 1) :], int(head[0]), "zstd", asbytes=True) if head[0] else b""
-    out, a = [], 0
-    for kind, size in zip(kinds, head[1:].tolist(), strict=True):
-        out.append(np.frombuffer(body[a : a + size], kind))
-        a += size
-    return out
-
-
 def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, code_bits: int = 40, piece: int = 1 << 20) -> DataFrame:
     """One row per document: id and the columns of SCHEMA. ``piece``: bytes of a suffix array."""
     n = partitions(docs.sparkSession)
@@ -231,7 +205,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
             a, b = cuts[s], cuts[s + 1]
             if b > a:
                 packed = pack(codes[a:b])
-                out.append((s, np.uint32(len(packed)).tobytes() + packed + _bits(counts[a:b] > 1)))
+                out.append((s, np.uint32(len(packed)).tobytes() + packed + bits(counts[a:b] > 1)))
         return messages(block, keys, out)
 
     def repeated(payloads: list[bytes], ranks: np.ndarray) -> list[bytes]:
@@ -239,12 +213,12 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
         for p in payloads:
             end = 4 + int(np.frombuffer(p, np.uint32, 1)[0])
             codes.append(unpack(p[4:end]))
-            twice.append(_unbits(p[end:], len(codes[-1])))
+            twice.append(unbits(p[end:], len(codes[-1])))
         found, at = np.unique(np.concatenate(codes), return_inverse=True)
         often = np.bincount(at, weights=1 + np.concatenate(twice), minlength=len(found)) > 1
         cuts = np.cumsum([0, *map(len, codes)])
         marks = often[at]
-        return [_bits(marks[cuts[i] : cuts[i + 1]]) for i in range(len(payloads))]
+        return [bits(marks[cuts[i] : cuts[i + 1]]) for i in range(len(payloads))]
 
     def candidates(block: pa.Table, answers: pa.Table) -> tuple[Anchors, np.ndarray, np.ndarray]:
         """The anchors; those found elsewhere too, by code and surroundings; marks of the first of each."""
@@ -252,7 +226,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
         order, codes, counts, cuts = distinct(own.codes)
         often = np.zeros(len(codes), bool)
         for s, p in zip(answers.column("at").to_pylist(), answers.column("payload"), strict=True):
-            often[cuts[s] : cuts[s + 1]] = _unbits(p.as_py(), cuts[s + 1] - cuts[s])
+            often[cuts[s] : cuts[s + 1]] = unbits(p.as_py(), cuts[s + 1] - cuts[s])
         rows = np.sort(order[np.repeat(often, counts)])
         prints = own.around(rows)
         by = np.lexsort((rows, prints, own.codes[rows] >> shift))
@@ -273,12 +247,12 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
             if len(some):
                 a, b = own.start[some], own.end[some]
                 text = np.concatenate([own.data[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)])
-                out.append((s, _squeeze(code[cuts[s] : cuts[s + 1]], a.astype(np.uint32), (b - a).astype(np.uint8), (own.at[some] - a).astype(np.uint8), text)))
+                out.append((s, squeeze(code[cuts[s] : cuts[s + 1]], a.astype(np.uint32), (b - a).astype(np.uint8), (own.at[some] - a).astype(np.uint8), text)))
         return messages(block, keys, out)
 
     def earlier(payloads: list[bytes], ranks: np.ndarray) -> list[bytes]:
         """For each message, of all windows of its texts, which start earlier elsewhere."""
-        lots = [_spread(p, U64, np.uint32, np.uint8, np.uint8, np.uint8) for p in payloads]
+        lots = [spread(p, U64, np.uint32, np.uint8, np.uint8, np.uint8) for p in payloads]
         sizes = [len(x[0]) for x in lots]
         code, size, anchor = (np.concatenate([x[i] for x in lots]) for i in (0, 2, 3))
         size, anchor = size.astype(np.int64), anchor.astype(np.int64)
@@ -346,7 +320,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
             run(rows, np.full(len(rows), gram - length), np.zeros(len(rows), np.int64))
         cuts = np.cumsum([0, *sizes])
         total = np.append(into, len(late))
-        return [_squeeze(np.packbits(late[total[cuts[i]] : total[cuts[i + 1]]])) for i in range(len(payloads))]
+        return [squeeze(np.packbits(late[total[cuts[i]] : total[cuts[i + 1]]])) for i in range(len(payloads))]
 
     def remove(block: pa.Table, both: pa.Table) -> pa.Table:
         block = in_order(block)
@@ -360,7 +334,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
         for s, p in zip(second.column("at").to_pylist(), second.column("payload"), strict=True):
             some = lead[cuts[s] : cuts[s + 1]]
             total = int(count[some].sum())
-            late = np.unpackbits(_spread(p.as_py(), np.uint8)[0], count=total).astype(bool)
+            late = np.unpackbits(spread(p.as_py(), np.uint8)[0], count=total).astype(bool)
             at = np.repeat(own.start[some] - (np.cumsum(count[some]) - count[some]), count[some]) + np.arange(total)
             starts.append(at[late])
             ends.append(at[late] + length)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import SENT, blocked, in_order, labels, messages, pack, rounds, slices_of, unpack
+from .blocks import SENT, bits, blocked, in_order, labels, messages, pack, rounds, slices_of, unbits, unpack
 from .common import partitions
 from .text import BLANK, Fingerprints, Texts, covered, inside, per_document
 
@@ -66,14 +66,6 @@ class _Distinct:
         self.cuts = np.searchsorted(slices_of(self.codes << U64(64 - bits), n), np.arange(n + 1))
 
 
-def _bits(x: np.ndarray) -> bytes:
-    return np.packbits(x).tobytes()
-
-
-def _unbits(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
-
-
 def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, code_bits: int = 36, sketch_cells: int = 1 << 22) -> DataFrame:
     """One row per document: id and the columns of SCHEMA.
 
@@ -92,7 +84,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
             a, b = own.cuts[s], own.cuts[s + 1]
             if b > a:
                 packed = pack(own.codes[a:b])
-                out.append((s, np.uint32(len(packed)).tobytes() + packed + _bits(own.twice[a:b])))
+                out.append((s, np.uint32(len(packed)).tobytes() + packed + bits(own.twice[a:b])))
         return messages(block, keys, out)
 
     def estimate(payloads: list[bytes], ranks: np.ndarray) -> list[bytes]:
@@ -101,7 +93,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
         def read(p: bytes) -> tuple[np.ndarray, np.ndarray]:
             end = 4 + int(np.frombuffer(p, np.uint32, 1)[0])
             codes = unpack(p[4:end])
-            return codes, _unbits(p[end:], len(codes))
+            return codes, unbits(p[end:], len(codes))
 
         def cells(codes: np.ndarray) -> list[np.ndarray]:
             return [(codes * U64(m) >> U64(24)) % U64(sketch_cells) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -119,7 +111,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
         out = []
         for p in payloads:
             c = cells(read(p)[0])
-            out.append(_bits(np.minimum(rows[0][c[0]], rows[1][c[1]]) >= 2))
+            out.append(bits(np.minimum(rows[0][c[0]], rows[1][c[1]]) >= 2))
         return out
 
     def flagged(own: _Distinct, answers: pa.Table) -> np.ndarray:
@@ -127,7 +119,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
         out = np.zeros(len(own.codes), bool)
         for s, p in zip(answers.column("at").to_pylist(), answers.column("payload"), strict=True):
             a, b = own.cuts[s], own.cuts[s + 1]
-            out[a:b] = _unbits(p.as_py(), b - a)
+            out[a:b] = unbits(p.as_py(), b - a)
         return out
 
     def candidates(block: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +162,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
         late = np.zeros(len(by), bool)
         late[by] = ~first
         cuts = np.concatenate([[0], np.cumsum(lengths)])
-        return [_bits(late[cuts[i] : cuts[i + 1]]) for i in range(len(payloads))]
+        return [bits(late[cuts[i] : cuts[i + 1]]) for i in range(len(payloads))]
 
     def remove(block: pa.Table, both: pa.Table) -> pa.Table:
         block = in_order(block)
@@ -181,7 +173,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
         known = np.zeros(int(first.sum()), bool)
         second_round = both.filter(pa.compute.equal(both.column("round"), 2))
         for s, p in zip(second_round.column("at").to_pylist(), second_round.column("payload"), strict=True):
-            known[cuts[s] : cuts[s + 1]] = _unbits(p.as_py(), cuts[s + 1] - cuts[s])
+            known[cuts[s] : cuts[s + 1]] = unbits(p.as_py(), cuts[s + 1] - cuts[s])
         late[first] = known
         gone = covered(at[late], at[late] + window, int(offsets[-1]))
         hashes, texts_ = [], Texts.of(block.column("text"))
