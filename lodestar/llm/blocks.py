@@ -59,15 +59,19 @@ def _place(key: Column, bounds: list) -> Column:
     return F.greatest(run - 1, F.lit(0)) * k + F.size(F.filter(near, lambda x: x < key))
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The documents with block (its key) and rank (its place in the order by id), one block a partition. Null ids come last."""
+def blocked(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """The documents with block (its key) and rank (its place in the order by id), one block a partition. Null ids come last.
+
+    With ``carry`` all columns come along in the struct ``row``.
+    """
     n = partitions(docs.sparkSession)
     shares = [(i + 1) / n for i in range(n - 1)]
     bounds = (docs.agg(F.percentile_approx(id_col, shares, 20_000).alias("b")).first()["b"] or []) if shares else []
     rank = F.when(F.col(id_col).isNull(), n - 1).otherwise(_place(F.col(id_col), sorted(bounds)))
-    keyed = docs.select(rank.cast("int").alias("rank"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    more = [F.struct(*docs.columns).alias("row")] if carry else []
+    keyed = docs.select(rank.cast("int").alias("rank"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more)
     key = F.element_at(F.array(*[F.lit(x) for x in labels(n)]), F.col("rank") + 1)
-    return keyed.select(key.cast("int").alias("block"), "rank", "id", "text").repartition(n, "block")
+    return keyed.select(key.cast("int").alias("block"), "rank", "id", "text", *["row"][: carry]).repartition(n, "block")
 
 
 def in_order(block: pa.Table) -> pa.Table:

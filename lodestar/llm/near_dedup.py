@@ -110,8 +110,29 @@ def band_count(threshold: float, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log(1 - threshold**ROWS))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, miss: float = 2e-8, chunk: int = 1500) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept, and n_links (confirmed links of its class in the forest tested)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, kept, and n_links (links of its class among the pairs confirmed)."""
+    return _decide(docs, id_col, text_col, **params).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept", "n_links")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """One document of each group, with its columns unchanged."""
+    gone = _decide(docs, id_col, text_col, **params).where(~F.col("kept")).select("block", "uid").repartition(partitions(docs.sparkSession), "block")
+    kind = docs.schema
+
+    def keep(block: pa.Table, dropped: pa.Table) -> pa.Table:
+        block = in_order(block)
+        mask = np.ones(block.num_rows, bool)
+        if block.num_rows:
+            mask[dropped.column("uid").to_numpy() - (block.column("rank")[0].as_py() << 32)] = False
+        return block.filter(pa.array(mask)).select(["row"])
+
+    rows = blocked(docs, id_col, text_col, carry=True)
+    return rows.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(keep, f"row {kind.simpleString()}").select("row.*")
+
+
+def _decide(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, miss: float = 2e-8, chunk: int = 1500) -> DataFrame:
+    """uid (place in the order of documents), block, id, n_shingles, component_id, kept and n_links."""
     spark = docs.sparkSession
     n, id_type = partitions(spark), docs.schema[id_col].dataType.simpleString()
     bands = band_count(threshold, miss)
@@ -250,6 +271,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = every.select(F.explode(F.array("u", "v")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"))
     ids = sig.select(F.col("uid").alias("root"), F.col("id").alias("component_id"))
     of_class = classes.join(final, classes["uid"] == final["u"], "left").select("whole", "n", F.coalesce("root", "uid").alias("root"), classes["uid"].alias("rep")).join(degree.withColumnRenamed("uid", "rep"), "rep", "left").join(ids, "root")
-    out = sig.select("uid", "id", "n", "whole").join(of_class.drop("rep"), ["whole", "n"], "left")
+    out = sig.select("uid", "block", "id", "n", "whole").join(of_class.drop("rep"), ["whole", "n"], "left")
     own_id = F.col("n") == 0
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(own_id, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), (own_id | (F.col("uid") == F.col("root"))).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("uid", "block", "id", F.col("n").alias("n_shingles"), F.when(own_id, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), (own_id | (F.col("uid") == F.col("root"))).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
