@@ -121,7 +121,7 @@ class View:
         p = y.mean()
         rate = np.clip((n1 + p) / (n + 1), 1e-6, 1 - 1e-6)
         g = 2 * (n1 * np.log(rate / p) + (n - n1) * np.log((1 - rate) / (1 - p)))
-        fit = np.flatnonzero((n >= self.least) & (g > 12))
+        fit = np.flatnonzero((n >= self.least) & (g > 8 + 2 * np.log(len(found) + 1)))  # few by chance, of so many
         fit = fit[np.argsort(-g[fit], kind="stable")[: self.most]]
         self.vocabulary = np.sort(found[fit])
 
