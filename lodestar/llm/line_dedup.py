@@ -43,9 +43,15 @@ def _leaf(line: Column, depth: int) -> Column:
     return F.xxhash64(F.size(tokens), *head)
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, depth: int = 3, similarity: float = 0.7) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The documents with the lines of recurring templates dropped from the text, and n_lines and n_dropped."""
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return without_recurring_lines(docs, id_col, text_col, **params).select(*rest, F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+
+
+def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, depth: int = 3, similarity: float = 0.7) -> DataFrame:
+    """The same with all columns of any name, and the counts as _n_lines and _n_dropped."""
+    rest = docs.columns
     keyed = docs.select(F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("_key"), *rest)
     lines = F.split(F.coalesce(F.col("text_"), F.lit("")), "\n", -1)
     slim = keyed.select("_key", F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
@@ -80,4 +86,4 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     count = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1).cast("long")
     dropped = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in rest], count.alias("n_lines"), F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(dropped).alias("n_dropped"))
+    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in rest], count.alias("_n_lines"), F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(dropped).alias("_n_dropped"))

@@ -16,6 +16,7 @@ other than id, text and source are carried along, and a clashing name
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -123,8 +124,10 @@ def mix_to_weights(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     return rows.join(plan, F.col(source_col).eqNullSafe(F.col("_s"))).select(*key, "size", "source_size", F.round("target", 6).alias("target"), took.alias("taken"))
 
 
-def mixed(docs: DataFrame, **params) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its columns unchanged."""
-    out = mix_to_weights(docs, **params)
+    slim = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
+    out = mix_to_weights(slim, id_col="_id", text_col="_text", source_col="_source", **params)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return out.withColumn("_copy", F.explode(F.expr("sequence(1, 2)"))).where(F.col("_copy") <= copies).select(*docs.columns)
+    most = math.ceil(params.get("cap", 2.0))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(most)))).where(F.col("_copy") <= copies).select("_row.*")
