@@ -466,3 +466,28 @@ def moving_average(spark, d):
 
 
 
+
+
+# ---- fitted groups and models, without SQL: fitting is iterative; the tests hold sizes and scores
+
+
+@query()
+def kmeans_groups(spark, d):
+    from ..operators.learning import kmeans_groups as groups
+
+    return groups(points(spark, d), "lon", "lat", 5).select("id", "group")
+
+
+@query()
+def balanced_groups(spark, d):
+    from ..operators.learning import balanced_groups as groups
+
+    return groups(points(spark, d), "id", "lon", "lat", 7).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def ridge_cross_validation(spark, d):
+    from ..operators.learning import cross_validate
+
+    li = read(spark, d, "lineitem").select((F.col("l_suppkey") % 3).alias("fold"), "l_quantity", "l_extendedprice", "l_discount")
+    return cross_validate(li, "fold", "ridge", ["l_quantity", "l_discount"], "l_extendedprice").select("fold", F.round("r2", 3).alias("r2"))
