@@ -67,3 +67,14 @@ def linkage_summary(steps: list[tuple[str, DataFrame]]) -> DataFrame:
     if out is None:
         raise ValueError("no source")
     return out
+
+
+def update_members(df: DataFrame, key: str, column: str, updates: DataFrame, value: str) -> DataFrame:
+    """The column replaced by the value of the update with the same key, where there is one."""
+    new = updates.select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.lit(True).alias("_hit")).dropDuplicates(["_k"])
+    return df.join(new, df[key] == new["_k"], "left").withColumn(column, F.when(F.col("_hit"), F.col("_v")).otherwise(F.col(column))).drop("_k", "_v", "_hit")
+
+
+def pattern_filter(df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Rows whose text has the pattern; null has none."""
+    return df.where(F.coalesce(F.col(column).rlike(pattern), F.lit(False)))

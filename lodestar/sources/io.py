@@ -83,3 +83,51 @@ def file_table(spark: SparkSession, folder: str) -> DataFrame:
     """path, size, extension of all files; parts that begin with a dot are skipped. Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
     return files.where(~F.col("path").rlike(r"/\.[^/]")).withColumn("extension", F.regexp_extract("path", r"(\.[^./]+)$", 1))
+
+
+def file_hashes(spark: SparkSession, folder: str, most_bytes: int | None = None) -> DataFrame:
+    """path, size, mtime, hash (SHA-256, null above ``most_bytes``): the input of a manifest diff."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    small = F.lit(True) if most_bytes is None else F.col("length") <= most_bytes
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").cast("string").alias("mtime"), F.when(small, F.sha2("content", 256)).alias("hash"))
+
+
+def save_diagnostic(df: DataFrame, folder: str, name: str, subfolder: str | None = None) -> str:
+    """A small table as one CSV file with a header."""
+    path = "/".join(x for x in (folder, "diagnostics", subfolder, f"{name}.csv") if x)
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+def load_diagnostic(spark: SparkSession, folder: str, name: str, subfolder: str | None = None) -> DataFrame:
+    return load(spark, "/".join(x for x in (folder, "diagnostics", subfolder, f"{name}.csv") if x))
+
+
+def load_docx_comments(spark: SparkSession, folder: str) -> DataFrame:
+    """path, kind (comment, insertion, deletion), author, text of the documents in a folder."""
+    import io
+    import zipfile
+    from collections.abc import Iterator
+    from xml.etree import ElementTree
+
+    import pandas as pd
+
+    word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member, tags in (("word/comments.xml", {"comment": "comment"}), ("word/document.xml", {"ins": "insertion", "del": "deletion"})):
+                        if member not in z.namelist():
+                            continue
+                        for e in ElementTree.fromstring(z.read(member)).iter():
+                            kind = tags.get(e.tag.removeprefix(word))
+                            if kind:
+                                text = "".join(x.text or "" for x in e.iter() if x.tag in (f"{word}t", f"{word}delText"))
+                                rows.append((path, kind, e.get(f"{word}author"), text))
+            yield pd.DataFrame(rows, columns=["path", "kind", "author", "text"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(folder)
+    return files.select("path", "content").mapInPandas(read, "path string, kind string, author string, text string")

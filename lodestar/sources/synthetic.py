@@ -53,3 +53,10 @@ def time_series(spark: SparkSession, series: int = 10, length: int = 100, rho: f
     shock = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda t: normal(seed, F.col("series"), t))
     walk = F.aggregate(shock, F.array().cast("array<double>"), lambda acc, e: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) * rho + e)))
     return spark.range(series).withColumnRenamed("id", "series").select("series", F.posexplode(walk).alias("t", "value"))
+
+
+def event_study(spark: SparkSession, units: int = 50, periods: int = 24, start: int = 12, lag_effect: float = 0.2, seed: int = 42) -> DataFrame:
+    """A panel whose effect grows with the time since treatment; half of the units are never treated."""
+    df = panel(spark, units, periods, start, 0.5, 0.0, seed)
+    since = F.when(F.col("unit_id") <= units // 2, F.col("period") - start)
+    return df.withColumn("event_time", since).withColumn("outcome", F.col("outcome") + F.coalesce(F.greatest(since + 1, F.lit(0)) * lag_effect, F.lit(0.0)))
