@@ -25,14 +25,18 @@ def _small(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _finished(links: DataFrame) -> bool:
+    """Has every node one link, to a node without any?"""
+    own = links.groupBy("u").agg(F.count(F.lit(1)).alias("c"))
+    onward = links.join(own.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+    return own.where("c > 1").select("u").unionByName(onward).isEmpty()
+
+
 def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
     """links(u, v) -> (u, root) for every node with a link that is not itself the smallest of its component."""
     now = stored(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    mark = None
     for _ in range(most_steps):
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if row == mark:
+        if _finished(now):
             break
-        mark = row
         now = stored(_small(_large(now)), "links")
     return now.select("u", F.col("v").alias("root"))

@@ -11,9 +11,11 @@
    clearly too far are dropped, by five standard deviations.
 3. What is left is confirmed on the full sets: the set of one side is sent to
    the block of the other, once a block.
-4. Buckets whose members are still in different components are compared member
-   by member through the bitmaps, in chunks of bounded size, and the near pairs
-   confirmed in the same way, so a link beside the leader is not lost.
+4. Classes joined by buckets form a cluster. Where a cluster still holds several
+components, its full sets are compared in chunks of bounded size, every two
+chunks once: bitmaps first, then exact intersections, and only links that join
+components leave the chunk. So a link beside the leader is not lost, and no
+pairs are sent.
 
 Bands are chosen so that a pair at the threshold shares none with probability
 under ``miss``. Links lead to components by smallest id.
@@ -62,6 +64,17 @@ def shingle_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     return values[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
 
 
+def odd_sketches(values: np.ndarray, doc: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of the one-permutation samples of m sets (doc: the set of each value), and the numbers of samples."""
+    least = np.full(m * BINS, U64((1 << 64) - 1))
+    other = mix(values ^ U64(0xD1342543DE82EF95))
+    np.minimum.at(least, doc * BINS + (other >> U64(64 - 10)).astype(np.int64), other)
+    filled = least != U64((1 << 64) - 1)
+    at_bit = (mix(least[filled]) >> U64(64 - 11)).astype(np.int64)
+    flips = np.bincount(np.flatnonzero(filled) // BINS * BITS + at_bit, minlength=m * BITS) & 1
+    return np.packbits(flips.astype(np.uint8).reshape(m, BITS), axis=1), filled.reshape(m, BINS).sum(1)
+
+
 def signatures(values: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each non-empty set: a fingerprint, band hashes, parity bitmap and number of samples."""
     n = np.diff(at)
@@ -81,14 +94,8 @@ def signatures(values: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarr
         for i in range(ROWS):
             h = mix(h * U64(0x9E3779B97F4A7C15) + mins[b * ROWS + i])
         keys[b] = h
-    least = np.full(m * BINS, U64((1 << 64) - 1))
-    other = mix(values ^ U64(0xD1342543DE82EF95))
-    np.minimum.at(least, doc * BINS + (other >> U64(64 - 10)).astype(np.int64), other)
-    filled = least != U64((1 << 64) - 1)
-    at_bit = (mix(least[filled]) >> U64(64 - 11)).astype(np.int64)
-    flips = np.bincount(np.flatnonzero(filled) // BINS * BITS + at_bit, minlength=m * BITS) & 1
-    sketch = np.packbits(flips.astype(np.uint8).reshape(m, BITS), axis=1)
-    return whole, keys, sketch, filled.reshape(m, BINS).sum(1)
+    sketch, samples = odd_sketches(values, doc, m)
+    return whole, keys, sketch, samples
 
 
 def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, mx: np.ndarray, my: np.ndarray, threshold: float) -> np.ndarray:
@@ -98,12 +105,11 @@ def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, mx: n
     differ = -BITS / 2 * np.log(np.maximum(1 - 2 * odd / BITS, 1e-3))  # samples in one of the two only
     samples = (mx + my) / 2
     allowed = 2 * samples * (1 - threshold) / (1 + threshold)
-    # deviations of sampling (none if every shingle is a sample) and of the folding
-    chosen = np.sqrt(np.maximum(allowed, 1.0) * 2)
-    folded = np.sqrt(BITS / 4 * np.maximum(np.exp(4 * allowed / BITS) - 1, 0))
-    # in a full bin a shingle of one set can hide a common one, so small sets differ in up to twice as many samples
-    hidden = allowed * np.minimum(1.0, np.maximum(nx, ny) / BINS)
-    return fits & (differ <= allowed + hidden + 5 * np.sqrt(chosen**2 + folded**2) + 2)
+    # in a full bin a shingle of one set can hide a common one; small sets have few full bins, large ones are sampled
+    crowded = np.minimum(1.0, np.maximum(nx, ny) / BINS)
+    sampling = 2 * allowed * crowded
+    folding = np.maximum(BITS / 4 * (np.exp(4 * allowed / BITS) - 1) - allowed, 0)
+    return fits & (differ <= allowed * (1 + crowded) + 5 * np.sqrt(sampling + folding) + 3)
 
 
 def band_count(threshold: float, miss: float) -> int:
@@ -238,36 +244,81 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, words: int = 5, thresho
         return texts.groupBy("block").cogroup(at_b.groupBy("block")).applyInArrow(confirm, "u long, v long")
 
     links = stored(confirmed(near(star)), "confirmed")
-    roots = components(links)
-    # members of buckets that still hold several components, in chunks; every two chunks of a bucket meet once
-    settled = inner.join(roots, inner["uid"] == roots["u"], "left").select("band", "key", "uid", F.coalesce("root", "uid").alias("root"))
-    split = settled.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where(F.col("r0") != F.col("r1"))
-    chunks = F.ceil(F.col("c") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int")
-    open_ = settled.join(split.select("band", "key", chunks.alias("chunks")), ["band", "key"]).withColumn("own", own)
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    marked = dealt.join(marks.select("uid", "n", "m", "sketch", "block"), "uid").select("band", "key", "lo", "hi", "own", "uid", "root", "n", "m", "sketch", "block")
+    roots = stored(components(links), "roots")
+    # clusters of classes that share buckets, and those that still hold several components
+    cluster = components(inner.join(leader, ["band", "key"]).select(F.col("lead").alias("u"), F.col("uid").alias("v")))
+    nodes = inner.select("uid").distinct()
+    label = lambda df, name: nodes.join(df, nodes["uid"] == df["u"], "left").select("uid", F.coalesce("root", "uid").alias(name))
+    placed = stored(label(cluster, "cluster").join(label(roots, "root"), "uid").join(some.select("uid", "block", "n"), "uid"), "clusters")
+    split = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("root").alias("r0"), F.max("root").alias("r1")).where(F.col("r0") != F.col("r1"))
+    chunks = F.greatest(F.ceil(F.col("c") / chunk), F.ceil(F.col("w") / (chunk * 1000))).cast("int")
+    open_ = placed.join(split.select("cluster", chunks.alias("chunks")), "cluster").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int"))
+
+    def deal(block: pa.Table, wanted: pa.Table) -> pa.Table:
+        """The sets of the members of open clusters, once for every two chunks."""
+        rows: list[tuple] = []
+        if wanted.num_rows and block.num_rows:
+            values, at, base = sets_of(block)
+            for w in wanted.to_pylist():
+                i = w["uid"] - base
+                raw = values[at[i] : at[i + 1]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                rows += [(w["cluster"], min(w["own"], k), max(w["own"], k), w["own"], w["uid"], w["root"], raw) for k in range(w["chunks"])]
+        names = (("cluster", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("own", pa.int32()), ("uid", pa.int64()), ("root", pa.int64()), ("values", pa.binary()))
+        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(names)})
 
     def cross(group: pa.Table) -> pa.Table:
-        """Near pairs of different components; both sides of one chunk, or one of each."""
-        uid, root, own_ = (group.column(c).to_numpy() for c in ("uid", "root", "own"))
-        size, samples, block = group.column("n").to_numpy().astype(float), group.column("m").to_numpy().astype(float), group.column("block").to_numpy()
-        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), U64).reshape(len(uid), -1)
+        """Links between components, of one chunk or between two; each joins components that no other link given joins."""
+        group = group.sort_by("uid")
+        uid, label_, own = (group.column(c).to_numpy().copy() for c in ("uid", "root", "own"))
+        sets = []
+        for raw in group.column("values"):
+            wide = np.zeros((len(raw.as_py()) // 6, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(raw.as_py(), np.uint8).reshape(-1, 6)
+            sets.append(wide.view(U64).ravel())
+        size = np.array([len(x) for x in sets])
+        flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        sketch, samples = odd_sketches(flat, doc, len(sets))
+        sketch = sketch.view(U64)
+        # shingles of two sets at least, as bits
+        _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+        common = np.cumsum(count > 1) - 1
+        width = int((count > 1).sum())
+        bitmap = None
+        if len(sets) * width <= 1 << 29:
+            bitmap = np.zeros((len(sets), -(-width // 64) * 8), np.uint8)
+            shared = count[code] > 1
+            bit = common[code[shared]]
+            np.bitwise_or.at(bitmap, (doc[shared], bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+            bitmap = bitmap.view(U64)
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in np.flatnonzero(own_ == lo):
-            j = np.flatnonzero((own_ == hi) & (root != root[i]) & ((uid > uid[i]) | (lo != hi)))
-            if len(j):
-                j = j[np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i]) - 1e-9]
-                j = j[may_link(bits[i], bits[j], size[i], size[j], samples[i], samples[j], threshold)]
-                out.append((np.full(len(j), i), j))
-        a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"a": uid[a], "b": uid[b], "ablock": block[a], "bblock": block[b]})
-
-    late = marked.groupBy("band", "key", "lo", "hi").applyInArrow(cross, "a long, b long, ablock int, bblock int").distinct()
-    more = stored(confirmed(late), "confirmed")
+        us, vs = [], []
+        real = size.astype(float)
+        for i in np.flatnonzero(own == lo):
+            j = np.flatnonzero((own == hi) & (label_ != label_[i]) & ((np.arange(len(sets)) > i) | (lo != hi)) & (np.minimum(size, size[i]) * 100 >= percent * np.maximum(size, size[i])))
+            if not len(j):
+                continue
+            j = j[may_link(sketch[i], sketch[j], real[i], real[j], samples[i], samples[j], threshold)]
+            for part in (j[a : a + 4096] for a in range(0, len(j), 4096)):
+                if bitmap is not None:
+                    both = np.bitwise_count(bitmap[i] & bitmap[part]).sum(1).astype(np.int64)
+                else:
+                    place = lambda k: np.minimum(np.searchsorted(sets[i], sets[k]), size[i] - 1)
+                    both = np.array([int((sets[i][place(k)] == sets[k]).sum()) for k in part])
+                linked = part[100 * both >= percent * (size[i] + size[part] - both)]
+                for label_of in np.unique(label_[linked]):
+                    if label_of != label_[i]:
+                        us.append(uid[i])
+                        vs.append(uid[linked[label_[linked] == label_of][0]])
+                        low = min(label_of, label_[i])
+                        label_[(label_ == label_of) | (label_ == label_[i])] = low
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    wanted = open_.select("block", "cluster", "own", "chunks", "uid", "root").repartition(n, "block")
+    dealt = texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(deal, "cluster long, lo int, hi int, own int, uid long, root long, values binary")
+    more = stored(dealt.groupBy("cluster", "lo", "hi").applyInArrow(cross, "u long, v long"), "confirmed")
     every = links.unionByName(more)
-    final = components(every)
+    # the components so far are stars already
+    final = components(roots.select(F.col("u"), F.col("root").alias("v")).unionByName(more)) if more.take(1) else roots
     degree = every.select(F.explode(F.array("u", "v")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"))
     ids = sig.select(F.col("uid").alias("root"), F.col("id").alias("component_id"))
     of_class = classes.join(final, classes["uid"] == final["u"], "left").select("whole", "n", F.coalesce("root", "uid").alias("root"), classes["uid"].alias("rep")).join(degree.withColumnRenamed("uid", "rep"), "rep", "left").join(ids, "root")
