@@ -220,8 +220,11 @@ def main_text(text: str, template: set[int]) -> str:
     return "\n\n".join(blocks)
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 10, share: float = 0.05) -> DataFrame:
-    """One row per page: id, url, text, n_chars, and n_template (subtrees of the host's template known for the page)."""
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 10, share: float = 0.05, salts: int = 16) -> DataFrame:
+    """One row per page: id, url, text, n_chars, and n_template (subtrees of the host's template known for the page).
+
+    A host's pages are dealt into ``salts`` parts, each with a copy of its template, so a large host is no single task.
+    """
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,8 +255,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 known.append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(known, pa.int64())], ["id_", "url_", "text", "n_chars", "n_template"])
 
-    keyed = pages.select(F.col(id_col).alias("id_"), F.col(url_col).alias("url_"), F.col(html_col).alias("html_"), _host_column(F.col(url_col)).alias("host"))
-    out = keyed.join(template, "host", "left").select("id_", "url_", "html_", "template").mapInArrow(extract, f"id_ {id_type}, url_ {url_type}, text string, n_chars long, n_template long")
+    keyed = pages.select(F.col(id_col).alias("id_"), F.col(url_col).alias("url_"), F.col(html_col).alias("html_"), _host_column(F.col(url_col)).alias("host")).withColumn("salt", F.pmod(F.xxhash64("id_", "url_"), F.lit(salts)))
+    dealt = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
+    out = keyed.join(dealt, ["host", "salt"], "left").select("id_", "url_", "html_", "template").mapInArrow(extract, f"id_ {id_type}, url_ {url_type}, text string, n_chars long, n_template long")
     return out.withColumnRenamed("id_", id_col).withColumnRenamed("url_", url_col)
 
 
