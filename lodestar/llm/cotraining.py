@@ -286,22 +286,20 @@ def train(docs: DataFrame, labels: DataFrame, columns: tuple[str, str, str, str]
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = 3, confident: float = 0.9, most_labelled: int = 10_000, most_unlabelled: int = 4_000, most_features: int = 4_000, carry: bool = False) -> DataFrame:
     """id, quality_score, toxic_score (probabilities) and kept of every document; with ``carry`` also its columns."""
     models = train(docs, labels, (id_col, text_col, source_col, lang_col), ("quality", "toxic"), rounds, confident, most_labelled, most_unlabelled, most_features)
-    names = docs.columns if carry else [id_col]
-    inputs = [F.col(text_col).alias("text_"), F.col(source_col).cast("string").alias("source_"), F.col(lang_col).cast("string").alias("lang_")]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.num_columns - 3
-            source, lang = batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist()
-            for a, m, views in both_views(batch.column(k), source, lang):
-                good = models["quality"].probability(views, 1.0) if "quality" in models else np.ones(m)
-                bad = models["toxic"].probability(views, 0.0) if "toxic" in models else np.zeros(m)
-                some = np.bincount(views[0][2], minlength=m) > 0
-                kept = some & (good >= 0.5) & (bad < 0.5)
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, m) for i in range(k)], pa.array(good), pa.array(bad), pa.array(kept)], [f"c{i}" for i in range(k)] + ["quality_score", "toxic_score", "kept"])
-
-    carried = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], *inputs)
-    schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)) + ", quality_score double, toxic_score double, kept boolean"
-    out = carried.mapInArrow(score, schema)
-    taken = {"quality_score", "toxic_score", "kept"}
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in taken], *taken & set(out.columns))
+    kind = "struct<quality_score: double, toxic_score: double, kept: boolean>"
+
+    @F.arrow_udf(kind)
+    def score(text: pa.Array, source: pa.Array, lang: pa.Array) -> pa.Array:
+        good, bad, kept = [np.zeros(0)], [np.zeros(0)], [np.zeros(0, bool)]
+        for _, m, views in both_views(text, source.to_pylist(), lang.to_pylist()):
+            good.append(models["quality"].probability(views, 1.0) if "quality" in models else np.ones(m))
+            bad.append(models["toxic"].probability(views, 0.0) if "toxic" in models else np.zeros(m))
+            some = np.bincount(views[0][2], minlength=m) > 0
+            kept.append(some & (good[-1] >= 0.5) & (bad[-1] < 0.5))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (good, bad, kept)], ["quality_score", "toxic_score", "kept"])
+
+    # only what the model reads goes to Python; the other columns stay behind
+    added = ("quality_score", "toxic_score", "kept")
+    names = [c for c in (docs.columns if carry else [id_col]) if c not in added]
+    scored = docs.select(*names, score(F.col(text_col), F.col(source_col).cast("string"), F.col(lang_col).cast("string")).alias("_score"))
+    return scored.select(*names, *[F.col(f"_score.{c}").alias(c) for c in added])

@@ -21,8 +21,6 @@ documents are kept; extra columns are ignored, or carried along by
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -153,35 +151,32 @@ def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
                 size = 0
             lots[-1].append((row["i"], text))
             size += len(text)
-    names = docs.columns if carry else [id_col]
-    out = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(text_col).alias("text_"), F.array().cast("array<struct<item:bigint,distance:bigint>>").alias("found"))
-    schema = out.schema
-    for lot in lots:
-        out = out.mapInArrow(_scan(lot, rate, least_piece), schema)
-    ids = F.array_sort(F.array_distinct(F.col("found.item")))
-    taken = {"n_items", "items", "distance", "kept"}
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in taken], F.size(ids).cast("long").alias("n_items"), ids.alias("items"), F.array_min("found.distance").alias("distance"), (F.size("found") == 0).alias("kept"))
+    added = ("n_items", "items", "distance", "kept")
+    names = [c for c in (docs.columns if carry else [id_col]) if c not in added]
+    found = F.concat(*[_scan(lot, rate, least_piece)(F.col(text_col)) for lot in lots])
+    out = docs.select(*names, found.alias("_found"))  # only the text goes to Python
+    ids = F.array_sort(F.array_distinct(F.col("_found.item")))
+    return out.select(*names, F.size(ids).cast("long").alias("n_items"), ids.alias("items"), F.array_min("_found.distance").alias("distance"), (F.size("_found") == 0).alias("kept"))
 
 
 def _scan(lot: list[tuple[int, bytes]], rate: float, least_piece: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(lot, rate, least_piece)
-        for batch in batches:
-            k = batch.num_columns - 2
-            before, after = batch.column(k + 1).to_pylist(), []
-            column = batch.column(k)
-            a = 0
-            while a < batch.num_rows:
-                texts, size = [], 0
-                while a + len(texts) < batch.num_rows and (size < 2 << 20 or not texts):
-                    texts.append(normalised(column[a + len(texts)].as_py() or ""))
-                    size += len(texts[-1])
-                found = items.find(texts) if items.lookup else {}
-                for i in range(len(texts)):
-                    after.append((before[a + i] or []) + [{"item": items.ids[j], "distance": e} for j, e in sorted(found.get(i, {}).items())])
-                a += len(texts)
-            arrays = [batch.column(i) for i in range(k + 1)] + [pa.array(after, batch.schema.field(k + 1).type)]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+    ready: list[Items] = []  # filled once in each worker
+    kind = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int64())]))
+
+    @F.arrow_udf("array<struct<item: bigint, distance: bigint>>")
+    def run(text: pa.Array) -> pa.Array:
+        if not ready:
+            ready.append(Items(lot, rate, least_piece))
+        items, out, a = ready[0], [], 0
+        while a < len(text):
+            texts, size = [], 0
+            while a + len(texts) < len(text) and (size < 2 << 20 or not texts):
+                texts.append(normalised(text[a + len(texts)].as_py() or ""))
+                size += len(texts[-1])
+            found = items.find(texts) if items.lookup else {}
+            out += [[{"item": items.ids[j], "distance": e} for j, e in sorted(found.get(i, {}).items())] for i in range(len(texts))]
+            a += len(texts)
+        return pa.array(out, kind)
 
     return run
 
