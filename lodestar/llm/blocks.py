@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import partitions
+from .common import partitions, slices
 
 U64 = np.uint64
 
@@ -59,15 +59,20 @@ def _place(key: Column, bounds: list) -> Column:
     return F.greatest(run - 1, F.lit(0)) * k + F.size(F.filter(near, lambda x: x < key))
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+def block_bounds(docs: DataFrame, id_col: str) -> list:
+    """Ids that part the documents into blocks. They are approximate, and another call may give others."""
+    n = partitions(docs.sparkSession)
+    shares = [(i + 1) / n for i in range(n - 1)]
+    return sorted((docs.agg(F.percentile_approx(id_col, shares, 20_000).alias("b")).first()["b"] or []) if shares else [])
+
+
+def blocked(docs: DataFrame, id_col: str, text_col: str, carry: bool = False, bounds: list | None = None) -> DataFrame:
     """The documents with block (its key) and rank (its place in the order by id), one block a partition. Null ids come last.
 
-    With ``carry`` all columns come along in the struct ``row``.
+    With ``carry`` all columns come along in the struct ``row``. Tables that must share blocks share ``bounds``.
     """
     n = partitions(docs.sparkSession)
-    shares = [(i + 1) / n for i in range(n - 1)]
-    bounds = (docs.agg(F.percentile_approx(id_col, shares, 20_000).alias("b")).first()["b"] or []) if shares else []
-    rank = F.when(F.col(id_col).isNull(), n - 1).otherwise(_place(F.col(id_col), sorted(bounds)))
+    rank = F.when(F.col(id_col).isNull(), n - 1).otherwise(_place(F.col(id_col), block_bounds(docs, id_col) if bounds is None else bounds))
     more = [F.struct(*docs.columns).alias("row")] if carry else []
     keyed = docs.select(rank.cast("int").alias("rank"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more)
     key = F.element_at(F.array(*[F.lit(x) for x in labels(n)]), F.col("rank") + 1)
@@ -133,14 +138,14 @@ def spread(data: bytes, *kinds: type) -> list[np.ndarray]:
 
 def rounds(sent: DataFrame, answer: Callable[[list[bytes], np.ndarray], list[bytes]], by: str = "slice") -> DataFrame:
     """Brings the messages (slice, block, rank, at, payload) of each slice together and returns the answers (block, at, payload)."""
-    n = partitions(sent.sparkSession)
+    spark = sent.sparkSession
 
     def run(table: pa.Table) -> pa.Table:
         payloads = [x.as_py() for x in table.column("payload")]
         answers = answer(payloads, table.column("rank").to_numpy())
         return pa.table({"block": table.column("block"), "at": table.column("at"), "payload": pa.array(answers, pa.binary())})
 
-    return sent.repartition(n, by).groupBy(by).applyInArrow(run, "block int, at int, payload binary").repartition(n, "block")
+    return sent.repartition(slices(spark), by).groupBy(by).applyInArrow(run, "block int, at int, payload binary").repartition(partitions(spark), "block")
 
 
 SENT = "slice int, block int, rank int, at int, payload binary"

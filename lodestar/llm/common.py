@@ -12,11 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    """The number of buckets follows the session's number of shuffle partitions."""
+def slices(spark: SparkSession) -> int:
+    """The number of slices of a hash space: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def partitions(spark: SparkSession) -> int:
+    """The number of blocks: twice the session's shuffle partitions, as a block's texts are held in memory."""
+    return 2 * slices(spark)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see; one is set only where the session names none, as in local tests."""
     context = spark.sparkContext

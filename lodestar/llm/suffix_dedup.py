@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import SENT, bits, blocked, in_order, labels, messages, pack, rounds, slices_of, spread, squeeze, unbits, unpack
-from .common import partitions
-from .text import Fingerprints, Texts, covered, inside, per_document
+from .common import partitions, slices
+from .text import Fingerprints, Texts, covered, inside, mix, per_document, range_fingerprints
 
 U64 = np.uint64
 SCHEMA = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -43,14 +43,16 @@ SCHEMA = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` symbols at least; symbols are below 512."""
     n = len(symbols)
-    padded = np.concatenate([symbols.astype(np.int64), np.zeros(7, np.int64)])
+    padded = np.concatenate([symbols, np.zeros(7, symbols.dtype)])
     key = np.zeros(n, np.int64)
     for j in range(7):
-        key = key << 9 | padded[j : j + n]
+        key <<= 9
+        key |= padded[j : j + n]
     order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
+    key = key[order]
     new = np.ones(n, bool)
-    new[1:] = sorted_key[1:] != sorted_key[:-1]
+    new[1:] = key[1:] != key[:-1]
+    del key
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     step = 7
@@ -90,22 +92,29 @@ def expand_intervals(symbols: np.ndarray, order: np.ndarray, least: int) -> np.n
     edge = np.ones(n, bool)
     edge[1:] = first[1:] != first[:-1]
     prefix[edge] = 0
-    open_ = np.flatnonzero(~edge)
+    rows = np.flatnonzero(~edge)
+    lo, hi = reached[rows - 1], reached[rows]
+    # where two neighbours extend two neighbours, the boundary moves along; else any boundary in between will do
+    next_ = np.full(n, -1)
+    close = hi == lo + 1
+    next_[hi[close]] = rows[close]
+    rows, lo, hi = rows[~close], lo[~close], hi[~close]
     front = np.flatnonzero(edge)
     for length in range(1, least):
-        if not len(front) or not len(open_):
+        if not len(front):
             break
-        lo, hi = reached[open_ - 1], reached[open_]
-        if len(open_) * 20 < n:
+        moved = next_[front]
+        moved = moved[moved >= 0]
+        if len(rows) * 12 < n:
             split = np.searchsorted(front, hi, "right") > np.searchsorted(front, lo, "right")
         else:
             marks = np.zeros(n, np.int32)
             marks[front] = 1
             np.cumsum(marks, out=marks)
             split = marks[hi] > marks[lo]
-        front = open_[split]
+        front = np.sort(np.concatenate([moved, rows[split]]))
         prefix[front] = length
-        open_ = open_[~split]
+        rows, lo, hi = rows[~split], lo[~split], hi[~split]
     return prefix
 
 
@@ -120,10 +129,11 @@ def first_windows(texts: list[np.ndarray], keys: np.ndarray, length: int) -> lis
     solid = np.ones(ends[-1], bool)
     solid[ends - 1] = False
     symbols[solid] = np.concatenate(texts).astype(np.uint16) + 1
+    del solid
     order = suffix_array(symbols, length)
-    prefix = expand_intervals(symbols, order, length)
     group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(prefix < length) - 1
+    group[order] = np.cumsum(expand_intervals(symbols, order, length) < length) - 1
+    del order, symbols
     starts = ends - sizes
     count = np.maximum(0, sizes - length)  # windows of each text
     owner = np.repeat(np.arange(len(texts)), count)
@@ -161,7 +171,7 @@ class Anchors:
             place = (least[: len(ok)] & low).astype(np.int64)[ok]
             place = place[np.append(True, place[1:] != place[:-1])]
             at.append(place + base)
-            codes.append(h[place])
+            codes.append(mix(h[place]))  # the smallest hashes lie low; mixed, they spread over all slices
         self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
         self.codes = np.concatenate(codes) if codes else np.zeros(0, U64)
         doc = np.searchsorted(self.offsets, self.at, "right") - 1
@@ -170,18 +180,86 @@ class Anchors:
 
     def around(self, rows: np.ndarray) -> np.ndarray:
         """A fingerprint of the text around each of the rows, and of the anchor's place in it."""
-        out = np.zeros(len(rows), U64)
-        for a in range(0, len(rows), 1 << 16):
-            some = rows[a : a + (1 << 16)]
-            lo, hi = int(self.start[some].min()), int(self.end[some].max())
-            prints = Fingerprints(self.data[lo:hi])
-            out[a : a + len(some)] = prints.of(self.start[some] - lo, self.end[some] - lo) ^ (self.at[some] - self.start[some]).astype(U64)
-        return out
+        return range_fingerprints(self.data, self.start[rows], self.end[rows]) ^ (self.at[rows] - self.start[rows]).astype(U64)
+
+
+def earlier_windows(payloads: list[bytes], ranks: np.ndarray, length: int, gram: int, piece: int) -> list[bytes]:
+    """For each message, of all windows of its texts, which start earlier elsewhere."""
+    lots = [spread(p, U64, np.uint32, np.uint8, np.uint8, np.uint8) for p in payloads]
+    sizes = [len(x[0]) for x in lots]
+    code, size, anchor = (np.concatenate([x[i] for x in lots]) for i in (0, 2, 3))
+    size, anchor = size.astype(np.int64), anchor.astype(np.int64)
+    key = np.concatenate([x[1] for x in lots]).astype(U64) | np.repeat(ranks.astype(np.int64), sizes).astype(U64) << U64(40)
+    data = np.concatenate([x[4] for x in lots])
+    del lots
+    ends = np.cumsum(size)
+    starts = ends - size
+    count = np.maximum(0, size - length + 1)
+    late = np.zeros(int(count.sum()), bool)
+    into = np.cumsum(count) - count
+    whole = range_fingerprints(data, starts, ends) ^ anchor.astype(U64)
+    by = np.lexsort((key, whole, code))
+    same = np.zeros(len(by), bool)
+    same[1:] = (code[by][1:] == code[by][:-1]) & (whole[by][1:] == whole[by][:-1])
+    for i in by[same].tolist():  # equal surroundings: all but the first repeat it whole
+        late[into[i] : into[i] + count[i]] = True
+    lead = by[~same]
+
+    def run(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Windows lo..hi (relative to the anchor) of the rows' texts."""
+        a = np.maximum(0, anchor[rows] + lo)
+        b = np.minimum(size[rows], anchor[rows] + hi + length)
+        fits = b - a >= length
+        rows, a, b = rows[fits], a[fits], b[fits]
+        if not len(rows):
+            return
+        got = first_windows([data[starts[r] + x : starts[r] + y] for r, x, y in zip(rows.tolist(), a.tolist(), b.tolist(), strict=True)], key[rows] + a.astype(U64), length)
+        for r, x, marks in zip(rows.tolist(), a.tolist(), got, strict=True):
+            late[into[r] + x : into[r] + x + len(marks)] |= marks
+
+    def divide(rows: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, int, int]]:
+        """Rows that can share a window lo..hi, in groups of bounded size: by the bytes common to all these windows."""
+        if int(size[rows].sum()) <= piece or lo == hi:
+            yield rows, lo, hi
+            return
+        middle = (lo + hi) // 2
+        for x, y in ((lo, middle), (middle + 1, hi)):
+            has = (anchor[rows] + y >= 0) & (anchor[rows] + x + length <= size[rows])
+            some = rows[has]
+            a, b = starts[some] + np.maximum(0, anchor[some] + y), starts[some] + np.minimum(size[some], anchor[some] + x + length)
+            common = range_fingerprints(data, a, b)
+            order = np.argsort(common, kind="stable")
+            cut = np.flatnonzero(np.append(True, common[order][1:] != common[order][:-1]))
+            for part in np.split(some[order], cut[1:]):
+                if len(part) > 1:
+                    yield from divide(part, x, y)
+
+    group = np.flatnonzero(np.append(True, code[lead][1:] != code[lead][:-1])) if len(lead) else np.zeros(0, np.int64)
+    load: list[tuple[np.ndarray, int, int]] = []
+    weight = 0
+
+    def flush() -> None:
+        if load:
+            lengths = [len(x[0]) for x in load]
+            run(np.concatenate([x[0] for x in load]), np.repeat([x[1] for x in load], lengths), np.repeat([x[2] for x in load], lengths))
+            load.clear()
+
+    for part in np.split(lead, group[1:]) if len(lead) else []:
+        for lot in divide(part, gram - length, 0):
+            load.append(lot)
+            weight += int(size[lot[0]].sum())
+            if weight > piece:
+                flush()
+                weight = 0
+    flush()
+    cuts = np.cumsum([0, *sizes])
+    total = np.append(into, len(late))
+    return [squeeze(np.packbits(late[total[cuts[i]] : total[cuts[i + 1]]])) for i in range(len(payloads))]
 
 
-def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, code_bits: int = 40, piece: int = 1 << 20) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, code_bits: int = 40, piece: int = 1 << 19) -> DataFrame:
     """One row per document: id and the columns of SCHEMA. ``piece``: bytes of a suffix array."""
-    n = partitions(docs.sparkSession)
+    n = slices(docs.sparkSession)
     keys, id_type = labels(n), docs.schema[id_col].dataType.simpleString()
     texts = blocked(docs, id_col, text_col)
     shift = U64(64 - code_bits)
@@ -250,78 +328,6 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
                 out.append((s, squeeze(code[cuts[s] : cuts[s + 1]], a.astype(np.uint32), (b - a).astype(np.uint8), (own.at[some] - a).astype(np.uint8), text)))
         return messages(block, keys, out)
 
-    def earlier(payloads: list[bytes], ranks: np.ndarray) -> list[bytes]:
-        """For each message, of all windows of its texts, which start earlier elsewhere."""
-        lots = [spread(p, U64, np.uint32, np.uint8, np.uint8, np.uint8) for p in payloads]
-        sizes = [len(x[0]) for x in lots]
-        code, size, anchor = (np.concatenate([x[i] for x in lots]) for i in (0, 2, 3))
-        size, anchor = size.astype(np.int64), anchor.astype(np.int64)
-        key = np.concatenate([x[1] for x in lots]).astype(U64) | np.repeat(ranks.astype(np.int64), sizes).astype(U64) << U64(40)
-        data = np.concatenate([x[4] for x in lots])
-        ends = np.cumsum(size)
-        starts = ends - size
-        count = np.maximum(0, size - length + 1)
-        late = np.zeros(int(count.sum()), bool)
-        into = np.cumsum(count) - count
-        prints = Fingerprints(data)
-        whole = prints.of(starts, ends) ^ anchor.astype(U64)
-        by = np.lexsort((key, whole, code))
-        same = np.zeros(len(by), bool)
-        same[1:] = (code[by][1:] == code[by][:-1]) & (whole[by][1:] == whole[by][:-1])
-        for i in by[same].tolist():  # equal surroundings: all but the first repeat it whole
-            late[into[i] : into[i] + count[i]] = True
-        lead = by[~same]
-
-        def run(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
-            """Windows lo..hi (relative to the anchor) of the rows' texts."""
-            a = np.maximum(0, anchor[rows] + lo)
-            b = np.minimum(size[rows], anchor[rows] + hi + length)
-            fits = b - a >= length
-            rows, a, b = rows[fits], a[fits], b[fits]
-            if not len(rows):
-                return
-            got = first_windows([data[starts[r] + x : starts[r] + y] for r, x, y in zip(rows.tolist(), a.tolist(), b.tolist(), strict=True)], key[rows] + a.astype(U64), length)
-            for r, x, marks in zip(rows.tolist(), a.tolist(), got, strict=True):
-                late[into[r] + x : into[r] + x + len(marks)] |= marks
-
-        def divide(rows: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, int, int]]:
-            """Rows that can share a window lo..hi, in groups of bounded size: by the bytes common to all these windows."""
-            if int(size[rows].sum()) <= 4 * piece or lo == hi:
-                yield rows, lo, hi
-                return
-            middle = (lo + hi) // 2
-            for x, y in ((lo, middle), (middle + 1, hi)):
-                has = (anchor[rows] + y >= 0) & (anchor[rows] + x + length <= size[rows])
-                some = rows[has]
-                a, b = starts[some] + np.maximum(0, anchor[some] + y), starts[some] + np.minimum(size[some], anchor[some] + x + length)
-                common = prints.of(a, b)
-                order = np.argsort(common, kind="stable")
-                cut = np.flatnonzero(np.append(True, common[order][1:] != common[order][:-1]))
-                for part in np.split(some[order], cut[1:]):
-                    if len(part) > 1:
-                        yield from divide(part, x, y)
-
-        group = np.flatnonzero(np.append(True, code[lead][1:] != code[lead][:-1])) if len(lead) else np.zeros(0, np.int64)
-        load, weight = [], 0
-        for part in np.split(lead, group[1:]) if len(lead) else []:
-            bytes_ = int(size[part].sum())
-            if bytes_ > 4 * piece:
-                for rows, lo, hi in divide(part, gram - length, 0):
-                    run(rows, np.full(len(rows), lo), np.full(len(rows), hi))
-                continue
-            load.append(part)
-            weight += bytes_
-            if weight > piece:
-                rows = np.concatenate(load)
-                run(rows, np.full(len(rows), gram - length), np.zeros(len(rows), np.int64))
-                load, weight = [], 0
-        if load:
-            rows = np.concatenate(load)
-            run(rows, np.full(len(rows), gram - length), np.zeros(len(rows), np.int64))
-        cuts = np.cumsum([0, *sizes])
-        total = np.append(into, len(late))
-        return [squeeze(np.packbits(late[total[cuts[i]] : total[cuts[i + 1]]])) for i in range(len(payloads))]
-
     def remove(block: pa.Table, both: pa.Table) -> pa.Table:
         block = in_order(block)
         own, rows, first = candidates(block, both.filter(pa.compute.equal(both.column("round"), 1)))
@@ -349,7 +355,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
         return pa.table({"id_": block.column("id"), "n_bytes": pa.array(np.diff(own.offsets)), "n_removed": pa.array(np.diff(own.offsets) - left), "n_spans": pa.array(per_document(begins, own.offsets)), "kept_sha256": pa.array(hashes, pa.string())})
 
     first = rounds(texts.groupBy("block").applyInArrow(anchors, SENT), repeated)
-    second = rounds(texts.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send, SENT), earlier)
-    both = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2))).repartition(n, "block")
+    second = rounds(texts.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send, SENT), lambda payloads, ranks: earlier_windows(payloads, ranks, length, gram, piece))
+    both = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2))).repartition(partitions(docs.sparkSession), "block")
     out = texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(remove, f"id_ {id_type}, {SCHEMA}")
     return out.withColumnRenamed("id_", id_col)

@@ -10,7 +10,6 @@ the blanks space and TAB to CR, which is the regular expression
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +33,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@cache
-def _powers(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse."""
-    up, down = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(n).bit_length()), base)
+    """At least n powers of an odd base modulo 2**64 and of its inverse; one table for each base, grown as needed."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size = 1 << max(16, int(n).bit_length())
+        up, down = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
+        up[0] = down[0] = 1
+        np.cumprod(up, dtype=U64, out=up)
+        np.cumprod(down, dtype=U64, out=down)
+        _POWERS[base] = (up, down)
+    return _POWERS[base]
 
 
 class Fingerprints:
@@ -67,6 +69,22 @@ class Fingerprints:
         return mix((self.sums[n:] - self.sums[:last]) * self.down[:last])
 
 
+def range_fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Fingerprints of short ranges of a long array, in windows of about ``most`` bytes."""
+    out = np.zeros(len(starts), U64)
+    order = np.argsort(starts, kind="stable")
+    first = starts[order]
+    a = 0
+    while a < len(order):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + most)))
+        some = order[a:b]
+        lo = int(first[a])
+        window = Fingerprints(data[lo : int(ends[some].max())])
+        out[some] = window.of(starts[some] - lo, ends[some] - lo)
+        a = b
+    return out
+
+
 class Texts:
     """A slice of a string column as bytes and offsets; nulls count as empty texts."""
 
@@ -94,7 +112,7 @@ class Texts:
         o = self.offsets[a : b + 1]
         return Texts(self.data[o[0] : o[-1]], o - o[0])
 
-    def parts(self, most: int = 4 << 20) -> Iterator[tuple[int, Texts]]:
+    def parts(self, most: int = 1 << 20) -> Iterator[tuple[int, Texts]]:
         """Runs of whole texts of about ``most`` bytes, one text at least."""
         a = 0
         while a < len(self):

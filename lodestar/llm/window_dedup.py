@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import SENT, bits, blocked, in_order, labels, messages, pack, rounds, slices_of, unbits, unpack
-from .common import partitions
+from .common import partitions, slices
 from .text import BLANK, Fingerprints, Texts, covered, inside, per_document
 
 U64 = np.uint64
@@ -72,7 +72,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     ``code_bits``: bits of a window's code in the sketches; ``sketch_cells``: counters in each of the two rows that a
     slice holds. Both only change how many windows reach the exact round.
     """
-    n = partitions(docs.sparkSession)
+    n = slices(docs.sparkSession)
     keys, id_type = labels(n), docs.schema[id_col].dataType.simpleString()
     texts = blocked(docs, id_col, text_col)
 
@@ -183,7 +183,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     first = rounds(texts.groupBy("block").applyInArrow(sketch, SENT), estimate)
     second = rounds(texts.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(exact, SENT), earlier)
-    both = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2))).repartition(n, "block")
+    both = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2))).repartition(partitions(docs.sparkSession), "block")
     out = texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(remove, f"id_ {id_type}, {SCHEMA}")
     return out.withColumnRenamed("id_", id_col)
 
