@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import SENT, blocked, in_order, labels, messages, pack, rounds, slices_of, spread, squeeze, unpack
-from .common import partitions
+from .common import slices
 from .text import Fingerprints, Texts, mix, owners
 
 U64 = np.uint64
@@ -51,20 +51,26 @@ def ngrams(texts: Texts, order: int, code_bits: int) -> tuple[np.ndarray, list[n
     return np.concatenate(offsets), [np.concatenate(c) if c else np.zeros(0, U64) for c in codes]
 
 
+def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, their counts, and for each value which of them it is; one sort, no search."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    group = np.empty(len(ranked), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return ranked[new], np.diff(np.append(np.flatnonzero(new), len(ranked))), group
+
+
 def own_counts(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """How often each n-gram occurs in its own document."""
-    by = np.lexsort((codes, doc))
-    new = np.ones(len(by), bool)
-    new[1:] = (codes[by][1:] != codes[by][:-1]) | (doc[by][1:] != doc[by][:-1])
-    counts = np.diff(np.append(np.flatnonzero(new), len(by)))
-    out = np.empty(len(by), np.int64)
-    out[by] = np.repeat(counts, counts)
-    return out
+    _, sizes, group = groups(mix(codes + mix(doc.astype(U64))))
+    return sizes[group]
 
 
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, code_bits: int = 48) -> DataFrame:
     """One row per document: id, n_words, n_full (words scored at the longest order), score (sum of natural logarithms) and its mean."""
-    n = partitions(docs.sparkSession)
+    n = slices(docs.sparkSession)
     keys, id_type = labels(n), docs.schema[id_col].dataType.simpleString()
     texts = blocked(docs, id_col, text_col)
     shift = U64(64 - code_bits)
@@ -93,7 +99,9 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         offsets, codes = ngrams(Texts.of(block.column("text")), order, code_bits)
-        found, _ = distinct(codes)
+        flat = np.concatenate(codes)
+        there = np.flatnonzero(flat)
+        found, _, group = groups(flat[there])
         cuts = np.searchsorted(slices_of(found << shift, n), np.arange(n + 1))
         totals, words = np.zeros(len(found), np.int64), 0
         for s, p in zip(answers.column("at").to_pylist(), answers.column("payload"), strict=True):
@@ -104,12 +112,14 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         doc, n_words = owners(offsets), np.diff(offsets)
         place = np.arange(len(doc)) - np.repeat(offsets[:-1], n_words)
         others = np.repeat(np.maximum(words - n_words, 1), n_words).astype(float)
+        counts = np.zeros(len(flat), np.int64)
+        counts[there] = totals[group]
         rest = []  # counts in the rest of the corpus, by order
-        for c in codes:
-            there = c > 0
-            r = np.zeros(len(c), np.int64)
-            r[there] = totals[np.searchsorted(found, c[there])]
-            rest.append(np.where(there, r - own_counts(c, doc), 0))
+        for k, c in enumerate(codes):
+            some = np.flatnonzero(c)
+            r = counts[k * len(c) : (k + 1) * len(c)]
+            r[some] -= own_counts(c[some], doc[some])
+            rest.append(r)
         longest = np.minimum(place + 1, order)
         logs = longest * np.log(alpha) - np.log(others)
         full, open_ = np.zeros(len(doc), bool), np.ones(len(doc), bool)
