@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import blocked, in_order
+from .blocks import block_bounds, blocked, in_order
 from .common import partitions, stored
 from .components import components
 from .text import Fingerprints, Texts, inside, mix, owners
@@ -123,7 +123,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """One document of each group, with its columns unchanged."""
-    gone = _decide(docs, id_col, text_col, **params).where(~F.col("kept")).select("block", "uid").repartition(partitions(docs.sparkSession), "block")
+    bounds = block_bounds(docs, id_col)
+    gone = _decide(docs, id_col, text_col, bounds=bounds, **params).where(~F.col("kept")).select("block", "uid").repartition(partitions(docs.sparkSession), "block")
     kind = docs.schema
 
     def keep(block: pa.Table, dropped: pa.Table) -> pa.Table:
@@ -133,17 +134,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             mask[dropped.column("uid").to_numpy() - (block.column("rank")[0].as_py() << 32)] = False
         return block.filter(pa.array(mask)).select(["row"])
 
-    rows = blocked(docs, id_col, text_col, carry=True)
+    rows = blocked(docs, id_col, text_col, carry=True, bounds=bounds)
     return rows.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(keep, f"row {kind.simpleString()}").select("row.*")
 
 
-def _decide(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, miss: float = 2e-8, chunk: int = 1500) -> DataFrame:
+def _decide(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, miss: float = 2e-8, chunk: int = 1500, bounds: list | None = None) -> DataFrame:
     """uid (place in the order of documents), block, id, n_shingles, component_id, kept and n_links."""
     spark = docs.sparkSession
     n, id_type = partitions(spark), docs.schema[id_col].dataType.simpleString()
     bands = band_count(threshold, miss)
     percent = round(threshold * 100)
-    texts = blocked(docs, id_col, text_col)
+    texts = blocked(docs, id_col, text_col, bounds=bounds)
 
     def sign(block: pa.Table) -> pa.Table:
         block = in_order(block)
