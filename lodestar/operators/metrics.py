@@ -110,8 +110,13 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(ranks, df[value].cast("double") == ranks["_v"]).drop("_v")
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's; null for fewer than two rows or without variation."""
+    return F.when(F.count(F.lit(1)) >= 2, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson's correlation of average ranks, over rows with both values; null for fewer than two."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
     ranked = average_rank(average_rank(both, "x", "rx"), "y", "ry")
-    return ranked.agg(F.when(F.count(F.lit(1)) >= 2, F.corr("rx", "ry")).alias("spearman"), F.when(F.count(F.lit(1)) >= 2, F.corr("x", "y")).alias("pearson"))
+    return ranked.agg(correlation("rx", "ry").alias("spearman"), correlation("x", "y").alias("pearson"))

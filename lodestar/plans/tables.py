@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S, texts as T
-from ..operators import cleaning as K, estimation as E, linkage as L, panel as P, quality as Q, resampling as R, spatial as G
+from ..operators import cleaning as K, estimation as E, linkage as L, metrics as M, panel as P, quality as Q, resampling as R, spatial as G
 from ..streaming import qa
 from .registry import query, r6, read
 
@@ -94,11 +94,11 @@ def lookup_and_sums(spark, d):
 
 
 @query("""WITH a AS (SELECT c_nationkey AS k, count(*) AS c FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS s FROM supplier GROUP BY 1)
-SELECT count(*) AS n, round(avg(c / s), 6) AS uptake, round(corr(c, s), 6) + 0.0 AS corr FROM a JOIN b USING (k)""")
+SELECT count(*) AS n, round(avg(c / s), 6) AS uptake, round(covar_pop(c, s) / nullif(stddev_pop(c) * stddev_pop(s), 0), 6) + 0.0 AS corr FROM a JOIN b USING (k)""")
 def ratio_and_correlation(spark, d):
     a = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("c"))
     b = read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("s"))
-    return a.join(b, "k").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.try_divide("c", "s")), "uptake"), r6(F.when(F.count(F.lit(1)) > 1, F.corr("c", "s")), "corr"))
+    return a.join(b, "k").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.try_divide("c", "s")), "uptake"), r6(M.correlation("c", "s"), "corr"))
 
 
 # ---- quality
