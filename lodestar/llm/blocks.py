@@ -109,6 +109,27 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=U64)
 
 
+def pack_wide(values: np.ndarray) -> bytes:
+    """Sorted codes with gaps of many bits: the low bytes of each gap as they are, as they do not compress, and the rest apart."""
+    gaps = np.diff(values, prepend=U64(0))
+    low = max(0, (int(np.median(gaps)).bit_length() - 1) // 8) if len(gaps) else 0
+    high = gaps >> U64(8 * low)
+    far = np.flatnonzero(high > U64(254))
+    body = squeeze(np.where(high > U64(254), U64(255), high).astype(np.uint8), far.astype(np.uint32), high[far])
+    head = np.array([len(gaps), low, len(body)], np.uint32)
+    return head.tobytes() + body + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low]).tobytes()
+
+
+def unpack_wide(data: bytes) -> np.ndarray:
+    n, low, size = (int(x) for x in np.frombuffer(data, np.uint32, 3))
+    small, far, rest = spread(data[12 : 12 + size], np.uint8, np.uint32, np.uint64)
+    high = small.astype(np.uint64)
+    high[far] = rest
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, :low] = np.frombuffer(data, np.uint8, n * low, 12 + size).reshape(n, low)
+    return np.cumsum(gaps.view("<u8").reshape(-1).astype(np.uint64) | high << U64(8 * low), dtype=U64)
+
+
 def bits(x: np.ndarray) -> bytes:
     """Marks, eight to a byte."""
     return np.packbits(x).tobytes()

@@ -15,7 +15,11 @@ nowhere else has ``alpha**K`` over that number (1 at least).
 Defined cases: null and empty texts have no words and score 0; texts of one word
 use the single-word counts; repeated rows count as documents of their own; an
 empty table gives an empty result; extra columns are ignored. Counts are exact
-but for n-grams whose ``code_bits`` fingerprints agree.
+but for n-grams of one order whose ``code_bits`` fingerprints agree; each order
+has a space of its own. A true n-gram is never more frequent than its context, so
+a hit with a rarer context is such an agreement and counts as not found: no score
+is infinite. At 30 GB, with about 7e9 distinct n-grams, 64 bits let about one
+agreement with a new n-gram be expected.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import SENT, blocked, in_order, labels, messages, pack, rounds, slices_of, spread, squeeze, unpack
+from .blocks import SENT, blocked, in_order, labels, messages, pack_wide, rounds, slices_of, spread, squeeze, unpack_wide
 from .common import slices
 from .text import Fingerprints, Texts, mix, owners
 
@@ -44,7 +48,7 @@ def ngrams(texts: Texts, order: int, code_bits: int) -> tuple[np.ndarray, list[n
         for k in range(1, order + 1):
             out = np.zeros(len(starts), U64)
             if len(starts) >= k:
-                out[k - 1 :] = (mix(windows.windows(k) + U64(k)) >> shift) | U64(1)
+                out[k - 1 :] = np.maximum(mix(windows.windows(k) + U64(k)) >> shift, U64(1))
             out[place < k - 1] = 0
             codes[k - 1].append(out)
         offsets.append(at[1:] + offsets[-1][-1])
@@ -68,63 +72,91 @@ def own_counts(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return sizes[group]
 
 
-def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, code_bits: int = 48) -> DataFrame:
+def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, code_bits: int = 64) -> DataFrame:
     """One row per document: id, n_words, n_full (words scored at the longest order), score (sum of natural logarithms) and its mean."""
     n = slices(docs.sparkSession)
     keys, id_type = labels(n), docs.schema[id_col].dataType.simpleString()
     texts = blocked(docs, id_col, text_col)
     shift = U64(64 - code_bits)
 
-    def distinct(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.concatenate(codes)
-        return np.unique(flat[flat > 0], return_counts=True)
+    def cuts_of(found: np.ndarray) -> np.ndarray:
+        return np.searchsorted(slices_of(found << shift, n), np.arange(n + 1))
 
     def count(block: pa.Table) -> pa.Table:
         _, codes = ngrams(Texts.of(block.column("text")), order, code_bits)
-        found, counts = distinct(codes)
-        words = int((codes[0] > 0).sum())
-        cuts = np.searchsorted(slices_of(found << shift, n), np.arange(n + 1))
-        out = [(s, squeeze(np.array([words]), np.frombuffer(pack(found[a:b]), np.uint8), counts[a:b].astype(np.uint32))) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        words = np.array([(codes[0] > 0).sum()])
+        lots = []
+        for k in range(order):
+            found, counts = np.unique(codes[k][codes[k] > 0], return_counts=True)
+            codes[k] = None
+            lots.append((found, counts.astype(np.uint32), cuts_of(found)))
+        out = []
+        for s in range(n):
+            parts = [(found[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]]) for found, counts, cuts in lots]
+            packed = [pack_wide(found) for found, _ in parts]
+            head = squeeze(words, np.array([len(x) for x in packed]), np.concatenate([c for _, c in parts]))
+            out.append((s, len(head).to_bytes(8, "little") + head + b"".join(packed)))
         return messages(block, keys, out)  # to every slice, so that each answers with the number of all words
 
     def total(payloads: list[bytes], ranks: np.ndarray) -> list[bytes]:
-        lots = [spread(p, np.int64, np.uint8, np.uint32) for p in payloads]
-        codes = [unpack(x[1].tobytes()) for x in lots]
-        words = np.array([sum(int(x[0][0]) for x in lots)])
-        found, at = np.unique(np.concatenate(codes), return_inverse=True)
-        sums = np.bincount(at, weights=np.concatenate([x[2] for x in lots]), minlength=len(found)).astype(np.uint64)[at]
-        cuts = np.cumsum([0, *map(len, codes)])
-        kind = np.uint32 if not len(sums) or sums.max() < 1 << 32 else np.uint64
-        return [squeeze(words, np.array([np.dtype(kind).itemsize]), sums[cuts[i] : cuts[i + 1]].astype(kind)) for i in range(len(payloads))]
+        words, codes, counts = 0, [[] for _ in range(order)], [[] for _ in range(order)]
+        for p in payloads:
+            at = 8 + int.from_bytes(p[:8], "little")
+            own, sizes, numbers = spread(p[8:at], np.int64, np.int64, np.uint32)
+            words += int(own[0])
+            first = 0
+            for k, size in enumerate(sizes.tolist()):
+                codes[k].append(unpack_wide(p[at : at + size]))
+                at += size
+                counts[k].append(numbers[first : first + len(codes[k][-1])])
+                first += len(codes[k][-1])
+        sums: list[list[np.ndarray]] = [[] for _ in payloads]
+        for k in range(order):
+            found, at = np.unique(np.concatenate(codes[k]), return_inverse=True)
+            all_ = np.bincount(at, weights=np.concatenate(counts[k]), minlength=len(found)).astype(np.uint64)[at]
+            ends = np.cumsum([0, *map(len, codes[k])])
+            for i in range(len(payloads)):
+                sums[i].append(all_[ends[i] : ends[i + 1]])
+            codes[k] = counts[k] = None
+        out = []
+        for parts in sums:
+            flat = np.concatenate(parts)
+            kind = np.uint32 if not len(flat) or flat.max() < 1 << 32 else np.uint64
+            out.append(squeeze(np.array([words]), np.array([np.dtype(kind).itemsize]), flat.astype(kind)))
+        return out
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         offsets, codes = ngrams(Texts.of(block.column("text")), order, code_bits)
-        flat = np.concatenate(codes)
-        there = np.flatnonzero(flat)
-        found, _, group = groups(flat[there])
-        cuts = np.searchsorted(slices_of(found << shift, n), np.arange(n + 1))
-        totals, words = np.zeros(len(found), np.int64), 0
+        there = [np.flatnonzero(c) for c in codes]
+        lots = []
+        for c, some in zip(codes, there, strict=True):
+            found, _, group = groups(c[some])
+            lots.append((np.zeros(len(found), np.int64), group, cuts_of(found)))
+        words = 0
         for s, p in zip(answers.column("at").to_pylist(), answers.column("payload"), strict=True):
             raw = p.as_py()
             total_, size, _ = spread(raw, np.int64, np.int64, np.uint8)
             words = int(total_[0])
-            totals[cuts[s] : cuts[s + 1]] = spread(raw, np.int64, np.int64, np.uint32 if size[0] == 4 else np.uint64)[2]
+            sums, at = spread(raw, np.int64, np.int64, np.uint32 if size[0] == 4 else np.uint64)[2], 0
+            for totals, _, cuts in lots:
+                m = int(cuts[s + 1] - cuts[s])
+                totals[cuts[s] : cuts[s + 1]] = sums[at : at + m]
+                at += m
         doc, n_words = owners(offsets), np.diff(offsets)
         place = np.arange(len(doc)) - np.repeat(offsets[:-1], n_words)
         others = np.repeat(np.maximum(words - n_words, 1), n_words).astype(float)
-        counts = np.zeros(len(flat), np.int64)
-        counts[there] = totals[group]
         rest = []  # counts in the rest of the corpus, by order
-        for k, c in enumerate(codes):
-            some = np.flatnonzero(c)
-            r = counts[k * len(c) : (k + 1) * len(c)]
-            r[some] -= own_counts(c[some], doc[some])
+        for c, some, (totals, group, _) in zip(codes, there, lots, strict=True):
+            r = np.zeros(len(c), np.int64)
+            r[some] = totals[group] - own_counts(c[some], doc[some])
             rest.append(r)
         longest = np.minimum(place + 1, order)
         logs = longest * np.log(alpha) - np.log(others)
         full, open_ = np.zeros(len(doc), bool), np.ones(len(doc), bool)
         for k in range(order, 0, -1):
             hit = open_ & (rest[k - 1] > 0)
+            if k > 1:
+                hit[1:] &= rest[k - 2][:-1] >= rest[k - 1][1:]
             under = others[hit] if k == 1 else rest[k - 2][np.flatnonzero(hit) - 1]
             logs[hit] = (longest[hit] - k) * np.log(alpha) + np.log(rest[k - 1][hit]) - np.log(under)
             full |= hit & (longest == k)

@@ -297,6 +297,27 @@ def test_scores_against_sql(docs):
         assert (r.n_words, r.n_full) == (n, full) and abs(r.score - score) < 1e-3 and abs(r.mean_score - mean) < 1e-4
 
 
+def test_scores_do_not_break_on_equal_codes(docs):
+    """Codes of few bits agree all the time; a hit without a context as frequent counts as not found."""
+    from lodestar.llm.lm_score import backoff_scores, ngrams
+    from lodestar.llm.text import Texts
+    import pyarrow as pa
+
+    assert all(np.isfinite([r.score, r.mean_score]).all() for r in backoff_scores(docs, code_bits=11).collect())
+    _, codes = ngrams(Texts.of(pa.array([" ".join(f"w{i}" for i in range(500))])), 3, 64)
+    for k, c in enumerate(codes):
+        assert len(set((c[k:] & np.uint64(1)).tolist())) == 2 and len(set(c[k:].tolist())) == 500 - k
+
+
+def test_wide_codes_travel():
+    from lodestar.llm.blocks import pack_wide, unpack_wide
+
+    r = np.random.default_rng(2)
+    for n, top in ((0, 9), (1, 1 << 63), (5, 3), (4000, 1 << 63), (4000, 9000)):
+        codes = np.unique(np.append(r.integers(1, top, n, dtype=np.uint64) * np.uint64(2), np.array([1, (1 << 64) - 1][: 2 * (n == 4000)], np.uint64)))
+        assert (unpack_wide(pack_wide(codes)) == codes).all()
+
+
 def test_lines_against_sql(spark):
     from lodestar.llm.line_dedup import drop_recurring_lines
     from lodestar.llm.queries import SQL_OP2
