@@ -1,7 +1,8 @@
 """Main text of web pages, with site templates removed.
 
 Round 1 hashes the element subtrees of every page and counts, by host, on how
-many pages each occurs. Subtrees that occur on at least ``least_pages`` pages
+many pages of different content each occurs; copies of a page are one page here,
+as they say nothing about what is template. Subtrees that occur on at least ``least_pages`` pages
 and ``share`` of the host's pages are its template; a page has a bounded number
 of elements, so a host has at most elements-a-page / share of them. Round 2
 parses the pages again beside the template of their host, deletes what recurs,
@@ -149,7 +150,11 @@ def host_of(url: str | None) -> str:
 
 
 def subtree_hash(text: str, element: Element) -> int:
-    raw = _SPACE.sub(" ", text[element.start : element.end]).strip()
+    return content_hash(text[element.start : element.end])
+
+
+def content_hash(text: str) -> int:
+    raw = _SPACE.sub(" ", text).strip()
     return xxhash.xxh3_64_intdigest(raw.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
@@ -229,14 +234,15 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
+            hosts, hashes, bodies = [], [], []
             for url, text in zip(batch.column(0), batch.column(1), strict=True):
                 found, host = subtree_hashes(text.as_py() or ""), host_of(url.as_py())
                 hosts += [host] * (len(found) + 1)
                 hashes += [None, *found]  # the null counts the page
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+                bodies += [content_hash(text.as_py() or "")] * (len(found) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(bodies, pa.int64())], ["host", "hash", "body"])
 
-    seen = pages.select(url_col, html_col).mapInArrow(count, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    seen = pages.select(url_col, html_col).mapInArrow(count, "host string, hash long, body long").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     often = seen.where(F.col("hash").isNull() | (F.col("n") >= least_pages))
     total = F.max(F.when(F.col("hash").isNull(), F.col("n")))
     template = (

@@ -262,6 +262,15 @@ def test_templates_of_a_host(spark):
     assert got[7] == "Story 7" and got[100] == "Notice of the site\n\nStory" and got[200] == "" and len(got) == 34
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    from lodestar.llm.html_main import extract_main_text
+
+    copy = "<body><p>Told once</p><p>And copied</p></body>"
+    pages = [(i, "http://a.com/x", copy) for i in range(12)] + [(20 + i, "http://a.com/y", f"<body><p>Story {i}</p></body>") for i in range(30)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == "Told once\n\nAnd copied" for i in range(12)) and got[25] == "Story 5"
+
+
 def test_mix(docs, rows):
     from lodestar.llm.mixing import fill_targets, mix_to_weights, mixed
 
