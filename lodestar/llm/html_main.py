@@ -2,10 +2,11 @@
 
 Round 1 hashes the element subtrees of every page and counts, by host, on how
 many pages of different content each occurs; copies of a page are one page here,
-as they say nothing about what is template. Subtrees that occur on at least ``least_pages`` pages
-and ``share`` of the host's pages are its template; a page has a bounded number
-of elements, so a host has at most elements-a-page / share of them. Round 2
-parses the pages again beside the template of their host, deletes what recurs,
+as they say nothing about what is template. Subtrees that occur on at least
+``least_pages`` of them recur, however large the host is. They are joined to the
+subtrees of the pages, which are dealt by subtree and salt, so a subtree of all
+pages is no single task and no template of a host is gathered. Round 2 parses
+each page again beside its own recurring subtrees, deletes these,
 deletes elements that are no article text by kind (menus, headers, footers,
 forms, adverts ...) and joins the blocks that are left.
 
@@ -158,6 +159,11 @@ def content_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(raw.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def of_host(host: str, subtree: int) -> int:
+    """One hash for a subtree of a host."""
+    return xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass") + subtree.to_bytes(8, "little", signed=True)) - (1 << 63)
+
+
 def _main(root: Element) -> list[Element]:
     """The outermost article elements, else the main elements, else nothing."""
     for tag in ("article", "main"):
@@ -189,9 +195,11 @@ def subtree_hashes(text: str) -> set[int]:
     return {subtree_hash(text, e) for e in _candidates(parse(text))}
 
 
-def main_text(text: str, template: set[int]) -> str:
+def main_text(text: str, template: set[int], host: str | None = None) -> str:
+    """The text without the subtrees of the template: their hashes, with a host as ``of_host`` gives them."""
     root = parse(text)
-    gone = {id(e) for e in _candidates(root) if subtree_hash(text, e) in template} if template else set()
+    named = (lambda x: x) if host is None else (lambda x: of_host(host, x))
+    gone = {id(e) for e in _candidates(root) if named(subtree_hash(text, e)) in template} if template else set()
     blocks: list[str] = []
     run: list[str] = []
 
@@ -225,48 +233,39 @@ def main_text(text: str, template: set[int]) -> str:
     return "\n\n".join(blocks)
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 10, share: float = 0.05, salts: int = 16) -> DataFrame:
-    """One row per page: id, url, text, n_chars, and n_template (subtrees of the host's template known for the page).
-
-    A host's pages are dealt into ``salts`` parts, each with a copy of its template, so a large host is no single task.
-    """
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 10, salts: int = 16) -> DataFrame:
+    """One row per page: id, url, text, n_chars, and n_template (recurring subtrees of the host that the page has)."""
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes, bodies = [], [], []
-            for url, text in zip(batch.column(0), batch.column(1), strict=True):
-                found, host = subtree_hashes(text.as_py() or ""), host_of(url.as_py())
-                hosts += [host] * (len(found) + 1)
-                hashes += [None, *found]  # the null counts the page
-                bodies += [content_hash(text.as_py() or "")] * (len(found) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(bodies, pa.int64())], ["host", "hash", "body"])
-
-    seen = pages.select(url_col, html_col).mapInArrow(count, "host string, hash long, body long").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    often = seen.where(F.col("hash").isNull() | (F.col("n") >= least_pages))
-    total = F.max(F.when(F.col("hash").isNull(), F.col("n")))
-    template = (
-        often.groupBy("host")
-        .agg(total.alias("pages"), F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("hash", "n"))).alias("found"))
-        .select("host", F.expr(f"transform(filter(found, x -> x.n >= {float(share)} * pages), x -> x.hash)").alias("template"))
-        .where(F.size("template") > 0)
-    )
+            keys, hashes, bodies = [], [], []
+            for key, url, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                text = text.as_py() or ""
+                found, host = subtree_hashes(text), host_of(url.as_py())
+                keys += [key.as_py()] * len(found)
+                hashes += [of_host(host, x) for x in found]
+                bodies += [content_hash(text)] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, hashes, bodies)], ["key", "hash", "body"])
+
+    key = F.xxhash64(F.lit(3), F.col(id_col), F.col(url_col), F.col(html_col))
+    keyed = pages.select(key.alias("key"), F.col(id_col).alias("id_"), F.col(url_col).alias("url_"), F.col(html_col).alias("html_"))
+    # a body has one salt, so its copies meet; both uses read all columns, so that pages are parsed and dealt once for both
+    salt = F.pmod("body", F.lit(salts))
+    found = keyed.select("key", "url_", "html_").mapInArrow(subtrees, "key long, hash long, body long").where("hash IS NOT NULL AND body IS NOT NULL AND key IS NOT NULL").repartition("hash", salt)
+    once = found.groupBy("hash", salt.alias("salt"), "body").agg(F.max("key").alias("any"))
+    often = once.groupBy("hash", "salt").agg(F.count("any").alias("n")).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least_pages)
+    dealt = often.select(F.col("hash").alias("often"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    template = found.join(dealt, (F.col("hash") == F.col("often")) & (salt == F.col("salt"))).groupBy("key").agg(F.collect_set("hash").alias("template"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, known = [], []
-            for text, template in zip(batch.column(2), batch.column(3), strict=True):
+            for url, text, template in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 found = set(template.as_py() or ())
-                texts.append(main_text(text.as_py() or "", found))
+                texts.append(main_text(text.as_py() or "", found, host_of(url.as_py())))
                 known.append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(known, pa.int64())], ["id_", "url_", "text", "n_chars", "n_template"])
 
-    keyed = pages.select(F.col(id_col).alias("id_"), F.col(url_col).alias("url_"), F.col(html_col).alias("html_"), _host_column(F.col(url_col)).alias("host")).withColumn("salt", F.pmod(F.xxhash64("id_", "url_"), F.lit(salts)))
-    dealt = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
-    out = keyed.join(dealt, ["host", "salt"], "left").select("id_", "url_", "html_", "template").mapInArrow(extract, f"id_ {id_type}, url_ {url_type}, text string, n_chars long, n_template long")
+    out = keyed.join(template, "key", "left").select("id_", "url_", "html_", "template").mapInArrow(extract, f"id_ {id_type}, url_ {url_type}, text string, n_chars long, n_template long")
     return out.withColumnRenamed("id_", id_col).withColumnRenamed("url_", url_col)
-
-
-def _host_column(url):
-    """host_of, in the JVM."""
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))

@@ -271,6 +271,16 @@ def test_copies_of_a_page_are_no_template(spark):
     assert all(got[i] == "Told once\n\nAnd copied" for i in range(12)) and got[25] == "Story 5"
 
 
+def test_template_does_not_depend_on_the_size_of_the_host(spark):
+    from lodestar.llm.html_main import extract_main_text
+
+    advert = "<div><span>Advert of one section</span></div>"
+    pages = [(i, "http://a.com/x", f"<body><article><p>Story {i}</p>{advert if i < 12 else ''}</article></body>") for i in range(400)]
+    pages += [(1000 + i, "http://b.com/x", f"<body><article><p>Story {i}</p>{advert}</article></body>") for i in range(9)]
+    got = {r.page_id: (r.text, r.n_template) for r in extract_main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == (f"Story {i}", int(i < 12)) for i in range(400)) and got[1003] == ("Story 3\n\nAdvert of one section", 0)
+
+
 def test_mix(docs, rows):
     from lodestar.llm.mixing import fill_targets, mix_to_weights, mixed
 
