@@ -453,6 +453,12 @@ def title_slugs(spark, d):
     return read(spark, d, "documents").select("doc_id", T.slug(F.substring("text", 1, 40)).alias("slug"))
 
 
+@query("SELECT doc_id, CASE WHEN trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', '_', 'g'), '_') = '' THEN 'journal' ELSE lower(trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', '_', 'g'), '_')) END AS slug FROM documents")
+def text_slugs(spark, d):
+    """The whole text, where title_slugs takes its first 40 characters for a title."""
+    return read(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN '+' ELSE '' END || printf('%.1f', floor(c_acctbal)) AS diff, printf('%.1f', floor(c_acctbal)) || '%' AS pct FROM customer WHERE abs(c_acctbal) > 2")
 def formatted_numbers(spark, d):
     v = F.floor("c_acctbal").cast("double")

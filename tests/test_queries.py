@@ -39,6 +39,11 @@ def test_query_equals_sql(spark, con, name):
     assert a == b
 
 
+def test_slugs_of_whole_texts(spark):
+    texts = spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").where("length(text) > 200").count()
+    assert catalog.queries()["text_slugs"](spark, FOLDER).where("length(slug) > 60").count() >= texts // 2 > 0
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert catalog.queries()[name](spark, FOLDER).count() > 0
