@@ -6,7 +6,8 @@ that few documents reach need no further work. In the others, lines that are
 equal once such fields are masked form a template; among the rest of a leaf, a
 position is constant if one token holds more than half of its lines, else it is
 variable, and lines that agree with enough positions of that template belong to
-it. A template found in ``min_docs`` documents recurs: its first line (by id,
+it. The lines that are left are grouped again by their frequent tokens at further
+positions, so a leaf may hold many templates. A template found in ``min_docs`` documents recurs: its first line (by id,
 then by place) stays, its other lines are dropped.
 
 No text is shuffled but once by document; leaves and templates travel as
@@ -22,6 +23,8 @@ result; columns of any other name are carried along, and a clashing name
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
@@ -43,6 +46,38 @@ def _leaf(line: Column, depth: int) -> Column:
     return F.xxhash64(F.size(tokens), *head)
 
 
+def _further_templates(left: DataFrame, min_docs: int, depth: int, similarity: float) -> Iterator[DataFrame]:
+    """Lines (_key, id_, at, template) of further recurring templates, round by round.
+
+    Lines of a group go on together by their most frequent token at a position not used yet; all counts are of documents.
+    In each of the new groups, a token of more than half of the documents is constant. Lines of no template go on, until
+    no group is left with ``min_docs`` documents.
+    """
+    # the group is a hash of the leaf and of the tokens chosen so far; used are their positions
+    left = left.select("_key", "id_", "at", "tokens", F.col("leaf").alias("group"), F.array().cast("array<int>").alias("used"))
+    while True:
+        tokens = left.select("_key", "at", "group", "used", F.posexplode("tokens").alias("pos", "token")).where((F.col("pos") >= depth) & ~F.array_contains("used", F.col("pos")))
+        often = tokens.select("group", "pos", "token", "_key").distinct().groupBy("group", "pos", "token").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+        best = tokens.join(often, ["group", "pos", "token"]).groupBy("_key", "at").agg(F.max(F.struct("docs", -F.col("pos"), "pos", "token")).alias("b"))
+        grown = left.join(best, ["_key", "at"])
+        new = F.xxhash64("group", "b.pos", "b.token")
+        grown = stored(grown.select("_key", "id_", "at", "tokens", new.alias("group"), F.concat("used", F.array("b.pos")).alias("used")), "lines")
+        held = grown.select("group", "_key").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= min_docs)
+        if held.isEmpty():
+            return
+        grown = grown.join(held.select("group"), "group")
+        token = grown.select("group", "_key", F.posexplode("tokens").alias("pos", "token")).distinct().groupBy("group", "pos", "token").agg(F.count(F.lit(1)).alias("n"))
+        top = token.groupBy("group", "pos").agg(F.max(F.struct("n", "token")).alias("top")).join(held, "group")
+        constant = F.when(2 * F.col("top.n") > F.col("total"), F.col("top.token"))
+        template = top.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("pos", constant.alias("token")))).alias("t")).select("group", F.col("t.token").alias("t"))
+        agree = F.size(F.filter(F.zip_with("tokens", "t", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
+        alike = grown.join(template, "group").where(agree >= similarity * F.size("tokens")).select("_key", "id_", "at", "group")
+        recurs = alike.select("group", "_key").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("group")
+        hits = stored(alike.join(recurs, "group").select("_key", "id_", "at", F.col("group").alias("template")), "lines")
+        yield hits
+        left = grown.join(hits.select("_key", "at"), ["_key", "at"], "left_anti").select("_key", "id_", "at", "tokens", "group", "used")
+
+
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The documents with the lines of recurring templates dropped from the text, and n_lines and n_dropped."""
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -76,7 +111,11 @@ def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
     agree = F.size(F.filter(F.zip_with("tokens", "t", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
     alike = other.join(template, "leaf").where(agree >= similarity * F.size("tokens")).select("_key", "id_", "at", F.col("leaf").alias("template"))
     recurs = alike.select("template", "_key").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("template")
-    hits = same.unionByName(alike.join(recurs, "template"))
+    main = alike.join(recurs, "template")
+    rest_ = other.join(main.select("_key", "at"), ["_key", "at"], "left_anti")
+    hits = same.unionByName(main)
+    for more in _further_templates(rest_, min_docs, depth, similarity):
+        hits = hits.unionByName(more)
     first = hits.groupBy("template").agg(F.min(F.struct("id_", "_key", "at")).alias("first"))
     gone = hits.join(first, "template").where(~F.struct("id_", "_key", "at").eqNullSafe(F.col("first"))).groupBy("_key").agg(F.collect_set("at").alias("_gone"))
 

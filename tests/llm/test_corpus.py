@@ -358,6 +358,18 @@ def test_lines_against_sql(spark):
     assert sum(x[2] for x in got) >= 59 + 19 and all("rare line" not in x[3] or x[2] <= 2 for x in got)
 
 
+def test_templates_that_share_a_leaf(spark):
+    from lodestar.llm.line_dedup import drop_recurring_lines
+
+    r = random.Random(4)
+    name = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    kinds = ["Click here to read the whole story by {}", "Click here to win a great prize from {}", "Click here to see our newest pictures of {}"]
+    rows = [(i, kinds[i % 3].format(name()) + f"\nown {name()}") for i in range(60)]
+    rows.append((99, "\n".join("Click here to " + " ".join(name() for _ in range(5)) for _ in range(200))))  # dilutes the leaf
+    got = {x.doc_id: x.n_dropped for x in drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(3)] == [0, 0, 0] and all(got[i] == 1 for i in range(3, 60)) and got[99] == 0
+
+
 def test_lines_edge_cases(spark):
     from lodestar.llm.line_dedup import drop_recurring_lines
 
