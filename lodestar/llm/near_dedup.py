@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 from .blocks import block_bounds, blocked, in_order
 from .common import partitions, stored
 from .components import components
-from .text import Fingerprints, Texts, inside, mix, owners
+from .text import Texts, inside, mix, owners, range_hashes, window_hashes
 
 U64 = np.uint64
 BINS, BITS, ROWS = 1024, 2048, 4
@@ -49,13 +49,18 @@ def shingle_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each document in order, and their offsets."""
     low = texts.lowered()
     starts, ends, at = low.words()
-    prints = Fingerprints(low.data).of(starts, ends)
+    prints = range_hashes(low.data, starts, ends)
     ok = np.flatnonzero(inside(at, words))
-    values = Fingerprints(prints).windows(words)[ok] if len(ok) else np.zeros(0, U64)
+    values = window_hashes(prints, words)[ok] if len(ok) else np.zeros(0, U64)
     doc = owners(at)
     few = np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < words))
     if len(few):
-        values = np.concatenate([values, Fingerprints(prints).of(at[few], at[few + 1])])
+        whole = np.zeros(len(few), U64)
+        for k in range(1, words):
+            some = np.diff(at)[few] == k
+            if some.any():
+                whole[some] = window_hashes(prints, k, k)[at[few[some]]]
+        values = np.concatenate([values, whole])
     doc = np.concatenate([doc[ok], few])
     by = np.lexsort((values, doc))
     values, doc = values[by], doc[by]
@@ -196,12 +201,12 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, words: int = 5, thresho
         return both.select("a", "b", "ablock", "bblock", "an", "bn", "am", "bm", "as_", "bs_").mapInArrow(sift, "a long, b long, ablock int, bblock int")
 
     def sets_of(block: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
-        """All sets of a block, 48 bits of each shingle in order."""
+        """All sets of a block, each in order."""
         block = in_order(block)
         values, at = [], [np.zeros(1, np.int64)]
         for _, part in Texts.of(block.column("text")).parts():
             v, o = shingle_sets(part, words)
-            values.append(v >> U64(16))
+            values.append(v)
             at.append(o[1:] + at[-1][-1])
         base = (block.column("rank")[0].as_py() << 32) if block.num_rows else 0
         return np.concatenate(values) if values else np.zeros(0, U64), np.concatenate(at), base
@@ -216,7 +221,7 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, words: int = 5, thresho
                 own = values[at[i] : at[i + 1]]
                 rows["bblock"].append(lot["bblock"])
                 rows["a"].append(lot["a"])
-                rows["values"].append(own.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                rows["values"].append(own.tobytes())
                 rows["bs"].append(lot["b_list"])
         return pa.table({"bblock": pa.array(rows["bblock"], pa.int32()), "a": pa.array(rows["a"], pa.int64()), "values": pa.array(rows["values"], pa.binary()), "bs": pa.array(rows["bs"], pa.list_(pa.int64()))})
 
@@ -226,9 +231,7 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, words: int = 5, thresho
             values, at, base = sets_of(block)
             for lot in zip(sent.column("a"), sent.column("values"), sent.column("bs"), strict=True):
                 a, raw, bs = (x.as_py() for x in lot)
-                wide = np.zeros((len(raw) // 6, 8), np.uint8)
-                wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-                left = wide.view(U64).ravel()
+                left = np.frombuffer(raw, U64)
                 for b in bs:
                     right = values[at[b - base] : at[b - base + 1]]
                     place = np.minimum(np.searchsorted(left, right), len(left) - 1)
@@ -262,7 +265,7 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, words: int = 5, thresho
             values, at, base = sets_of(block)
             for w in wanted.to_pylist():
                 i = w["uid"] - base
-                raw = values[at[i] : at[i + 1]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                raw = values[at[i] : at[i + 1]].tobytes()
                 rows += [(w["cluster"], min(w["own"], k), max(w["own"], k), w["own"], w["uid"], w["root"], raw) for k in range(w["chunks"])]
         names = (("cluster", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("own", pa.int32()), ("uid", pa.int64()), ("root", pa.int64()), ("values", pa.binary()))
         return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(names)})
@@ -271,11 +274,7 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, words: int = 5, thresho
         """Links between components, of one chunk or between two; each joins components that no other link given joins."""
         group = group.sort_by("uid")
         uid, label_, own = (group.column(c).to_numpy().copy() for c in ("uid", "root", "own"))
-        sets = []
-        for raw in group.column("values"):
-            wide = np.zeros((len(raw.as_py()) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(raw.as_py(), np.uint8).reshape(-1, 6)
-            sets.append(wide.view(U64).ravel())
+        sets = [np.frombuffer(raw.as_py(), U64) for raw in group.column("values")]
         size = np.array([len(x) for x in sets])
         flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
         sketch, samples = odd_sketches(flat, doc, len(sets))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import BLANK, Fingerprints, Texts, covered, inside, owners, per_document
+from .text import BLANK, Texts, covered, inside, owners, per_document, range_hashes, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -107,20 +107,19 @@ def measure(texts: Texts, min_words: int, repeat_percent: int, window: int, leas
     point = (data & 0xC0) != 0x80
     word_chars = per_document(point & ~BLANK[data], texts.offsets)
     symbols = per_document(_SYMBOL[data], texts.offsets)
-    prints = Fingerprints(data)
     # lines with a word, equal to an earlier line of the document
     a, b, at = texts.lines()
     solid = np.zeros(len(data) + 1, np.int64)
     np.cumsum(~BLANK[data], out=solid[1:])
     filled = solid[b] > solid[a]
     line_doc = owners(at)[filled]
-    lines = np.stack([line_doc.astype(np.uint64), prints.of(a[filled], b[filled])], 1)
+    lines = np.stack([line_doc.astype(np.uint64), range_hashes(data, a[filled], b[filled])], 1)
     distinct = np.unique(lines.view([("d", "u8"), ("h", "u8")]).ravel())
     dup = np.bincount(line_doc, minlength=len(texts)) - np.bincount(distinct["d"].astype(np.int64), minlength=len(texts))
-    ids = np.unique(prints.of(starts, ends), return_inverse=True)[1]
+    ids = np.unique(range_hashes(data, starts, ends), return_inverse=True)[1]
     # words in windows that are found twice or more in the document
     ok = np.flatnonzero(inside(offsets, window))
-    codes = Fingerprints(ids).windows(window)[ok] if len(ok) else np.zeros(0, np.uint64)
+    codes = window_hashes(ids, window)[ok] if len(ok) else np.zeros(0, np.uint64)
     order = np.lexsort((codes, doc[ok]))
     s_doc, s_code = doc[ok][order], codes[order]
     twin = np.zeros(len(ok), bool)

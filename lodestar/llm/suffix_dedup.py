@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .blocks import SENT, bits, blocked, in_order, labels, messages, pack, rounds, slices_of, spread, squeeze, unbits, unpack
 from .common import partitions, slices
-from .text import Fingerprints, Texts, covered, inside, mix, per_document, range_fingerprints
+from .text import Texts, covered, equal_ranges, gram_codes, inside, mix, per_document, range_hashes
 
 U64 = np.uint64
 SCHEMA = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -88,7 +88,7 @@ def expand_intervals(symbols: np.ndarray, order: np.ndarray, least: int) -> np.n
     first = symbols[order]
     before = symbols[order - 1]  # the transform; row 0's text starts after the last separator
     reached = np.argsort(before, kind="stable")
-    prefix = np.full(n, least, np.int16)
+    prefix = np.full(n, least, np.int16 if least < 1 << 15 else np.int32)
     edge = np.ones(n, bool)
     edge[1:] = first[1:] != first[:-1]
     prefix[edge] = 0
@@ -159,7 +159,7 @@ class Anchors:
             ok = inside(part.offsets, length)
             if not ok.any():
                 continue
-            h = Fingerprints(part.data).windows(gram)
+            h = gram_codes(part.data, gram)
             low = (U64(1) << U64(int(len(h)).bit_length())) - U64(1)
             least = (h & ~low) | np.arange(len(h), dtype=U64)
             width = 1
@@ -179,13 +179,24 @@ class Anchors:
         self.end = np.minimum(self.offsets[doc + 1], self.at + length)
 
     def around(self, rows: np.ndarray) -> np.ndarray:
-        """A fingerprint of the text around each of the rows, and of the anchor's place in it."""
-        return range_fingerprints(self.data, self.start[rows], self.end[rows]) ^ (self.at[rows] - self.start[rows]).astype(U64)
+        """A hash of the text around each of the rows, and of the anchor's place in it."""
+        return range_hashes(self.data, self.start[rows], self.end[rows]) ^ (self.at[rows] - self.start[rows]).astype(U64)
+
+
+def repeats_of_lead(data: np.ndarray, by: np.ndarray, starts: np.ndarray, size: np.ndarray, keys: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Of rows in order, which have the keys, the size and all bytes of the first row with their keys."""
+    new = np.ones(len(by), bool)
+    if len(by):
+        new[1:] = np.any([k[by][1:] != k[by][:-1] for k in (*keys, size)], axis=0)
+    lead = by[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(by) else by
+    same = ~new
+    same[same] = equal_ranges(data, starts[by[same]], starts[lead[same]], size[by[same]])
+    return same
 
 
 def earlier_windows(payloads: list[bytes], ranks: np.ndarray, length: int, gram: int, piece: int) -> list[bytes]:
     """For each message, of all windows of its texts, which start earlier elsewhere."""
-    lots = [spread(p, U64, np.uint32, np.uint8, np.uint8, np.uint8) for p in payloads]
+    lots = [spread(p, U64, np.uint64, np.uint32, np.uint32, np.uint8) for p in payloads]
     sizes = [len(x[0]) for x in lots]
     code, size, anchor = (np.concatenate([x[i] for x in lots]) for i in (0, 2, 3))
     size, anchor = size.astype(np.int64), anchor.astype(np.int64)
@@ -197,10 +208,9 @@ def earlier_windows(payloads: list[bytes], ranks: np.ndarray, length: int, gram:
     count = np.maximum(0, size - length + 1)
     late = np.zeros(int(count.sum()), bool)
     into = np.cumsum(count) - count
-    whole = range_fingerprints(data, starts, ends) ^ anchor.astype(U64)
+    whole = range_hashes(data, starts, ends) ^ anchor.astype(U64)
     by = np.lexsort((key, whole, code))
-    same = np.zeros(len(by), bool)
-    same[1:] = (code[by][1:] == code[by][:-1]) & (whole[by][1:] == whole[by][:-1])
+    same = repeats_of_lead(data, by, starts, size, (code, whole, anchor))
     for i in by[same].tolist():  # equal surroundings: all but the first repeat it whole
         late[into[i] : into[i] + count[i]] = True
     lead = by[~same]
@@ -227,7 +237,7 @@ def earlier_windows(payloads: list[bytes], ranks: np.ndarray, length: int, gram:
             has = (anchor[rows] + y >= 0) & (anchor[rows] + x + length <= size[rows])
             some = rows[has]
             a, b = starts[some] + np.maximum(0, anchor[some] + y), starts[some] + np.minimum(size[some], anchor[some] + x + length)
-            common = range_fingerprints(data, a, b)
+            common = range_hashes(data, a, b)
             order = np.argsort(common, kind="stable")
             cut = np.flatnonzero(np.append(True, common[order][1:] != common[order][:-1]))
             for part in np.split(some[order], cut[1:]):
@@ -309,10 +319,8 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
         prints = own.around(rows)
         by = np.lexsort((rows, prints, own.codes[rows] >> shift))
         rows, prints = rows[by], prints[by]
-        code = own.codes[rows] >> shift
-        first = np.ones(len(rows), bool)
-        first[1:] = (code[1:] != code[:-1]) | (prints[1:] != prints[:-1])
-        return own, rows, first
+        keys = (own.codes[rows] >> shift, prints, own.at[rows] - own.start[rows])
+        return own, rows, ~repeats_of_lead(own.data, np.arange(len(rows)), own.start[rows], (own.end - own.start)[rows], keys)
 
     def send(block: pa.Table, answers: pa.Table) -> pa.Table:
         own, rows, first = candidates(block, answers)
@@ -325,7 +333,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
             if len(some):
                 a, b = own.start[some], own.end[some]
                 text = np.concatenate([own.data[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)])
-                out.append((s, squeeze(code[cuts[s] : cuts[s + 1]], a.astype(np.uint32), (b - a).astype(np.uint8), (own.at[some] - a).astype(np.uint8), text)))
+                out.append((s, squeeze(code[cuts[s] : cuts[s + 1]], a.astype(np.uint64), (b - a).astype(np.uint32), (own.at[some] - a).astype(np.uint32), text)))
         return messages(block, keys, out)
 
     def remove(block: pa.Table, both: pa.Table) -> pa.Table:

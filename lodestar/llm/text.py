@@ -13,9 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-_BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
 
 #: Bytes that separate words.
@@ -24,7 +24,7 @@ BLANK[[32, *range(9, 14)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective finaliser, so that every bit of a fingerprint is usable."""
+    """A bijective finaliser, so that every bit of a hash is usable."""
     x = x ^ (x >> U64(30))
     x = x * U64(0xBF58476D1CE4E5B9)
     x ^= x >> U64(27)
@@ -33,58 +33,86 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of an odd base modulo 2**64 and of its inverse; one table for each base, grown as needed."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = 1 << max(16, int(n).bit_length())
-        up, down = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
-        up[0] = down[0] = 1
-        np.cumprod(up, dtype=U64, out=up)
-        np.cumprod(down, dtype=U64, out=down)
-        _POWERS[base] = (up, down)
-    return _POWERS[base]
-
-
-class Fingerprints:
-    """Fingerprints of arbitrary ranges of a sequence from one prefix sum."""
-
-    def __init__(self, values: np.ndarray, seed: int = 0) -> None:
-        self.base = _BASE[seed]
-        up, self.down = powers(len(values) + 1, self.base)
-        self.sums = np.zeros(len(values) + 1, U64)
-        np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], dtype=U64, out=self.sums[1:])
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mix(raw + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
-
-    def windows(self, n: int) -> np.ndarray:
-        """Of every n values in a row."""
-        last = len(self.sums) - n
-        if last <= 0:
-            return np.zeros(0, U64)
-        return mix((self.sums[n:] - self.sums[:last]) * self.down[:last])
-
-
-def range_fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
-    """Fingerprints of short ranges of a long array, in windows of about ``most`` bytes."""
-    out = np.zeros(len(starts), U64)
-    order = np.argsort(starts, kind="stable")
-    first = starts[order]
-    a = 0
-    while a < len(order):
-        b = max(a + 1, int(np.searchsorted(first, first[a] + most)))
-        some = order[a:b]
-        lo = int(first[a])
-        window = Fingerprints(data[lo : int(ends[some].max())])
-        out[some] = window.of(starts[some] - lo, ends[some] - lo)
-        a = b
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two in order; mixed at each step, so that no arithmetic of the parts carries over."""
+    return mix((a ^ U64(0xA0761D6478BD642F)) * U64(0x9E3779B97F4A7C15) + b)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, with zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    return np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, long: int = 256) -> np.ndarray:
+    """Hashes of ranges of a byte array: eight bytes at a time for all ranges at once, XXH3 for those over ``long`` bytes."""
+    size = ends - starts
+    out = mix(size.astype(U64) + U64(0x9E3779B97F4A7C15 * (seed + 1) & _MASK))
+    view = lanes(data)
+    act = np.flatnonzero((size > 0) & (size <= long))
+    at = 0
+    while len(act):
+        left = size[act] - at
+        value = view[starts[act] + at]
+        short = left < 8
+        value[short] &= (U64(1) << (U64(8) * left[short].astype(U64))) - U64(1)
+        out[act] = _pair(out[act], value)
+        act = act[left > 8]
+        at += 8
+    for i in np.flatnonzero(size > long).tolist():
+        out[i] = mix(np.array([xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed) ^ int(out[i])], U64))[0]
     return out
 
 
+def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of two ranges of one size agree, for each pair of starts."""
+    view, same, at = lanes(data), np.ones(len(a), bool), 0
+    act = np.flatnonzero(size > 0)
+    while len(act):
+        left = size[act] - at
+        odd = view[a[act] + at] ^ view[b[act] + at]
+        short = left < 8
+        odd[short] &= (U64(1) << (U64(8) * left[short].astype(U64))) - U64(1)
+        same[act[odd != 0]] = False
+        act = act[(left > 8) & (odd == 0)]
+        at += 8
+    return same
+
+
+def window_hashes(values: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """Hashes of every n values in a row, put together from windows of 1, 2, 4 ... values."""
+    if len(values) < n:
+        return np.zeros(0, U64)
+    power, width, out, size = mix(values.astype(U64) + U64(0xD6E8FEB86659FD93 * (seed + 1) & _MASK)), 1, None, 0
+    while True:
+        if n & width:
+            out = power if out is None else _pair(out[: len(values) - size - width + 1], power[size:])
+            size += width
+        if size == n:
+            return out
+        power = _pair(power[:-width], power[width:])
+        width *= 2
+
+
+def gram_codes(data: np.ndarray, n: int) -> np.ndarray:
+    """Codes of every n bytes in a row, to choose places by: equal bytes have equal codes, and that is all that is needed."""
+    out, step = np.zeros(max(0, len(data) - n + 1), U64), 1 << 20
+    if len(out) and (not _POWERS or len(_POWERS[0]) < step + n):
+        for k, base in enumerate((0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))):
+            table = np.full(step + n, base, U64)
+            table[0] = 1
+            _POWERS[k : k + 1] = [np.cumprod(table, dtype=U64)]
+    for a in range(0, len(out), step):
+        part = data[a : a + step + n - 1]
+        sums = np.zeros(len(part) + 1, U64)
+        np.cumsum((part.astype(U64) + U64(1)) * _POWERS[0][: len(part)], dtype=U64, out=sums[1:])
+        out[a : a + step] = mix((sums[n:] - sums[: len(sums) - n]) * _POWERS[1][: len(sums) - n])
+    return out
+
+
+_POWERS: list[np.ndarray] = []
+
+
 class Texts:
     """A slice of a string column as bytes and offsets; nulls count as empty texts."""
 

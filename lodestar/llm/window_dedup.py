@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .blocks import SENT, bits, blocked, in_order, labels, messages, pack, rounds, slices_of, unbits, unpack
 from .common import partitions, slices
-from .text import BLANK, Fingerprints, Texts, covered, inside, per_document
+from .text import BLANK, Texts, covered, inside, per_document, range_hashes, window_hashes
 
 U64 = np.uint64
 SCHEMA = "n_words long, n_removed long, kept_sha256 string"
@@ -40,10 +40,9 @@ def _windows(texts: Texts, window: int, second: bool) -> tuple[np.ndarray, np.nd
     for _, part in texts.parts():
         starts, ends, at = part.words()
         ok = inside(at, window)
-        prints = Fingerprints(part.data).of(starts, ends)
         for seed, into in ((0, codes), (1, more))[: 1 + second]:
             full = np.zeros(len(starts), U64)
-            full[: len(ok)] = np.where(ok, Fingerprints(prints, seed).windows(window) | U64(1), U64(0)) if len(ok) else full[:0]
+            full[: len(ok)] = np.where(ok, window_hashes(range_hashes(part.data, starts, ends, seed), window, seed) | U64(1), U64(0)) if len(ok) else full[:0]
             into.append(full)
         offsets.append(at[1:] + offsets[-1][-1])
     join = lambda x: np.concatenate(x) if x else np.zeros(0, U64)
