@@ -23,12 +23,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; one is set only where the session names none, as in local tests."""
+    """The folder that all executors see; one is set only where the session names none and the master is local, as in tests."""
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestar-"))
     return context._jsc.sc().getCheckpointDir().get()
 

@@ -32,11 +32,12 @@ def _finished(links: DataFrame) -> bool:
     return own.where("c > 1").select("u").unionByName(onward).isEmpty()
 
 
-def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
-    """links(u, v) -> (u, root) for every node with a link that is not itself the smallest of its component."""
+def components(links: DataFrame) -> DataFrame:
+    """links(u, v) -> (u, root) for every node with a link that is not itself the smallest of its component.
+
+    Every step takes links to smaller nodes, so the loop ends; it takes about as many steps as paths can be halved.
+    """
     now = stored(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    for _ in range(most_steps):
-        if _finished(now):
-            break
+    while not _finished(now):
         now = stored(_small(_large(now)), "links")
     return now.select("u", F.col("v").alias("root"))
