@@ -6,24 +6,34 @@ digits as one space. An item may differ from a passage by ``rate`` of its bytes
 one piece must occur exactly, so all occurrences are found by looking up pieces:
 a table of their first bytes is tested at every byte of the text at once, and a
 hit is compared in full. The text around it is verified with Myers' bit-parallel
-distance, the whole item against any passage.
+distance, the whole item against any passage. Items of fewer than
+``short_bytes`` bytes have no budget and are found as whole words.
 
-The items go to the executors in lots of bounded size, one pass over the
-documents for each lot; the documents are never shuffled.
+The items go to the executors in lots of ``lot_bytes``; ``lots_a_pass`` of them
+are looked for in one pass, which normalises each text once. If there are more,
+every pass writes its hits, and they are joined to the documents by hashes of
+the text, so neither the driver nor a task ever holds more items than a pass
+has. The documents' texts are never shuffled.
 
-Defined cases: null and empty texts match nothing; items with fewer than
-``least_bytes`` bytes after normalising, null ones included, are ignored, as
-they would match by chance; repeated rows each get a row; without items all
-documents are kept; extra columns are ignored, or carried along by
-``drop_contaminated``.
+Defined cases: null and empty texts match nothing; items with a null id or text,
+or without a letter or digit, are ignored; ids may have any type; repeated rows
+each get a row; without items all documents are kept; very long texts are read
+whole; extra columns are ignored, or carried along, and a clashing name
+(``n_items``, ``items``, ``distance``, ``kept``) is replaced by the result.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import stored
+from .text import Texts, inside, range_hashes, window_hashes
 
 U64 = np.uint64
 TABLE_BITS = 22
@@ -78,24 +88,21 @@ class Pattern:
         return best, end
 
 
-class Items:
-    """A lot of items, ready to be looked up."""
+#: Pieces are looked up by so many of their first bytes, as many as they have.
+SEEDS = (16, 12, 8)
 
-    def __init__(self, items: list[tuple[int, bytes]], rate: float, least_piece: int) -> None:
-        self.ids = [i for i, _ in items]
-        self.texts = [t for _, t in items]
-        self.errors = [budget(len(t), rate, least_piece) for t in self.texts]
-        cut = [(k, at, p) for k, t in enumerate(self.texts) for at, p in pieces(t, self.errors[k])]
-        self.seed = min([16, *(len(p) for _, _, p in cut)])
-        self.lookup: dict[bytes, list[tuple[int, int, bytes]]] = {}
+
+class Seeds:
+    """Pieces of one seed length: a table of marks for all places of a text, and the pieces of each seed."""
+
+    def __init__(self, seed: int, cut: list[tuple[int, int, bytes]]) -> None:
+        self.seed, self.lookup = seed, {}
         for k, at, p in cut:
-            self.lookup.setdefault(p[: self.seed], []).append((k, at, p))
+            self.lookup.setdefault(p[:seed], []).append((k, at, p))
         self.table = np.zeros(1 << TABLE_BITS, bool)
-        if self.lookup:
-            self.table[self._cells(np.frombuffer(b"".join(self.lookup), np.uint8))[:: self.seed]] = True
-        self.patterns: dict[int, Pattern] = {}
+        self.table[self.cells(np.frombuffer(b"".join(self.lookup), np.uint8))[::seed]] = True
 
-    def _cells(self, data: np.ndarray) -> np.ndarray:
+    def cells(self, data: np.ndarray) -> np.ndarray:
         n = len(data) - self.seed + 1
         if n <= 0:
             return np.zeros(0, np.int64)
@@ -103,85 +110,160 @@ class Items:
         mixed = words[:n] * U64(0x9E3779B97F4A7C15) ^ words[self.seed - 8 : self.seed - 8 + n] * U64(0xC2B2AE3D27D4EB4F)
         return ((mixed ^ mixed >> U64(31)) * U64(0x94D049BB133111EB) >> U64(64 - TABLE_BITS)).astype(np.int64)
 
+
+class Items:
+    """A lot of items, ready to be looked up."""
+
+    def __init__(self, items: list[tuple[object, bytes]], rate: float, least_piece: int, short_bytes: int) -> None:
+        self.ids = [i for i, _ in items]
+        self.texts = [t for _, t in items]
+        short = [len(t) < short_bytes for t in self.texts]
+        self.errors = [0 if s else budget(len(t), rate, least_piece) for t, s in zip(self.texts, short, strict=True)]
+        cut = [(k, at, p) for k, t in enumerate(self.texts) if not short[k] for at, p in pieces(t, self.errors[k])]
+        by: dict[int, list] = {}
+        for x in cut:
+            by.setdefault(next(s for s in SEEDS if len(x[2]) >= s), []).append(x)
+        self.seeds = [Seeds(s, x) for s, x in by.items()]
+        self.words: dict[int, dict[int, list[int]]] = {}  # short items by number of words and hash
+        for k in np.flatnonzero(short).tolist():
+            starts, ends, _ = Texts.of(pa.array([self.texts[k].decode("utf-8", "replace")])).words()
+            n = len(starts)
+            code = window_hashes(range_hashes(np.frombuffer(self.texts[k], np.uint8), starts, ends), n)[0]
+            self.words.setdefault(n, {}).setdefault(int(code), []).append(k)
+        self.patterns: dict[int, Pattern] = {}
+
     def find(self, texts: list[bytes]) -> dict[int, dict[int, int]]:
         """For each text with a match: the items in it and their distances."""
         gap = b"\0" * 16
         joined = gap.join(texts)
         starts = np.cumsum([0, *(len(t) + 16 for t in texts)])
-        hits = np.flatnonzero(self.table[self._cells(np.frombuffer(joined, np.uint8))])
+        data = np.frombuffer(joined, np.uint8)
         ranges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        docs = np.searchsorted(starts, hits, "right") - 1
-        for h, d in zip(hits.tolist(), docs.tolist(), strict=True):
-            for k, at, p in self.lookup.get(joined[h : h + self.seed], ()):
-                if joined.startswith(p, h):
-                    a = h - at - self.errors[k]
-                    ranges.setdefault((d, k), []).append((max(a, int(starts[d])), min(a + len(self.texts[k]) + 2 * self.errors[k], int(starts[d]) + len(texts[d]))))
+        for seeds in self.seeds:
+            hits = np.flatnonzero(seeds.table[seeds.cells(data)])
+            docs = np.searchsorted(starts, hits, "right") - 1
+            for h, d in zip(hits.tolist(), docs.tolist(), strict=True):
+                for k, at, p in seeds.lookup.get(joined[h : h + seeds.seed], ()):
+                    if joined.startswith(p, h):
+                        a = h - at - self.errors[k]
+                        ranges.setdefault((d, k), []).append((max(a, int(starts[d])), min(a + len(self.texts[k]) + 2 * self.errors[k], int(starts[d]) + len(texts[d]))))
         found: dict[int, dict[int, int]] = {}
         for (d, k), spans in ranges.items():
-            item, limit = self.texts[k], self.errors[k]
-            if joined.find(item, int(starts[d]), int(starts[d]) + len(texts[d])) >= 0:
-                found.setdefault(d, {})[k] = 0
-                continue
-            pattern = self.patterns.get(k) or self.patterns.setdefault(k, Pattern(item))
-            best, until = limit + 1, -1
-            merged: list[list[int]] = []
-            for a, b in sorted(spans):
-                if merged and a <= until:
-                    merged[-1][1] = until = max(until, b)
-                else:
-                    merged.append([a, b])
-                    until = b
-            for a, b in merged:
-                if b - a >= len(item) - limit:
-                    best = min(best, pattern.nearest(joined[a:b])[0])
-            if best <= limit:
-                found.setdefault(d, {})[k] = best
+            distance = self._verified(joined, k, spans)
+            if distance is not None:
+                found.setdefault(d, {})[k] = distance
+        if self.words:
+            self._whole_words(texts, found)
         return found
 
+    def _verified(self, joined: bytes, k: int, spans: list[tuple[int, int]]) -> int | None:
+        """The distance of an item to the best passage of the spans, if the budget allows it."""
+        item, limit = self.texts[k], self.errors[k]
+        pattern = self.patterns.get(k) or self.patterns.setdefault(k, Pattern(item))
+        best, merged = limit + 1, []
+        for a, b in sorted(spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        for a, b in merged:
+            if b - a >= len(item) - limit:
+                best = 0 if joined.find(item, a, b) >= 0 else min(best, pattern.nearest(joined[a:b])[0])
+            if not best:
+                break
+        return best if best <= limit else None
+
+    def _whole_words(self, texts: list[bytes], found: dict[int, dict[int, int]]) -> None:
+        all_ = Texts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        starts, ends, at = all_.words()
+        prints, raw = range_hashes(all_.data, starts, ends), all_.data.tobytes()
+        for n, known in self.words.items():
+            ok = np.flatnonzero(inside(at, n))
+            if len(ok):
+                codes = window_hashes(prints, n)
+                ok = ok[np.isin(codes[ok], np.array(list(known), U64))]
+                for i, d in zip(ok.tolist(), (np.searchsorted(at, ok, "right") - 1).tolist(), strict=True):
+                    for k in known[int(codes[i])]:
+                        if raw[starts[i] : ends[i + n - 1]] == self.texts[k]:
+                            found.setdefault(d, {})[k] = 0
+
+
+RESULT = ("n_items", "items", "distance", "kept")
 
-def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.08, least_piece: int = 12, least_bytes: int = 24, lot_bytes: int = 8 << 20, carry: bool = False) -> DataFrame:
+
+def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, **params) -> DataFrame:
     """id (with ``carry`` all columns), n_items, items (ids in order), distance (the smallest) and kept of every document."""
-    lots: list[list[tuple[int, bytes]]] = [[]]
-    size = 0
+    names = [c for c in (docs.columns if carry else [id_col]) if c not in RESULT]
+    ids = F.array_sort(F.array_distinct("found.item"))
+    out = _found(docs, items, names, text_col, **params)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.size(ids).cast("long").alias("n_items"), ids.alias("items"), F.array_min("found.distance").alias("distance"), (F.size("found") == 0).alias("kept"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **params) -> DataFrame:
+    """The documents without those that hold an item, their columns unchanged."""
+    return _found(docs, items, docs.columns, text_col, **params).where(F.size("found") == 0).select("row.*")
+
+
+def _found(docs: DataFrame, items: DataFrame, names: list[str], text_col: str, item_id: str = "item_id", item_text: str = "text", rate: float = 0.08, least_piece: int = 8, short_bytes: int = 24, lot_bytes: int = 8 << 20, lots_a_pass: int = 8) -> DataFrame:
+    """row (a struct of the named columns) and found (an array of item and distance) of every document."""
+    kind = items.schema[item_id].dataType
+    passes = _passes(items, item_id, item_text, lot_bytes, lots_a_pass)
+    first, second = next(passes), next(passes, None)
+    rows = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"))
+    scan = lambda lots: _scan(lots, kind, rate, least_piece, short_bytes)(F.col("text"))
+    if second is None:
+        return rows.select("row", scan(first).alias("found"))  # only the text goes to Python
+    key = (F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    texts = rows.select(key[0].alias("a"), key[1].alias("b"), "text")
+    hits = None
+    for lots in (first, second, *passes):
+        some = texts.select("a", "b", scan(lots).alias("found")).where(F.size("found") > 0)
+        some = stored(some.dropDuplicates(["a", "b"]), "hits")
+        hits = some if hits is None else hits.unionByName(some)
+    hits = hits.groupBy("a", "b").agg(F.flatten(F.collect_list("found")).alias("found"))  # a list for each pass
+    empty = F.array().cast(hits.schema["found"].dataType)
+    return rows.select("row", key[0].alias("a"), key[1].alias("b")).join(hits, ["a", "b"], "left").select("row", F.coalesce("found", empty).alias("found"))
+
+
+def _passes(items: DataFrame, item_id: str, item_text: str, lot_bytes: int, lots_a_pass: int) -> Iterator[list[list[tuple[object, bytes]]]]:
+    """The items in lots of bounded size, some for each pass; the first pass is there even if it is empty."""
+    lots: list[list[tuple[object, bytes]]] = [[]]
+    size, given = 0, False
     for row in items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t").toLocalIterator():
         text = normalised(row["t"])
-        if len(text) >= least_bytes:
-            if size + len(text) > lot_bytes:
+        if text:
+            if size + len(text) > lot_bytes and lots[-1]:
+                if len(lots) == lots_a_pass:
+                    yield lots
+                    lots, given = [], True
                 lots.append([])
                 size = 0
             lots[-1].append((row["i"], text))
             size += len(text)
-    added = ("n_items", "items", "distance", "kept")
-    names = [c for c in (docs.columns if carry else [id_col]) if c not in added]
-    found = F.concat(*[_scan(lot, rate, least_piece)(F.col(text_col)) for lot in lots])
-    out = docs.select(*names, found.alias("_found"))  # only the text goes to Python
-    ids = F.array_sort(F.array_distinct(F.col("_found.item")))
-    return out.select(*names, F.size(ids).cast("long").alias("n_items"), ids.alias("items"), F.array_min("_found.distance").alias("distance"), (F.size("_found") == 0).alias("kept"))
+    if lots[-1] or not given:
+        yield lots
 
 
-def _scan(lot: list[tuple[int, bytes]], rate: float, least_piece: int):
+def _scan(lots: list[list[tuple[object, bytes]]], item_type, rate: float, least_piece: int, short_bytes: int):
     ready: list[Items] = []  # filled once in each worker
-    kind = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int64())]))
+    kind = pa.list_(pa.struct([("item", to_arrow_type(item_type)), ("distance", pa.int64())]))
 
-    @F.arrow_udf("array<struct<item: bigint, distance: bigint>>")
+    @F.arrow_udf(f"array<struct<item: {item_type.simpleString()}, distance: bigint>>")
     def run(text: pa.Array) -> pa.Array:
         if not ready:
-            ready.append(Items(lot, rate, least_piece))
-        items, out, a = ready[0], [], 0
+            ready.extend(Items(lot, rate, least_piece, short_bytes) for lot in lots if lot)
+        out, a = [], 0
         while a < len(text):
             texts, size = [], 0
             while a + len(texts) < len(text) and (size < 2 << 20 or not texts):
                 texts.append(normalised(text[a + len(texts)].as_py() or ""))
                 size += len(texts[-1])
-            found = items.find(texts) if items.lookup else {}
-            out += [[{"item": items.ids[j], "distance": e} for j, e in sorted(found.get(i, {}).items())] for i in range(len(texts))]
+            found: list[list] = [[] for _ in texts]
+            for items in ready:
+                for i, own in items.find(texts).items():
+                    found[i] += [{"item": items.ids[j], "distance": e} for j, e in sorted(own.items())]
+            out += found
             a += len(texts)
         return pa.array(out, kind)
 
     return run
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
-    """The documents without those that hold an item, their columns unchanged."""
-    out = match_items(docs.withColumn("_row", F.struct(*docs.columns)), items, carry=True, **params)
-    return out.where("kept").select("_row.*")
