@@ -9,8 +9,9 @@ threshold, so mixes are nested.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 ordered last; a source without words has target 0; rows with one id share a
-hash and are taken together; an empty table gives an empty result; columns
-other than id, text and source are carried along, and a clashing name
+hash and are taken together, those without an id go by their text; an empty
+table gives an empty result; very long texts are one row with their size;
+columns other than id, text and source are carried along, and a clashing name
 (``size``, ``source_size``, ``target``, ``taken``) is replaced by the result.
 """
 
@@ -29,8 +30,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 _OWN = ("size", "source_size", "target", "taken")
 
 
-def hash60(key: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def hash60(key: Column, text: Column) -> Column:
+    named = F.coalesce(key.cast("string"), F.concat(F.lit("text "), text), F.lit(""))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def fill_targets(totals: Sequence[float], weights: Sequence[float], share: float, cap: float) -> list[float]:
@@ -105,29 +107,33 @@ def mix_to_weights(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     every document q times and the rest by hash threshold. The driver holds one row for each source.
     ``carry=False`` returns id, source and the added columns only, and reads the texts once.
     """
-    rest = [c for c in docs.columns if c not in _OWN]
+    rest = [c for c in docs.columns if c not in _OWN] if carry else [id_col, source_col]
+    out = _planned(docs, rest, weights, share, cap, id_col, text_col, source_col, carry)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each document as often as it is taken, with its columns unchanged."""
+    out = _planned(docs, docs.columns, weights, share, cap, id_col, text_col, source_col, True)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(math.ceil(cap))))).where(F.col("copy") <= copies).select("row.*")
+
+
+def _planned(docs: DataFrame, rest: list[str], weights: Sequence[float], share: float, cap: float, id_col: str, text_col: str, source_col: str, carry: bool) -> DataFrame:
+    """row (a struct of the named columns), size, source_size, target and taken of every document."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), hash60(F.col(id_col)).alias("h")), "sized")
+    own = (F.col(source_col).alias("source"), size.alias("size"), hash60(F.col(id_col), F.col(text_col)).alias("h"))
+    sized = stored(docs.select(F.col(id_col).alias("id"), *own), "sized")
     totals = {r["source"]: r["words"] for r in sized.groupBy("source").agg(F.sum("size").alias("words")).toLocalIterator()}
     names = sorted((s for s in totals if s is not None), key=str) + [None] * (None in totals)
     targets = fill_targets([totals[s] for s in names], [weights[i % len(weights)] for i in range(len(names))], share, cap) if names else []
     whole = {s: int(t // totals[s]) if totals[s] else 0 for s, t in zip(names, targets, strict=True)}
     limit = thresholds(sized, {s: t - whole[s] * totals[s] for s, t in zip(names, targets, strict=True)})
-    kind = T.StructType([T.StructField("_s", docs.schema[source_col].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_whole", T.LongType()), T.StructField("_limit", T.LongType())])
+    kind = T.StructType([T.StructField("of", docs.schema[source_col].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("whole", T.LongType()), T.StructField("limit", T.LongType())])
     plan = docs.sparkSession.createDataFrame([(s, totals[s], t, whole[s], limit[s]) for s, t in zip(names, targets, strict=True)], kind)
     if carry:
-        rows, key = docs.select(*rest, size.alias("size"), hash60(F.col(id_col)).alias("_h")), rest
+        rows = docs.select(F.struct(*rest).alias("row"), *own)
     else:
-        key = [id_col, source_col]
-        rows = sized.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", F.col("h").alias("_h"))
-    took = F.col("size") * (F.col("_whole") + (F.col("_h") <= F.col("_limit")).cast("long"))
-    return rows.join(plan, F.col(source_col).eqNullSafe(F.col("_s"))).select(*key, "size", "source_size", F.round("target", 6).alias("target"), took.alias("taken"))
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its columns unchanged."""
-    slim = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
-    out = mix_to_weights(slim, id_col="_id", text_col="_text", source_col="_source", **params)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    most = math.ceil(params.get("cap", 2.0))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(most)))).where(F.col("_copy") <= copies).select("_row.*")
+        rows = sized.select(F.struct(F.col("id").alias(id_col), F.col("source").alias(source_col)).alias("row"), "source", "size", "h")
+    took = F.col("size") * (F.col("whole") + (F.col("h") <= F.col("limit")).cast("long"))
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).select("row", "size", "source_size", "target", took.alias("taken"))
