@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm.common import stored, table
-from lodestar.llm.cotraining import score_quality
+from lodestar.llm.cotraining import drop_rejected
 from lodestar.llm.decontamination import drop_contaminated
 from lodestar.llm.line_dedup import without_recurring_lines
 from lodestar.llm.mixing import mixed
@@ -14,16 +14,12 @@ from lodestar.llm.near_dedup import drop_near_duplicates
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source", "lang")
-    return score_quality(rows, table(spark, sf_dir, "labels"), carry=True).where("kept").select("_row.*")
+    return drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates are dropped, but for the first; a document stays, with what is left of its text."""
-    out = without_recurring_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return without_recurring_lines(docs, n_chars="n_chars")
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
