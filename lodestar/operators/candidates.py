@@ -7,12 +7,16 @@ that has any counts. Then attribute filters apply, each only where it leaves the
 record a candidate. Null keys never match.
 
 Records that agree in all of that share their candidates, so the plan works on
-distinct profiles with a multiplicity, and only profiles meet entities. A record
-is brought back by joining on its profile.
+distinct profiles with a multiplicity. Which zone counts is settled on distinct
+(key, zone) pairs and the sizes of the entities' groups, before any candidate is
+made. A profile stays a pointer to its group until a filter bites: filters over
+a range join on buckets of the value, so only candidates that pass are made, and
+a profile without a filter that bites is one row for its whole group.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -32,15 +36,22 @@ class Columns:
 
 @dataclass(frozen=True)
 class Filter:
-    """An attribute filter: a test over the record's and the entity's column; skipped where the record's value is null."""
+    """An attribute filter: a test over the record's and the entity's column; skipped where the record's value is null.
+
+    ``zone``: the filter only concerns records of that normalised zone. ``strict``: it applies even where it leaves a
+    record no candidate, and a record without the value has none.
+    """
 
     record: str
     entity: str
-    kind: str  # within, percent, years, at_most
-    tolerance: float
-
-    def test(self) -> Column:
-        r, e = F.col(f"r_{self.record}"), F.col(f"e_{self.entity}")
+    kind: str  # within, percent, years, equal, at_most
+    tolerance: float = 0.0
+    zone: str | None = None
+    strict: bool = False
+
+    def test(self, entity: str = "e_") -> Column:
+        """Over r_ and e_ columns; ``entity``: what stands before the entity's name."""
+        r, e = F.col(f"r_{self.record}") if self.kind != "at_most" else None, F.col(f"{entity}{self.entity}")
         if self.kind == "within":
             ok = F.abs(e - r) <= self.tolerance
         elif self.kind == "percent":
@@ -48,12 +59,39 @@ class Filter:
             ok = (e > 0) & (e >= r * (1 - t)) & (e <= r * (1 + t))
         elif self.kind == "years":
             ok = F.abs(e.cast("int") - r.cast("int")) <= int(self.tolerance)
+        elif self.kind == "equal":
+            ok = e == r
         elif self.kind == "at_most":
             ok = e <= self.tolerance
         else:
             raise ValueError(f"unknown filter {self.kind}")
         return F.coalesce(ok, F.lit(False))
 
+    def applies(self) -> Column:
+        """Does the filter concern the record?"""
+        known = F.lit(True) if self.kind == "at_most" or self.strict else F.col(f"r_{self.record}").isNotNull()
+        return known if self.zone is None else known & F.coalesce(canonical_zone(F.col("zone")) == self.zone, F.lit(False))
+
+    def buckets(self) -> tuple[Column, Column]:
+        """The record's bucket, and those of which an entity that passes has one, as an array."""
+        if self.kind == "at_most":
+            return F.lit(0).cast("bigint"), F.array(F.lit(0).cast("bigint"))
+        r, e = F.col(f"r_{self.record}"), F.col(f"e_{self.entity}")
+        if self.kind == "percent" and self.tolerance < 100:
+            t = self.tolerance / 100.0  # what passes lies within this factor, so in the logarithm's bucket or one beside it
+            width = math.log((1 + t) / (1 - t)) or 1e-6
+            r, e = F.when(r > 0, F.ln(r)), F.when(e > 0, F.ln(e))
+        elif self.kind in ("within", "years") and self.tolerance > 0:
+            width = float(self.tolerance)
+            if self.kind == "years":
+                r, e = r.cast("int"), e.cast("int")
+        elif self.kind == "equal":
+            return F.xxhash64(r), F.array(F.xxhash64(e))
+        else:
+            return F.lit(0).cast("bigint"), F.array(F.lit(0).cast("bigint"))
+        at = F.floor(e / F.lit(width)).cast("bigint")
+        return F.floor(r / F.lit(width)).cast("bigint"), F.when(at.isNotNull(), F.array(at - 1, at, at + 1))
+
 
 @dataclass(frozen=True)
 class Matching:
@@ -79,34 +117,76 @@ def _attempts(m: Matching) -> Column:
 
 
 def profiles(records: DataFrame, m: Matching) -> DataFrame:
-    """Distinct (key, zone, filter values) with an id and the number of records."""
+    """Distinct (key, zone, filter values) of each record as a struct."""
     c = m.columns
     names = list(dict.fromkeys(f.record for f in m.filters if f.kind != "at_most"))
-    keyed = records.select(F.col(c.record).alias("record"), F.col(c.key).cast("string").alias("key"), (F.col(c.zone).cast("string") if m.use_zone else F.lit(None).cast("string")).alias("zone"), *[F.col(x).alias(f"r_{x}") for x in names])
+    zoned = m.use_zone or any(f.zone for f in m.filters)
+    keyed = records.select(F.col(c.record).alias("record"), F.col(c.key).cast("string").alias("key"), (F.col(c.zone).cast("string") if zoned else F.lit(None).cast("string")).alias("zone"), *[F.col(x).alias(f"r_{x}") for x in names])
     parts = ["key", "zone", *[f"r_{x}" for x in names]]
     return keyed.withColumn("profile", F.struct(*parts))
 
 
-def candidates(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
-    """profile, n_records and entity: one row for each distinct profile and each of its candidates."""
+#: Stands for a key's entities of all zones; zones themselves begin with another letter.
+ALL = "*"
+
+
+def _members(entities: DataFrame, m: Matching) -> DataFrame:
+    """k, g, entity and the filters' values: each entity in the groups of its key that records can point to."""
     c = m.columns
-    mine = profiles(records, m).where(F.col("key").isNotNull()).groupBy("profile").agg(F.count(F.lit(1)).alias("n_records")).select("profile", "n_records", "profile.*")
-    tries = mine.withColumn("a", F.explode(_attempts(m))).select("*", "a.priority", "a.z").drop("a")
     used = list(dict.fromkeys(f.entity for f in m.filters))
     zone = canonical_zone(F.col(c.zone)) if m.variant == "canonical" else F.upper(F.col(c.zone))
-    theirs = entities.where(F.col(c.key).isNotNull()).select(F.col(c.entity).alias("entity"), F.col(c.key).cast("string").alias("k"), *([zone.alias("ez")] if m.use_zone else []), *[F.col(x).alias(f"e_{x}") for x in used])
-    if m.use_zone:
-        zoned = tries.where(F.col("z").isNotNull()).join(theirs, (F.col("key") == F.col("k")) & (F.col("z") == F.col("ez")))
-        found = zoned if m.variant != "chain" else zoned.unionByName(tries.where(F.col("z").isNull()).join(theirs, F.col("key") == F.col("k")))
-    else:
-        found = tries.join(theirs, F.col("key") == F.col("k"))
+    own = F.concat(F.lit("="), zone)
+    groups = F.array(F.lit(ALL)) if not m.use_zone else F.array(own, F.lit(ALL)) if m.variant == "chain" else F.array(own)
+    theirs = entities.where(F.col(c.key).isNotNull()).select(F.col(c.entity).alias("entity"), F.col(c.key).cast("string").alias("k"), F.explode(groups).alias("g"), *[F.col(x).alias(f"e_{x}") for x in used])
+    return theirs.where(F.col("g").isNotNull())
+
+
+def _settled(records: DataFrame, members: DataFrame, m: Matching) -> DataFrame:
+    """profile, its parts, n_records, g and n_group: the group that each distinct profile points to, if it has members."""
+    mine = profiles(records, m).where(F.col("key").isNotNull()).groupBy("profile").agg(F.count(F.lit(1)).alias("n_records")).select("profile", "n_records", "profile.*")
+    tried = mine.select("key", "zone").distinct().withColumn("a", F.explode(_attempts(m)))
+    tried = tried.select("key", "zone", "a.priority", F.coalesce(F.concat(F.lit("="), F.col("a.z")), F.lit(ALL)).alias("z"))
+    sizes = members.groupBy("k", "g").agg(F.count(F.lit(1)).alias("n_group"))
+    there = tried.join(sizes, (F.col("key") == F.col("k")) & (F.col("z") == F.col("g")))
+    best = there.groupBy("key", "zone").agg(F.min_by(F.struct("g", "n_group"), "priority").alias("b")).select(F.col("key").alias("bk"), F.col("zone").alias("bz"), "b.g", "b.n_group")
+    return mine.join(best, (F.col("key") == F.col("bk")) & F.col("zone").eqNullSafe(F.col("bz"))).drop("bk", "bz")
+
+
+def filtered(records: DataFrame, entities: DataFrame, m: Matching) -> tuple[DataFrame, DataFrame]:
+    """Rows (profile, n_records, key, g, n_group, entity): a null entity stands for all members of the group; and the members (k, g, entity).
+
+    Filters apply in order. One join each: rows that are still a whole group meet the members that pass, rows that are
+    candidates already pass by.
+    """
+    theirs = _members(entities, m)
+    rows = _settled(records, theirs, m).withColumn("entity", F.lit(None).cast(theirs.schema["entity"].dataType))
+    used = [c for c in theirs.columns if c.startswith("e_")]
+    rows = rows.withColumns({c: F.lit(None).cast(theirs.schema[c].dataType) for c in used})
     own = W.partitionBy("profile")
-    if m.use_zone and m.variant != "canonical":
-        found = found.withColumn("best", F.min("priority").over(own)).where(F.col("priority") == F.col("best"))
-    for f in m.filters:  # one sort by profile serves all of them
-        known = F.lit(True) if f.kind == "at_most" else F.col(f"r_{f.record}").isNotNull()
-        found = found.withColumn("ok", ~known | f.test()).withColumn("any_ok", F.max("ok").over(own)).where(F.col("ok") | ~F.col("any_ok"))
-    return found.select("profile", "n_records", "entity")
+    for i, f in enumerate(m.filters):
+        whole = F.col("entity").isNull()
+        if i:  # candidates made by the filters before
+            ok = whole | ~f.applies() | f.test()
+            rows = rows.withColumn("ok", ok)
+            rows = rows.where("ok") if f.strict else rows.withColumn("any_ok", F.max("ok").over(own)).where(F.col("ok") | ~F.col("any_ok")).drop("any_ok")
+            rows = rows.drop("ok")
+        at, passing = f.buckets()
+        some = theirs.select(F.col("k").alias("_k"), F.col("g").alias("_g"), F.col("entity").alias("_entity"), *[F.col(c).alias(f"_{c}") for c in used], F.explode(passing).alias("_at"))
+        asked = rows.withColumn("at", F.when(whole & f.applies(), at))
+        test = f.test("_e_")
+        joined = asked.join(some, (F.col("key") == F.col("_k")) & (F.col("g") == F.col("_g")) & (F.col("at") == F.col("_at")) & test, "left")
+        if f.strict:
+            joined = joined.where(~(whole & f.applies()) | F.col("_entity").isNotNull())
+        rows = joined.select(*[c for c in rows.columns if c != "entity" and c not in used], F.coalesce("entity", "_entity").alias("entity"), *[F.when(F.col("_entity").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in used])
+    return rows.select("profile", "n_records", "key", "g", "n_group", "entity"), theirs.select("k", "g", "entity")
+
+
+def candidates(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
+    """profile, n_records and entity: one row for each distinct profile and each of its candidates."""
+    rows, members = filtered(records, entities, m)
+    theirs = members.select("k", F.col("g").alias("_g"), F.col("entity").alias("_entity"))
+    out = rows.join(theirs, F.col("entity").isNull() & (F.col("key") == F.col("k")) & (F.col("g") == F.col("_g")), "left")
+    return out.select("profile", "n_records", F.coalesce("entity", "_entity").alias("entity"))
 
 
 def candidate_pairs(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
@@ -114,9 +194,16 @@ def candidate_pairs(records: DataFrame, entities: DataFrame, m: Matching = Match
     return profiles(records, m).select("record", "profile").join(candidates(records, entities, m).drop("n_records"), "profile").select("record", "entity")
 
 
+def profile_sizes(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
+    """profile, n_records and n, the number of its candidates; no candidate is made for a whole group."""
+    rows, _ = filtered(records, entities, m)
+    one = F.when(F.col("entity").isNull(), F.col("n_group")).otherwise(F.lit(1))
+    return rows.groupBy("profile").agg(F.first("n_records").alias("n_records"), F.sum(one).alias("n"))
+
+
 def record_stats(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
     """record, n_candidates, matched: one row per record, matched or not."""
-    counts = candidates(records, entities, m).groupBy("profile").agg(F.count(F.lit(1)).alias("n"))
+    counts = profile_sizes(records, entities, m).select("profile", "n")
     mine = profiles(records, m).select("record", "profile")
     joined = mine.join(counts, mine["profile"].eqNullSafe(counts["profile"]), "left")
     return joined.select("record", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_candidates"), (F.coalesce("n", F.lit(0)) > 0).alias("matched"))

@@ -5,16 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import RADIUS_KM, haversine
-from .candidates import Matching, candidates, profiles
+from .candidates import Matching, candidates, filtered, profiles
+
+
+def shares(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
+    """entity, share: the sum over matched records of 1 / number of candidates.
+
+    Records that have a whole group as candidates are summed by group before they meet its members.
+    """
+    rows, members = filtered(records, entities, m)
+    grouped = rows.where(F.col("entity").isNull()).groupBy("key", "g", "n_group").agg(F.sum("n_records").alias("n"))
+    spread = grouped.join(members, (F.col("key") == F.col("k")) & (grouped["g"] == members["g"])).select("entity", (F.col("n") / F.col("n_group")).alias("share"))
+    if m.filters:
+        some = rows.where(F.col("entity").isNotNull()).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("profile")))
+        spread = spread.unionByName(some.select("entity", (F.col("n_records") / F.col("n")).alias("share")))
+    return spread.groupBy("entity").agg(F.sum("share").alias("share"))
 
 
 def expected_probability(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
     """entity, probability: the mean over matched records of 1 / number of candidates. Exact, without draws."""
-    found = candidates(records, entities, m)
-    sized = found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("profile")))
-    shares = sized.groupBy("entity").agg(F.sum(F.col("n_records") / F.col("n")).alias("share"))
-    matched = found.select("profile", "n_records").distinct().agg(F.sum("n_records").alias("matched"))
-    return shares.crossJoin(matched).select("entity", (F.col("share") / F.col("matched")).alias("probability"))  # one row on the right
+    found = shares(records, entities, m)
+    matched = found.agg(F.round(F.sum("share")).alias("matched"))  # a record's shares add up to one
+    return found.crossJoin(matched).select("entity", (F.col("share") / F.col("matched")).alias("probability"))  # one row on the right
 
 
 def hash60(*parts: Column) -> Column:
@@ -22,37 +34,66 @@ def hash60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
-def ranked_candidates(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
-    """profile, candidates: the sorted candidates of each profile as an array, bounded by a key's entities."""
-    return candidates(records, entities, m).groupBy("profile").agg(F.sort_array(F.collect_list("entity")).alias("candidates"))
+def _lists(records: DataFrame, entities: DataFrame, m: Matching) -> tuple[DataFrame, DataFrame]:
+    """profile, list, n: the list that a profile draws from and its length; and list, at, entity: the lists in the order of ids.
 
+    Without filters the lists are those of the groups, else each profile has its own. They are rows, so a list may be long.
+    """
+    if m.filters:
+        found = candidates(records, entities, m).withColumn("list", F.to_json("profile"))
+        of = found.groupBy("profile", "list").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        rows, members = filtered(records, entities, m)
+        of = rows.select("profile", F.to_json(F.struct("key", "g")).alias("list"), F.col("n_group").alias("n"))
+        found = members.withColumn("list", F.to_json(F.struct(F.col("k").alias("key"), "g")))
+    at = F.row_number().over(W.partitionBy("list").orderBy("entity")) - 1
+    return of, found.select("list", at.alias("at"), "entity")
 
-def hashed_draws(records: DataFrame, entities: DataFrame, draws: int, seed: int = 42, m: Matching = Matching(), multiplicity: str | None = None) -> DataFrame:
-    """record, draw, entity: draw i of a record picks candidate number hash(seed, record, i) mod n in the order of ids.
+
+def picks(records: DataFrame, entities: DataFrame, draws: int, seed: int = 42, m: Matching = Matching(), multiplicity: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """record, draw, list, at: draw i of a record picks place hash(seed, record, i) mod n of its list; and the lists.
 
     multiplicity: a column; a record draws so many times as often, once at least. More draws contain fewer.
     """
-    times = F.greatest(F.lit(1), F.coalesce(F.col("times").cast("int"), F.lit(1)))
     mine = profiles(records, m).select("record", "profile")
+    times = F.lit(1)
     if multiplicity:
         mine = mine.join(records.select(F.col(m.columns.record).alias("record"), F.col(multiplicity).alias("times")), "record")
-    else:
-        mine = mine.withColumn("times", F.lit(1))
-    drawn = mine.join(ranked_candidates(records, entities, m), "profile").withColumn("draw", F.explode(F.sequence(F.lit(0), times * draws - 1)))
-    pick = F.pmod(hash60(F.lit(seed), F.col("record"), F.col("draw")), F.size("candidates")).cast("int")
-    return drawn.select("record", "draw", F.get("candidates", pick).alias("entity"))
+        times = F.greatest(F.lit(1), F.coalesce(F.col("times").cast("int"), F.lit(1)))
+    of, lists = _lists(records, entities, m)
+    drawn = mine.join(of, "profile").select("record", "list", "n", F.explode(F.sequence(F.lit(0), times * draws - 1)).alias("draw"))
+    return drawn.select("record", "draw", "list", F.pmod(hash60(F.lit(seed), F.col("record"), F.col("draw")), "n").cast("int").alias("at")), lists
+
+
+def hashed_draws(records: DataFrame, entities: DataFrame, draws: int, seed: int = 42, m: Matching = Matching(), multiplicity: str | None = None) -> DataFrame:
+    """record, draw, entity."""
+    drawn, lists = picks(records, entities, draws, seed, m, multiplicity)
+    return drawn.join(lists, ["list", "at"]).select("record", "draw", "entity")
+
+
+def drawn_counts(records: DataFrame, entities: DataFrame, draws: int, seed: int = 42, m: Matching = Matching(), multiplicity: str | None = None) -> DataFrame:
+    """entity, draw_count, probability, as of ``hashed_draws``; places are counted before they meet the lists."""
+    drawn, lists = picks(records, entities, draws, seed, m, multiplicity)
+    counts = drawn.groupBy("list", "at").agg(F.count(F.lit(1)).alias("n")).join(lists, ["list", "at"]).groupBy("entity").agg(F.sum("n").alias("draw_count"))
+    return _with_probability(counts)
 
 
 def draw_counts(draws: DataFrame) -> DataFrame:
     """entity, draw_count, probability, of the entities that were drawn."""
-    counts = draws.groupBy("entity").agg(F.count(F.lit(1)).alias("draw_count"))
+    return _with_probability(draws.groupBy("entity").agg(F.count(F.lit(1)).alias("draw_count")))
+
+
+def _with_probability(counts: DataFrame) -> DataFrame:
     total = counts.agg(F.sum("draw_count").alias("total"))
     return counts.crossJoin(total).select("entity", "draw_count", (F.col("draw_count") / F.col("total")).alias("probability"))
 
 
-def selection_diagnostics(draws: DataFrame) -> DataFrame:
-    """Per record over the entities it drew: how many, population variance, largest share, mean and median of the counts."""
-    counts = draws.groupBy("record", "entity").agg(F.count(F.lit(1)).alias("n"))
+def selection_diagnostics(draws: DataFrame, what: str = "entity") -> DataFrame:
+    """Per record over the entities it drew: how many, population variance, largest share, mean and median of the counts.
+
+    ``what``: the column that tells entities apart; places in a record's list do as well as their ids.
+    """
+    counts = draws.groupBy("record", what).agg(F.count(F.lit(1)).alias("n"))
     k = F.count(F.lit(1))  # integers, so that ties round alike everywhere
     return counts.groupBy("record").agg(k.alias("n_unique_sel"), F.round((k * F.sum(F.col("n") * F.col("n")) - F.sum("n") * F.sum("n")) / (k * k), 3).alias("var_sel"), F.round(F.max("n") / F.sum("n"), 4).alias("top_share"), F.round(F.avg("n"), 2).alias("mean_count"), F.round(F.median("n"), 2).alias("median_count"))
 
@@ -75,9 +116,10 @@ def weighted_draws(pairs: DataFrame, weight: Column, draws: int, seed: int = 42)
     """record, draw, entity: the candidate at which the running share passes the draw's hash."""
     own = W.partitionBy("record")
     upto = own.orderBy("entity").rowsBetween(W.unboundedPreceding, 0)
-    shares = pairs.withColumn("w", weight).select("record", "entity", (F.sum("w").over(upto) / F.sum("w").over(own)).alias("hi"), (F.sum("w").over(upto) / F.sum("w").over(own) - F.col("w") / F.sum("w").over(own)).alias("lo"))
-    lists = shares.groupBy("record").agg(F.sort_array(F.collect_list(F.struct("hi", "entity"))).alias("c"))
-    u = hash60(F.lit(seed), F.col("record"), F.col("draw")) / F.lit(float(1 << 60))
-    drawn = lists.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("u", u)
-    chosen = F.coalesce(F.get(F.filter("c", lambda x: x["hi"] > F.col("u")), F.lit(0)), F.element_at("c", -1))
-    return drawn.select("record", "draw", chosen["entity"].alias("entity"))
+    shares = pairs.withColumn("w", weight).select("record", "entity", (F.sum("w").over(upto) / F.sum("w").over(own)).alias("hi"))
+    last = F.row_number().over(own.orderBy(F.col("hi").desc(), F.col("entity").desc())) == 1
+    shares = shares.withColumn("hi", F.when(last, 1.0).otherwise(F.col("hi"))).withColumn("lo", F.coalesce(F.lag("hi").over(own.orderBy("hi", "entity")), F.lit(0.0)))
+    # each candidate finds the draws that fall between its bounds, so no record's candidates are gathered in a row
+    u = lambda i: hash60(F.lit(seed), F.col("record"), i) / F.lit(float(1 << 60))
+    drawn = shares.withColumn("draw", F.explode(F.filter(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: (u(i) >= F.col("lo")) & (u(i) < F.col("hi")))))
+    return drawn.select("record", "draw", "entity")

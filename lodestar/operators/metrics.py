@@ -1,36 +1,39 @@
 """Ranking and probability metrics over (score, label), exact and tie-aware.
 
 Rows are first counted by distinct score, so the windows run over distinct
-scores. They are ranges of one order; where scores are many, the order is cut
-into ranges by score, summed by range, and the windows stay within a range.
+scores. Scores fall into ranges by their logarithm, which keeps their order; the
+sums of the ranges are few, and the other windows stay within a range. So the
+table is read once, and no window holds all of it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Below this number of distinct scores in a range a window is cheap.
-RANGES = 64
-
-
 def by_score(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, s, p (positives), n (negatives), null scores and labels left out."""
     ok = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     return ok.groupBy(*keys, F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n"))
 
 
+def _range(s: Column, steps: int = 64) -> Column:
+    """A number that never falls as s grows: so many ranges to each power of two."""
+    x = s.cast("double")
+    at = lambda v: F.least(F.greatest(F.floor(F.log2(v) * steps), F.lit(-2000 * steps)), F.lit(2000 * steps)).cast("int") + 3000 * steps
+    return F.when(F.isnan(x), 9000 * steps).when(x > 0, at(x)).when(x < 0, -at(-x)).otherwise(0).cast("int")
+
+
 def running(counts: DataFrame, keys: tuple[str, ...] = (), descending: bool = True) -> DataFrame:
     """tp, fp: counts at or above each score (or at or below), and the totals all_p, all_n.
 
-    A prefix sum in two levels: within ranges of scores, and over the sums of the ranges, so no window holds all rows.
+    A prefix sum in two levels: within ranges of scores, and over the sums of the ranges. Scores keep their own type.
     """
-    bounds = counts.groupBy(*keys).agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)], 1000).alias("b"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    joined = counts.join(bounds, list(keys)) if keys else counts.crossJoin(bounds)
-    placed = joined.withColumn("r", F.size(F.filter("b", lambda x: x < F.col("s")))).drop("b")
+    placed = counts.withColumn("r", _range(F.col("s")))
     order = F.col("s").desc() if descending else F.col("s").asc()
     sums = placed.groupBy(*keys, "r").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
-    across = W.partitionBy(*keys).orderBy(F.col("r").desc() if descending else F.col("r").asc()).rowsBetween(W.unboundedPreceding, -1)
-    before = sums.select(*keys, "r", F.coalesce(F.sum("rp").over(across), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(across), F.lit(0)).alias("bn"))
+    own = W.partitionBy(*keys)
+    across = own.orderBy(F.col("r").desc() if descending else F.col("r").asc()).rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(*keys, "r", F.coalesce(F.sum("rp").over(across), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(across), F.lit(0)).alias("bn"), F.sum("rp").over(own).alias("all_p"), F.sum("rn").over(own).alias("all_n"))
     within = W.partitionBy(*keys, "r").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     out = placed.join(before, [*keys, "r"])
     return out.select(*keys, "s", "p", "n", "all_p", "all_n", "r", (F.col("bp") + F.sum("p").over(within)).alias("tp"), (F.col("bn") + F.sum("n").over(within)).alias("fp"))
@@ -106,8 +109,8 @@ def ks_p_value(ks: float, n1: int, n0: int) -> float:
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Ranks from 1, ties at their mean, by counts of distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("s")).agg(F.count(F.lit(1)).alias("p"), F.lit(0).cast("bigint").alias("n"))
-    ranks = running(counts.withColumn("s", F.col("s").cast("double")), descending=False).select(F.col("s").alias("_v"), (F.col("tp") - (F.col("p") - 1) / 2.0).alias(out))
-    return df.join(ranks, df[value].cast("double") == ranks["_v"]).drop("_v")
+    ranks = running(counts, descending=False).select(F.col("s").alias("_v"), (F.col("tp") - (F.col("p") - 1) / 2.0).alias(out))
+    return df.join(ranks, df[value] == ranks["_v"]).drop("_v")
 
 
 def correlation(x: Column | str, y: Column | str) -> Column:

@@ -115,14 +115,13 @@ draws AS (SELECT dr.record, draw, entity FROM dr JOIN rk ON rk.record = dr.recor
 
 @query(SQL_CANONICAL + _DRAWS.format(t="cand") + " SELECT entity, count(*) AS draw_count, round(count(*) / (SELECT count(*) FROM draws)::DOUBLE, 6) + 0.0 AS probability FROM draws GROUP BY entity")
 def hashed_draws(spark, d):
-    draws = D.hashed_draws(records(spark, d), entities(spark, d), 20, 42, CANONICAL)
-    return D.draw_counts(draws).select("entity", "draw_count", r6("probability", "probability"))
+    return D.drawn_counts(records(spark, d), entities(spark, d), 20, 42, CANONICAL).select("entity", "draw_count", r6("probability", "probability"))
 
 
 @query(SQL_CANONICAL + _DRAWS.format(t="cand") + """ SELECT record, count(*) AS n_unique_sel, round((count(*) * sum(n * n) - sum(n) * sum(n)) / (count(*) * count(*))::DOUBLE, 3) + 0.0 AS var_sel, round(max(n) / sum(n)::DOUBLE, 4) AS top_share, round(avg(n), 2) AS mean_count, round(median(n), 2) AS median_count
   FROM (SELECT record, entity, count(*) AS n FROM draws GROUP BY ALL) GROUP BY record""")
 def selection_diagnostics(spark, d):
-    return D.selection_diagnostics(D.hashed_draws(records(spark, d), entities(spark, d), 20, 42, CANONICAL))
+    return D.selection_diagnostics(D.picks(records(spark, d), entities(spark, d), 20, 42, CANONICAL)[0], "at")
 
 
 @query(SQL_CANONICAL + _DRAWS.format(t="cand") + " SELECT s AS size, entity, count(*) AS draw_count FROM draws, (SELECT unnest([5, 10, 20]) AS s) WHERE draw < s GROUP BY ALL")
@@ -135,8 +134,7 @@ dr AS (SELECT record, i, CAST('0x' || substr(md5('42|' || record || '|' || i), 1
 SELECT entity, count(*) AS draw_count, round(count(*) / (SELECT count(*) FROM dr)::DOUBLE, 6) + 0.0 AS probability FROM dr JOIN rk ON rk.record = dr.record AND rk.at = dr.h % rk.n GROUP BY entity""")
 def draws_with_multiplicity(spark, d):
     own = records(spark, d).withColumn("policies", 1 + F.col("o_orderkey") % 3)
-    draws = D.hashed_draws(own, entities(spark, d), 10, 42, CANONICAL, "policies")
-    return D.draw_counts(draws).select("entity", "draw_count", r6("probability", "probability"))
+    return D.drawn_counts(own, entities(spark, d), 10, 42, CANONICAL, "policies").select("entity", "draw_count", r6("probability", "probability"))
 
 
 _WEIGHT = "exp(-power(abs(bal - price / 40.0) / 1000.0, 2) / 2)"
