@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import matching, registry, tables  # noqa: F401  registering them
+from .plans import checks, matching, registry, robustness, tables  # noqa: F401  registering them
 
 
 def queries() -> dict[str, registry.Query]:

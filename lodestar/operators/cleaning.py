@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import finite
+from ..storage import stored
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
@@ -41,14 +42,16 @@ def cast_or_keep(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def surrogate_key(df: DataFrame, name: str, order: Sequence[Column]) -> DataFrame:
-    """1, 2, 3 ... in an explicit order, numbered by range so that no task holds all rows."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    within = placed.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    sums = within.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = sums.select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a partition
-    return within.join(before, "_p").withColumn(name, (F.col("_b") + F.col("_i")).cast("bigint")).drop("_p", "_i", "_b")
+    """1, 2, 3 ... in an explicit order, numbered by range so that no task holds all rows.
+
+    The ranges are sampled, so the rows are written with their places once, before the sizes of the ranges are counted.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    within = stored(placed.withColumn("_place", F.row_number().over(W.partitionBy("_range").orderBy(*order))), "numbered")
+    sums = within.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = sums.select("_range", F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition
+    return within.join(before, "_range").withColumn(name, (F.col("_before") + F.col("_place")).cast("bigint")).drop("_range", "_place", "_before")
 
 
 def largest_per_group(df: DataFrame, group: str, value: str, tie: str) -> DataFrame:

@@ -39,12 +39,12 @@ def normal_cdf(x: float) -> float:
 
 def t_cdf(t: float, df: float, compat: bool = False) -> float:
     """The normal above 100 degrees of freedom. Below, the exact integral; ``compat`` has the approximation by
-    1 - (1 + x^2 / df)^(-df / 2) with x = t / sqrt(df)."""
+    half of 1 - (1 + x^2 / df)^(-df / 2) on the side of t, with x = t / sqrt(df)."""
     if df > 100:
         return normal_cdf(t)
     if compat:
         x = t / math.sqrt(df)
-        return 1 - (1 + x * x / df) ** (-df / 2)
+        return 0.5 + math.copysign(0.5, t) * (1 - (1 + x * x / df) ** (-df / 2)) if t else 0.5
     grid = np.linspace(0.0, abs(t), 4001)
     density = (1 + grid**2 / df) ** (-(df + 1) / 2) * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
     half = float(np.trapezoid(density, grid))
@@ -52,8 +52,14 @@ def t_cdf(t: float, df: float, compat: bool = False) -> float:
 
 
 def t_quantile(p: float, df: float, compat: bool = False) -> float:
-    if df <= 100 and compat:
+    """The inverse of ``t_cdf``; ``compat``: above 100 degrees of freedom a closed approximation of the inverse error
+    function, which lacks the factor of the root of 2 to be a quantile; below it a correction of 1.96, whatever p."""
+    if compat and df <= 100:
         return 1.96 * (1 + 0.5 / df)
+    if compat:
+        a, x = 8 * (math.pi - 3) / (3 * math.pi * (4 - math.pi)), 2 * p - 1
+        inner = 2 / (math.pi * a) + math.log(1 - x * x) / 2
+        return math.copysign(math.sqrt(math.sqrt(inner * inner - math.log(1 - x * x) / a) - inner), x)
     lo, hi = -200.0, 200.0
     for _ in range(80):
         mid = (lo + hi) / 2
@@ -88,15 +94,31 @@ def gram(df: DataFrame, columns: Sequence[str], weight: Column | None = None) ->
     return out
 
 
-def ols(df: DataFrame, spec: Specification, errors: str = "homoskedastic", passes: int = 1) -> Estimate:
+def specifications(outcome: str, treatment: str, controls: Sequence[str], unit: str, period: str) -> dict[str, Specification]:
+    """The named specifications of a panel: with both effects, without, with controls, with the unit's alone."""
+    return {
+        "baseline": Specification("baseline", outcome, (treatment,), (unit, period), unit),
+        "no_fe": Specification("no_fe", outcome, (treatment,), (), unit),
+        "with_controls": Specification("with_controls", outcome, (treatment, *controls), (unit, period), unit),
+        "unit_fe_only": Specification("unit_fe_only", outcome, (treatment,), (unit,), unit),
+    }
+
+
+def ols(df: DataFrame, spec: Specification, errors: str = "homoskedastic", passes: int = 1, compat: bool = False) -> Estimate:
     """errors: homoskedastic; clustered (scores added by cluster); compat_clustered (no cross terms within clusters,
-    with the factor for clusters)."""
+    with the factor for clusters). ``compat``: t values by the approximations of ``t_cdf`` and ``t_quantile``.
+
+    Columns are centred before their products are summed, so that large means cost no digits."""
     names = [*spec.regressors]
     used = list(dict.fromkeys([spec.outcome, *names, *spec.effects, *([spec.cluster] if spec.cluster else [])]))
     data = df.select(*used).na.drop()
     if spec.effects:
         data = within(data, [spec.outcome, *names], spec.effects, passes)
-    g = gram(data, [*names, spec.outcome])
+    every = [*names, spec.outcome]
+    middle = data.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(every)]).first()
+    shift = np.array([m or 0.0 for m in middle])
+    data = data.withColumns({c: F.col(c).cast("double") - float(v) for c, v in zip(every, shift, strict=True)})
+    g = gram(data, every)
     k, n = len(names) + 1, int(g[0, 0])
     if n < k + 1:
         raise ValueError("Insufficient observations")
@@ -105,6 +127,9 @@ def ols(df: DataFrame, spec: Specification, errors: str = "homoskedastic", passe
     beta = inverse @ xy
     ssr = float(yy - 2 * beta @ xy + beta @ xx @ beta)
     sst = float(yy - g[0, k] ** 2 / n)
+    # back: the constant is that of the columns as they were
+    back = np.eye(k)
+    back[0, 1:] = -shift[:-1]
     if errors == "homoskedastic" or not spec.cluster:
         cov = inverse * ssr / (n - k)
     else:
@@ -121,10 +146,13 @@ def ols(df: DataFrame, spec: Specification, errors: str = "homoskedastic", passe
             meat = np.array([[row[f"m{i}_{j}"] for j in range(k)] for i in range(k)], float)
         factor = groups / (groups - 1) * (n - 1) / (n - k) if groups > 1 else 1.0
         cov = inverse @ meat @ inverse * factor
+    cov = back @ cov @ back.T
+    beta = back @ beta
+    beta[0] += shift[-1]
     se = np.sqrt(np.maximum(np.diag(cov), 0))
     t = float(beta[1] / se[1]) if se[1] > 0 else float("nan")
-    p = 2 * (1 - t_cdf(abs(t), n - k)) if se[1] > 0 else float("nan")
-    reach = t_quantile(0.975, n - k) * se[1]
+    p = 2 * (1 - t_cdf(abs(t), n - k, compat)) if se[1] > 0 else float("nan")
+    reach = t_quantile(0.975, n - k, compat) * se[1]
     labels = ["const", *names]
     return Estimate(n, 1 - ssr / sst if sst > 0 else 0.0, dict(zip(labels, map(float, beta), strict=True)), dict(zip(labels, map(float, se), strict=True)), t, p, (float(beta[1] - reach), float(beta[1] + reach)), stars(p))
 
@@ -135,6 +163,48 @@ def simple_ols(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataF
     return both.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r_squared"), F.count(F.lit(1)).alias("n"))
 
 
+def two_column_ols(df: DataFrame, y: str, x: str) -> Estimate:
+    """A line through rows with both values; with fewer than three of them there is nothing to estimate."""
+    return ols(df, Specification("simple", y, (x,)))
+
+
+#: Columns of robustness results.
+RESULT = "name string, test_type string, effect double, error double, p double, n bigint"
+
+
+def _results(df: DataFrame, rows: Sequence[tuple]) -> DataFrame:
+    return df.sparkSession.createDataFrame(list(rows), RESULT)
+
+
+def placebo_tests(df: DataFrame, unit: str, period: str, outcome: str, treated: str, n_placebos: int = 4, pre_period_end: int = 12) -> DataFrame:
+    """name, test_type (placebo), effect, error, p, n: false starts before the treatment, each estimated with both effects.
+
+    The last ``n_placebos`` even periods up to the end of the time before. Without a period column the result is empty.
+    """
+    if period not in df.columns:
+        return _results(df, [])
+    early, rows = df.where(F.col(period) <= pre_period_end), []
+    for p in range(pre_period_end - 2 * (n_placebos - 1), pre_period_end + 1, 2):
+        fake = early.withColumn("_fake", ((F.col(treated) == 1) & (F.col(period) >= p)).cast("double"))
+        e = ols(fake, Specification("placebo", outcome, ("_fake",), (unit, period), unit), "clustered", 2)
+        rows.append((f"placebo_period_{p}", "placebo", e.coefficients["_fake"], e.errors["_fake"], e.p, e.n_obs))
+    return _results(df, rows)
+
+
+def restriction_tests(df: DataFrame, spec: Specification, errors: str = "clustered") -> DataFrame:
+    """name, test_type (sample or specification), effect, error, p, n: the estimate over restricted samples and other specifications."""
+    first, rows = spec.regressors[0], []
+    samples = {"full": df, "trimmed": trimmed(df, spec.outcome), "winsorised": winsorised(df, spec.outcome)}
+    tries = [(name, "sample", part, spec) for name, part in samples.items()]
+    tries += [("no_effects", "specification", df, Specification("no_effects", spec.outcome, spec.regressors, (), spec.cluster))]
+    if len(spec.regressors) > 1:
+        tries += [("no_controls", "specification", df, Specification("no_controls", spec.outcome, (first,), spec.effects, spec.cluster))]
+    for name, kind, part, one in tries:
+        e = ols(part, one, errors)
+        rows.append((name, kind, e.coefficients[first], e.errors[first], e.p, e.n_obs))
+    return _results(df, rows)
+
+
 def placebo_periods(df: DataFrame, unit: str, period: str, outcome: str, treated: str, periods: Sequence[int] = (6, 8, 10, 12), before: int | None = None) -> DataFrame:
     """Difference in differences of false starts before the treatment: one row for each period, from one aggregation."""
     if period not in df.columns:

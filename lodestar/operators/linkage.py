@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import similarity
 
 
-def exact_match(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str] | None = None, how: str = "left", suffixes: tuple[str, str] = ("_left", "_right")) -> DataFrame:
+def exact_match(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str] | None = None, how: str = "left", suffixes: tuple[str, str] = ("", "_right")) -> DataFrame:
     """Joins on keys where null equals null; other columns of both sides get suffixes where names clash.
 
     The keys appear once under the left names; ``_merge`` says where a row came from: both, left_only, right_only.
@@ -26,30 +26,77 @@ def exact_match(left: DataFrame, right: DataFrame, left_on: list[str], right_on:
     return out.select(*values, *[c + suffixes[0] * (c in clash) for c in lo], *[c + suffixes[1] * (c in clash) for c in ro], merge.alias("_merge"))
 
 
-def match_statistics(matched: DataFrame, left_keys: list[str] | None = None) -> DataFrame:
-    """Row counts after fan-out, and with keys the number of distinct left keys that matched."""
+def match_statistics(matched: DataFrame, left_keys: list[str] | None = None, how: str = "left", n_left: int | None = None) -> DataFrame:
+    """Row counts after fan-out, and with keys the number of distinct left keys that matched.
+
+    With an inner or outer join and the number of left rows given, every output row counts as matched and what is
+    missing to the left rows as unmatched, which a fan-out can make negative.
+    """
     both = F.col("_merge") == "both"
     more = [F.countDistinct(F.when(both, F.struct(*left_keys))).alias("matched_keys")] if left_keys else []
-    return matched.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(both).alias("n_matched"), F.count_if(F.col("_merge") == "left_only").alias("n_unmatched"), F.try_divide(F.count_if(both), F.count(F.lit(1))).alias("match_rate"), *more)
+    rows = F.count(F.lit(1))
+    if how in ("inner", "outer") and n_left is not None:
+        hits, misses = rows, F.lit(n_left) - rows
+    else:
+        hits, misses = F.count_if(both), F.count_if(F.col("_merge") == "left_only")
+    return matched.agg(rows.alias("n_rows"), hits.alias("n_matched"), misses.alias("n_unmatched"), F.try_divide(hits, rows).alias("match_rate"), *more)
+
+
+def _pieces(x: Column, budget: Column) -> Column:
+    """A string cut into one piece more than the budget of edits: (piece number, begin, piece), of equal lengths but one."""
+    n = F.length(x)
+    cut = lambda i: F.floor(n * i / (budget + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), budget), lambda i: F.struct(i.alias("i"), cut(i).alias("a"), F.substring(x, cut(i) + 1, cut(i + 1) - cut(i)).alias("p")))
+
+
+def _levenshtein_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of values that can reach the threshold, without meeting all others.
+
+    Within a budget of e edits one of e + 1 pieces of the left value stays as it is in the right one, moved by e places
+    at most (pigeonhole). The budget follows from the longest right value that can be meant, so nothing is lost.
+    """
+    low = lambda c: F.lower(F.col(c))
+    size = F.length("left_value")
+    longest = F.floor(size / F.lit(max(threshold, 1e-9)) + 1e-9)
+    edits = F.floor((1 - threshold) * longest + 1e-9).cast("int")
+    left = a.withColumn("e", edits).withColumn("x", low("left_value"))
+    few = left.where(size > F.col("e"))  # each piece has a letter
+    pieces = few.select("left_value", "e", F.explode(_pieces(F.col("x"), F.col("e"))).alias("c")).select("left_value", "e", "c.a", "c.p", F.length("c.p").alias("n"))
+    lengths = pieces.select("n", "e").distinct().groupBy("n").agg(F.max("e").alias("most"))
+    y = b.withColumn("y", low("right_value"))
+    grams = y.crossJoin(F.broadcast(lengths))  # a row for each length of piece, at most as many as letters
+    grams = grams.where(F.length("y") >= F.col("n")).select("right_value", "ordinal", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("y") - F.col("n") + 1), lambda i: F.substring(F.col("y"), i, F.col("n")))).alias("at", "q"))
+    near = pieces.join(grams, (F.col("p") == F.col("q")) & (pieces["n"] == grams["n"]) & (F.abs(F.col("a") - F.col("at")) <= F.col("e")))
+    found = near.select("left_value", "right_value", "ordinal").distinct()
+    # values so short that a piece may be empty meet the short right values only
+    rest = left.where(size <= F.col("e")).select("left_value")
+    short = b.where(F.length("right_value") <= F.lit(int(2 / max(threshold, 1e-9)) + 2)) if threshold > 0.5 else b
+    return found.unionByName(rest.join(short).select("left_value", "right_value", "ordinal"))
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, left_on: str, right_on: str, threshold: float = 0.8, method: str = "levenshtein", order: Column | None = None, block: tuple[Column, Column] | None = None) -> DataFrame:
     """left_value, right_value, score: for each distinct left value the best right value at the threshold or above.
 
-    Of equals the first in ``order`` (by default the smallest value) wins. Without a block every distinct left value
-    meets every distinct right value, in blocks of a stated right side; ``block`` gives a key for each side that both
-    must share, which changes the result.
+    Of equals the first in ``order`` wins, a column of the right side that says what came first; without one the
+    smallest value does, as tables have no order. Equal values match by a join, and Levenshtein's similarity from a half on meets only
+    values that share a piece. Other methods hold every distinct left value against every distinct right one, so the
+    right side should be a short list; ``block`` gives a key for each side that both must share, which changes the result.
     """
     a = left.where(F.col(left_on).isNotNull()).select(F.col(left_on).alias("left_value"), *([block[0].alias("bl")] if block else [])).distinct()
     b = right.where(F.col(right_on).isNotNull()).groupBy(F.col(right_on).alias("right_value"), *([block[1].alias("br")] if block else [])).agg(F.min(order if order is not None else F.col(right_on)).alias("ordinal"))
-    pairs = a.join(b, F.col("bl") == F.col("br")) if block else a.crossJoin(b)
+    if block:
+        pairs = a.join(b, F.col("bl") == F.col("br"))
+    elif method == "levenshtein" and threshold >= 0.5:
+        pairs = _levenshtein_pairs(a, b, threshold)
+    else:
+        pairs = a.join(b)
     if method == "levenshtein":
         # a length difference alone can rule a pair out, before any distance is computed
         longest = F.greatest(F.length("left_value"), F.length("right_value"))
         pairs = pairs.where(longest - F.least(F.length("left_value"), F.length("right_value")) <= (1 - threshold) * longest + 1e-9)
     scored = pairs.withColumn("score", similarity(F.col("left_value"), F.col("right_value"), method)).where(F.col("score") >= threshold)
-    best = scored.groupBy("left_value").agg(F.max("score").alias("score")).join(scored, ["left_value", "score"])
-    return best.groupBy("left_value", "score").agg(F.min_by("right_value", "ordinal").alias("right_value")).select("left_value", "right_value", "score")
+    top = W.partitionBy("left_value").orderBy(F.col("score").desc(), "ordinal", "right_value")
+    return scored.withColumn("_n", F.row_number().over(top)).where("_n = 1").select("left_value", "right_value", "score")
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, **params) -> DataFrame:

@@ -64,6 +64,18 @@ def pr_auc(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) ->
     return curve.groupBy(*keys).agg(F.sum(area).alias("pr_auc"))
 
 
+def all_metrics(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, n, prevalence, roc_auc, pr_auc, brier, all from one running sum over distinct scores."""
+    run = running(by_score(df, score, label, keys), keys)
+    s, p, n, tp, fp = (F.col(c) for c in ("s", "p", "n", "tp", "fp"))
+    tp0, fp0 = tp - p, fp - n
+    before, now = F.when(tp0 + fp0 == 0, 1.0).otherwise(tp0 / (tp0 + fp0)), tp / (tp + fp)
+    area = F.sum(p * (now + before) / 2) / F.nullif(F.max("all_p"), F.lit(0))
+    wins = F.sum(p * (F.col("all_n") - fp + n / 2.0)) / F.nullif(F.max("all_p") * F.max("all_n"), F.lit(0))
+    size = F.sum(p + n)
+    return run.groupBy(*keys).agg(size.alias("n"), (F.sum("p") / size).alias("prevalence"), wins.alias("roc_auc"), area.alias("pr_auc"), (F.sum(p * F.pow(s - 1, 2) + n * F.pow(s, 2)) / size).alias("brier"))
+
+
 def roc_curve(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, threshold, fpr, tpr: every distinct score, collinear points kept."""
     run = running(by_score(df, score, label, keys), keys)

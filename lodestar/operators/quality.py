@@ -1,21 +1,24 @@
-"""Data-quality rules, metrics and audits. All rules of a table are one aggregation."""
+"""Data-quality rules, metrics and audits. The plain rules of a table are one aggregation."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 
 @dataclass(frozen=True)
 class Rule:
-    """failures: an aggregate that counts what is wrong; the rule passes at 0 (or as ``passes`` says)."""
+    """failures: an aggregate that counts what is wrong, or with ``over`` what is wrong among the groups of these columns,
+    each with its number of rows ``n``. The rule passes at 0 (or as ``passes`` says of the count)."""
 
     name: str
     failures: Column
     severity: str = "error"
-    passes: Callable[[int], bool] = lambda n: not n
+    passes: Callable[[Column], Column] = lambda n: n == 0
+    over: tuple[str, ...] = ()
 
 
 def no_missing(df: DataFrame, columns: Sequence[str]) -> Rule:
@@ -29,7 +32,7 @@ def no_missing(df: DataFrame, columns: Sequence[str]) -> Rule:
 
 def unique(column: str) -> Rule:
     """A null counts as a failure, as it is no distinct value."""
-    return Rule("unique_values", F.count(F.lit(1)) - F.countDistinct(column))
+    return Rule("unique_values", F.sum(F.when(F.col(column).isNull(), F.col("n")).otherwise(F.col("n") - 1)), over=(column,))
 
 
 def value_range(column: str, low: float | None = None, high: float | None = None, severity: str = "warning") -> Rule:
@@ -42,7 +45,7 @@ def value_range(column: str, low: float | None = None, high: float | None = None
 
 
 def categorical(column: str, allowed: Sequence) -> Rule:
-    return Rule("categorical_values", F.countDistinct(F.when(~F.col(column).isin(*allowed), F.col(column))))
+    return Rule("categorical_values", F.count_if(~F.col(column).isin(*allowed)), over=(column,))
 
 
 def date_range(column: str, low: str | None = None, high: str | None = None, severity: str = "warning") -> Rule:
@@ -55,13 +58,14 @@ def date_range(column: str, low: str | None = None, high: str | None = None, sev
 
 
 def row_count(low: int | None = None, high: int | None = None) -> Rule:
-    return Rule("row_count", F.count(F.lit(1)), passes=lambda n: (low is None or n >= low) and (high is None or n <= high))
+    top = F.lit(True) if high is None else F.lit(high)
+    return Rule("row_count", F.count(F.lit(1)), passes=lambda n: (n >= (low or 0)) & (top if high is None else n <= top))
 
 
 def no_duplicates(df: DataFrame, subset: Sequence[str] | None = None) -> Rule:
     """Rows beyond the first of each; nulls are equal; columns that are missing are left out."""
     columns = [c for c in subset if c in df.columns] if subset else df.columns
-    return Rule("no_duplicate_rows", F.count(F.lit(1)) - F.countDistinct(F.struct(*columns)))
+    return Rule("no_duplicate_rows", F.sum(F.col("n") - 1), over=tuple(columns))
 
 
 def non_negative(column: str) -> Rule:
@@ -69,10 +73,50 @@ def non_negative(column: str) -> Rule:
 
 
 def validate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """rule, severity, n_failures, passed: one row for each rule, from one pass over the table."""
-    row = df.agg(*[r.failures.cast("bigint").alias(f"r{i}") for i, r in enumerate(rules)]).first()
-    out = [(r.name, r.severity, row[f"r{i}"] or 0, r.passes(row[f"r{i}"] or 0)) for i, r in enumerate(rules)]
-    return df.sparkSession.createDataFrame(out, "rule string, severity string, n_failures bigint, passed boolean")
+    """rule, severity, n_failures, passed: one row for each rule.
+
+    All plain rules are one pass; those over groups share one aggregation for each set of columns. A rule that can't be
+    applied to the table has failed, with null failures. Nothing runs before the result is read.
+    """
+    sets: dict[tuple[str, ...], list[int]] = {}
+    broken = set()
+    for i, r in enumerate(rules):
+        try:
+            _counted(df, r.over).agg(r.failures.cast("bigint"))  # is looked at by the analyser only
+        except AnalysisException:  # no such column, or no such operation on its type
+            broken.add(i)
+        else:
+            sets.setdefault(tuple(sorted(r.over)), []).append(i)
+    out = df.sparkSession.range(1).select()
+    for over, own in sets.items():
+        one = _counted(df, over).agg(*[F.coalesce(rules[i].failures.cast("bigint"), F.lit(0)).alias(f"r{i}") for i in own])
+        out = out.crossJoin(one)  # one row each
+
+    def row(i: int, r: Rule) -> Column:
+        n = F.lit(None).cast("bigint") if i in broken else F.col(f"r{i}")
+        return F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), n.alias("n_failures"), (F.lit(False) if i in broken else F.coalesce(r.passes(n), F.lit(False))).alias("passed"))
+
+    return out.select(F.explode(F.array(*[row(i, r) for i, r in enumerate(rules)])).alias("x")).select("x.*")
+
+
+def _counted(df: DataFrame, over: Sequence[str]) -> DataFrame:
+    return df.groupBy(*over).agg(F.count(F.lit(1)).alias("n")) if over else df
+
+
+def panel_rules(df: DataFrame, unit: str, period: str) -> list[Rule]:
+    """What a panel must have: both keys, no unit twice in a period, ten rows."""
+    return [no_missing(df, [unit, period]), no_duplicates(df, [unit, period]), row_count(low=10)]
+
+
+def input_rules(df: DataFrame, key: str = "id") -> list[Rule]:
+    """What an input must have: a row, and a key in each."""
+    return [row_count(low=1), no_missing(df, [key])]
+
+
+def as_dict(results: list[Row]) -> dict:
+    """The results of ``validate`` as plain values, with the numbers of errors and warnings."""
+    bad = [r for r in results if not r.passed]
+    return {"passed": not any(r.severity == "error" for r in bad), "n_errors": sum(r.severity == "error" for r in bad), "n_warnings": sum(r.severity == "warning" for r in bad), "results": [r.asDict() for r in results]}
 
 
 def validate_or_raise(df: DataFrame, rules: Sequence[Rule]) -> None:
@@ -98,13 +142,15 @@ def schema_report(df: DataFrame, expected: dict[str, str]) -> DataFrame:
 
 def table_metrics(df: DataFrame) -> DataFrame:
     """n_rows, n_columns, missing_cells, missing_pct, duplicate_rows, duplicate_pct."""
-    cells: Column = F.lit(0)
-    for c in df.columns:
-        cells = cells + F.count_if(F.col(c).isNull())
-    n, width = F.count(F.lit(1)), len(df.columns)
-    dup = n - F.countDistinct(F.struct(*df.columns))
+    width = len(df.columns)
     share = lambda x, y: F.coalesce(F.try_divide(100.0 * x, y), F.lit(0.0))
-    return df.agg(n.alias("n_rows"), F.lit(width).cast("bigint").alias("n_columns"), cells.cast("bigint").alias("missing_cells"), share(cells, n * width).alias("missing_pct"), dup.alias("duplicate_rows"), share(dup, n).alias("duplicate_pct"))
+    # rows that are equal meet as one row with a count, which holds all that is asked
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_rows"))
+    per = F.lit(0)
+    for c in df.columns:
+        per = per + F.col(c).isNull().cast("int")
+    n, cells, dup = F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.sum(per * F.col("_rows")), F.lit(0)), F.coalesce(F.sum(F.col("_rows") - 1), F.lit(0))
+    return rows.agg(n.alias("n_rows"), F.lit(width).cast("bigint").alias("n_columns"), cells.cast("bigint").alias("missing_cells"), share(cells, n * width).alias("missing_pct"), dup.cast("bigint").alias("duplicate_rows"), share(dup, n).alias("duplicate_pct"))
 
 
 def threshold_checks(metrics: DataFrame, missing: float = 5.0, rows: int = 10, duplicates: float = 1.0) -> DataFrame:
@@ -149,6 +195,33 @@ def manifest_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, F.col("path") == F.col("p2"), "full").select(F.coalesce("path", "p2").alias("path"), F.when(F.col("r").isNull(), "left_only").when(F.col("l").isNull(), "right_only").when(same, "same").otherwise("changed").alias("status"))
 
 
+def metric_rows(metrics: DataFrame, stage: str, timestamp: str) -> DataFrame:
+    """metric, value (as text), stage, timestamp: a table of one row as the rows of a quality report."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in metrics.columns])
+    return metrics.select(F.explode(pairs).alias("x")).select("x.metric", "x.value", F.lit(stage).alias("stage"), F.lit(timestamp).alias("timestamp"))
+
+
+def save_report(metrics: DataFrame, folder: str, stage: str, timestamp: str) -> str:
+    """Writes the quality report of a stage as CSV with a header and returns its path."""
+    path = f"{folder}/{stage}_quality_{timestamp}.csv"
+    metric_rows(metrics, stage, timestamp).coalesce(1).write.option("header", True).csv(path)  # a row for each metric
+    return path
+
+
+def report_warnings(latest: DataFrame, missing: float = 5.0, rows: int = 10, duplicates: float = 1.0) -> DataFrame:
+    """The rows of ``latest_metrics`` with warning: beyond the thresholds of ``threshold_checks``."""
+    limit = F.when(F.col("metric") == "missing_pct", F.col("number") > missing).when(F.col("metric") == "duplicate_pct", F.col("number") > duplicates).when(F.col("metric") == "n_rows", F.col("number") < rows)
+    return latest.withColumn("warning", F.coalesce(limit, F.lit(False)))
+
+
+def row_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """side (added or removed), n and the common columns: rows that one table has and the other lacks, as often as it lacks them."""
+    columns = [c for c in a.columns if c in b.columns]
+    both = a.select(*columns, F.lit(-1).alias("_s")).unionByName(b.select(*columns, F.lit(1).alias("_s")))
+    left = both.groupBy(*columns).agg(F.sum("_s").alias("n")).where("n <> 0")
+    return left.select(F.when(F.col("n") > 0, "added").otherwise("removed").alias("side"), F.abs("n").alias("n"), *columns)
+
+
 def latest_metrics(history: DataFrame) -> DataFrame:
     """Of (metric, value, stage, timestamp) the latest row of each stage and metric, with the value as a number."""
     w = W.partitionBy("stage", "metric").orderBy(F.col("timestamp").desc(), F.col("value"))

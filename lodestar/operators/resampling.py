@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .candidates import Matching, candidates
-from .disaggregation import hash60, hashed_draws
-from .metrics import brier, roc_auc
+from .candidates import Matching, candidates, filtered, profiles
+from .cleaning import surrogate_key
+from .disaggregation import expected_probability, hash60, hashed_draws, shares
+from .metrics import all_metrics, roc_auc
 
 
 def nested_draw_counts(draws: DataFrame, sizes: Sequence[int]) -> DataFrame:
@@ -28,12 +29,117 @@ def seed_sweep(records: DataFrame, entities: DataFrame, draws: int, seeds: Seque
     return out
 
 
-def score_metrics(scores: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, n, prevalence, roc_auc, brier of scores(entity, probability) against truth(entity)."""
-    marked = scores.join(truth.select(F.col("entity"), F.lit(1).alias("y")).distinct(), "entity", "left").withColumn("y", F.coalesce("y", F.lit(0)))
-    base = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("prevalence"), brier(F.col("probability"), F.col("y")).alias("brier"))
-    auc = roc_auc(marked, "probability", "y", keys)
-    return base.join(auc, list(keys)) if keys else base.crossJoin(auc)
+METRICS = ("roc_auc", "pr_auc", "brier")
+
+
+def score_metrics(scores: DataFrame, truth: DataFrame, keys: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """keys, n, prevalence, roc_auc, pr_auc, brier of scores(keys, entity, probability) against truth(entity).
+
+    ``by``: keys that the truth has too, where it differs between them. All configurations are scored by one job.
+    """
+    known = truth.select(*by, "entity", F.lit(1).alias("y")).distinct()
+    marked = scores.join(known, ["entity", *by], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    return all_metrics(marked, "probability", "y", keys)
+
+
+def stability(metrics: DataFrame) -> DataFrame:
+    """metric, mean, std (sample), min, max over the rows of a table of metrics."""
+    long = metrics.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])).alias("x")).select("x.*")
+    return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+
+
+def intervals(metrics: DataFrame, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
+    """metric, lo, hi, mean, std: percentile intervals over replicates."""
+    long = metrics.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])).alias("x")).select("x.*")
+    return long.groupBy("metric").agg(F.percentile("value", F.lit(lo)).alias("lo"), F.percentile("value", F.lit(hi)).alias("hi"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+
+
+def size_metrics(draws: DataFrame, sizes: Sequence[int], truth: DataFrame) -> DataFrame:
+    """size and its metrics: the draws of a size are the first so many of each record."""
+    counts = nested_draw_counts(draws, sizes)
+    scores = counts.withColumn("probability", F.col("draw_count") / F.sum("draw_count").over(W.partitionBy("size")))
+    return score_metrics(scores.select("size", "entity", "probability"), truth, ("size",))
+
+
+def seed_metrics(records: DataFrame, entities: DataFrame, draws: int, seeds: Sequence[int], truth: DataFrame, m: Matching = Matching()) -> DataFrame:
+    """seed and its metrics."""
+    counts = seed_sweep(records, entities, draws, seeds, m)
+    scores = counts.withColumn("probability", F.col("draw_count") / F.sum("draw_count").over(W.partitionBy("seed")))
+    return score_metrics(scores.select("seed", "entity", "probability"), truth, ("seed",))
+
+
+def sweep_metrics(configurations: Sequence[tuple[str, DataFrame, DataFrame, Matching]], truth: DataFrame) -> DataFrame:
+    """configuration and its metrics: each name has its records, entities and matching; all are scored together."""
+    scores = None
+    for name, records, entities, m in configurations:
+        one = expected_probability(records, entities, m).select(F.lit(name).alias("configuration"), "entity", "probability")
+        scores = one if scores is None else scores.unionByName(one)
+    if scores is None:
+        raise ValueError("no configuration")
+    return score_metrics(scores, truth, ("configuration",))
+
+
+def truth_metrics(scores: DataFrame, truths: DataFrame, key: str) -> DataFrame:
+    """key and its metrics: one set of scores against each of several truths (key, entity), such as buffers."""
+    every = truths.select(key).distinct().crossJoin(scores)  # a few truths, and each is held against all scores
+    return score_metrics(every, truths, (key,), (key,))
+
+
+def influence(records: DataFrame, entities: DataFrame, truth: DataFrame, m: Matching = Matching()) -> DataFrame:
+    """profile, n_records, full, without, influence: what leaving one record of the profile out does to the ROC area.
+
+    Records of one profile have one influence, so there are as many score tables as profiles, not as records. Each is
+    all entities, with the record's share off its candidates; the scale changes no order.
+    """
+    every = shares(records, entities, m)
+    found = candidates(records, entities, m).withColumn("own", 1.0 / F.count(F.lit(1)).over(W.partitionBy("profile")))
+    found = found.select(F.to_json("profile").alias("fold"), "profile", "n_records", "entity", "own")
+    folds = found.select("fold", "n_records").distinct()
+    left = folds.crossJoin(every).join(found.select("fold", "entity", "own"), ["fold", "entity"], "left")
+    rest = F.round(F.col("share") - F.coalesce("own", F.lit(0.0)), 9)
+    without = roc_auc(_marked(left.select("fold", "entity", rest.alias("s")).where("s > 0"), truth), "s", "y", ("fold",))
+    full = roc_auc(_marked(every.select("entity", F.round("share", 9).alias("s")), truth), "s", "y")
+    out = folds.join(without.withColumnRenamed("roc_auc", "without"), "fold").crossJoin(full.withColumnRenamed("roc_auc", "full"))
+    return out.select("fold", "n_records", "full", "without", (F.col("full") - F.col("without")).alias("influence"))
+
+
+def _marked(scores: DataFrame, truth: DataFrame) -> DataFrame:
+    return scores.join(truth.select("entity", F.lit(1).alias("y")).distinct(), "entity", "left").withColumn("y", F.coalesce("y", F.lit(0)))
+
+
+def resample_counts(rows: DataFrame, order: str, replicates: int, seed: int = 42) -> DataFrame:
+    """replicate, row (from 0 in the order given), times: n draws of n rows with replacement, for each replicate.
+
+    Draw i of a replicate is row hash(seed, replicate, i) mod n, so any partitioning draws the same.
+    """
+    numbered = surrogate_key(rows.select(order), "i", [F.col(order)]).select((F.col("i") - 1).alias("i"))
+    total = rows.agg(F.count(F.lit(1)).alias("n"))
+    drawn = numbered.crossJoin(total).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    at = F.pmod(hash60(F.lit(seed), F.col("replicate"), F.col("i")), "n")
+    return drawn.groupBy("replicate", at.alias("row")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def resampled_means(df: DataFrame, key: str, value: str, replicates: int = 100, seed: int = 42) -> DataFrame:
+    """replicate, mean of n draws of n rows with replacement."""
+    numbered = surrogate_key(df.select(key, value), "i", [F.col(key)]).select((F.col("i") - 1).alias("row"), value)
+    counts = resample_counts(df, key, replicates, seed)
+    return counts.join(numbered, "row").groupBy("replicate").agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("mean"))
+
+
+def resampled_metrics(records: DataFrame, entities: DataFrame, truth: DataFrame, replicates: int = 100, seed: int = 42, m: Matching = Matching()) -> DataFrame:
+    """replicate and its metrics: records drawn n of n with replacement, spread over their candidates, scored."""
+    if m.filters:
+        raise ValueError("resampling needs candidates by group, without filters")
+    rows, members = filtered(records, entities, m)
+    mine = profiles(records, m).select("record", "profile").join(rows.select("profile", "key", "g", "n_group"), "profile", "left")
+    numbered = surrogate_key(mine.select("record", "key", "g", "n_group"), "i", [F.col("record")]).withColumn("row", F.col("i") - 1)
+    counts = resample_counts(records.select(F.col(m.columns.record).alias("record")), "record", replicates, seed)
+    grouped = counts.join(numbered.where(F.col("g").isNotNull()), "row").groupBy("replicate", "key", "g", "n_group").agg(F.sum("times").alias("times"))
+    spread = grouped.join(members, (F.col("key") == F.col("k")) & (grouped["g"] == members["g"]))
+    scores = spread.groupBy("replicate", "entity").agg(F.sum(F.col("times") / F.col("n_group")).alias("share"))
+    total = grouped.groupBy("replicate").agg(F.sum("times").alias("total"))
+    scores = scores.join(total, "replicate").select("replicate", "entity", F.round(F.col("share") / F.col("total"), 9).alias("probability"))
+    return score_metrics(scores, truth, ("replicate",))
 
 
 def jackknife(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
@@ -62,10 +168,10 @@ def leave_group_out(shares: DataFrame, group: str) -> DataFrame:
 
 
 def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int = 100, seed: int = 42) -> DataFrame:
-    """replicate, mean of n draws of n rows with replacement.
+    """replicate, mean: a Poisson bootstrap, which approximates ``resampled_means``; the number of draws varies.
 
-    A row's number of draws in a replicate follows Poisson(1) by its hash, and the mean is weighted: no row is sent
-    anywhere, every replicate comes from one pass.
+    A row's number of draws in a replicate follows Poisson(1) by its hash (at most 8), and the mean is weighted: no row
+    is sent anywhere, every replicate comes from one pass.
     """
     u = hash60(F.lit(seed), F.col(key), F.col("replicate")) / F.lit(float(1 << 60))
     steps, p, total = [], 0.36787944117144233, 0.0
@@ -106,9 +212,19 @@ def spatial_blocks(df: DataFrame, x: str, y: str, n: int) -> DataFrame:
     return df.crossJoin(ends).withColumn("block", (cell(x, "_x0", "_x1") * side + cell(y, "_y0", "_y1")) % n).drop("_x0", "_x1", "_y0", "_y1")
 
 
-def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
-    """fold: groups, largest first, each to the lightest fold. Only the sizes of the groups come to the driver."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), group).toLocalIterator()
+def group_folds(df: DataFrame, group: str, folds: int, most_groups: int = 100_000) -> DataFrame:
+    """fold: groups, largest first, each to the lightest fold.
+
+    Up to ``most_groups`` sizes come to the driver; of more groups the largest are dealt to the folds in turn, forth and
+    back, where sizes are so many that this evens out.
+    """
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    if counts.count() > most_groups:
+        ranked = surrogate_key(counts.withColumnRenamed(group, "_g"), "_i", [F.col("n").desc(), F.col("_g")])
+        turn, back = F.pmod(F.col("_i") - 1, F.lit(folds)), F.pmod(F.floor((F.col("_i") - 1) / folds), F.lit(2)) == 1
+        plan = ranked.select("_g", F.when(back, folds - 1 - turn).otherwise(turn).cast("int").alias("fold"))
+        return df.join(plan, df[group].eqNullSafe(plan["_g"])).drop("_g")
+    sizes = counts.orderBy(F.col("n").desc(), group).toLocalIterator()
     load, rows = [0] * folds, []
     for r in sizes:
         k = load.index(min(load))

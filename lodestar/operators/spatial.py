@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import RADIUS_M, haversine
+from ..storage import stored
 
 METRES_PER_DEGREE = math.pi * RADIUS_M / 180
 
@@ -42,11 +43,33 @@ def distance_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.crossJoin(right).select("id", "id2", haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("distance"))
 
 
-def nearest(a: DataFrame, b: DataFrame, k: int, most: float | None = None) -> DataFrame:
-    """id, id2, distance, rank: the k nearest of b for each point of a, within ``most`` metres if given."""
-    pairs = distance_pairs(a, b) if most is None else _near_pairs(a, b, most)
-    # the partial top k of each task, before anything is shuffled
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("distance", "id2"))).where(F.col("rank") <= k)
+#: A side of at most so many rows goes to all tasks; with more, points meet by cells.
+MOST_STATED = 10_000
+
+
+def nearest(a: DataFrame, b: DataFrame, k: int, most: float | None = None, most_stated: int = MOST_STATED) -> DataFrame:
+    """id, id2, distance, rank: the k nearest of b for each point of a, within ``most`` metres if given.
+
+    Without a limit a short list is held against all points; of more, points look around in a reach that doubles for
+    those that have not found k yet.
+    """
+    top = W.partitionBy("id").orderBy("distance", "id2")
+    ranked = lambda pairs: pairs.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    if most is not None:
+        return ranked(_near_pairs(a, b, most))
+    n = b.count()
+    if n <= most_stated:
+        return ranked(distance_pairs(a, F.broadcast(b)))
+    reach, left, out = 2 * RADIUS_M * math.sqrt(k / n), a, None
+    while True:
+        found = stored(ranked(_near_pairs(left, b, reach)), "near")
+        whole = reach >= math.pi * RADIUS_M
+        done = found if whole else found.join(found.groupBy("id").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") == k), "id", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        left = stored(left.join(done.select("id").distinct(), "id", "left_anti"), "left")
+        if whole or left.isEmpty():
+            return out
+        reach *= 2
 
 
 def within_distance(points: DataFrame, most: float, include_self: bool = False) -> DataFrame:
@@ -86,13 +109,37 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0
     return out.where(F.col("odd") & ~F.col("edge")).select("id", "pid")
 
 
-def distance_to_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
+def _nearest_edges(points: DataFrame, lines: DataFrame, away: Column, most_stated: int) -> DataFrame:
+    """id, d: the distance to the nearest edge; a short list of edges is held against all points, else by growing cells."""
+    n = lines.count()
+    if n <= most_stated:
+        return points.crossJoin(F.broadcast(lines)).groupBy("id").agg(F.min(away).alias("d"))
+    box = lines.agg(F.min(F.least("x1", "x2")).alias("x"), F.max(F.greatest("x1", "x2")).alias("X"), F.min(F.least("y1", "y2")).alias("y"), F.max(F.greatest("y1", "y2")).alias("Y")).first()
+    span = max(box["X"] - box["x"], box["Y"] - box["y"], 1e-9)
+    reach, left, out = span / math.sqrt(n), points, None
+    while True:
+        at = lambda c: F.floor(c / F.lit(reach)).cast("bigint")
+        placed = lines.withColumn("cx", F.explode(F.sequence(at(F.least("x1", "x2")) - 1, at(F.greatest("x1", "x2")) + 1))).withColumn("cy", F.explode(F.sequence(at(F.least("y1", "y2")) - 1, at(F.greatest("y1", "y2")) + 1)))
+        met = left.withColumn("cx", at(F.col("x"))).withColumn("cy", at(F.col("y"))).join(placed, ["cx", "cy"])
+        found = stored(met.groupBy("id").agg(F.min(away).alias("d")).where(F.col("d") <= reach), "near")
+        out = found if out is None else out.unionByName(found)
+        left = stored(left.join(found.select("id"), "id", "left_anti"), "left")
+        if left.isEmpty():
+            return out
+        if reach > 4 * span:  # what is left lies far off, where the whole outline is one cell or two
+            lo = F.greatest(F.lit(box["x"]) - F.col("x"), F.col("x") - F.lit(box["X"]), F.lit(box["y"]) - F.col("y"), F.col("y") - F.lit(box["Y"]))
+            reach = max(2 * reach, float(left.agg(F.max(lo)).first()[0] or 0) + 2 * span)
+        else:
+            reach *= 2
+
+
+def distance_to_polygons(points: DataFrame, polygons: DataFrame, most_stated: int = MOST_STATED) -> DataFrame:
     """id, distance: to the union of the polygons in the units of the coordinates, 0 inside or on an edge."""
     x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
     dx, dy = x2 - x1, y2 - y1
     t = F.least(F.greatest(((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
     away = F.sqrt(F.pow(x - x1 - t * dx, 2) + F.pow(y - y1 - t * dy, 2))
-    least = points.crossJoin(edges(polygons)).groupBy("id").agg(F.min(away).alias("d"))  # points against a stated set of edges
+    least = _nearest_edges(points, edges(polygons), away, most_stated)
     inside = points_in_polygons(points, polygons).select("id").distinct().withColumn("in_", F.lit(True))
     return points.select("id").join(least, "id", "left").join(inside, "id", "left").select("id", F.when(F.col("in_"), 0.0).otherwise(F.col("d")).alias("distance"))
 
@@ -137,7 +184,11 @@ def slope_degrees(raster: DataFrame, cell_degrees: float) -> DataFrame:
 def sample_raster(points: DataFrame, raster: DataFrame, cell: float) -> DataFrame:
     """id, elev: the value of the cell that holds the point; of several tiles the first with a value. Tiles have a
     place, an origin (x0, y0) and rows and columns of the cell size."""
-    tiles = raster.select("tile", "x0", "y0").distinct()
-    at = points.crossJoin(tiles).select("id", "tile", F.floor((F.col("y") - F.col("y0")) / cell).cast("bigint").alias("row"), F.floor((F.col("x") - F.col("x0")) / cell).cast("bigint").alias("col"))
+    tiles = raster.groupBy("tile", "x0", "y0").agg(F.max("row").alias("rows"), F.max("col").alias("cols"))
+    size = tiles.agg((F.max(F.greatest("rows", "cols") + 1) * cell).alias("size"))  # of the largest tile: the side of the cells that points and tiles meet by
+    at = lambda c: F.floor(c / F.col("size")).cast("bigint")
+    span = tiles.crossJoin(size).withColumn("cx", F.explode(F.sequence(at(F.col("x0")), at(F.col("x0") + (F.col("cols") + 1) * cell)))).withColumn("cy", F.explode(F.sequence(at(F.col("y0")), at(F.col("y0") + (F.col("rows") + 1) * cell))))
+    asked = points.crossJoin(size).select("id", "x", "y", at(F.col("x")).alias("cx"), at(F.col("y")).alias("cy"))
+    at = asked.join(span.select("cx", "cy", "tile", "x0", "y0"), ["cx", "cy"]).select("id", "tile", F.floor((F.col("y") - F.col("y0")) / cell).cast("bigint").alias("row"), F.floor((F.col("x") - F.col("x0")) / cell).cast("bigint").alias("col"))
     hit = at.join(raster.where(F.col("elev").isNotNull()).select("tile", "row", "col", "elev"), ["tile", "row", "col"])
     return points.select("id").join(hit.groupBy("id").agg(F.min_by("elev", "tile").alias("elev")), "id", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -120,7 +121,7 @@ def test_exact_match_treats_nulls_as_equal(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "id int, v string")
     b = spark.createDataFrame([(1, "p"), (None, "q"), (None, "r"), (9, "s")], "id int, v string")
     got = L.exact_match(a, b, ["id"]).collect()
-    assert len(got) == 4 and got[0].asDict().keys() == {"id", "v_left", "v_right", "_merge"}
+    assert len(got) == 4 and got[0].asDict().keys() == {"id", "v", "v_right", "_merge"}
     stats = L.match_statistics(L.exact_match(a, b, ["id"]), ["id"]).first()
     assert (stats.n_matched, stats.n_unmatched) == (3, 1)
     assert {r.id: r._merge for r in L.exact_match(a, b, ["id"], how="outer").collect()}[9] == "right_only"
@@ -322,3 +323,90 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(str, spark.table("qa").collect())) == sorted(map(str, rolling_metrics(df).collect()))
+
+
+def test_ranks_of_large_integers(spark):
+    """Values that a double can't tell apart keep their own ranks."""
+    rows = [(2**53 + i, i) for i in range(200)]
+    out = M.spearman(spark.createDataFrame(rows, "x bigint, y bigint"), "x", "y").first()
+    assert out.spearman == pytest.approx(1.0)
+
+
+def test_running_sums_over_all_kinds_of_scores(spark):
+    import math
+
+    scores = [0.0, -0.0, -1.5, 1e-300, 1e300, -1e300, 0.1, 0.1, 0.30000001, 2.0, -2.0, float("inf"), -7.25]
+    rows = [(s, i % 2) for i, s in enumerate(scores)]
+    got = {r.s: (r.tp, r.fp) for r in M.running(M.by_score(spark.createDataFrame(rows, "s double, y int"), "s", "y")).collect()}
+    for s, (tp, fp) in got.items():
+        assert tp == sum(y for x, y in rows if x >= s) and fp == sum(1 - y for x, y in rows if x >= s), s
+    assert len(got) == len({s + 0.0 if not math.isinf(s) else s for s in scores})
+    one = M.all_metrics(spark.createDataFrame(rows, "s double, y int").where("abs(s) < 3"), "s", "y").first()
+    assert 0 <= one.roc_auc <= 1 and 0 <= one.pr_auc <= 1
+
+
+def test_t_distribution_compat():
+    from lodestar.operators.estimation import t_cdf, t_quantile
+
+    assert t_cdf(0.0, 10, True) == 0.5 and t_cdf(2.0, 10, True) + t_cdf(-2.0, 10, True) == pytest.approx(1.0)
+    assert t_quantile(0.975, 20, True) == pytest.approx(1.96 * 1.025) and t_quantile(0.975, 500, True) == pytest.approx(1.96 / math.sqrt(2), abs=0.02)
+    assert t_quantile(0.975, 10) == pytest.approx(2.2281, abs=1e-3)
+
+
+def test_robustness_results(spark):
+    from lodestar.operators import estimation as E
+
+    rows = [(u, p, 2.0 * (p >= 13 and u <= 25) + u + 0.1 * p + ((u * 7 + p * 13) % 11) / 10, int(p >= 13 and u <= 25), int(u <= 25), 1e9 + u * p % 7) for u in range(1, 51) for p in range(1, 25)]
+    panel = spark.createDataFrame(rows, "id int, period int, outcome double, treatment int, ever_treated int, control double")
+    placebo = E.placebo_tests(panel, "id", "period", "outcome", "ever_treated").collect()
+    assert len(placebo) == 4 and all(r.test_type == "placebo" and "placebo" in r.name for r in placebo)
+    assert E.placebo_tests(panel.drop("period"), "id", "period", "outcome", "ever_treated").count() == 0
+    named = E.specifications("outcome", "treatment", ["control"], "id", "period")
+    assert set(named) == {"baseline", "no_fe", "with_controls", "unit_fe_only"}
+    tests = E.restriction_tests(panel, named["with_controls"]).collect()
+    assert {r.test_type for r in tests} == {"sample", "specification"} and {r.name for r in tests} == {"full", "trimmed", "winsorised", "no_effects", "no_controls"}
+    assert next(r.effect for r in tests if r.name == "full") == pytest.approx(2.0, abs=0.2)
+    with pytest.raises(ValueError, match="Insufficient observations"):
+        E.two_column_ols(panel.limit(2), "outcome", "control")
+    far = spark.createDataFrame([(1e9 + x, 3.0 * x + 5 + (x % 3) / 100) for x in range(50)], "x double, y double")
+    assert E.two_column_ols(far, "y", "x").coefficients["x"] == pytest.approx(3.0, abs=1e-3)
+
+
+def test_fuzzy_ties_and_pieces(spark):
+    from lodestar.operators import linkage as L
+
+    right = spark.createDataFrame([("abcx", 2), ("abcy", 1), ("zz", 3), ("", 4)], "r string, at int")
+    left = spark.createDataFrame([("abcd",), ("",), ("z",), (None,)], "l string")
+    got = {r.left_value: r.right_value for r in L.fuzzy_match(left, right, "l", "r", 0.7, order=F.col("at")).collect()}
+    assert got == {"abcd": "abcy", "": ""}
+    r = random.Random(3)
+    words = ["".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(120)]
+    a, b = words[:60], words[60:]
+    found = L.fuzzy_match(spark.createDataFrame([(x,) for x in a], "l string"), spark.createDataFrame([(x,) for x in b], "r string"), "l", "r", 0.6)
+
+    def far(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            new = [i]
+            for j, e in enumerate(y, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+            row = new
+        return row[-1]
+
+    want = {}
+    for x in set(a):
+        best = max((1 - far(x, y) / max(len(x), len(y)) for y in b))
+        if best >= 0.6 - 1e-12:
+            want[x] = best
+    assert {x.left_value: pytest.approx(x.score) for x in found.collect()} == want
+
+
+def test_distances_by_reach(spark):
+    from lodestar.operators import spatial as G
+
+    r = random.Random(5)
+    rings = [(i, [[(x := r.uniform(0, 50), y := r.uniform(0, 50)), (x + 1, y), (x + 1, y + 1)]]) for i in range(20)]
+    polygons = spark.createDataFrame([(p, [[{"x": a, "y": b} for a, b in ring] for ring in q]) for p, q in rings], "pid bigint, rings array<array<struct<x: double, y: double>>>")
+    points = spark.createDataFrame([(i, r.uniform(-300, 300), r.uniform(-300, 300)) for i in range(30)] + [(99, 5000.0, 5000.0)], "id bigint, x double, y double")
+    near, far = ({x.id: x.distance for x in G.distance_to_polygons(points, polygons, most_stated=n).collect()} for n in (10_000, 0))
+    assert near.keys() == far.keys() and all(near[i] == pytest.approx(far[i]) for i in near)
