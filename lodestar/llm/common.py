@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import shared_folder, stored  # noqa: F401  for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,24 +19,3 @@ def slices(spark: SparkSession) -> int:
 def partitions(spark: SparkSession) -> int:
     """The number of blocks: twice the session's shuffle partitions, as a block's texts are held in memory."""
     return 2 * slices(spark)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; one is set only where the session names none and the master is local, as in tests."""
-    context = spark.sparkContext
-    found = context._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named and not context.master.startswith("local"):
-        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestar-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -24,6 +24,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import stored
 
+#: Up to so many sources, their plan goes to all tasks; above it is joined.
+MOST_SENT = 100_000
+
+
+def _sent(plan: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(plan) if n <= MOST_SENT else plan
+
+
 #: The hash has 60 bits, of which each round of histograms looks at 12.
 HASH_BITS, ROUND_BITS = 60, 12
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,7 +82,7 @@ def thresholds(sized: DataFrame, budgets: dict) -> dict:
             break
         at = spark.createDataFrame([(s, *v) for s, v in open_.items()], kind)
         s = at.select(F.col("source").alias("s"), "prefix", "below", "budget")
-        near = sized.join(s, sized["source"].eqNullSafe(s["s"])).where(F.shiftright("h", HASH_BITS - bits + ROUND_BITS) == F.col("prefix"))
+        near = sized.join(_sent(s, len(open_)), sized["source"].eqNullSafe(s["s"])).where(F.shiftright("h", HASH_BITS - bits + ROUND_BITS) == F.col("prefix"))
         hist = near.groupBy("source", "below", "budget", F.shiftright("h", HASH_BITS - bits).alias("bucket")).agg(F.sum("size").alias("words"), F.min("h").alias("least"), F.max("h").alias("most"))
         # at most 2**ROUND_BITS buckets of a source, whatever the number of documents
         cells = F.sort_array(F.collect_list(F.struct("bucket", "words", "least", "most")))
@@ -136,4 +144,4 @@ def _planned(docs: DataFrame, rest: list[str], weights: Sequence[float], share:
     else:
         rows = sized.select(F.struct(F.col("id").alias(id_col), F.col("source").alias(source_col)).alias("row"), "source", "size", "h")
     took = F.col("size") * (F.col("whole") + (F.col("h") <= F.col("limit")).cast("long"))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).select("row", "size", "source_size", "target", took.alias("taken"))
+    return rows.join(_sent(plan, len(names)), F.col("source").eqNullSafe(F.col("of"))).select("row", "size", "source_size", "target", took.alias("taken"))
