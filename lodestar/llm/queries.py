@@ -47,7 +47,25 @@ FROM c
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat", "n_maximal_repeats")
+
+
+SQL_OP9 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS s, w FROM d, (SELECT unnest([5, 10, 61]) AS k) WHERE len(w) >= k),
+h AS (SELECT doc_id, k, s, md5(array_to_string(w[s:s + k - 1], ' ')) AS h FROM v),
+c AS (SELECT doc_id, k, s FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, h) AS n FROM h) WHERE n > 1),
+p AS (SELECT DISTINCT doc_id, k, s + i AS pos FROM c, range(61) t(i) WHERE i < k),
+r AS (SELECT doc_id, count(*) FILTER (WHERE k = 5) AS five, count(*) FILTER (WHERE k = 10) AS ten, count(*) FILTER (WHERE k = 61) AS long FROM p GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(five, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(ten, 0) AS BIGINT) AS repeat_words, coalesce(long, 0) AS long
+  FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * repeat_words <= 15 * n_words AND long = 0 AS kept
+FROM m
+"""
 
 
 def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +102,21 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.85).drop("n_links")
+
+
+SQL_OP7 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS s, w FROM d WHERE len(w) > 0),
+g AS (SELECT DISTINCT doc_id, md5(array_to_string(w[s:s + 2], ' ')) AS g FROM v),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT c.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, component_id = c.doc_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,4 +226,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_main_text": op10_main_text,
 }
-SQL: dict[str, str] = {"op1_lm_score": SQL_OP1, "op2_line_dedup": SQL_OP2, "op5_string_dedup": SQL_OP5, "op6_source_mix": SQL_OP6, "op8_window_dedup": SQL_OP8}
+SQL: dict[str, str] = {"op1_lm_score": SQL_OP1, "op2_line_dedup": SQL_OP2, "op5_string_dedup": SQL_OP5, "op6_source_mix": SQL_OP6, "op7_near_dedup": SQL_OP7, "op8_window_dedup": SQL_OP8, "op9_quality_rules": SQL_OP9}

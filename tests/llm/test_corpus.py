@@ -619,3 +619,91 @@ def test_very_long_texts(spark):
     assert {x.doc_id: x.n_words for x in quality_rules.quality_rules(docs).collect()}[1] == 1_100_000
     assert {x.doc_id: x.n_lines for x in line_dedup.drop_recurring_lines(docs).collect()}[1] == 110_000
     assert lm_score.backoff_scores(docs).count() == 4 and cotraining.score_quality(docs, labels).count() == 4
+
+
+FOLDER = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+def test_classifier_on_labels_held_out(spark):
+    from lodestar.llm.cotraining import score_quality
+
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    out = {r.doc_id: r for r in score_quality(spark.read.parquet(f"{FOLDER}/documents.parquet"), labels.where("doc_id % 2 = 0")).collect()}
+    unseen = labels.where("doc_id % 2 = 1").collect()
+    assert len(unseen) > 1000
+    assert sum((out[r.doc_id].quality_score >= 0.5) == (r.quality == 1) for r in unseen) >= 0.95 * len(unseen)
+    assert sum((out[r.doc_id].toxic_score >= 0.5) == (r.toxic == 1) for r in unseen) >= 0.95 * len(unseen)
+
+
+def test_classifier_bounds_rows_not_ids(spark):
+    """A document that is repeated is one row of the sample; labels may miss a value; all rows are scored."""
+    from lodestar.llm.cotraining import score_quality
+
+    rows = [(1, "good words here", "en", "s")] * 300 + [(i, f"text {i} of some kind", "en", None) for i in range(2, 40)] + [(None, "no id", None, None)] * 3
+    labels = [(1, 1, None)] + [(i, i % 2, None) for i in range(2, 40)] + [(5, 0, 1), (7, None, None)]
+    out = score_quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), most_labelled=10)
+    assert out.count() == len(rows) and len({(r.quality_score, r.toxic_score) for r in out.where("doc_id = 1").collect()}) == 1
+
+
+def test_repeated_rows_and_null_ids(spark):
+    """Each row gets an answer; of rows with one id and text the first counts, rows without an id come last."""
+    from lodestar.llm import decontamination, html_main, lm_score, mixing, quality_rules, suffix_dedup, window_dedup
+
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "s"), (1, text, "s"), (None, text, None), (None, None, None), (2, "", "s")], "doc_id bigint, text string, source string")
+    gone = sorted((r.doc_id or 99, r.n_removed) for r in window_dedup.remove_repeated_windows(docs).collect())
+    assert gone == [(1, 0), (1, 60), (2, 0), (99, 0), (99, 60)]
+    gone = sorted((r.doc_id or 99, r.n_removed) for r in suffix_dedup.remove_repeated_strings(docs).collect())
+    assert gone == [(1, 0), (1, len(text)), (2, 0), (99, 0), (99, len(text))]
+    assert sorted(r.n_words for r in lm_score.backoff_scores(docs).collect()) == [0, 0, 60, 60, 60]
+    assert sorted(r.n_words for r in quality_rules.quality_rules(docs).collect()) == [0, 0, 60, 60, 60]
+    items = spark.createDataFrame([("x", text)], "item_id string, text string")
+    assert sorted(r["items"] for r in decontamination.match_items(docs, items).collect()) == [[], [], ["x"], ["x"], ["x"]]
+    assert sorted(r["size"] for r in mixing.mix_to_weights(docs).collect()) == [0, 0, 60, 60, 60]
+    pages = spark.createDataFrame([(1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (None, "u", None)], "page_id bigint, url string, html string")
+    assert sorted(r.text for r in html_main.extract_main_text(pages).collect()) == ["", "a", "a"]
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path, docs, rows):
+    """Each stage alone, on its own input."""
+    import corpus_pipeline
+    from lodestar.llm import cotraining
+    from lodestar.llm.queries import SQL_OP2, SQL_OP6
+
+    stages = dict(corpus_pipeline.STAGES)
+    labels = [(i, int(i % 2 == 0), int(i % 9 == 0)) for i, *_ in rows if i % 2 or i % 4 == 0]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    item = next(t for _, t, *_ in rows if t and len(t) > 150)[20:140]
+    spark.createDataFrame([(0, item), (1, "nothing like this is in any of the documents at all")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: stages[name](spark, docs, str(tmp_path))
+    scored = {r.doc_id: r.kept for r in cotraining.score_quality(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), carry=False).collect()}
+    assert {r.doc_id for r in run("quality classifier").collect()} == {i for i, k in scored.items() if k}
+
+    documents = docs.select("doc_id", "text", "source").toPandas()  # noqa: F841  read by the SQL
+    want = {r[0]: r[3] for r in duckdb.sql(SQL_OP2).fetchall()}
+    assert {r.doc_id: r.text or "" for r in run("line dedup").collect()} == want
+
+    sets, root = {i: sets_of(t, 5) for i, t, *_ in rows}, {i: i for i, *_ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert {r.doc_id for r in run("MinHash near-dedup").collect()} == {i for i in ids if find(i) == i}
+
+    plain = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).strip()
+    held = {i for i, t, *_ in rows if plain(item) in plain(t)}
+    left = {r.doc_id for r in run("benchmark decontamination").collect()}
+    assert held and not left & held and all(len(plain(t)) > 100 for i, t, *_ in rows if i not in left)
+
+    took = {r[0]: r[4] // r[1] for r in duckdb.sql(SQL_OP6).fetchall() if r[4]}
+    assert Counter(r.doc_id for r in run("source mix").collect()) == Counter(took)
