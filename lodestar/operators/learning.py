@@ -6,10 +6,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from .cleaning import surrogate_key
 from .metrics import r_squared
 
 #: Regressors by name; add to it to use a model of your own. Extra trees have no counterpart in Spark.
@@ -22,26 +23,50 @@ MODELS: dict[str, Callable[[], object]] = {
 
 
 def model(name: str, features: Sequence[str], label: str) -> Pipeline:
-    """Assembles, scales by the training rows, fits."""
+    """Assembles features and fits; scaling is ``scaled``'s."""
     if name not in MODELS:
         raise ValueError(f"unknown model {name}")
-    steps = [VectorAssembler(inputCols=list(features), outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True)]
-    return Pipeline(stages=[*steps, MODELS[name]().setLabelCol(label)])
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), MODELS[name]().setLabelCol(label)])
 
 
-def cross_validate(df: DataFrame, fold: str, name: str, features: Sequence[str], label: str) -> DataFrame:
-    """fold, r2: each fold scored by a model of the others, scaled by the others."""
+def scaled(df: DataFrame, by: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The features less their means, over their population deviations in ``by`` (1 where they do not vary)."""
+    row = by.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(features) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return df.withColumns({c: (F.col(c) - (row[f"m{i}"] or 0.0)) / (row[f"s{i}"] or 1.0) for i, c in enumerate(features)})
+
+
+def cross_validate(df: DataFrame, fold: str, name: str, features: Sequence[str], label: str, scale: bool = True) -> DataFrame:
+    """fold, r2: each fold scored by a model of the others, scaled by the others if asked."""
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())  # a value a fold
     out = None
     for k in folds:
-        fitted = model(name, features, label).fit(df.where(F.col(fold) != k))
-        one = fitted.transform(df.where(F.col(fold) == k)).agg(r_squared(F.col(label), F.col("prediction")).alias("r2")).select(F.lit(k).alias("fold"), "r2")
+        others, own = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
+        if scale:
+            others, own = scaled(others, others, features), scaled(own, others, features)
+        fitted = model(name, features, label).fit(others)
+        one = fitted.transform(own).agg(r_squared(F.col(label), F.col("prediction")).alias("r2")).select(F.lit(k).alias("fold"), "r2")
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no rows")
     return out
 
 
+def contiguous_folds(df: DataFrame, order: str, folds: int, out: str = "fold") -> DataFrame:
+    """Rows in runs of the given order, the first folds one row longer where sizes do not divide."""
+    total = df.agg(F.count(F.lit(1)).alias("_all"))
+    small, extra = F.floor(F.col("_all") / folds), F.pmod(F.col("_all"), F.lit(folds))
+    at, edge = F.col("_at") - 1, (F.floor(F.col("_all") / folds) + 1) * F.pmod(F.col("_all"), F.lit(folds))
+    fold = F.when(at < edge, F.floor(at / (small + 1))).otherwise(extra + F.floor((at - edge) / F.greatest(small, F.lit(1))))
+    return surrogate_key(df, "_at", [F.col(order)]).crossJoin(total).withColumn(out, fold.cast("int")).drop("_at", "_all")
+
+
+def spatial_leakage(df: DataFrame, fold: str, order: str, name: str, features: Sequence[str], label: str) -> DataFrame:
+    """leakage, leakage_pct: what as many contiguous folds, over features scaled before the split, promise beyond the spatial ones."""
+    n = df.select(fold).distinct().count()
+    plain = contiguous_folds(scaled(df, df, features), order, n, "_random")
+    return leakage(cross_validate(plain, "_random", name, features, label, scale=False), cross_validate(df, fold, name, features, label))
+
+
 def summary(scores: DataFrame) -> DataFrame:
     return scores.agg(F.avg("r2").alias("mean"), F.stddev_pop("r2").alias("std"))
 
@@ -50,7 +75,7 @@ def leakage(random: DataFrame, spatial: DataFrame) -> DataFrame:
     """What random folds promise beyond spatial ones, and in percent of these (infinite at 0)."""
     a, b = summary(random).select(F.col("mean").alias("r")), summary(spatial).select(F.col("mean").alias("s"))
     gap = F.col("r") - F.col("s")
-    return a.crossJoin(b).select(gap.alias("leakage"), F.when(F.col("s") == 0, float("inf")).otherwise(100 * gap / F.abs("s")).alias("leakage_pct"))
+    return a.crossJoin(b).select(gap.alias("leakage"), F.when(F.col("s") == 0, float("inf")).otherwise(100 * gap / F.col("s")).alias("leakage_pct"))
 
 
 def kmeans_groups(df: DataFrame, x: str, y: str, k: int, seed: int = 42) -> DataFrame:
@@ -62,8 +87,6 @@ def kmeans_groups(df: DataFrame, x: str, y: str, k: int, seed: int = 42) -> Data
 def balanced_groups(df: DataFrame, key: str, x: str, y: str, k: int, seed: int = 42) -> DataFrame:
     """group: sizes differ by one at most. Rows are ordered along the first coordinate within strips of the second and
     cut evenly, so no assignment problem is solved; neighbours tend to share a group."""
-    from .cleaning import surrogate_key
-
     side = max(1, int(k**0.5))
     cut = df.agg(F.percentile(x, F.array(*[F.lit(i / side) for i in range(1, side)] or [F.lit(1.0)])).alias("_c"))
     strip = F.size(F.filter("_c", lambda c: c < F.col(x)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S, texts as T
-from ..operators import cleaning as K, disaggregation as D, estimation as E, linkage as L, quality as Q, resampling as R, spatial as G
+from ..operators import cleaning as K, disaggregation as D, estimation as E, linkage as L, quality as Q, resampling as R, spatial as G, summaries as A
 from .registry import query, r6, read
 from .tables import _EDGES, _POINTS, points, polygons
 
@@ -273,3 +273,41 @@ def nearest_by_reach(spark, d):
     return G.nearest(p.where("id % 10 = 0"), p, 3, most_stated=0).select("id", "id2", F.round("distance", 1).alias("distance"), "rank")
 
 
+
+
+# ---- summaries
+
+@query("""SELECT c_mktsegment AS k, round(avg(c_acctbal), 4) AS mean, round(sum(c_acctbal), 2) AS total, count(*) AS count, round(count(*) FILTER (WHERE c_acctbal > 0) / count(*)::DOUBLE, 3) AS match_rate FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY 1""")
+def group_rates(spark, d):
+    keyed = read(spark, d, "customer").withColumn("k", F.when(F.col("c_nationkey") % 5 != 0, F.col("c_mktsegment")))
+    out = A.group_rates(keyed, "k", "c_acctbal", F.col("c_acctbal") > 0)
+    return out.select("k", F.round("c_acctbal_mean", 4).alias("mean"), F.round("c_acctbal_sum", 2).alias("total"), "count", "match_rate")
+
+
+@query("""WITH b AS (SELECT min(c_acctbal) AS a, max(c_acctbal) AS z FROM customer), c AS (SELECT least(floor((c_acctbal - a) / ((z - a) / 20)), 19)::INTEGER AS bin, count(*) AS n FROM customer, b WHERE c_acctbal < 2000 OR c_acctbal = z GROUP BY 1)
+SELECT i::INTEGER AS bin, round(a + (z - a) / 20 * i, 4) AS lo, round(a + (z - a) / 20 * (i + 1), 4) AS hi, coalesce(n, 0) AS n FROM range(20) t(i), b LEFT JOIN c ON i = bin""")
+def histogram_with_gaps(spark, d):
+    c = read(spark, d, "customer")
+    top = c.agg(F.max("c_acctbal").alias("top"))
+    some = c.crossJoin(top).where((F.col("c_acctbal") < 2000) | (F.col("c_acctbal") == F.col("top")))
+    return A.histogram(some, "c_acctbal", 20).select("bin", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), "n")
+
+
+@query("""SELECT column_name, count(v) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS q50, round(quantile_cont(v, 0.75), 4) AS q75, round(max(v), 4) AS max
+FROM (SELECT 'p_size' AS column_name, p_size::DOUBLE AS v FROM part UNION ALL SELECT 'p_retailprice', p_retailprice FROM part) GROUP BY 1""")
+def described_columns(spark, d):
+    out = A.describe(read(spark, d, "part"), ["p_size", "p_retailprice"])
+    return out.select("column_name", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
+@query(f"WITH {_POINTS}, g AS (SELECT r, c FROM range(-4, 4) a(r), range(-9, 9) b(c)), s AS (SELECT floor(lat / 10) AS r, floor(lon / 10) AS c, sum(id) AS v FROM pt GROUP BY ALL) SELECT g.r::BIGINT AS r, g.c::BIGINT AS c, coalesce(v, 0)::BIGINT AS v FROM g LEFT JOIN s ON g.r = s.r AND g.c = s.c")
+def cell_sums(spark, d):
+    cells = points(spark, d).select(F.floor(F.col("lat") / 10).alias("r"), F.floor(F.col("lon") / 10).alias("c"), F.col("id").alias("v"))
+    grid = spark.range(-4, 4).withColumnRenamed("id", "r").crossJoin(spark.range(-9, 9).withColumnRenamed("id", "c"))
+    return A.cell_sums(cells, grid, ["r", "c"], "v")
+
+
+@query("SELECT r_name, row_number() OVER (ORDER BY CASE r_name WHEN 'EUROPE' THEN 1 WHEN 'ASIA' THEN 2 ELSE 3 END, r_name) AS place FROM region")
+def registry_order(spark, d):
+    rows = A.in_registry_order(read(spark, d, "region").select("r_name"), "r_name", ["EUROPE", "ASIA"]).collect()  # a row a name
+    return spark.createDataFrame([(r.r_name, i) for i, r in enumerate(rows, 1)], "r_name string, place bigint")

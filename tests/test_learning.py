@@ -18,3 +18,14 @@ def test_cross_validation_and_leakage(spark):
     assert scores.count() == 4 and L.summary(scores).first()["mean"] > 0.9
     gap = L.leakage(scores, scores).first()
     assert gap.leakage == 0 and gap.leakage_pct == 0
+
+
+def test_leakage_of_contiguous_folds(spark):
+    df = spark.range(41).select(F.col("id"), (F.col("id") % 4).alias("f"), (F.col("id") % 17).cast("double").alias("a"), F.lit(3.0).alias("same")).withColumn("y", 2 * F.col("a") + 1)
+    folds = [r["count"] for r in L.contiguous_folds(df, "id", 4).groupBy("fold").count().orderBy("fold").collect()]
+    assert folds == [11, 10, 10, 10]
+    ends = L.contiguous_folds(df, "id", 4).groupBy("fold").agg(F.min("id").alias("a"), F.max("id").alias("b")).orderBy("fold").collect()
+    assert [(r.a, r.b) for r in ends] == [(0, 10), (11, 20), (21, 30), (31, 40)]
+    out = L.scaled(df, df, ["a", "same"]).agg(F.avg("a").alias("m"), F.stddev_pop("a").alias("s"), F.max("same").alias("z")).first()
+    assert abs(out.m) < 1e-9 and abs(out.s - 1) < 1e-9 and out.z == 0
+    assert L.spatial_leakage(df, "f", "id", "ridge", ["a", "same"], "y").first().leakage is not None
