@@ -69,15 +69,25 @@ def shingle_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     return values[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
 
 
-def odd_sketches(values: np.ndarray, doc: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parity bitmaps of the one-permutation samples of m sets (doc: the set of each value), and the numbers of samples."""
-    least = np.full(m * BINS, U64((1 << 64) - 1))
-    other = mix(values ^ U64(0xD1342543DE82EF95))
-    np.minimum.at(least, doc * BINS + (other >> U64(64 - 10)).astype(np.int64), other)
-    filled = least != U64((1 << 64) - 1)
-    at_bit = (mix(least[filled]) >> U64(64 - 11)).astype(np.int64)
-    flips = np.bincount(np.flatnonzero(filled) // BINS * BITS + at_bit, minlength=m * BITS) & 1
-    return np.packbits(flips.astype(np.uint8).reshape(m, BITS), axis=1), filled.reshape(m, BINS).sum(1)
+def odd_sketches(values: np.ndarray, doc: np.ndarray, m: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of the one-permutation samples of m sets (doc: the set of each value, in order), and the numbers of samples.
+
+    ``step`` sets at a time, as each takes its bins and bits as whole numbers for a moment.
+    """
+    none = U64((1 << 64) - 1)
+    sketch, samples = np.zeros((m, BITS // 8), np.uint8), np.zeros(m, np.int64)
+    for a in range(0, m, step):
+        n = min(step, m - a)
+        lo, hi = np.searchsorted(doc, [a, a + n])
+        least = np.full(n * BINS, none)
+        other = mix(values[lo:hi] ^ U64(0xD1342543DE82EF95))
+        np.minimum.at(least, (doc[lo:hi] - a) * BINS + (other >> U64(64 - 10)).astype(np.int64), other)
+        filled = least != none
+        at_bit = (mix(least[filled]) >> U64(64 - 11)).astype(np.int64)
+        flips = np.bincount(np.flatnonzero(filled) // BINS * BITS + at_bit, minlength=n * BITS) & 1
+        sketch[a : a + n] = np.packbits(flips.astype(np.uint8).reshape(n, BITS), axis=1)
+        samples[a : a + n] = filled.reshape(n, BINS).sum(1)
+    return sketch, samples
 
 
 def signatures(values: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +165,7 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, words: int = 5, thresho
         block = in_order(block)
         base = (block.column("rank")[0].as_py() << 32) if block.num_rows else 0
         out = []
-        for a, part in Texts.of(block.column("text")).parts(3 << 20):
+        for a, part in Texts.of(block.column("text")).parts(2 << 20):
             values, at = shingle_sets(part, words)
             size = np.diff(at)
             whole, keys, sketch, samples = signatures(values, at, bands)
