@@ -9,8 +9,9 @@ the sample.
 
 In every round each view scores all unlabelled documents. Those of which it is
 confident are its pseudo-labels; of these a bounded sample by hash
-(``most_pseudo`` rows, in the proportion of the labels) is added to the labelled
-rows of the other view, which is fitted again. Then both are calibrated on
+(``most_pseudo`` rows at most, in the proportion of the labels, so a view that is
+sure of one class only adds nothing) is added to the labelled rows of the other
+view, which is fitted again. Then both are calibrated on
 labelled rows held out from the fit, combined by a logistic regression over the
 two calibrated scores, and all documents are scored in one pass. The same is
 done for the toxic label where there is one; a document is kept if it is likely
@@ -49,8 +50,13 @@ for _name, _bytes in (("upper", range(65, 91)), ("digit", range(48, 58)), ("symb
     _TABLES[_name][list(_bytes)] = True
 
 
-def word_codes(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the words in lower case without punctuation at their ends, word offsets, byte starts and ends."""
+#: Bytes of the stems that longer words count for as well.
+STEMS = (6, 8)
+
+
+def word_codes(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Codes of the words in lower case without punctuation at their ends, word offsets, byte starts and ends; and of
+    each stem length the words that are longer and the codes of their beginnings."""
     starts, ends, at = texts.words()
     low = texts.lowered().data
     edge = np.zeros(256, bool)
@@ -61,12 +67,16 @@ def word_codes(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         b[full] -= edge[low[b[full] - 1]]
         full = a < b
         a[full] += edge[low[a[full]]]
-    return range_hashes(low, a, b), at, starts, ends
+    stems = []
+    for n in STEMS:
+        long = np.flatnonzero(b - a > n)
+        stems.append((long, range_hashes(low, a[long], a[long] + n, n)))
+    return range_hashes(low, a, b), at, starts, ends, stems
 
 
 def dense_features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The shape of each text (rows as in DENSE), and its word codes with offsets."""
-    codes, at, starts, ends = word_codes(texts)
+    """The shape of each text (columns as in DENSE), and the codes of its words and stems with their texts."""
+    codes, at, starts, ends, stems = word_codes(texts)
     data, n = texts.data, np.diff(at)
     some, size = np.maximum(n, 1), np.maximum(np.diff(texts.offsets), 1)
     doc = owners(at)
@@ -101,7 +111,7 @@ def dense_features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     solid = per_document(~BLANK[data], texts.offsets)
     columns = [np.log1p(n), solid / some, per["upper"], per["digit"], per["symbol"], per["bang"], per["bar"], per["punctuation"], distinct / some / np.maximum(0.2, 1 - np.log1p(n) / 15), same.astype(float), again / some, np.log1p(n / lines), np.log1p(longest), top / some, capital / some, short / some]
     columns[9] = per_document(same, at) / some
-    return np.stack(columns, 1), codes, at
+    return np.stack(columns, 1), np.concatenate([codes, *[c for _, c in stems]]), np.concatenate([doc, *[doc[i] for i, _ in stems]])
 
 
 def meta_features(source: list, lang: list, size: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
@@ -226,10 +236,9 @@ def both_views(text: pa.Array, source: list, lang: list) -> Iterator[tuple[int,
     """Start, number and views (dense, rows, codes) of parts of a batch; a code once a row."""
     texts = Texts.of(text)
     for a, part in texts.parts():
-        dense, codes, at = dense_features(part)
+        dense, codes, rows = dense_features(part)
         m = len(part)
         meta, tags = meta_features(source[a : a + m], lang[a : a + m], np.diff(part.offsets))
-        rows = owners(at)
         by = np.lexsort((codes, rows))
         codes, rows = codes[by], rows[by]
         new = np.ones(len(by), bool)
@@ -366,7 +375,6 @@ def _limit(n: int, most: float) -> int:
 def _pseudo_labels(free: DataFrame, models: dict[str, CoTrained], confident: float, most: int) -> dict[str, list[tuple]]:
     """By target, for each view the rows (dense, rows, cols, labels) that the other one is confident of, of all documents."""
     cases = [(t, view, label) for t in models for view in (0, 1) for label in (0, 1)]
-    wanted = [max(1, int(most * (models[t].y.mean() if label else 1 - models[t].y.mean()))) for t, _, label in cases]
 
     def sure(table: pa.RecordBatch) -> np.ndarray:
         data = [_arrays(table, "dense", "words"), _arrays(table, "meta", "marks")]
@@ -382,6 +390,11 @@ def _pseudo_labels(free: DataFrame, models: dict[str, CoTrained], confident: flo
 
     has = [F.approx_count_distinct(F.when(F.col("sure").bitwiseAND(1 << i) > 0, F.col("k"))).alias(str(i)) for i in range(len(cases))]
     counts = free.mapInArrow(marks, "k long, sure long").agg(*has).first()
+    found, wanted = dict(zip(cases, counts, strict=True)), []
+    for t, view, label in cases:  # in the proportion of the labels: a view that is sure of one class only teaches nothing
+        share = models[t].y.mean()
+        whole = min(most, found[t, view, 1] / share, found[t, view, 0] / (1 - share))
+        wanted.append(whole * (share if label else 1 - share))
     limits = np.array([_limit(n, w) for n, w in zip(counts, wanted, strict=True)])
 
     def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
