@@ -130,6 +130,18 @@ def unpack_wide(data: bytes) -> np.ndarray:
     return np.cumsum(gaps.view("<u8").reshape(-1).astype(np.uint64) | high << U64(8 * low), dtype=U64)
 
 
+def counts_in(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts as bytes, with the places and values of the few larger ones."""
+    far = np.flatnonzero(x > 254)
+    return np.minimum(x, 255).astype(np.uint8), far.astype(np.uint32), x[far].astype(np.int64)
+
+
+def counts_out(small: np.ndarray, far: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    out = small.astype(np.int64)
+    out[far] = rest
+    return out
+
+
 def bits(x: np.ndarray) -> bytes:
     """Marks, eight to a byte."""
     return np.packbits(x).tobytes()

@@ -12,14 +12,23 @@ A word with K - 1 words before it (K at most ``order``) has the score
 positive, with the words of the rest of the corpus for c(no words); a word found
 nowhere else has ``alpha**K`` over that number (1 at least).
 
+An n-gram of the longest order travels as its context and a code of its last
+word: it lies in the slice of its context, beside the context's own count, and
+contexts are sent once. Rows are packed, one message for all n-grams of a block
+in a slice, as hundreds of millions of n-grams as rows of their own would take
+more than twice the disk.
+
 Defined cases: null and empty texts have no words and score 0; texts of one word
-use the single-word counts; repeated rows count as documents of their own; an
-empty table gives an empty result; extra columns are ignored. Counts are exact
-but for n-grams of one order whose ``code_bits`` fingerprints agree; each order
-has a space of its own. A true n-gram is never more frequent than its context, so
-a hit with a rarer context is such an agreement and counts as not found: no score
-is infinite. At 30 GB, with about 7e9 distinct n-grams, 64 bits let about one
-agreement with a new n-gram be expected.
+use the single-word counts; repeated rows count as documents of their own; null
+ids are ids; very long texts are read whole; an empty table gives an empty
+result; extra columns are ignored. Counts are exact but for n-grams of one order
+whose codes agree: ``code_bits`` bits for orders below the longest, each with a
+space of its own, and for the longest those of its context and ``last_bits`` for
+its last word. A true n-gram is never more frequent than its context, so a hit
+with a rarer context is such an agreement and counts as not found: no score is
+infinite. At 30 GB, with about 4e9 distinct n-grams below the longest order, 64
+bits let less than one agreement be expected; a context with 70,000 different
+last words lets one in a million new ones agree.
 """
 
 from __future__ import annotations
@@ -28,31 +37,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import SENT, blocked, in_order, labels, messages, pack_wide, rounds, slices_of, spread, squeeze, unpack_wide
+from .blocks import SENT, blocked, counts_in, counts_out, in_order, labels, messages, pack_wide, rounds, slices_of, spread, squeeze, unpack_wide
 from .common import slices
-from .text import Fingerprints, Texts, mix, owners
+from .text import Texts, owners, range_hashes, window_hashes
 
 U64 = np.uint64
 SCHEMA = "n_words long, n_full long, score double, mean_score double"
 
 
-def ngrams(texts: Texts, order: int, code_bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Word offsets, and for each order the code of the n-gram that ends at each word (0 where there is none)."""
-    offsets, codes = [np.zeros(1, np.int64)], [[] for _ in range(order)]
+def ngrams(texts: Texts, orders: int, code_bits: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Word offsets, for each order the code of the n-gram that ends at each word (0 where there is none), and the words' own hashes."""
+    offsets, codes, words = [np.zeros(1, np.int64)], [[] for _ in range(orders)], []
     shift = U64(64 - code_bits)
     for _, part in texts.parts():
         starts, ends, at = part.words()
-        prints = Fingerprints(part.data).of(starts, ends)
+        prints = range_hashes(part.data, starts, ends)
         place = np.arange(len(starts)) - np.repeat(at[:-1], np.diff(at))
-        windows = Fingerprints(prints)
-        for k in range(1, order + 1):
+        for k in range(1, orders + 1):
             out = np.zeros(len(starts), U64)
             if len(starts) >= k:
-                out[k - 1 :] = np.maximum(mix(windows.windows(k) + U64(k)) >> shift, U64(1))
+                out[k - 1 :] = np.maximum(window_hashes(prints, k, k) >> shift, U64(1))
             out[place < k - 1] = 0
             codes[k - 1].append(out)
+        words.append(prints)
         offsets.append(at[1:] + offsets[-1][-1])
-    return np.concatenate(offsets), [np.concatenate(c) if c else np.zeros(0, U64) for c in codes]
+    whole = lambda x: np.concatenate(x) if x else np.zeros(0, U64)
+    return np.concatenate(offsets), [whole(c) for c in codes], whole(words)
 
 
 def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,89 +76,127 @@ def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[new], np.diff(np.append(np.flatnonzero(new), len(ranked))), group
 
 
-def own_counts(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """How often each n-gram occurs in its own document."""
-    _, sizes, group = groups(mix(codes + mix(doc.astype(U64))))
-    return sizes[group]
+class Lots:
+    """The distinct n-grams of a block: by order the codes, their counts and, for each word, which of them ends there (-1: none).
+
+    The longest order has keys of the context's place among the codes before it and the code of the last word.
+    """
+
+    def __init__(self, texts: Texts, order: int, code_bits: int, last_bits: int) -> None:
+        self.offsets, codes, words = ngrams(texts, max(1, order - 1), code_bits)
+        self.found, self.counts, self.of = [], [], []
+        for k, c in enumerate(codes):
+            self._add(c, np.flatnonzero(c))
+            codes[k] = None
+        if order > 1:
+            context = np.full(len(words), -1)
+            context[1:] = self.of[-1][:-1]
+            context[self.offsets[:-1][np.diff(self.offsets) > 0]] = -1
+            self._add(context.astype(U64) << U64(last_bits) | words >> U64(64 - last_bits), np.flatnonzero(context >= 0))
+
+    def _add(self, values: np.ndarray, some: np.ndarray) -> None:
+        found, counts, group = groups(values[some])
+        of = np.full(len(values), -1)
+        of[some] = group
+        self.found.append(found)
+        self.counts.append(counts)
+        self.of.append(of)
+
+    def cuts(self, n: int, order: int, code_bits: int, last_bits: int) -> list[np.ndarray]:
+        """By order, where each of n slices begins."""
+        out = [np.searchsorted(slices_of(f << U64(64 - code_bits), n), np.arange(n + 1)) for f in self.found[: max(1, order - 1)]]
+        if order > 1:
+            out.append(np.searchsorted(self.found[-1], out[-1].astype(U64) << U64(last_bits)))
+        return out
+
+
+def pack_last(codes: np.ndarray) -> bytes:
+    """Codes of up to 36 bits: 32 of each, then the rest, two to a byte."""
+    rest = np.zeros(len(codes) + len(codes) % 2, np.uint8)
+    rest[: len(codes)] = codes >> U64(32)
+    return (codes & U64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (rest[::2] | rest[1::2] << 4).tobytes()
 
 
-def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, code_bits: int = 64) -> DataFrame:
+def unpack_last(data: bytes, at: int, n: int) -> np.ndarray:
+    pairs = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 4 * n)
+    rest = np.stack([pairs & 15, pairs >> 4], 1).ravel()[:n]
+    return np.frombuffer(data, np.uint32, n, at).astype(U64) | rest.astype(U64) << U64(32)
+
+
+def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, code_bits: int = 64, last_bits: int = 36) -> DataFrame:
     """One row per document: id, n_words, n_full (words scored at the longest order), score (sum of natural logarithms) and its mean."""
     n = slices(docs.sparkSession)
     keys, id_type = labels(n), docs.schema[id_col].dataType.simpleString()
     texts = blocked(docs, id_col, text_col)
-    shift = U64(64 - code_bits)
-
-    def cuts_of(found: np.ndarray) -> np.ndarray:
-        return np.searchsorted(slices_of(found << shift, n), np.arange(n + 1))
+    low = (U64(1) << U64(last_bits)) - U64(1)
 
     def count(block: pa.Table) -> pa.Table:
-        _, codes = ngrams(Texts.of(block.column("text")), order, code_bits)
-        words = np.array([(codes[0] > 0).sum()])
-        lots = []
-        for k in range(order):
-            found, counts = np.unique(codes[k][codes[k] > 0], return_counts=True)
-            codes[k] = None
-            lots.append((found, counts.astype(np.uint32), cuts_of(found)))
-        out = []
+        lots = Lots(Texts.of(block.column("text")), order, code_bits, last_bits)
+        cuts = lots.cuts(n, order, code_bits, last_bits)
+        words, out = np.array([int(lots.offsets[-1])]), []
         for s in range(n):
-            parts = [(found[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]]) for found, counts, cuts in lots]
-            packed = [pack_wide(found) for found, _ in parts]
-            head = squeeze(words, np.array([len(x) for x in packed]), np.concatenate([c for _, c in parts]))
-            out.append((s, len(head).to_bytes(8, "little") + head + b"".join(packed)))
+            parts = [(f[c[s] : c[s + 1]], m[c[s] : c[s + 1]]) for f, m, c in zip(lots.found, lots.counts, cuts, strict=True)]
+            plain = parts[:-1] if order > 1 else parts
+            packed = [pack_wide(f) for f, _ in plain]
+            last, each = np.zeros(0, U64), np.zeros(0, np.int64)
+            if order > 1:
+                last = parts[-1][0] & low
+                each = np.bincount((parts[-1][0] >> U64(last_bits)).astype(np.int64) - cuts[-2][s], minlength=len(plain[-1][0]))
+            head = squeeze(words, np.array([len(x) for x in packed]), *counts_in(np.concatenate([m for _, m in parts]) - 1), *counts_in(each))
+            out.append((s, len(head).to_bytes(8, "little") + head + b"".join(packed) + pack_last(last)))
         return messages(block, keys, out)  # to every slice, so that each answers with the number of all words
 
     def total(payloads: list[bytes], ranks: np.ndarray) -> list[bytes]:
-        words, codes, counts = 0, [[] for _ in range(order)], [[] for _ in range(order)]
+        words, codes, counts, each, last = 0, [[] for _ in range(max(1, order - 1))], [], [], []
         for p in payloads:
             at = 8 + int.from_bytes(p[:8], "little")
-            own, sizes, numbers = spread(p[8:at], np.int64, np.int64, np.uint32)
+            own, sizes, small, far, rest, small_e, far_e, rest_e = spread(p[8:at], np.int64, np.int64, np.uint8, np.uint32, np.int64, np.uint8, np.uint32, np.int64)
             words += int(own[0])
-            first = 0
             for k, size in enumerate(sizes.tolist()):
                 codes[k].append(unpack_wide(p[at : at + size]))
                 at += size
-                counts[k].append(numbers[first : first + len(codes[k][-1])])
-                first += len(codes[k][-1])
-        sums: list[list[np.ndarray]] = [[] for _ in payloads]
+            counts.append(counts_out(small, far, rest) + 1)
+            each.append(counts_out(small_e, far_e, rest_e))
+            last.append(unpack_last(p, at, int(each[-1].sum())))
+        answers: list[list[np.ndarray]] = [[] for _ in payloads]
+        begin = np.zeros(len(payloads), np.int64)
         for k in range(order):
-            found, at = np.unique(np.concatenate(codes[k]), return_inverse=True)
-            all_ = np.bincount(at, weights=np.concatenate(counts[k]), minlength=len(found)).astype(np.uint64)[at]
-            ends = np.cumsum([0, *map(len, codes[k])])
-            for i in range(len(payloads)):
-                sums[i].append(all_[ends[i] : ends[i + 1]])
-            codes[k] = counts[k] = None
-        out = []
-        for parts in sums:
-            flat = np.concatenate(parts)
-            kind = np.uint32 if not len(flat) or flat.max() < 1 << 32 else np.uint64
-            out.append(squeeze(np.array([words]), np.array([np.dtype(kind).itemsize]), flat.astype(kind)))
-        return out
+            if k < len(codes):
+                sizes = [len(x) for x in codes[k]]
+                found, at = np.unique(np.concatenate(codes[k]), return_inverse=True)
+                codes[k] = None
+            else:
+                sizes = [len(x) for x in last]
+                context = np.repeat(at, np.concatenate(each)).astype(U64)
+                found, at = np.unique(context << U64(last_bits) | np.concatenate(last), return_inverse=True)
+            own = np.concatenate([c[b : b + m] for c, b, m in zip(counts, begin.tolist(), sizes, strict=True)])
+            begin += sizes
+            sums = np.bincount(at, weights=own, minlength=len(found)).astype(np.int64)[at] - own  # in the other blocks
+            for i, part in enumerate(np.split(sums, np.cumsum(sizes)[:-1])):
+                answers[i].append(part)
+        return [squeeze(np.array([words]), *counts_in(np.concatenate(parts))) for parts in answers]
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
-        offsets, codes = ngrams(Texts.of(block.column("text")), order, code_bits)
-        there = [np.flatnonzero(c) for c in codes]
-        lots = []
-        for c, some in zip(codes, there, strict=True):
-            found, _, group = groups(c[some])
-            lots.append((np.zeros(len(found), np.int64), group, cuts_of(found)))
+        lots = Lots(Texts.of(block.column("text")), order, code_bits, last_bits)
+        cuts, totals = lots.cuts(n, order, code_bits, last_bits), lots.counts
         words = 0
         for s, p in zip(answers.column("at").to_pylist(), answers.column("payload"), strict=True):
-            raw = p.as_py()
-            total_, size, _ = spread(raw, np.int64, np.int64, np.uint8)
-            words = int(total_[0])
-            sums, at = spread(raw, np.int64, np.int64, np.uint32 if size[0] == 4 else np.uint64)[2], 0
-            for totals, _, cuts in lots:
-                m = int(cuts[s + 1] - cuts[s])
-                totals[cuts[s] : cuts[s + 1]] = sums[at : at + m]
+            total_, small, far, rest = spread(p.as_py(), np.int64, np.uint8, np.uint32, np.int64)
+            words, sums, at = int(total_[0]), counts_out(small, far, rest), 0
+            for k, c in enumerate(cuts):
+                m = int(c[s + 1] - c[s])
+                totals[k][c[s] : c[s + 1]] += sums[at : at + m]
                 at += m
+        offsets = lots.offsets
         doc, n_words = owners(offsets), np.diff(offsets)
         place = np.arange(len(doc)) - np.repeat(offsets[:-1], n_words)
         others = np.repeat(np.maximum(words - n_words, 1), n_words).astype(float)
         rest = []  # counts in the rest of the corpus, by order
-        for c, some, (totals, group, _) in zip(codes, there, lots, strict=True):
-            r = np.zeros(len(c), np.int64)
-            r[some] = totals[group] - own_counts(c[some], doc[some])
+        for of, sums in zip(lots.of, totals, strict=True):
+            some = np.flatnonzero(of >= 0)
+            _, sizes, group = groups(of[some] * len(n_words) + doc[some])  # of the document's own
+            r = np.zeros(len(of), np.int64)
+            r[some] = sums[of[some]] - sizes[group]
             rest.append(r)
         longest = np.minimum(place + 1, order)
         logs = longest * np.log(alpha) - np.log(others)
@@ -161,7 +209,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             logs[hit] = (longest[hit] - k) * np.log(alpha) + np.log(rest[k - 1][hit]) - np.log(under)
             full |= hit & (longest == k)
             open_ &= ~hit
-        sums = np.bincount(doc, weights=logs, minlength=len(n_words))
+        sums = np.bincount(doc, weights=logs, minlength=len(n_words)).astype(float)
         return pa.table({"id_": block.column("id"), "n_words": pa.array(n_words), "n_full": pa.array(np.bincount(doc[full], minlength=len(n_words))), "score": pa.array(sums), "mean_score": pa.array(sums / np.maximum(n_words, 1))})
 
     counted = rounds(texts.groupBy("block").applyInArrow(lambda block: count(in_order(block)), SENT), total)
