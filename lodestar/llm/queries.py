@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import shared_folder, table
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,6 +215,83 @@ FROM d LEFT JOIN t USING (doc_id)
 """
 
 
+def op11_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived
+
+    out = archived(table(spark, sf_dir, "pages"), f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL_OP11 = r"""
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes,
+       translate(array_to_string(list_transform(range(0, 8), lambda i: to_base(CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT), 32, 4)), ''),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import importance_resample
+
+    out = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL_OP12 = r"""
+WITH tab AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, n)) AS t),
+w AS (
+  SELECT kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM (SELECT 's' AS kind, doc_id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark)),
+x AS (SELECT kind, doc_id, unnest(ws) AS word FROM w),
+u AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM x)),
+c AS (
+  SELECT word, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+                               lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM u, tab),
+n AS (SELECT bucket, count(*) FILTER (WHERE kind = 's') AS s, count(*) FILTER (WHERE kind = 't') AS t FROM x JOIN c USING (word) GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM n),
+v AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM x JOIN c USING (word) JOIN g USING (bucket) WHERE kind = 's' GROUP BY doc_id),
+r AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         CAST('0x' || substr(sha256('2024:' || w.doc_id), 1, 8) AS BIGINT) AS h
+  FROM w LEFT JOIN v USING (doc_id) WHERE kind = 's'),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM r),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM z LEFT JOIN k USING (doc_id)
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compress_vectors
+
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: An assignment takes the least of distance * 64 + entry, which settles ties.
+_NEAREST = "SELECT v.vec_id, v.p, any_value(v.x) AS x, min(64 * list_sum(list_transform(range(1, len(v.x) + 1), lambda j: (v.x[j] - c.x[j]) * (v.x[j] - c.x[j]))) + c.e) AS m FROM v JOIN {c} c ON v.p = c.p GROUP BY v.vec_id, v.p"
+_MEANS = "SELECT c.p, c.e, coalesce(n.x, c.x) AS x FROM {c} c LEFT JOIN (SELECT p, e, list(y ORDER BY j) AS x FROM (SELECT p, m % 64 AS e, j, CAST(floor(sum(x[j]) / count(*)) AS BIGINT) AS y FROM (SELECT p, m, x, unnest(range(1, len(x) + 1)) AS j FROM {a}) GROUP BY ALL) GROUP BY p, e) n USING (p, e)"
+SQL_OP13 = rf"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x, row_number() OVER (ORDER BY vec_id) - 1 AS nth
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, p, nth, x[p * (len(x) // 16) + 1 : (p + 1) * (len(x) // 16)] AS x FROM k, (SELECT unnest(range(0, 16)) AS p)),
+c0 AS MATERIALIZED (SELECT p, nth AS e, x FROM v WHERE nth < 64),
+a0 AS MATERIALIZED ({_NEAREST.format(c="c0")}),
+c1 AS MATERIALIZED ({_MEANS.format(c="c0", a="a0")}),
+a1 AS MATERIALIZED ({_NEAREST.format(c="c1")}),
+c2 AS MATERIALIZED ({_MEANS.format(c="c1", a="a1")}),
+a2 AS MATERIALIZED ({_NEAREST.format(c="c2")}),
+e AS (SELECT vec_id, string_agg(lpad(lower(to_base(CAST(m % 64 AS BIGINT), 16)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN k USING (vec_id), h
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_line_dedup": op2_line_dedup,
@@ -225,5 +303,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_window_dedup": op8_window_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_main_text": op10_main_text,
+    "op11_warc_revisits": op11_warc_revisits,
+    "op12_importance_resample": op12_importance_resample,
+    "op13_vector_codes": op13_vector_codes,
 }
-SQL: dict[str, str] = {"op1_lm_score": SQL_OP1, "op2_line_dedup": SQL_OP2, "op5_string_dedup": SQL_OP5, "op6_source_mix": SQL_OP6, "op7_near_dedup": SQL_OP7, "op8_window_dedup": SQL_OP8, "op9_quality_rules": SQL_OP9}
+SQL: dict[str, str] = {"op1_lm_score": SQL_OP1, "op2_line_dedup": SQL_OP2, "op5_string_dedup": SQL_OP5, "op6_source_mix": SQL_OP6, "op7_near_dedup": SQL_OP7, "op8_window_dedup": SQL_OP8, "op9_quality_rules": SQL_OP9, "op11_warc_revisits": SQL_OP11, "op12_importance_resample": SQL_OP12, "op13_vector_codes": SQL_OP13}
