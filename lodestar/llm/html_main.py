@@ -15,10 +15,15 @@ subtrees of the pages, and each page gets its own.
 Where a page has an article (or main) element, only what lies in it is text,
 and its own paragraphs, headings, lists and tables are never deleted for
 recurring: an article printed on many pages is still the article of each.
+Elsewhere too, subtrees with running text (``PROSE`` letters in a row outside
+links) are deleted for recurring only if an article's worth of other text
+(``ENOUGH`` letters) is left; if not, they are the story, and they keep their
+paragraphs and headings.
 Names (class, id) tell a kind only as whole words or as compounds of known words,
 so ``no-sidebar`` is no sidebar, and never on an element that holds over half of
-the text that there is to choose from; reader comments go however long they are,
-as long as other text is left.
+the text that there is to choose from; neither does the attribute ``hidden``.
+Reader comments and notices whose names say nothing else (``cookie-consent``) go
+however long they are, as long as other text is left.
 
 Defined cases: null html or url counts as empty; an empty html gives an empty
 text; repeated rows each get a row; columns other than id, url and html are
@@ -56,10 +61,16 @@ COMMENTS = frozenset("comment comments commentlist commentbox disqus respond rep
 HEADERS = frozenset("header site-header page-header main-header global-header top-header".split())
 #: Words that may stand beside those above in a compound.
 BESIDE = frozenset("site page main global top bottom left right primary secondary area box block list section container wrapper wrap inner item items bar panel button buttons link links icon icons form post posts article articles blog entry story stories unit slot zone reader readers user users thread count title body text footer header".split())
+#: Words of names that, with nothing but each other, tell a notice of any length.
+NOTICES = frozenset("cookie cookies consent gdpr".split())
+BESIDE_NOTICES = NOTICES | frozenset("notice notices banner popup modal overlay alert bar box message".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z|<[!?/]?\Z", re.S)
-_NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: An attribute: its name, and its value in quotes of either kind or none.
+_ATTRIBUTE = re.compile(r"([^\s\"'/=>][^\s/=>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Letters in a row, outside links, that are running text; letters that are an article's worth.
+PROSE, ENOUGH = 40, 140
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 _SPACE = re.compile(r"\s+")
 
@@ -67,24 +78,26 @@ _SPACE = re.compile(r"\s+")
 class Element:
     """An element of the page; parts are texts and elements in order."""
 
-    __slots__ = ("attrs", "hash", "kind", "parts", "size", "tag")
+    __slots__ = ("attrs", "hash", "kind", "parts", "prose", "size", "tag")
 
     def __init__(self, tag: str, attrs: str) -> None:
         self.tag, self.attrs, self.parts = tag, attrs, []
-        self.hash = self.size = 0
+        self.hash = self.size = self.prose = 0
         self.kind = self._kind()
 
     def _kind(self) -> str:
-        """What the element is by its name: "no" text at all, or a "region", "header" or "comments" if its size allows it."""
+        """What the element is by its name: "no" text at all, or a "region", "header", "notice" or "comments" if its size allows it."""
         if self.tag in DROPPED:
             return "region" if self.tag in ("form", "aside") else "no"
         if not self.attrs or self.tag in ("#root", "html", "body"):
             return ""
         found = ""
-        for name, a, b, c in _NAMES.findall(self.attrs):
+        for name, a, b, c in _ATTRIBUTE.findall(self.attrs):
             name, value = name.lower(), (a or b or c).lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
+            if name == "role" and value in ROLES:
                 return "no"
+            if name == "hidden" or name == "aria-hidden" and value == "true":
+                found = found or "region"
             if name in ("class", "id") and self.tag != "main":
                 for word in value.split():
                     found = found or _named(word)
@@ -95,9 +108,13 @@ def _named(word: str) -> str:
     """The kind that a class or id word tells."""
     if word in HEADERS:
         return "header"
+    if word in NOTICES:
+        return "notice"
     if word in REGIONS or word in COMMENTS:
         return "comments" if word in COMMENTS else "region"
     parts = [x for x in re.split(r"[-_]+", word) if x]
+    if any(x in NOTICES for x in parts) and all(x in BESIDE_NOTICES for x in parts):
+        return "notice"
     if len(parts) > 1 and all(x in REGIONS or x in COMMENTS or x in BESIDE for x in parts):
         if any(x in COMMENTS for x in parts):
             return "comments"
@@ -176,7 +193,7 @@ def parse(text: str) -> Element:
 
 
 def _measure(root: Element) -> None:
-    """Hash of each subtree, from those of its parts, and its number of letters."""
+    """Hash of each subtree, from those of its parts, its number of letters, and those of them in running text."""
     order, todo = [], [root]
     while todo:
         e = todo.pop()
@@ -188,11 +205,13 @@ def _measure(root: Element) -> None:
             if isinstance(p, Element):
                 seen.append(p.hash.to_bytes(8, "little", signed=True))
                 e.size += p.size
+                e.prose += p.prose if e.tag != "a" else 0
             elif x := _SPACE.sub(" ", p).strip():
                 seen.append(b"t" + x.encode("utf-8", "surrogatepass"))
                 e.size += len(x)
+                e.prose += len(x) if len(x) >= PROSE and e.tag != "a" else 0
         if e.kind == "no":
-            e.size = 0
+            e.size = e.prose = 0
         e.hash = xxhash.xxh3_64_intdigest(b"\0".join(seen)) - (1 << 63)
 
 
@@ -215,7 +234,7 @@ def _unwanted(e: Element, whole: int, within: bool) -> bool:
     """Is it no article text? whole: letters of all that there is to choose from; within: an article."""
     if not e.kind or e.kind == "header" and within:
         return False
-    return e.kind == "no" or (e.size < whole if e.kind == "comments" else 2 * e.size <= whole)
+    return e.kind == "no" or (e.size < whole if e.kind in ("comments", "notice") else 2 * e.size <= whole)
 
 
 def _main(root: Element) -> list[Element]:
@@ -252,6 +271,32 @@ def subtree_hashes(text: str) -> set[int]:
     return {e.hash for e in _candidates(root, _main(root))}
 
 
+def _dropped(e: Element, roots: set[int], gone: set[int], whole: int) -> bool:
+    return id(e) in gone or id(e) not in roots and _unwanted(e, whole, bool(roots)) or e.tag == "header" and not roots and 2 * e.size <= whole
+
+
+def _left(root: Element, roots: list[Element], gone: set[int], whole: int) -> int:
+    """Letters that stay if all of ``gone`` is deleted."""
+    n, todo, inner = 0, list(roots) or [root], {id(e) for e in roots}
+    while todo:
+        e = todo.pop()
+        if not _dropped(e, inner, gone, whole):
+            n += sum(len(_SPACE.sub(" ", p).strip()) for p in e.parts if isinstance(p, str))
+            todo += [p for p in e.parts if isinstance(p, Element)]
+    return n
+
+
+def _told(stories: list[Element]) -> set[int]:
+    """The stories, with the paragraphs, headings, lists and tables in them, and what in them holds running text."""
+    told, todo = set(), list(stories)
+    while todo:
+        e = todo.pop()
+        if id(e) not in told:
+            told.add(id(e))
+            todo += [p for p in e.parts if isinstance(p, Element) and (p.tag in INLINE_TEXT or p.prose)]
+    return told
+
+
 def main_text(text: str, template: Container[int], host: str | None = None) -> tuple[str, int]:
     """The text without the subtrees of the template (their hashes, with a host as ``of_host`` gives them), and how many it has."""
     root = parse(text)
@@ -259,8 +304,11 @@ def main_text(text: str, template: Container[int], host: str | None = None) -> t
     named = (lambda x: x) if host is None else (lambda x: of_host(host, x))
     found = [(e, named(e.hash)) for e in _candidates(root, roots)]
     found = [(e, x) for e, x in found if x in template]
-    gone = {id(e) for e, _ in found}
     whole = sum(e.size for e in roots) if roots else root.size
+    gone = {id(e) for e, _ in found}
+    if any(e.prose for e, _ in found) and _left(root, roots, gone, whole) < ENOUGH:
+        told = _told([e for e, _ in found if e.prose])
+        gone -= told
     blocks: list[str] = []
     run: list[str] = []
 
@@ -271,6 +319,7 @@ def main_text(text: str, template: Container[int], host: str | None = None) -> t
                 blocks.append(block)
             run.clear()
 
+    inner = {id(e) for e in roots}
     todo: list = list(reversed(roots)) if roots else [root]
     while todo:
         p = todo.pop()
@@ -280,7 +329,7 @@ def main_text(text: str, template: Container[int], host: str | None = None) -> t
             flush()
         elif p.tag == "br":
             run.append(" ")
-        elif id(p) in gone or p not in roots and _unwanted(p, whole, bool(roots)) or p.tag == "header" and not roots and 2 * p.size <= whole:
+        elif _dropped(p, inner, gone, whole):
             if p.tag in BLOCKS:
                 flush()
         elif p.tag in BLOCKS:
