@@ -9,6 +9,12 @@ hit is compared in full. The text around it is verified with Myers' bit-parallel
 distance, the whole item against any passage. Items of fewer than
 ``short_bytes`` bytes have no budget and are found as whole words.
 
+A piece that many items share (the opening of a template) says little. Its hits
+are gathered as arrays, and the text around them is cut into tiles; an edit
+spoils at most ``GRAM`` of an item's byte runs of that length, so an item whose
+remaining runs are not nearly all in the tile needs no verification. Runs that
+many items share are taken as found, so what is counted is what tells them apart.
+
 The items go to the executors in lots of ``lot_bytes``; ``lots_a_pass`` of them
 are looked for in one pass, which normalises each text once. If there are more,
 every pass writes its hits, and they are joined to the documents by hashes of
@@ -88,6 +94,8 @@ class Pattern:
         return best, end
 
 
+#: A seed with over so many pieces is a crowd; bytes of the runs that tell its items apart.
+MANY, GRAM = 4, 5
 #: Pieces are looked up by so many of their first bytes, as many as they have.
 SEEDS = (16, 12, 8)
 
@@ -96,9 +104,15 @@ class Seeds:
     """Pieces of one seed length: a table of marks for all places of a text, and the pieces of each seed."""
 
     def __init__(self, seed: int, cut: list[tuple[int, int, bytes]]) -> None:
-        self.seed, self.lookup = seed, {}
+        self.seed, self.lookup, self.crowds = seed, {}, {}
         for k, at, p in cut:
             self.lookup.setdefault(p[:seed], []).append((k, at, p))
+        for key, own in self.lookup.items():
+            if len(own) > MANY:
+                by: dict[bytes, list[tuple[int, int]]] = {}
+                for k, at, p in own:
+                    by.setdefault(p, []).append((k, at))
+                self.crowds[key] = [(p, np.array(x, np.int64).T) for p, x in by.items()]
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.cells(np.frombuffer(b"".join(self.lookup), np.uint8))[::seed]] = True
 
@@ -111,6 +125,46 @@ class Seeds:
         return ((mixed ^ mixed >> U64(31)) * U64(0x94D049BB133111EB) >> U64(64 - TABLE_BITS)).astype(np.int64)
 
 
+class Runs:
+    """The byte runs of the items that share pieces with many, to tell which of them a tile of text may hold."""
+
+    def __init__(self, texts: list[bytes], errors: list[int], which: list[int]) -> None:
+        item = np.repeat(np.array(which, np.int64), [max(0, len(texts[k]) - GRAM + 1) for k in which])
+        codes = np.concatenate([self.codes(np.frombuffer(texts[k], np.uint8)) for k in which])
+        order = np.argsort(codes, kind="stable")
+        self.known, at, n = np.unique(codes[order], return_index=True, return_counts=True)
+        self.item, self.at, self.n = item[order].astype(np.int32), at, n
+        hot = n > max(64, len(which) // 20)
+        self.need = np.zeros(len(texts), np.int64)
+        for k in which:
+            self.need[k] = len(texts[k]) - GRAM + 1 - GRAM * errors[k]
+        taken = np.repeat(hot, n)
+        self.need -= np.bincount(self.item[taken], minlength=len(texts))
+        self.n = np.where(hot, 0, n)
+
+    @staticmethod
+    def codes(data: np.ndarray) -> np.ndarray:
+        """A number for each run; that two runs share one can only add a candidate."""
+        n = len(data) - GRAM + 1
+        if n <= 0:
+            return np.zeros(0, np.uint32)
+        word = np.zeros(n, U64)
+        for i in range(GRAM):
+            word = word << U64(8) | data[i : i + n].astype(U64)
+        return (word * U64(0x9E3779B97F4A7C15) >> U64(32)).astype(np.uint32)
+
+    def may_hold(self, tile: np.ndarray) -> np.ndarray:
+        """For each item whether enough of its runs are in the tile."""
+        codes = np.unique(self.codes(tile))
+        at = np.searchsorted(self.known, codes)
+        at = at[at < len(self.known)]
+        at = at[np.isin(self.known[at], codes)]
+        n = self.n[at]
+        first = np.repeat(self.at[at] - np.cumsum(n) + n, n)
+        found = self.item[first + np.arange(len(first))]
+        return np.bincount(found, minlength=len(self.need)) >= self.need
+
+
 class Items:
     """A lot of items, ready to be looked up."""
 
@@ -124,6 +178,8 @@ class Items:
         for x in cut:
             by.setdefault(next(s for s in SEEDS if len(x[2]) >= s), []).append(x)
         self.seeds = [Seeds(s, x) for s, x in by.items()]
+        self.sizes, self.edits = np.array([len(t) for t in self.texts], np.int64), np.array(self.errors, np.int64)
+        self.runs: Runs | None = None  # made when a crowd is met
         self.words: dict[int, dict[int, list[int]]] = {}  # short items by number of words and hash
         for k in np.flatnonzero(short).tolist():
             starts, ends, _ = Texts.of(pa.array([self.texts[k].decode("utf-8", "replace")])).words()
@@ -139,14 +195,21 @@ class Items:
         starts = np.cumsum([0, *(len(t) + 16 for t in texts)])
         data = np.frombuffer(joined, np.uint8)
         ranges: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        met: list[tuple[int, int, np.ndarray]] = []
         for seeds in self.seeds:
             hits = np.flatnonzero(seeds.table[seeds.cells(data)])
             docs = np.searchsorted(starts, hits, "right") - 1
             for h, d in zip(hits.tolist(), docs.tolist(), strict=True):
-                for k, at, p in seeds.lookup.get(joined[h : h + seeds.seed], ()):
+                key = joined[h : h + seeds.seed]
+                if key in seeds.crowds:
+                    met += [(h, d, own) for p, own in seeds.crowds[key] if joined.startswith(p, h)]
+                    continue
+                for k, at, p in seeds.lookup.get(key, ()):
                     if joined.startswith(p, h):
                         a = h - at - self.errors[k]
                         ranges.setdefault((d, k), []).append((max(a, int(starts[d])), min(a + len(self.texts[k]) + 2 * self.errors[k], int(starts[d]) + len(texts[d]))))
+        if met:
+            self._crowded(data, starts, [len(t) for t in texts], met, ranges)
         found: dict[int, dict[int, int]] = {}
         for (d, k), spans in ranges.items():
             distance = self._verified(joined, k, spans)
@@ -156,6 +219,32 @@ class Items:
             self._whole_words(texts, found)
         return found
 
+    def _crowded(self, data: np.ndarray, starts: np.ndarray, sizes: list[int], met: list[tuple[int, int, np.ndarray]], ranges: dict[tuple[int, int], list[tuple[int, int]]]) -> None:
+        """Adds the spans of those items of the crowds that the text around their hits may hold."""
+        if self.runs is None:
+            self.runs = Runs(self.texts, self.errors, sorted({int(k) for s in self.seeds for own in s.crowds.values() for _, x in own for k in x[0]}))
+        n = [x.shape[1] for _, _, x in met]
+        k, at = np.concatenate([x for _, _, x in met], 1)
+        h, d = np.repeat([x[0] for x in met], n), np.repeat([x[1] for x in met], n)
+        first = starts[d]
+        a = np.maximum(h - at - self.edits[k], first)
+        b = np.minimum(a + self.sizes[k] + 2 * self.edits[k], first + np.array(sizes)[d])
+        # windows of up to a power of two lie in a tile of twice that, one of which begins at each multiple of it
+        power = np.ceil(np.log2(self.sizes[k] + 2 * self.edits[k])).astype(np.int64)
+        tiles, tile = np.unique((d << 5 | power) << 32 | a - first >> power, return_inverse=True)
+        code = tile * len(self.texts) + k
+        order = np.argsort(code)
+        cuts = np.flatnonzero(np.diff(code[order], prepend=-1))
+        own, a, b = code[order][cuts], np.minimum.reduceat(a[order], cuts), np.maximum.reduceat(b[order], cuts)
+        of, k = own // len(self.texts), own % len(self.texts)
+        edges = np.searchsorted(of, np.arange(len(tiles) + 1))
+        for i, x in enumerate(tiles.tolist()):
+            d0, p0, at0 = x >> 37, x >> 32 & 31, x & 0xFFFFFFFF
+            begin = int(starts[d0]) + (at0 << p0)
+            may = self.runs.may_hold(data[begin : min(begin + (2 << p0), int(starts[d0]) + sizes[d0])])
+            for j in (np.flatnonzero(may[k[edges[i] : edges[i + 1]]]) + edges[i]).tolist():
+                ranges.setdefault((d0, int(k[j])), []).append((int(a[j]), int(b[j])))
+
     def _verified(self, joined: bytes, k: int, spans: list[tuple[int, int]]) -> int | None:
         """The distance of an item to the best passage of the spans, if the budget allows it."""
         item, limit = self.texts[k], self.errors[k]
