@@ -85,7 +85,7 @@ class _Deltas:
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """cell (position and entry as one number), count and sums of the cells touched."""
-        n, sums = self.n.reshape(-1), self.sums.reshape(len(self.n.reshape(-1)), -1)
+        n, sums = self.n.reshape(-1), self.sums.reshape(self.n.size, self.sums.shape[2])
         at = np.flatnonzero((n != 0) | (sums != 0).any(1))
         return at, n[at], sums[at]
 

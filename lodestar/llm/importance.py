@@ -96,9 +96,9 @@ def feature_buckets(texts: Texts, most: int, buckets: int) -> tuple[np.ndarray,
             at, state = at[going], state[going]
             state = CRC[(state ^ U32(32)) & U32(255)] ^ (state >> U32(8))
         state = advance(state, data, starts[at + k], ends[at + k])
-        found.append((state ^ U32(0xFFFFFFFF)) % U32(buckets))
+        found.append((state ^ U32(0xFFFFFFFF)).astype(np.int64) % buckets)
         owner.append(doc[at])
-    return np.concatenate(found).astype(np.int64), np.concatenate(owner), np.diff(offsets)
+    return np.concatenate(found), np.concatenate(owner), np.diff(offsets)
 
 
 def bucket_counts(docs: DataFrame, text_col: str = "text", most: int = 1, buckets: int = 10_000) -> DataFrame:
