@@ -189,6 +189,18 @@ def candidates(records: DataFrame, entities: DataFrame, m: Matching = Matching()
     return out.select("profile", "n_records", F.coalesce("entity", "_entity").alias("entity"))
 
 
+def sized_candidates(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
+    """profile, n_records, entity and n, the number of the profile's candidates: of a whole group it is known before."""
+    rows, members = filtered(records, entities, m)
+    if m.filters:
+        rows = rows.withColumn("n", F.when(F.col("entity").isNull(), F.col("n_group")).otherwise(F.count(F.lit(1)).over(W.partitionBy("profile"))))
+    else:
+        rows = rows.withColumn("n", F.col("n_group"))
+    theirs = members.select("k", F.col("g").alias("_g"), F.col("entity").alias("_entity"))
+    out = rows.join(theirs, F.col("entity").isNull() & (F.col("key") == F.col("k")) & (F.col("g") == F.col("_g")), "left")
+    return out.select("profile", "n_records", F.coalesce("entity", "_entity").alias("entity"), "n")
+
+
 def candidate_pairs(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
     """record, entity: every candidate of every record."""
     return profiles(records, m).select("record", "profile").join(candidates(records, entities, m).drop("n_records"), "profile").select("record", "entity")

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .quantiles import quantiles
+
 
 @dataclass(frozen=True)
 class Specification:
@@ -220,10 +222,8 @@ def placebo_periods(df: DataFrame, unit: str, period: str, outcome: str, treated
 
 def trimmed(df: DataFrame, column: str, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Rows between two exact percentiles, bounds included."""
-    edges = df.agg(F.percentile(column, F.array(F.lit(lo), F.lit(hi))).alias("_e"))
-    return df.crossJoin(edges).where(F.col(column).between(F.col("_e")[0], F.col("_e")[1])).drop("_e")
+    return df.crossJoin(quantiles(df, column, (lo, hi))).where(F.col(column).between(F.col("_e")[0], F.col("_e")[1])).drop("_e")
 
 
 def winsorised(df: DataFrame, column: str, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    edges = df.agg(F.percentile(column, F.array(F.lit(lo), F.lit(hi))).alias("_e"))
-    return df.crossJoin(edges).withColumn(column, F.least(F.greatest(F.col(column), F.col("_e")[0]), F.col("_e")[1])).drop("_e")
+    return df.crossJoin(quantiles(df, column, (lo, hi))).withColumn(column, F.least(F.greatest(F.col(column), F.col("_e")[0]), F.col("_e")[1])).drop("_e")

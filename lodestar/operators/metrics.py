@@ -8,8 +8,13 @@ table is read once, and no window holds all of it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..storage import stored
+
+
 def by_score(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, s, p (positives), n (negatives), null scores and labels left out."""
     ok = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
@@ -23,20 +28,27 @@ def _range(s: Column, steps: int = 64) -> Column:
     return F.when(F.isnan(x), 9000 * steps).when(x > 0, at(x)).when(x < 0, -at(-x)).otherwise(0).cast("int")
 
 
+def prefix_sums(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), value: str = "s", descending: bool = False) -> DataFrame:
+    """Adds r (the range of the value) and, for each column, below_ (its sum over smaller values, or larger ones) and
+    all_ (its sum over all), by keys. Values are distinct within the keys, and keep their own type."""
+    placed = df.withColumn("r", _range(F.col(value)))
+    way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    sums = placed.groupBy(*keys, "r").agg(*[F.sum(c).alias(c) for c in columns])
+    own = W.partitionBy(*keys)
+    across = own.orderBy(way("r")).rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(*keys, "r", *[F.coalesce(F.sum(c).over(across), F.lit(0)).alias(f"_b_{c}") for c in columns], *[F.sum(c).over(own).alias(f"all_{c}") for c in columns])
+    within = W.partitionBy(*keys, "r").orderBy(way(value)).rowsBetween(W.unboundedPreceding, -1)
+    out = placed.join(before, [*keys, "r"])
+    return out.withColumns({f"below_{c}": F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns}).drop(*[f"_b_{c}" for c in columns])
+
+
 def running(counts: DataFrame, keys: tuple[str, ...] = (), descending: bool = True) -> DataFrame:
     """tp, fp: counts at or above each score (or at or below), and the totals all_p, all_n.
 
-    A prefix sum in two levels: within ranges of scores, and over the sums of the ranges. Scores keep their own type.
+    Prefix sums in two levels: within ranges of scores, and over the sums of the ranges. Scores keep their own type.
     """
-    placed = counts.withColumn("r", _range(F.col("s")))
-    order = F.col("s").desc() if descending else F.col("s").asc()
-    sums = placed.groupBy(*keys, "r").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
-    own = W.partitionBy(*keys)
-    across = own.orderBy(F.col("r").desc() if descending else F.col("r").asc()).rowsBetween(W.unboundedPreceding, -1)
-    before = sums.select(*keys, "r", F.coalesce(F.sum("rp").over(across), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(across), F.lit(0)).alias("bn"), F.sum("rp").over(own).alias("all_p"), F.sum("rn").over(own).alias("all_n"))
-    within = W.partitionBy(*keys, "r").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    out = placed.join(before, [*keys, "r"])
-    return out.select(*keys, "s", "p", "n", "all_p", "all_n", "r", (F.col("bp") + F.sum("p").over(within)).alias("tp"), (F.col("bn") + F.sum("n").over(within)).alias("fp"))
+    out = prefix_sums(counts, ("p", "n"), keys, "s", descending)
+    return out.select(*keys, "s", "p", "n", "all_p", "all_n", "r", (F.col("below_p") + F.col("p")).alias("tp"), (F.col("below_n") + F.col("n")).alias("fp"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -93,9 +105,11 @@ def log_loss(p: Column, y: Column, eps: float = 1e-10) -> Column:
 
 def calibration(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """bin, n, mean_predicted, observed: by exact quantile edges, empty bins left out."""
-    edges = df.agg(F.percentile(score, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e"))
-    inner = F.slice("e", 2, bins - 1)
-    placed = df.crossJoin(edges).withColumn("bin", F.size(F.filter(inner, lambda x: x <= F.col(score))))
+    from .quantiles import quantiles  # which needs the running sums above
+
+    rows = stored(df.select(score, label), "scores")  # read once for the edges, once for the bins
+    inner = F.slice("_e", 2, bins - 1)
+    placed = rows.crossJoin(quantiles(rows, score, [i / bins for i in range(bins + 1)])).withColumn("bin", F.size(F.filter(inner, lambda x: x <= F.col(score))))
     return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_predicted"), F.avg(F.col(label).cast("double")).alias("observed"))
 
 

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .candidates import Matching, candidates, filtered, profiles
+from ..storage import stored
+from .candidates import Matching, filtered, profiles, sized_candidates
 from .cleaning import surrogate_key
 from .disaggregation import expected_probability, hash60, hashed_draws, shares
-from .metrics import all_metrics, roc_auc
+from .metrics import all_metrics, prefix_sums
+from .quantiles import quantiles
 
 
 def nested_draw_counts(draws: DataFrame, sizes: Sequence[int]) -> DataFrame:
@@ -85,26 +87,74 @@ def truth_metrics(scores: DataFrame, truths: DataFrame, key: str) -> DataFrame:
     return score_metrics(every, truths, (key,), (key,))
 
 
+def areas_without(scores: DataFrame, moves: DataFrame, truth: DataFrame) -> DataFrame:
+    """fold, n, prevalence, full, without, brier: the ROC area over all scores and with each fold's moves applied.
+
+    ``scores``: entity, share. ``moves``: fold, entity, off (what the fold takes off the share), one row a fold and
+    entity. Shares count in nine digits; an entity without any left is not scored. ``brier`` is that of the fold's
+    shares over their sum. An index of the shares (how many true and other entities lie below each value) gives the
+    pairs that every moved entity wins before and after; pairs of two moved entities are counted within the fold. So the
+    rows are those of ``moves`` and of ``scores``, never a fold times all entities.
+    """
+    known = truth.select("entity", F.lit(1).alias("y")).distinct()
+    shares = scores.select("entity", "share", F.round("share", 9).alias("old")).where("old > 0")
+    every = stored(shares.join(known, "entity", "left").withColumn("y", F.coalesce("y", F.lit(0))), "shares")
+    new = F.round(F.col("share") - F.col("off"), 9)
+    moved = moves.join(every, "entity").withColumn("new", F.when(new > 0, new))
+    p, n = F.col("y"), 1 - F.col("y")
+    kept, x = F.col("new").isNotNull(), F.coalesce("new", F.lit(0.0))
+    groups = moved.groupBy("fold", "y", "old", "new").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("share") * F.col("share")).alias("was2"), F.sum("share").alias("was1"), F.sum("off").alias("off"), F.sum(F.when(kept, F.pow(F.col("share") - F.col("off"), 2))).alias("is2"), F.sum(F.when(kept, F.col("share") - F.col("off"))).alias("is1"))
+    groups = stored(groups, "moves")
+    # the index: counts below each value that an entity has or comes to
+    own = every.groupBy(F.col("old").alias("s")).agg(F.sum(p).alias("p"), F.sum(n).alias("n"))
+    asked = groups.where(kept).select(F.col("new").alias("s"), F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("n")).distinct()
+    index = prefix_sums(own.unionByName(asked).groupBy("s").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), ("p", "n"))
+    wins = F.col("below_n") + F.col("n") / 2.0  # of a true entity with this value over others
+    losses = F.col("all_p") - F.col("below_p") - F.col("p") / 2.0  # of another to true ones
+    index = stored(index.select("s", "p", wins.alias("wins"), losses.alias("losses"), "all_p", "all_n"), "index")
+    total = index.agg(F.sum(F.col("p") * F.col("wins")).alias("u"), F.max("all_p").alias("all_p"), F.max("all_n").alias("all_n"))
+    sums = every.agg(F.sum("share").alias("t1"), F.sum(F.col("share") * F.col("share")).alias("t2"), F.sum(p * F.col("share")).alias("ty"))
+    sides = F.explode(F.filter(F.array(F.struct(F.lit(-1).alias("sign"), F.col("old").alias("s")), F.struct(F.lit(1).alias("sign"), F.col("new").alias("s"))), lambda z: z["s"].isNotNull()))
+    turned = groups.select("fold", "y", "k", sides.alias("z")).select("fold", "y", "k", "z.sign", "z.s")
+    change = turned.join(index.select("s", "wins", "losses"), "s").groupBy("fold").agg(F.sum(F.col("sign") * F.col("k") * F.when(p == 1, F.col("wins")).otherwise(F.col("losses"))).alias("du"))
+    # pairs within a fold: true at old or new values against others at old or new values
+    at = lambda side, c: F.sum(F.when(F.col("sign") == side, F.col("k") * c).otherwise(0)).alias
+    cells = turned.groupBy("fold", "s").agg(at(-1, p)("po"), at(1, p)("pn"), at(-1, n)("no"), at(1, n)("nn"))
+    cells = prefix_sums(cells, ("no", "nn"), ("fold",))
+    over = lambda c: F.col(f"below_{c}") + F.col(c) / 2.0
+    pairs = cells.groupBy("fold").agg(F.sum((F.col("po") - F.col("pn")) * over("no") + (F.col("pn") - F.col("po")) * over("nn")).alias("pairs"))
+    gone = groups.groupBy("fold").agg(
+        F.sum(F.when(~kept, F.col("k") * p).otherwise(0)).alias("gone_p"),
+        F.sum(F.when(~kept, F.col("k") * n).otherwise(0)).alias("gone_n"),
+        F.sum(F.coalesce("is2", F.lit(0.0)) - F.col("was2")).alias("d2"),
+        F.sum(F.coalesce("is1", F.lit(0.0)) - F.col("was1")).alias("d1"),
+        F.sum(p * (F.coalesce("is1", F.lit(0.0)) - F.col("was1"))).alias("dy"),
+    )
+    out = gone.join(change, "fold").join(pairs, "fold").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(sums))  # one row each
+    left_p, left_n = F.col("all_p") - F.col("gone_p"), F.col("all_n") - F.col("gone_n")
+    area = lambda u, a, b: u / F.nullif((a * b).cast("double"), F.lit(0.0))
+    t = F.col("t1") + F.col("d1")
+    brier = ((F.col("t2") + F.col("d2")) / (t * t) - 2 * (F.col("ty") + F.col("dy")) / t + left_p) / (left_p + left_n)
+    return out.select("fold", (left_p + left_n).alias("n"), (left_p / (left_p + left_n)).alias("prevalence"), area(F.col("u"), F.col("all_p"), F.col("all_n")).alias("full"), area(F.col("u") + F.col("du") + F.col("pairs"), left_p, left_n).alias("without"), brier.alias("brier"))
+
+
 def influence(records: DataFrame, entities: DataFrame, truth: DataFrame, m: Matching = Matching()) -> DataFrame:
-    """profile, n_records, full, without, influence: what leaving one record of the profile out does to the ROC area.
+    """fold, n_records, full, without, influence: what leaving one record of the profile out does to the ROC area.
 
-    Records of one profile have one influence, so there are as many score tables as profiles, not as records. Each is
-    all entities, with the record's share off its candidates; the scale changes no order.
+    Records of one profile have one influence, so there are as many folds as profiles, not as records. A fold's moves
+    are the record's share off its candidates; the scale changes no order.
     """
-    every = shares(records, entities, m)
-    found = candidates(records, entities, m).withColumn("own", 1.0 / F.count(F.lit(1)).over(W.partitionBy("profile")))
-    found = found.select(F.to_json("profile").alias("fold"), "profile", "n_records", "entity", "own")
-    folds = found.select("fold", "n_records").distinct()
-    left = folds.crossJoin(every).join(found.select("fold", "entity", "own"), ["fold", "entity"], "left")
-    rest = F.round(F.col("share") - F.coalesce("own", F.lit(0.0)), 9)
-    without = roc_auc(_marked(left.select("fold", "entity", rest.alias("s")).where("s > 0"), truth), "s", "y", ("fold",))
-    full = roc_auc(_marked(every.select("entity", F.round("share", 9).alias("s")), truth), "s", "y")
-    out = folds.join(without.withColumnRenamed("roc_auc", "without"), "fold").crossJoin(full.withColumnRenamed("roc_auc", "full"))
+    found = stored(sized_candidates(records, entities, m).select(F.to_json("profile").alias("fold"), "n_records", "entity", (1.0 / F.col("n")).alias("off")), "moves")
+    out = areas_without(shares(records, entities, m), found.select("fold", "entity", "off"), truth)
+    out = out.join(found.select("fold", "n_records").distinct(), "fold")
     return out.select("fold", "n_records", "full", "without", (F.col("full") - F.col("without")).alias("influence"))
 
 
-def _marked(scores: DataFrame, truth: DataFrame) -> DataFrame:
-    return scores.join(truth.select("entity", F.lit(1).alias("y")).distinct(), "entity", "left").withColumn("y", F.coalesce("y", F.lit(0)))
+def group_areas(group_shares: DataFrame, group: str, truth: DataFrame) -> DataFrame:
+    """fold, n, prevalence, full, without, brier from (group, entity, share): what all records outside the group score."""
+    each = stored(group_shares.groupBy(F.col(group).alias("fold"), "entity").agg(F.sum("share").alias("off")), "folds")
+    every = each.groupBy("entity").agg(F.sum("off").alias("share"))
+    return areas_without(every, each, truth)
 
 
 def resample_counts(rows: DataFrame, order: str, replicates: int, seed: int = 42) -> DataFrame:
@@ -148,21 +198,21 @@ def jackknife(records: DataFrame, entities: DataFrame, m: Matching = Matching())
     In closed form: the record's own share comes off its candidates, the number of matched records falls by one; all
     other entities are scaled. One row for each profile and candidate, whatever the number of records.
     """
-    found = candidates(records, entities, m).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("profile")))
-    share = found.withColumn("own", 1.0 / F.col("n"))
-    total = share.groupBy("entity").agg(F.sum(F.col("n_records") * F.col("own")).alias("sum"))
-    matched = found.select("profile", "n_records").distinct().agg(F.sum("n_records").alias("matched"))
+    share = sized_candidates(records, entities, m).withColumn("own", 1.0 / F.col("n"))
+    total = shares(records, entities, m).withColumnRenamed("share", "sum")
+    matched = total.agg(F.round(F.sum("sum")).alias("matched"))  # a record's shares add up to one
     out = share.join(total, "entity").crossJoin(matched)
     return out.select("profile", "n_records", "entity", (F.col("sum") / F.col("matched")).alias("full"), F.try_divide(F.col("sum") - F.col("own"), F.col("matched") - 1).alias("without"))
 
 
 def leave_group_out(shares: DataFrame, group: str) -> DataFrame:
-    """fold, entity, probability from (group, entity, share, records): all records outside the fold, by subtraction."""
-    every = shares.groupBy("entity").agg(F.sum("share").alias("s"))
-    total = shares.agg(F.sum("share").alias("t"))
-    fold = shares.select(F.col(group).alias("fold"), "entity", "share")
-    size = fold.groupBy("fold").agg(F.sum("share").alias("ft"))
-    grid = size.crossJoin(every).join(fold.groupBy("fold", "entity").agg(F.sum("share").alias("fs")), ["fold", "entity"], "left").crossJoin(total)
+    """fold, entity, probability from (group, entity, share): all records outside the fold, by subtraction. The table
+    itself has a row for each fold and entity; ``group_areas`` scores the folds without it."""
+    each = stored(shares.groupBy(F.col(group).alias("fold"), "entity").agg(F.sum("share").alias("fs")), "folds")
+    every = each.groupBy("entity").agg(F.sum("fs").alias("s"))
+    total = each.agg(F.sum("fs").alias("t"))
+    size = each.groupBy("fold").agg(F.sum("fs").alias("ft"))
+    grid = size.crossJoin(every).join(each, ["fold", "entity"], "left").crossJoin(total)
     left = F.col("s") - F.coalesce("fs", F.lit(0.0))
     return grid.select("fold", "entity", F.try_divide(left, F.col("t") - F.col("ft")).alias("probability")).where(left > 1e-12)
 
@@ -192,16 +242,15 @@ def percentile_interval(replicates: DataFrame, value: str, lo: float = 0.025, hi
 
 def strata(df: DataFrame, value: str, cuts: Sequence[float] = (0.5, 0.9)) -> DataFrame:
     """stratum: low, mid or high by exact percentiles, upper bounds included; null values are in none."""
-    edges = df.agg(*[F.percentile(value, F.lit(c)).alias(f"_e{i}") for i, c in enumerate(cuts)])
-    out = df.crossJoin(edges)
-    return out.withColumn("stratum", F.when(F.col(value) <= F.col("_e0"), "low").when(F.col(value) <= F.col("_e1"), "mid").when(F.col(value) > F.col("_e1"), "high")).drop("_e0", "_e1")
+    out = df.crossJoin(quantiles(df, value, cuts))
+    low, mid = F.col("_e")[0], F.col("_e")[1]
+    return out.withColumn("stratum", F.when(F.col(value) <= low, "low").when(F.col(value) <= mid, "mid").when(F.col(value) > mid, "high")).drop("_e")
 
 
 def quantile_bands(df: DataFrame, value: str, n: int) -> DataFrame:
     """band: edges at exact quantiles; the number of edges at or below, less one, within 0 .. n - 1."""
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("_e"))
     count = F.size(F.filter("_e", lambda x: x <= F.col(value))) - 1
-    return df.crossJoin(edges).withColumn("band", F.least(F.greatest(count, F.lit(0)), F.lit(n - 1))).drop("_e")
+    return df.crossJoin(quantiles(df, value, [i / n for i in range(n + 1)])).withColumn("band", F.least(F.greatest(count, F.lit(0)), F.lit(n - 1))).drop("_e")
 
 
 def spatial_blocks(df: DataFrame, x: str, y: str, n: int) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .quantiles import quantiles
+
 
 def group_rates(df: DataFrame, key: str, column: str, hit: Column, digits: int = 3) -> DataFrame:
     """key, column_mean, column_sum, count, match_rate: rows without a key are left out; the rate is rounded."""
@@ -26,11 +28,10 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column_name, n, mean, std, min, q25, q50, q75, max by one pass over all columns."""
+    """column_name, n, mean, std, min, q25, q50, q75, max by few passes over all columns at once."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy("column_name").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), q.alias("q"))
-    return out.select("column_name", "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    out = long.groupBy("column_name").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return out.join(quantiles(long, "v", (0.25, 0.5, 0.75), ("column_name",), "q"), "column_name", "left").select("column_name", "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
 def cell_sums(cells: DataFrame, grid: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

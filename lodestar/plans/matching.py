@@ -229,8 +229,7 @@ a AS (SELECT r.key AS fold, entity, 1.0::DOUBLE / n AS s FROM cand JOIN pn USING
 f AS (SELECT DISTINCT fold FROM a)
 SELECT f.fold, entity, round(sum(s) / min(t), 6) + 0.0 AS probability FROM f JOIN a ON a.fold <> f.fold JOIN (SELECT f.fold AS g, sum(s) AS t FROM f JOIN a ON a.fold <> f.fold GROUP BY 1) ON g = f.fold GROUP BY f.fold, entity""")
 def leave_group_out(spark, d):
-    found = C.candidates(records(spark, d), entities(spark, d), CANONICAL)
-    sized = found.join(found.groupBy("profile").agg(F.count(F.lit(1)).alias("n")), "profile")
+    sized = C.sized_candidates(records(spark, d), entities(spark, d), CANONICAL)
     shares = sized.groupBy(F.col("profile.key").alias("key"), "entity").agg(F.sum(F.col("n_records") / F.col("n")).alias("share"))
     return R.leave_group_out(shares, "key").select("fold", "entity", r6("probability", "probability"))
 

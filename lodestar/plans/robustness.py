@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import candidates as C, cleaning as K, disaggregation as D, metrics as M, resampling as R
 from ..operators.candidates import Filter, Matching
@@ -129,11 +129,24 @@ a AS (SELECT r.key AS fold, entity, 1.0::DOUBLE / n AS s FROM cand JOIN pn USING
 t AS (SELECT f.fold, sum(s) AS t FROM f JOIN a ON a.fold <> f.fold GROUP BY 1),
 sc AS (SELECT f.fold AS cfg, entity, round(sum(s) / min(t), 9) AS s, any_value({_TRUE.removesuffix(' AS y')}) AS y FROM f JOIN a ON a.fold <> f.fold JOIN t ON t.fold = f.fold JOIN ent USING (entity) GROUP BY ALL), {METRICS} SELECT cfg AS fold, {_ROUNDED} FROM met""")
 def leave_group_out_metrics(spark, d):
-    sizes = C.candidates(records(spark, d), entities(spark, d), CANONICAL).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("profile")))
+    sizes = C.sized_candidates(records(spark, d), entities(spark, d), CANONICAL)
     shares = sizes.groupBy(F.col("profile.key").alias("key"), "entity").agg(F.sum(F.col("n_records") / F.col("n")).alias("share"))
     return rounded(R.score_metrics(_nine(R.leave_group_out(shares, "key"), "fold"), truth(spark, d), ("fold",)), "fold")
 
 
+@query(SQL_CANONICAL + f""", pn AS (SELECT record, count(*) AS n FROM cand GROUP BY record),
+a AS (SELECT r.key AS fold, entity, 1.0::DOUBLE / n AS s FROM cand JOIN pn USING (record) JOIN rec r USING (record)), f AS (SELECT DISTINCT fold FROM a),
+e AS (SELECT entity, sum(s) AS s FROM a GROUP BY 1), o AS (SELECT fold, entity, sum(s) AS off FROM a GROUP BY ALL),
+w AS (SELECT f.fold, e.entity, e.s - coalesce(off, 0) AS raw, round(e.s - coalesce(off, 0), 9) AS s FROM f CROSS JOIN e LEFT JOIN o ON o.fold = f.fold AND o.entity = e.entity),
+b AS (SELECT fold AS cfg, sum(power(raw / t - {_TRUE.removesuffix(' AS y')}, 2)) / count(*) AS brier FROM (SELECT *, sum(raw) OVER (PARTITION BY fold) AS t FROM w WHERE s > 0) JOIN ent USING (entity) GROUP BY 1),
+sc AS (SELECT fold AS cfg, entity, s, {_TRUE} FROM w JOIN ent USING (entity) WHERE s > 0 UNION ALL SELECT 'full', entity, round(s, 9), {_TRUE} FROM e JOIN ent USING (entity)), {METRICS}
+SELECT cfg AS fold, n, round(prevalence, 6) AS prevalence, round(roc_auc, 6) AS without, round((SELECT roc_auc FROM met WHERE cfg = 'full') - roc_auc, 6) + 0.0 AS influence, round(b.brier, 6) AS brier FROM met JOIN b USING (cfg)""")
+def leave_group_out_areas(spark, d):
+    shares = C.sized_candidates(records(spark, d), entities(spark, d), CANONICAL).groupBy(F.col("profile.key").alias("key"), "entity").agg(F.sum(F.col("n_records") / F.col("n")).alias("share"))
+    out = R.group_areas(shares, "key", truth(spark, d))
+    return out.select("fold", "n", r6("prevalence", "prevalence"), r6("without", "without"), r6(F.col("full") - F.col("without"), "influence"), r6("brier", "brier"))
+
+
 _RESAMPLED = """,
 num AS (SELECT record, row_number() OVER (ORDER BY record) - 1 AS i, count(*) OVER () AS total FROM rec),
 dw AS (SELECT r AS cfg, CAST('0x' || substr(md5('42|' || r || '|' || i), 1, 15) AS BIGINT) % total AS pos FROM num, range(8) t(r)),

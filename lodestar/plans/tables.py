@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S, texts as T
-from ..operators import cleaning as K, estimation as E, linkage as L, metrics as M, panel as P, quality as Q, resampling as R, spatial as G
+from ..operators import cleaning as K, estimation as E, linkage as L, metrics as M, panel as P, quality as Q, resampling as R, spatial as G, summaries
+from ..operators.quantiles import quantiles
 from ..streaming import qa
 from .registry import query, r6, read
 
@@ -60,7 +61,8 @@ def top_values(spark, d):
 
 @query("SELECT round(quantile_cont(c_acctbal, 0.5), 6) AS p50, round(quantile_cont(c_acctbal, 0.95), 6) AS p95, round(quantile_cont(c_acctbal, 0.99), 6) AS p99 FROM customer")
 def exact_quantiles(spark, d):
-    return read(spark, d, "customer").agg(*[r6(F.percentile("c_acctbal", F.lit(p)), n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+    edges = quantiles(read(spark, d, "customer"), "c_acctbal", (0.5, 0.95, 0.99))
+    return edges.select(*[r6(F.col("_e")[i], n) for i, n in enumerate(("p50", "p95", "p99"))])
 
 
 @query("""WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)
@@ -81,9 +83,9 @@ def pivot_means(spark, d):
 FROM (SELECT 'l_quantity' AS column_name, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem) GROUP BY 1""")
 def descriptive_statistics(spark, d):
     cols = ["l_quantity", "l_extendedprice", "l_tax"]
-    long = read(spark, d, "lineitem").select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in cols])).alias("x")).select("x.*")
-    q = lambda p: F.percentile("v", F.lit(p))
-    return long.groupBy("column_name").agg(F.count("v").alias("n"), r6(F.avg("v"), "mean"), r6(F.stddev_samp("v"), "std"), r6(F.min("v"), "min"), r6(q(0.25), "q25"), r6(q(0.5), "q50"), r6(q(0.75), "q75"), r6(F.max("v"), "max"), (F.count(F.lit(1)) - F.count("v")).alias("missing"))
+    lines = read(spark, d, "lineitem")
+    out = summaries.describe(lines, cols).crossJoin(lines.agg(F.count(F.lit(1)).alias("rows")))
+    return out.select("column_name", "n", *[r6(c, c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")], (F.col("rows") - F.col("n")).alias("missing"))
 
 
 @query("SELECT n_name, coalesce(n, 0) AS n_orders, round(coalesce(total, 0), 2) AS total FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) ON n_nationkey = c_nationkey")
