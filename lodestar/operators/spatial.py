@@ -50,8 +50,8 @@ MOST_STATED = 10_000
 def nearest(a: DataFrame, b: DataFrame, k: int, most: float | None = None, most_stated: int = MOST_STATED) -> DataFrame:
     """id, id2, distance, rank: the k nearest of b for each point of a, within ``most`` metres if given.
 
-    Without a limit a short list is held against all points; of more, points look around in a reach that doubles for
-    those that have not found k yet.
+    Without a limit a short list is held against all points; of more, points look through cubes of the sphere that are
+    as small as the points in them are dense.
     """
     top = W.partitionBy("id").orderBy("distance", "id2")
     ranked = lambda pairs: pairs.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
@@ -60,16 +60,89 @@ def nearest(a: DataFrame, b: DataFrame, k: int, most: float | None = None, most_
     n = b.count()
     if n <= most_stated:
         return ranked(distance_pairs(a, F.broadcast(b)))
-    reach, left, out = 2 * RADIUS_M * math.sqrt(k / n), a, None
+    return ranked(_near_leaves(a, b, min(k, n)))
+
+
+#: Cubes of the unit sphere are halved so often at most, STEP times at once; LEAF points need no further halving.
+DEEPEST, STEP, LEAF = 32, 2, 64
+#: Cells of the first levels go to all tasks (at most 6 * 4**level of them); of deeper ones each meets its visitors in parts.
+SENT_LEVEL, PARTS = 8, 8
+CELL = ("ix", "iy", "iz")
+
+
+def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    la, lo = F.radians(lat), F.radians(lon)
+    return df.withColumns({"X": F.cos(la) * F.cos(lo), "Y": F.cos(la) * F.sin(lo), "Z": F.sin(la)})
+
+
+def _cube(level: Column) -> list[Column]:
+    """The cube of a level that holds a point."""
+    n = F.pow(F.lit(2.0), level)
+    return [F.least(F.floor((F.col(c) + 1) / 2 * n), n - 1).cast("bigint").alias(name) for c, name in zip("XYZ", CELL, strict=True)]
+
+
+def _pyramid(b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts of points by cube (level, ix, iy, iz, n), as deep as cubes hold more than LEAF; and each point with its
+    leaf, the first cube that holds no more."""
+    rest, top = b, -STEP
+    nodes, leaves = None, None
     while True:
-        found = stored(ranked(_near_pairs(left, b, reach)), "near")
-        whole = reach >= math.pi * RADIUS_M
-        done = found if whole else found.join(found.groupBy("id").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") == k), "id", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        left = stored(left.join(done.select("id").distinct(), "id", "left_anti"), "left")
-        if whole or left.isEmpty():
-            return out
-        reach *= 2
+        levels = [level for level in range(top + STEP, top + 4 * STEP + 1, STEP) if level <= DEEPEST]
+        each = rest.withColumn("level", F.explode(F.array(*[F.lit(level) for level in levels]))).select("*", *_cube(F.col("level")))
+        counts = stored(each.groupBy("level", *CELL).agg(F.count(F.lit(1)).alias("n")), "cubes")
+        small = (F.col("n") <= LEAF) | (F.col("level") == DEEPEST)
+        found = each.join(counts.where(small), ["level", *CELL]).groupBy("row").agg(F.min("level").alias("level"))
+        done = rest.join(found, "row").select("id2", "lat2", "lon2", "level", *_cube(F.col("level")))
+        nodes = counts if nodes is None else nodes.unionByName(counts)
+        leaves = done if leaves is None else leaves.unionByName(done)
+        top = levels[-1]
+        if top == DEEPEST or counts.where(f"level = {top} AND n > {LEAF}").isEmpty():
+            return nodes, leaves
+        rest = stored(rest.join(found, "row", "left_anti"), "rest")
+
+
+def _near_leaves(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """id, id2, distance: for each point the points of all leaves that may hold one of its k nearest.
+
+    Cubes are visited from the largest down. A point keeps those that reach nearer than the k-th point can be by the
+    farthest corners of the cubes it has, and asks for the parts of those with many points. So dense places have small
+    cubes, sparse ones large, and no cube is opened that cannot hold a neighbour.
+    """
+    # of points in one place the k smallest ids can be among the k nearest
+    same = W.partitionBy("lat2", "lon2").orderBy("id2")
+    places = b.select(F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).where("lat2 IS NOT NULL AND lon2 IS NOT NULL")
+    places = places.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k).drop("nth")
+    nodes, leaves = _pyramid(stored(_on_sphere(places, "lat2", "lon2").withColumn("row", F.monotonically_increasing_id()), "places"))
+    nodes, leaves = stored(nodes, "cubes"), stored(leaves, "leaves")
+    asking = stored(_on_sphere(a.select("id", "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL"), "lat", "lon"), "asking")
+    own = ["id", "lat", "lon", "X", "Y", "Z"]
+    seen = asking.crossJoin(F.broadcast(nodes.where("level = 0").select("level", *CELL, "n")))  # one row
+    level = 0
+    while True:
+        size = F.pow(F.lit(2.0), 1 - F.col("level"))
+        low = [F.col(c) * size - 1 for c in CELL]
+        gap = [F.greatest(x - F.col(v), F.col(v) - x - size, F.lit(0.0)) for x, v in zip(low, "XYZ", strict=True)]
+        reach = [F.greatest(F.abs(F.col(v) - x), F.abs(F.col(v) - x - size)) for x, v in zip(low, "XYZ", strict=True)]
+        norm = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+        near = seen.withColumn("least", norm(gap)).withColumn("most", norm(reach))
+        upto = W.partitionBy("id", "lat", "lon").orderBy("most", "level", *CELL)
+        near = near.withColumn("sum", F.sum("n").over(upto.rowsBetween(W.unboundedPreceding, 0)))
+        bound = F.min(F.when(F.col("sum") >= k, F.col("most"))).over(W.partitionBy("id", "lat", "lon"))
+        kept = stored(near.withColumn("bound", bound).where(F.col("bound").isNull() | (F.col("least") <= F.col("bound") * (1 + 1e-9) + 1e-12)).select(*own, "level", *CELL, "n"), "near")
+        open_ = (F.col("n") > LEAF) & (F.col("level") == level) & F.lit(level < DEEPEST)
+        if kept.where(open_).isEmpty():
+            break
+        below = nodes.where(F.col("level") == level + STEP).select(*[F.shiftright(c, STEP).alias(f"p{c}") for c in CELL], "level", *CELL, "n")
+        parents = kept.where(open_).select(*own, *[F.col(c).alias(f"q{c}") for c in CELL])
+        on = (F.col("pix") == F.col("qix")) & (F.col("piy") == F.col("qiy")) & (F.col("piz") == F.col("qiz"))
+        if level + STEP <= SENT_LEVEL:
+            parts = parents.join(F.broadcast(below), on)
+        else:
+            parts = parents.withColumn("qs", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).join(below.withColumn("ps", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), on & (F.col("ps") == F.col("qs")))
+        seen = kept.where(~open_).unionByName(parts.select(*own, "level", *CELL, "n"))
+        level += STEP
+    met = kept.select("id", "lat", "lon", "level", *CELL).join(leaves, ["level", *CELL])
+    return met.select("id", "id2", haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("distance"))
 
 
 def within_distance(points: DataFrame, most: float, include_self: bool = False) -> DataFrame:
@@ -90,23 +163,55 @@ def edges(polygons: DataFrame) -> DataFrame:
     return out.where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
 
 
-def _cells(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    boxes = edges(polygons).groupBy("pid").agg(F.min("x1").alias("ax"), F.max("x1").alias("bx"), F.min("y1").alias("ay"), F.max("y1").alias("by"))
-    at = lambda c: F.floor(F.col(c) / cell).cast("bigint")
-    grid = boxes.withColumn("cx", F.explode(F.sequence(at("ax"), at("bx")))).withColumn("cy", F.explode(F.sequence(at("ay"), at("by"))))
-    placed = points.withColumn("px", at("x")).withColumn("py", at("y"))
-    return placed.join(grid, (F.col("px") == F.col("cx")) & (F.col("py") == F.col("cy"))).where(F.col("x").between(F.col("ax"), F.col("bx")) & F.col("y").between(F.col("ay"), F.col("by"))).select("id", "x", "y", "pid")
+def _side(boxes: DataFrame, n_edges: int) -> float:
+    """A side of cells at which the boxes of all polygons have about four cells an edge."""
+    row = boxes.agg(F.sum((F.col("bx") - F.col("ax")) * (F.col("by") - F.col("ay"))).alias("area"), F.max(F.greatest(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))).alias("span")).first()
+    return max(math.sqrt((row["area"] or 0.0) / max(4 * n_edges, 256)), (row["span"] or 0.0) / max(4 * n_edges, 256), 1e-12)
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
-    """id, pid: points (id, x, y) inside polygons by the even-odd rule; a point on an edge is not inside."""
-    tested = _cells(points, polygons, cell).join(edges(polygons), "pid")
-    x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
-    crosses = ((y1 > y) != (y2 > y)) & (x < F.try_divide((x2 - x1) * (y - y1), y2 - y1) + x1)
-    turn = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float | None = None) -> DataFrame:
+    """id, pid: points (id, x, y) inside polygons by the even-odd rule; a point on an edge is not inside.
+
+    Cells of side ``cell`` (by the number of edges if not given) hold the edges that pass through them, and how often
+    the line through the middle of their row crosses the outline further to the right. A point goes straight to that
+    line and along it to the right, so it meets the edges of its own cell only, and none inside the polygon.
+    """
+    lines = edges(polygons).withColumn("edge", F.struct("x1", "y1", "x2", "y2"))
+    boxes = lines.groupBy("pid").agg(F.min("x1").alias("ax"), F.max("x1").alias("bx"), F.min("y1").alias("ay"), F.max("y1").alias("by"))
+    c = float(cell) if cell else _side(boxes, lines.count())
+    at = lambda v: F.floor(v / F.lit(c)).cast("bigint")
+    x, y, x1, y1, x2, y2 = (F.col(k) for k in ("x", "y", "x1", "y1", "x2", "y2"))
+    # edges by row: where they cross the row's middle, and the cells that they pass through, a little more on both sides
+    rows = lines.withColumn("cy", F.explode(F.sequence(at(F.least(y1, y2)), at(F.greatest(y1, y2)))))
+    middle = (F.col("cy") + 0.5) * F.lit(c)
+    crosses = (y1 > middle) != (y2 > middle)
+    along = lambda v: F.when(y1 == y2, x1).otherwise(x1 + (x2 - x1) * (F.least(F.greatest(v, F.least(y1, y2)), F.greatest(y1, y2)) - y1) / (y2 - y1))
+    low, high = along(F.col("cy") * F.lit(c)), along((F.col("cy") + 1) * F.lit(c))
+    ends = (F.when(y1 == y2, F.least(x1, x2)).otherwise(F.least(low, high)), F.when(y1 == y2, F.greatest(x1, x2)).otherwise(F.greatest(low, high)))
+    rows = rows.withColumn("xc", F.when(crosses, at(along(middle))))
+    passed = F.sequence(at(ends[0] - c * 1e-6), at(ends[1] + c * 1e-6))
+    by_cell = rows.select("pid", "cy", "xc", "edge", F.explode(F.when(F.col("xc").isNull(), passed).otherwise(F.array_union(passed, F.array("xc")))).alias("cx"))
+    # all cells of the boxes, with the crossings further right; those without any and without edges are outside
+    crossed = rows.where("xc IS NOT NULL").groupBy("pid", "cy", F.col("xc").alias("cx")).agg(F.count(F.lit(1)).alias("here"))
+    held = by_cell.select("pid", "cy", "cx").distinct().withColumn("held", F.lit(True))
+    grid = boxes.select("pid", F.explode(F.sequence(at(F.col("ay")), at(F.col("by")))).alias("cy"), F.sequence(at(F.col("ax")), at(F.col("bx"))).alias("cxs")).select("pid", "cy", F.explode("cxs").alias("cx"))
+    further = W.partitionBy("pid", "cy").orderBy(F.col("cx").desc()).rowsBetween(W.unboundedPreceding, -1)
+    cells = grid.join(crossed, ["pid", "cy", "cx"], "left").withColumn("beyond", F.coalesce(F.sum("here").over(further), F.lit(0))).drop("here").join(held, ["pid", "cy", "cx"], "left")
+    cells = cells.where(F.col("held") | (F.col("beyond") % 2 == 1))
+    placed = points.select("id", "x", "y", at(F.col("x")).alias("cx"), at(F.col("y")).alias("cy")).join(cells, ["cx", "cy"])
+    within = placed.where(F.col("held").isNull()).select("id", "pid")
+    # in a cell with edges: which side of each edge the point and the corner of its way lie on
+    met = placed.where("held").drop("held").join(by_cell, ["pid", "cx", "cy"]).select("id", "pid", "x", "y", "cx", "cy", "beyond", "xc", "edge.*")
+    side = lambda v: F.signum((x2 - x1) * (v - y1) - (y2 - y1) * (x - x1))
+    turn, corner = side(y), side(middle)
+    right, up = F.signum(x2 - x1), F.signum(y2 - y1)
+    # a corner on an edge counts as a little to the right, and less above; so it is above what does not cross its line
+    above = F.when(corner != 0, corner * right > 0).otherwise(~crosses | (right * up < 0))
+    straight = ((x1 > x) != (x2 > x)) & ((turn * right > 0) != above)
+    out_right = (F.col("xc") == F.col("cx")) & (corner * up > 0)
     on_edge = (turn == 0) & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
-    out = tested.groupBy("id", "pid").agg((F.count_if(crosses) % 2 == 1).alias("odd"), F.bool_or(on_edge).alias("edge"))
-    return out.where(F.col("odd") & ~F.col("edge")).select("id", "pid")
+    tested = met.groupBy("id", "pid", "beyond").agg(F.sum(straight.cast("int") + F.coalesce(out_right, F.lit(False)).cast("int")).alias("n"), F.bool_or(on_edge).alias("on_edge"))
+    return within.unionByName(tested.where(((F.col("n") + F.col("beyond")) % 2 == 1) & ~F.col("on_edge")).select("id", "pid"))
 
 
 def _nearest_edges(points: DataFrame, lines: DataFrame, away: Column, most_stated: int) -> DataFrame:
