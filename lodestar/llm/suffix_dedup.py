@@ -18,9 +18,11 @@ earlier elsewhere; a group of one anchor that is too large is split by longer
 common strings. Last, each block removes the bytes of those windows.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing;
-documents are ordered by id, those with one id by text, null ids last, so of
-repeated rows all but the first lose all windows; an empty table gives an empty
-result; columns other than id and text are ignored.
+documents are ordered by id, those with one id by text, null ids last
+(by a hash of the text, then the text), so of repeated rows all but the first
+lose all windows; very long texts are one document of their block, in memory at
+once; an empty table gives an empty result; columns other than id and text are
+ignored.
 """
 
 from __future__ import annotations
@@ -160,7 +162,8 @@ class Anchors:
             if not ok.any():
                 continue
             h = gram_codes(part.data, gram)
-            low = (U64(1) << U64(int(len(h)).bit_length())) - U64(1)
+            # the smallest upper half of a hash, of equals the first: the same in every text that holds the window
+            low = U64(0xFFFFFFFF)
             least = (h & ~low) | np.arange(len(h), dtype=U64)
             width = 1
             while width * 2 <= span:
