@@ -3,7 +3,8 @@
 1. Every document's set of word shingles gives MinHash values for banding and
    one-permutation MinHash samples (the smallest hash in each of ``bins``
    parts), folded into a parity bitmap: each sample flips one bit. Documents
-   with equal sets form a class; only one of each goes on.
+   with equal sets (128 bits and the size stand for a set) form a class; only
+   one of each goes on.
 2. Classes that share a band are candidates. In every bucket the class that
    meets most others leads, and the others pair with it, so a bucket gives a
    star and not all its pairs. The XOR of two bitmaps counts the samples in
@@ -24,7 +25,8 @@ Defined cases: null and empty texts, and texts without words, have an empty set,
 are linked with nothing and kept; texts of fewer words than a shingle have the
 whole sequence as one shingle; rows with one id are separate documents (ordered
 by text) with one component_id; null ids come last; an empty table gives an
-empty result; extra columns are ignored.
+empty result; very long texts are one set of their shingles; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -90,14 +92,15 @@ def odd_sketches(values: np.ndarray, doc: np.ndarray, m: int, step: int = 256) -
     return sketch, samples
 
 
-def signatures(values: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each non-empty set: a fingerprint, band hashes, parity bitmap and number of samples."""
+def signatures(values: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each non-empty set: a fingerprint in two halves of 64 bits, band hashes, parity bitmap and number of samples."""
     n = np.diff(at)
     full = np.flatnonzero(n)
     cuts, doc = at[:-1][full], np.repeat(np.arange(len(full)), n[full])
     m = len(full)
     whole = np.add.reduceat(mix(values ^ U64(0x5851F42D4C957F2D)), cuts) if m else np.zeros(0, U64)
     whole = mix(whole + n[full].astype(U64))
+    other = mix(np.add.reduceat(mix(values * U64(0x9E3779B97F4A7C15) ^ U64(0x2545F4914F6CDD1D)), cuts)) if m else np.zeros(0, U64)
     draw = np.random.default_rng(20240229)
     mins = np.empty((bands * ROWS, m), U64)
     for i in range(bands * ROWS):
@@ -110,7 +113,7 @@ def signatures(values: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarr
             h = mix(h * U64(0x9E3779B97F4A7C15) + mins[b * ROWS + i])
         keys[b] = h
     sketch, samples = odd_sketches(values, doc, m)
-    return whole, keys, sketch, samples
+    return whole, other, keys, sketch, samples
 
 
 def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, mx: np.ndarray, my: np.ndarray, threshold: float) -> np.ndarray:
@@ -153,7 +156,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(keep, f"row {kind.simpleString()}").select("row.*")
 
 
-def _decide(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, miss: float = 2e-8, chunk: int = 1500, bounds: list | None = None) -> DataFrame:
+def _decide(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, miss: float = 2e-8, chunk: int = 1500, bounds: tuple[list, int] | None = None) -> DataFrame:
     """uid (place in the order of documents), block, id, n_shingles, component_id, kept and n_links."""
     spark = docs.sparkSession
     n, id_type = partitions(spark), docs.schema[id_col].dataType.simpleString()
@@ -168,20 +171,20 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, words: int = 5, thresho
         for a, part in Texts.of(block.column("text")).parts(2 << 20):
             values, at = shingle_sets(part, words)
             size = np.diff(at)
-            whole, keys, sketch, samples = signatures(values, at, bands)
+            whole, other, keys, sketch, samples = signatures(values, at, bands)
             full = size > 0
             place = np.full(len(part), -1)
             place[full] = np.arange(int(full.sum()))
             pick = pa.array(np.where(full, place, 0), mask=~full)
             take = lambda x: x.take(pick)
             band = pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1) * bands, pa.int32()), pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel()))
-            out.append(pa.table({"uid": pa.array(base + np.arange(a, a + len(part))), "id": block.column("id").slice(a, len(part)).combine_chunks(), "block": pa.array(np.full(len(part), block.column("block")[0].as_py()), pa.int32()), "n": pa.array(size.astype(np.int64)), "m": take(pa.array(samples.astype(np.int64))), "whole": take(pa.array(whole.view(np.int64))), "bands": take(band), "sketch": take(pa.array([x.tobytes() for x in sketch], pa.binary()))}, schema=None))
-        names = ["uid", "id", "block", "n", "m", "whole", "bands", "sketch"]
+            out.append(pa.table({"uid": pa.array(base + np.arange(a, a + len(part))), "id": block.column("id").slice(a, len(part)).combine_chunks(), "block": pa.array(np.full(len(part), block.column("block")[0].as_py()), pa.int32()), "n": pa.array(size.astype(np.int64)), "m": take(pa.array(samples.astype(np.int64))), "whole": take(pa.array(whole.view(np.int64))), "other": take(pa.array(other.view(np.int64))), "bands": take(band), "sketch": take(pa.array([x.tobytes() for x in sketch], pa.binary()))}, schema=None))
+        names = ["uid", "id", "block", "n", "m", "whole", "other", "bands", "sketch"]
         return pa.concat_tables(out).select(names) if out else pa.table({k: [] for k in names})
 
-    sig = stored(texts.groupBy("block").applyInArrow(sign, f"uid long, id {id_type}, block int, n long, m long, whole long, bands array<long>, sketch binary"), "signatures")
+    sig = stored(texts.groupBy("block").applyInArrow(sign, f"uid long, id {id_type}, block int, n long, m long, whole long, other long, bands array<long>, sketch binary"), "signatures")
     some = sig.where(F.col("n") > 0)
-    classes = stored(some.groupBy("whole", "n").agg(F.min("uid").alias("uid")), "classes")
+    classes = stored(some.groupBy("whole", "other", "n").agg(F.min("uid").alias("uid")), "classes")
     reps = some.join(classes.select("uid"), "uid")
     member = reps.select("uid", "n", F.posexplode("bands").alias("band", "key"))
     # buckets of two classes at least; one of those with the same members is enough
@@ -331,7 +334,7 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, words: int = 5, thresho
     final = components(roots.select(F.col("u"), F.col("root").alias("v")).unionByName(more)) if more.take(1) else roots
     degree = every.select(F.explode(F.array("u", "v")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"))
     ids = sig.select(F.col("uid").alias("root"), F.col("id").alias("component_id"))
-    of_class = classes.join(final, classes["uid"] == final["u"], "left").select("whole", "n", F.coalesce("root", "uid").alias("root"), classes["uid"].alias("rep")).join(degree.withColumnRenamed("uid", "rep"), "rep", "left").join(ids, "root")
-    out = sig.select("uid", "block", "id", "n", "whole").join(of_class.drop("rep"), ["whole", "n"], "left")
+    of_class = classes.join(final, classes["uid"] == final["u"], "left").select("whole", "other", "n", F.coalesce("root", "uid").alias("root"), classes["uid"].alias("rep")).join(degree.withColumnRenamed("uid", "rep"), "rep", "left").join(ids, "root")
+    out = sig.select("uid", "block", "id", "n", "whole", "other").join(of_class.drop("rep"), ["whole", "other", "n"], "left")
     own_id = F.col("n") == 0
     return out.select("uid", "block", "id", F.col("n").alias("n_shingles"), F.when(own_id, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), (own_id | (F.col("uid") == F.col("root"))).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
