@@ -26,7 +26,8 @@ score is its share (1 for quality and 0 for toxicity without any label); labels
 with a null or repeated doc_id: nulls are ignored, the smallest quality and the
 largest toxicity count; a label without a value counts for the other target
 only; of documents with one labelled id one is fitted; repeated rows are scored
-alike; very long texts are read whole; extra columns are ignored or carried
+alike; an empty table of documents gives an empty result; very long texts are
+read whole; extra columns are ignored or carried
 along, and a clashing name (``quality_score``, ``toxic_score``, ``kept``) is
 replaced by the result.
 """
@@ -126,8 +127,10 @@ def meta_features(source: list, lang: list, size: np.ndarray) -> tuple[np.ndarra
     return dense, [[code("s", s or ""), code("l", g or ""), code("b", s or "", g or "")] for s, g in zip(source, lang, strict=True)]
 
 
-#: Of each view: words chosen at most, documents that must hold one, and the penalty of the fit.
+#: Of each view: words chosen at most, documents that must hold one, and the penalty of the fit. The words bound the model,
+#: not what is counted or scored; the most telling ones are chosen among those that pass a test of significance.
 SHAPES = ((400, 5, 4.0), (200, 20, 4.0))
+Shapes = tuple[tuple[int, int, float], tuple[int, int, float]]
 
 
 class View:
@@ -314,7 +317,7 @@ def _vocabularies(sample: DataFrame, codes: str, have: list[str], least: int, mo
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, columns: tuple[str, str, str, str], targets: tuple[str, ...], rounds: int, confident: float, most_labelled: int, most_pseudo: int) -> tuple[dict[str, CoTrained], list[np.ndarray]]:
+def train(docs: DataFrame, labels: DataFrame, columns: tuple[str, str, str, str], targets: tuple[str, ...], rounds: int, confident: float, most_labelled: int, most_pseudo: int, shapes: Shapes = SHAPES) -> tuple[dict[str, CoTrained], list[np.ndarray]]:
     """The models by target, and the vocabularies of both views."""
     id_col, text_col, source_col, lang_col = columns
     have = [t for t in targets if t in labels.columns]
@@ -328,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, columns: tuple[str, str, str, str]
     one = read.join(F.broadcast(few), "id_").groupBy("id_", "k", *have).agg(F.min(parts).alias("r")).select("k", *have, "r.text_", "r.source_", "r.lang_")
     kinds = "k long, " + "".join(f"{t} double, " for t in have)
     sample = stored(one.mapInArrow(_features(["k", *have], None), kinds + FEATURES.format("codes", "long", "tags")).withColumn("held", F.pmod("k", F.lit(4)) == 3), "sample")
-    chosen = [_vocabularies(sample, c, have, least, most) for c, (most, least, _) in zip(("codes", "tags"), SHAPES, strict=True)]
+    chosen = [_vocabularies(sample, c, have, least, most) for c, (most, least, _) in zip(("codes", "tags"), shapes, strict=True)]
     vocabulary = [np.unique(np.concatenate(list(v.values()))) for v in chosen]
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +347,7 @@ def train(docs: DataFrame, labels: DataFrame, columns: tuple[str, str, str, str]
     models, data = {}, {}
     for t in have:
         mine = got.filter(pa.compute.is_valid(got.column(t)))
-        views = [View(penalty, len(vocabulary[i]), np.searchsorted(vocabulary[i], chosen[i][t])) for i, (_, _, penalty) in enumerate(SHAPES)]
+        views = [View(penalty, len(vocabulary[i]), np.searchsorted(vocabulary[i], chosen[i][t])) for i, (_, _, penalty) in enumerate(shapes)]
         models[t] = CoTrained(np.asarray(mine.column(t)).astype(float), np.asarray(mine.column("held")).astype(bool), views)
         data[t] = [_arrays(mine, "dense", "words"), _arrays(mine, "meta", "marks")]
     live = [t for t in have if models[t].constant is None]
@@ -421,21 +424,25 @@ def _pseudo_labels(free: DataFrame, models: dict[str, CoTrained], confident: flo
 ADDED = ("quality_score", "toxic_score", "kept")
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = 3, confident: float = 0.9, most_labelled: int = 10_000, most_pseudo: int = 4_000, carry: bool = False) -> DataFrame:
-    """id, quality_score, toxic_score (probabilities) and kept of every document; with ``carry`` also its columns."""
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = 3, confident: float = 0.9, most_labelled: int = 10_000, most_pseudo: int = 4_000, shapes: Shapes = SHAPES, carry: bool = False) -> DataFrame:
+    """id, quality_score, toxic_score (probabilities) and kept of every document; with ``carry`` also its columns.
+
+    The fit is bounded by ``most_labelled`` labelled ids, ``most_pseudo`` pseudo-labels and ``shapes`` (of each view the
+    words in the model, the documents that must hold one, the penalty); all documents and words are counted and scored.
+    """
     names = [c for c in (docs.columns if carry else [id_col]) if c not in ADDED]
-    scored = _scored(docs, labels, names, (id_col, text_col, source_col, lang_col), rounds, confident, most_labelled, most_pseudo)
+    scored = _scored(docs, labels, names, (id_col, text_col, source_col, lang_col), rounds, confident, most_labelled, most_pseudo, shapes)
     return scored.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *[F.col(f"score.{c}").alias(c) for c in ADDED])
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = 3, confident: float = 0.9, most_labelled: int = 10_000, most_pseudo: int = 4_000) -> DataFrame:
+def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = 3, confident: float = 0.9, most_labelled: int = 10_000, most_pseudo: int = 4_000, shapes: Shapes = SHAPES) -> DataFrame:
     """The documents that are kept, their columns unchanged."""
-    return _scored(docs, labels, docs.columns, (id_col, text_col, source_col, lang_col), rounds, confident, most_labelled, most_pseudo).where("score.kept").select("row.*")
+    return _scored(docs, labels, docs.columns, (id_col, text_col, source_col, lang_col), rounds, confident, most_labelled, most_pseudo, shapes).where("score.kept").select("row.*")
 
 
-def _scored(docs: DataFrame, labels: DataFrame, names: list[str], columns: tuple[str, str, str, str], rounds: int, confident: float, most_labelled: int, most_pseudo: int) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, names: list[str], columns: tuple[str, str, str, str], rounds: int, confident: float, most_labelled: int, most_pseudo: int, shapes: Shapes) -> DataFrame:
     """row (a struct of the named columns) and score (a struct) of every document."""
-    models, vocabulary = train(docs, labels, columns, ("quality", "toxic"), rounds, confident, most_labelled, most_pseudo)
+    models, vocabulary = train(docs, labels, columns, ("quality", "toxic"), rounds, confident, most_labelled, most_pseudo, shapes)
 
     @F.arrow_udf("struct<quality_score: double, toxic_score: double, kept: boolean>")
     def score(text: pa.Array, source: pa.Array, lang: pa.Array) -> pa.Array:
