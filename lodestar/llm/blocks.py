@@ -59,20 +59,28 @@ def _place(key: Column, bounds: list) -> Column:
     return F.greatest(run - 1, F.lit(0)) * k + F.size(F.filter(near, lambda x: x < key))
 
 
-def block_bounds(docs: DataFrame, id_col: str) -> list:
-    """Ids that part the documents into blocks. They are approximate, and another call may give others."""
+def block_bounds(docs: DataFrame, id_col: str) -> tuple[list, int]:
+    """Ids that part the documents into blocks, and how many of the blocks, the last ones, are for rows without an id.
+
+    The ids are approximate, and another call may give others.
+    """
     n = partitions(docs.sparkSession)
-    shares = [(i + 1) / n for i in range(n - 1)]
-    return sorted((docs.agg(F.percentile_approx(id_col, shares, 20_000).alias("b")).first()["b"] or []) if shares else [])
+    row = docs.agg(F.count(F.lit(1)).alias("all"), F.count(id_col).alias("own")).first()
+    spare = n * (row["all"] - row["own"]) // max(1, row["all"])
+    shares = [(i + 1) / (n - spare) for i in range(n - spare - 1)]
+    return sorted((docs.agg(F.percentile_approx(id_col, shares, 20_000).alias("b")).first()["b"] or []) if shares else []), spare
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, carry: bool = False, bounds: list | None = None) -> DataFrame:
-    """The documents with block (its key) and rank (its place in the order by id), one block a partition. Null ids come last.
+def blocked(docs: DataFrame, id_col: str, text_col: str, carry: bool = False, bounds: tuple[list, int] | None = None) -> DataFrame:
+    """The documents with block (its key) and rank (its place in the order by id), one block a partition. Null ids come
+    last, by a hash of the text if they fill several blocks, so equal texts stay together.
 
     With ``carry`` all columns come along in the struct ``row``. Tables that must share blocks share ``bounds``.
     """
     n = partitions(docs.sparkSession)
-    rank = F.when(F.col(id_col).isNull(), n - 1).otherwise(_place(F.col(id_col), block_bounds(docs, id_col) if bounds is None else bounds))
+    ids, spare = block_bounds(docs, id_col) if bounds is None else bounds
+    last = F.lit(n - spare) + F.pmod(F.xxhash64(F.col(text_col)), F.lit(spare)) if spare else F.lit(n - 1)
+    rank = F.when(F.col(id_col).isNull(), last).otherwise(_place(F.col(id_col), ids))
     more = [F.struct(*docs.columns).alias("row")] if carry else []
     keyed = docs.select(rank.cast("int").alias("rank"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more)
     key = F.element_at(F.array(*[F.lit(x) for x in labels(n)]), F.col("rank") + 1)

@@ -23,8 +23,8 @@ has. The documents' texts are never shuffled.
 
 Defined cases: null and empty texts match nothing; items with a null id or text,
 or without a letter or digit, are ignored; ids may have any type; repeated rows
-each get a row; without items all documents are kept; very long texts are read
-whole; extra columns are ignored, or carried along, and a clashing name
+each get a row; without items all documents are kept; an empty table of
+documents gives an empty result; very long texts are read whole; extra columns are ignored, or carried along, and a clashing name
 (``n_items``, ``items``, ``distance``, ``kept``) is replaced by the result.
 """
 

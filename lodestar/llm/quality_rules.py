@@ -9,8 +9,10 @@ maximal repeats is the repeated share of the text, which is limited together
 with the longest repeat.
 
 Defined cases: null and empty texts have zero counts and fail the base rules
-(fewer than ``min_words`` words); repeated rows are judged one by one; columns
-other than id and text are ignored.
+(fewer than ``min_words`` words); repeated rows are judged one by one; an
+empty table gives an empty result; very long texts are judged whole, in time
+that grows little faster than their length; columns other than id and text are
+ignored.
 """
 
 from __future__ import annotations

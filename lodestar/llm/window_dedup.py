@@ -13,9 +13,14 @@ and hashes what is left.
 
 Defined cases: null and empty texts have no words and the hash of the empty
 string; texts of fewer words than a window lose nothing; documents are ordered
-by id, those with one id by text, null ids last, so of repeated rows all but the
-first lose their windows; an empty table gives an empty result; columns other
-than id and text are ignored.
+by id, those with one id by text, null ids last (by a hash of the text, then the
+text), so of repeated rows all but the first lose their windows; very long texts
+are one document of their block, in memory at once; an empty table gives an
+empty result; columns other than id and text are ignored.
+
+Windows are compared by codes of 36 + 63 bits, not by their words. Among 10**13
+windows two different ones agree with a chance of about 10**26 / 2**100, one in
+ten thousand.
 """
 
 from __future__ import annotations
