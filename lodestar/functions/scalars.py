@@ -127,6 +127,52 @@ def mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
     return F.radians(lon) * r, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * r
 
 
+def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of spherical Mercator metres."""
+    r = 6378137.0
+    return F.degrees(2 * F.atan(F.exp(y / r)) - F.lit(math.pi / 2)), F.degrees(x / r)
+
+
+# The ellipsoid of WGS 84, the scale and false origins of UTM.
+MAJOR, FLATTENING, SCALE, FALSE_EAST, FALSE_NORTH = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
+_N = FLATTENING / (2 - FLATTENING)
+_E = math.sqrt(FLATTENING * (2 - FLATTENING))
+_RADIUS = MAJOR / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+# Coefficients of the series in the third flattening, to its fourth power.
+_FORWARD = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280)
+_BACKWARD = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
+_LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630)
+
+
+def _series(a: Column, b: Column, terms: tuple[float, ...], sign: int) -> tuple[Column, Column]:
+    """a and b and a sum over even multiples of them, along and across the meridian."""
+    x, y = a, b
+    for j, c in enumerate(terms, 1):
+        x = x + sign * c * F.sin(2 * j * a) * F.cosh(2 * j * b)
+        y = y + sign * c * F.cos(2 * j * a) * F.sinh(2 * j * b)
+    return x, y
+
+
+def to_utm(lat: Column, lon: Column, zone: Column | None = None) -> tuple[Column, Column]:
+    """Easting and northing in metres, in the zone of the longitude or a given one; good to a fraction of a millimetre."""
+    away = F.radians(lon - ((utm_zone(lon) if zone is None else zone) * 6 - 183))
+    t = F.sin(F.radians(lat))
+    conformal = F.sinh(F.atanh(t) - _E * F.atanh(_E * t))
+    x, y = _series(F.atan2(conformal, F.cos(away)), F.asinh(F.sin(away) / F.sqrt(conformal * conformal + F.cos(away) * F.cos(away))), _FORWARD, 1)
+    return FALSE_EAST + SCALE * _RADIUS * y, SCALE * _RADIUS * x + F.when(lat < 0, FALSE_NORTH).otherwise(0.0)
+
+
+def from_utm(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of a point in a zone; ``south``: is it of the southern grid?"""
+    x, y = (north - F.when(south, FALSE_NORTH).otherwise(0.0)) / (SCALE * _RADIUS), (east - FALSE_EAST) / (SCALE * _RADIUS)
+    x, y = _series(x, y, _BACKWARD, -1)
+    conformal = F.asin(F.sin(x) / F.cosh(y))
+    lat = conformal
+    for j, c in enumerate(_LATITUDE, 1):
+        lat = lat + c * F.sin(2 * j * conformal)
+    return F.degrees(lat), F.degrees(F.atan2(F.sinh(y), F.cos(x))) + zone * 6 - 183
+
+
 def zip_digit_group(code: Column, distinct_groups: Column | None = None, groups: int | None = None) -> Column:
     """Half of the fourth digit of the padded code; modulo groups only where there would be more."""
     base = F.floor(F.substring(padded_code(code, 5), 4, 1).cast("int") / 2).cast("int")

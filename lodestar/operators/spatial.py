@@ -169,16 +169,40 @@ def _side(boxes: DataFrame, n_edges: int) -> float:
     return max(math.sqrt((row["area"] or 0.0) / max(4 * n_edges, 256)), (row["span"] or 0.0) / max(4 * n_edges, 256), 1e-12)
 
 
+#: Outlines of at most so many edges in all go to all tasks.
+FEW_EDGES = 256
+
+
+def _in_few(points: DataFrame, lines: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The even-odd rule over outlines that every task holds; points are not shuffled."""
+    outlines = F.broadcast(lines.groupBy("pid").agg(F.collect_list("edge").alias("edges")).join(boxes, "pid"))
+    x, y = F.col("x"), F.col("y")
+
+    def crosses(e: Column) -> Column:
+        return ((e["y1"] > y) != (e["y2"] > y)) & (x < F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"])
+
+    def on(e: Column) -> Column:
+        turn = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+        return (turn == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+
+    met = points.join(outlines, x.between(F.col("ax"), F.col("bx")) & y.between(F.col("ay"), F.col("by")))
+    return met.where((F.size(F.filter("edges", crosses)) % 2 == 1) & ~F.exists("edges", on)).select("id", "pid")
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float | None = None) -> DataFrame:
     """id, pid: points (id, x, y) inside polygons by the even-odd rule; a point on an edge is not inside.
 
     Cells of side ``cell`` (by the number of edges if not given) hold the edges that pass through them, and how often
     the line through the middle of their row crosses the outline further to the right. A point goes straight to that
-    line and along it to the right, so it meets the edges of its own cell only, and none inside the polygon.
+    line and along it to the right, so it meets the edges of its own cell only, and none inside the polygon. A few
+    edges (``FEW_EDGES`` in all) are held against all points instead, if no cell is given.
     """
     lines = edges(polygons).withColumn("edge", F.struct("x1", "y1", "x2", "y2"))
     boxes = lines.groupBy("pid").agg(F.min("x1").alias("ax"), F.max("x1").alias("bx"), F.min("y1").alias("ay"), F.max("y1").alias("by"))
-    c = float(cell) if cell else _side(boxes, lines.count())
+    n = lines.count()
+    if n <= FEW_EDGES and not cell:
+        return _in_few(points, lines, boxes)
+    c = float(cell) if cell else _side(boxes, n)
     at = lambda v: F.floor(v / F.lit(c)).cast("bigint")
     x, y, x1, y1, x2, y2 = (F.col(k) for k in ("x", "y", "x1", "y1", "x2", "y2"))
     # edges by row: where they cross the row's middle, and the cells that they pass through, a little more on both sides
@@ -273,6 +297,25 @@ def centroid(polygons: DataFrame) -> DataFrame:
     return s.select("pid", (F.col("cx") / (3 * F.col("a"))).alias("x"), (F.col("cy") / (3 * F.col("a"))).alias("y"), F.abs(F.col("a") / 2).alias("area"))
 
 
+def representative_point(polygons: DataFrame) -> DataFrame:
+    """pid, x, y: a point inside each polygon, however its outline turns and whatever holes it has.
+
+    A line at a height between the vertices nearest to the middle crosses the outline; the middle of its widest run
+    inside is taken. Polygons without area have none.
+    """
+    lines = edges(polygons)
+    heights = lines.groupBy("pid").agg(((F.min("y1") + F.max("y1")) / 2).alias("mid"))
+    ends = lines.join(heights, "pid").groupBy("pid").agg(F.max(F.when(F.col("y1") <= F.col("mid"), F.col("y1"))).alias("below"), F.min(F.when(F.col("y1") > F.col("mid"), F.col("y1"))).alias("above"))
+    at = ends.where("above IS NOT NULL").select("pid", ((F.col("below") + F.col("above")) / 2).alias("y"))
+    y = F.col("y")
+    crossed = lines.join(at, "pid").where((F.col("y1") > y) != (F.col("y2") > y))
+    crossed = crossed.select("pid", "y", (F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1"))).alias("x"))
+    along = W.partitionBy("pid").orderBy("x")
+    runs = crossed.withColumn("n", F.row_number().over(along)).withColumn("to", F.lead("x").over(along)).where("n % 2 = 1 AND to > x")
+    widest = runs.groupBy("pid").agg(F.max_by(F.struct(((F.col("x") + F.col("to")) / 2).alias("x"), "y"), F.struct(F.col("to") - F.col("x"), -F.col("x"))).alias("p"))
+    return polygons.select("pid").join(widest, "pid", "left").select("pid", "p.x", "p.y")
+
+
 def slope_degrees(raster: DataFrame, cell_degrees: float) -> DataFrame:
     """(tile, row, col, lat, elev) with slope: central differences, one-sided at the edges, metres by latitude."""
     along, across = W.partitionBy("tile", "row").orderBy("col"), W.partitionBy("tile", "col").orderBy("row")

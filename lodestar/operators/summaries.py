@@ -40,7 +40,11 @@ def cell_sums(cells: DataFrame, grid: DataFrame, keys: Sequence[str], value: str
     return grid.select(*keys).distinct().join(sums, list(keys), "left").select(*keys, F.coalesce("_sum", F.lit(0)).alias(value))
 
 
-def in_registry_order(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
-    """The rows in the order in which a registry names them; others come last by name."""
+def registry_place(column: str, names: Sequence[str]) -> list[Column]:
+    """What to order by for the order in which a registry names the values; others come last by name."""
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column)) if names else F.lit(0)
-    return df.orderBy(F.when(place > 0, place).otherwise(len(names) + 1), F.col(column))
+    return [F.when(place > 0, place).otherwise(len(names) + 1), F.col(column)]
+
+
+def in_registry_order(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
+    return df.orderBy(*registry_place(column, names))

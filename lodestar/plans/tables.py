@@ -402,7 +402,7 @@ def polygons(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {_POINTS}, {_EDGES} SELECT id, pid FROM pt, e GROUP BY id, pid, lat, lon HAVING count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1")
 def points_in_polygons(spark, d):
-    return G.points_in_polygons(points(spark, d).select("id", F.col("lon").alias("x"), F.col("lat").alias("y")), polygons(spark), 10.0)
+    return G.points_in_polygons(points(spark, d).select("id", F.col("lon").alias("x"), F.col("lat").alias("y")), polygons(spark))
 
 
 @query(f"""WITH {_POINTS}, {_EDGES}, i AS (SELECT id FROM pt, e GROUP BY id, pid, lat, lon HAVING count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1),
