@@ -34,18 +34,23 @@ def hash60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
+def _number(*parts: Column) -> Column:
+    """128 bits that stand for a list, so that no names travel with its draws."""
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
 def _lists(records: DataFrame, entities: DataFrame, m: Matching) -> tuple[DataFrame, DataFrame]:
     """profile, list, n: the list that a profile draws from and its length; and list, at, entity: the lists in the order of ids.
 
     Without filters the lists are those of the groups, else each profile has its own. They are rows, so a list may be long.
     """
     if m.filters:
-        found = candidates(records, entities, m).withColumn("list", F.to_json("profile"))
+        found = candidates(records, entities, m).withColumn("list", _number(F.col("profile")))
         of = found.groupBy("profile", "list").agg(F.count(F.lit(1)).alias("n"))
     else:
         rows, members = filtered(records, entities, m)
-        of = rows.select("profile", F.to_json(F.struct("key", "g")).alias("list"), F.col("n_group").alias("n"))
-        found = members.withColumn("list", F.to_json(F.struct(F.col("k").alias("key"), "g")))
+        of = rows.select("profile", _number(F.col("key"), F.col("g")).alias("list"), F.col("n_group").alias("n"))
+        found = members.withColumn("list", _number(F.col("k"), F.col("g")))
     at = F.row_number().over(W.partitionBy("list").orderBy("entity")) - 1
     return of, found.select("list", at.alias("at"), "entity")
 
@@ -98,6 +103,27 @@ def selection_diagnostics(draws: DataFrame, what: str = "entity") -> DataFrame:
     return counts.groupBy("record").agg(k.alias("n_unique_sel"), F.round((k * F.sum(F.col("n") * F.col("n")) - F.sum("n") * F.sum("n")) / (k * k), 3).alias("var_sel"), F.round(F.max("n") / F.sum("n"), 4).alias("top_share"), F.round(F.avg("n"), 2).alias("mean_count"), F.round(F.median("n"), 2).alias("median_count"))
 
 
+#: With at most so many draws a record's places are one short array.
+FEW_DRAWS = 64
+
+
+def record_diagnostics(records: DataFrame, entities: DataFrame, draws: int, seed: int = 42, m: Matching = Matching()) -> DataFrame:
+    """``selection_diagnostics`` of all records. Of few draws the places are counted where the record is, without any
+    row for a draw; of more by grouping."""
+    if draws > FEW_DRAWS:
+        return selection_diagnostics(picks(records, entities, draws, seed, m)[0], "at")
+    of, _ = _lists(records, entities, m)
+    at = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.pmod(hash60(F.lit(seed), F.col("record"), i), F.col("n")).cast("int"))
+    mine = profiles(records, m).select("record", "profile").join(of, "profile").select("record", at.alias("at"))
+    counted = mine.select("record", F.array_sort(F.transform(F.array_distinct("at"), lambda x: F.size(F.filter("at", lambda y: y == x)))).alias("c"))
+    k, c = F.size("c").cast("bigint"), F.col("c")
+    total = lambda f: F.aggregate("c", F.lit(0).cast("bigint"), lambda acc, x: acc + f(x))
+    squares = total(lambda x: x.cast("bigint") * x)
+    middle = (F.get(c, ((k - 1) / 2).cast("int")) + F.get(c, (k / 2).cast("int"))) / 2.0
+    n = F.lit(draws).cast("bigint")
+    return counted.select("record", k.alias("n_unique_sel"), F.round((k * squares - n * n) / (k * k), 3).alias("var_sel"), F.round(F.array_max("c") / n, 4).alias("top_share"), F.round(n / k, 2).alias("mean_count"), F.round(middle, 2).alias("median_count"))
+
+
 def weighted_probability(pairs: DataFrame, weight: Column) -> DataFrame:
     """entity, probability from (record, entity, ...): each record spreads one unit by normalised weights."""
     own = W.partitionBy("record")

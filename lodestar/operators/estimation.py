@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..storage import stored
 from .quantiles import quantiles
 
 
@@ -110,18 +111,25 @@ def ols(df: DataFrame, spec: Specification, errors: str = "homoskedastic", passe
     """errors: homoskedastic; clustered (scores added by cluster); compat_clustered (no cross terms within clusters,
     with the factor for clusters). ``compat``: t values by the approximations of ``t_cdf`` and ``t_quantile``.
 
-    Columns are centred before their products are summed, so that large means cost no digits."""
+    The sample is written once and read by one aggregation of means and products about them, so that large means cost no
+    digits, and for clusters by a second one of their scores."""
     names = [*spec.regressors]
     used = list(dict.fromkeys([spec.outcome, *names, *spec.effects, *([spec.cluster] if spec.cluster else [])]))
     data = df.select(*used).na.drop()
     if spec.effects:
         data = within(data, [spec.outcome, *names], spec.effects, passes)
     every = [*names, spec.outcome]
-    middle = data.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(every)]).first()
-    shift = np.array([m or 0.0 for m in middle])
+    data = stored(data.select(*dict.fromkeys([*every, *([spec.cluster] if spec.cluster else [])])), "sample")  # what is before is run once
+    pairs = [(i, j) for i in range(len(every)) for j in range(i, len(every))]
+    clusters = [F.count_distinct(spec.cluster).alias("clusters")] if spec.cluster else []
+    row = data.agg(F.count(F.lit(1)).alias("n"), *clusters, *[F.avg(c).alias(f"m{i}") for i, c in enumerate(every)], *[F.covar_pop(F.col(every[i]).cast("double"), F.col(every[j]).cast("double")).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    shift = np.array([row[f"m{i}"] or 0.0 for i in range(len(every))])
+    k, n = len(names) + 1, int(row["n"])
+    g = np.zeros((k + 1, k + 1))
+    g[0, 0] = n
+    for i, j in pairs:
+        g[i + 1, j + 1] = g[j + 1, i + 1] = n * (row[f"c{i}_{j}"] or 0.0)
     data = data.withColumns({c: F.col(c).cast("double") - float(v) for c, v in zip(every, shift, strict=True)})
-    g = gram(data, every)
-    k, n = len(names) + 1, int(g[0, 0])
     if n < k + 1:
         raise ValueError("Insufficient observations")
     xx, xy, yy = g[:k, :k], g[:k, k], g[k, k]
@@ -139,13 +147,13 @@ def ols(df: DataFrame, spec: Specification, errors: str = "homoskedastic", passe
         for b, c in zip(beta[1:], names, strict=True):
             fitted = fitted + float(b) * F.col(c)
         u = F.col(spec.outcome) - fitted
-        groups = data.agg(F.countDistinct(spec.cluster).alias("g")).first()["g"]
+        groups = row["clusters"]
         if errors == "compat_clustered":
             meat = gram(data, names, u * u)
         else:
             scores = data.groupBy(spec.cluster).agg(F.sum(u).alias("s0"), *[F.sum(u * F.col(c)).alias(f"s{i + 1}") for i, c in enumerate(names)])
-            row = scores.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
-            meat = np.array([[row[f"m{i}_{j}"] for j in range(k)] for i in range(k)], float)
+            sums = scores.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
+            meat = np.array([[sums[f"m{i}_{j}"] for j in range(k)] for i in range(k)], float)
         factor = groups / (groups - 1) * (n - 1) / (n - k) if groups > 1 else 1.0
         cov = inverse @ meat @ inverse * factor
     cov = back @ cov @ back.T

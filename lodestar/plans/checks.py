@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S, texts as T
-from ..operators import cleaning as K, disaggregation as D, estimation as E, linkage as L, quality as Q, resampling as R, spatial as G, summaries as A
+from ..operators import cleaning as K, disaggregation as D, estimation as E, linkage as L, moments as MO, quality as Q, resampling as R, spatial as G, summaries as A
 from .registry import query, r6, read
 from .tables import _EDGES, _POINTS, points, polygons
 
@@ -251,6 +251,53 @@ def ols_inference(spark, d):
     return spark.createDataFrame([(round(e.t, 3), round(e.ci[0], 3), round(e.ci[1], 3), e.n_obs)], "t double, lo double, hi double, n bigint")
 
 
+_FOLDS = "f AS (SELECT l_suppkey % 5 AS fold, count(*) AS n, sum(l_quantity) AS sx, sum(l_extendedprice / 1000) AS sy, sum(l_quantity * l_quantity) AS sxx, sum(l_quantity * l_extendedprice / 1000) AS sxy, sum(power(l_extendedprice / 1000, 2)) AS syy FROM lineitem GROUP BY 1), p AS (SELECT unnest([0.0, 1000.0, 20000.0])::DOUBLE AS p)"
+#: Sums of the training folds (n, x, y, xx, xy) and of the fold that is scored (m, u, v, uu, uv, vv).
+_RIDGE = "1 - (vv - 2 * a * v - 2 * b * uv + m * a * a + 2 * a * b * u + b * b * uu) / (vv - v * v / m)"
+_LINE = "(xy - x * y / n) * n / (xx - x * x / n) / (n + p) AS b"
+
+
+def _ridge_sql(pairs: str) -> str:
+    """o and i: the outer fold and the fold that is scored by all but these two; equal for the outer score itself."""
+    return f"""t AS (SELECT o, i, p, n, x, y, xx, xy, n2 AS m, u, v, uu, uv, vv, {_LINE} FROM (SELECT a.fold AS o, b.fold AS i, p, sum(c.n) AS n, sum(c.sx) AS x, sum(c.sy) AS y, sum(c.sxx) AS xx, sum(c.sxy) AS xy,
+any_value(b.n) AS n2, any_value(b.sx) AS u, any_value(b.sy) AS v, any_value(b.sxx) AS uu, any_value(b.sxy) AS uv, any_value(b.syy) AS vv FROM f a, f b, f c, p WHERE {pairs} AND c.fold <> a.fold AND c.fold <> b.fold GROUP BY ALL)),
+r AS (SELECT o, i, p, {_RIDGE} AS r2 FROM (SELECT *, (y - b * x) / n AS a FROM t))"""
+
+
+def _folds(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("fold"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+
+
+@query(f"WITH {_FOLDS}, {_ridge_sql('a.fold = b.fold')} SELECT p AS penalty, o AS fold, round(r2, 5) + 0.0 AS r2 FROM r")
+def ridge_penalties(spark, d):
+    return MO.ridge_scores(_folds(spark, d), "fold", ["x"], "y", [0.0, 1000.0, 20000.0]).select("penalty", "fold", (F.round("r2", 5) + 0.0).alias("r2"))
+
+
+@query(f"""WITH {_FOLDS}, {_ridge_sql('true')}, q AS (SELECT o, p, avg(r2) AS inner_r2, row_number() OVER (PARTITION BY o ORDER BY avg(r2) DESC, p) AS nth FROM r WHERE o <> i GROUP BY o, p)
+SELECT q.o AS fold, q.p AS penalty, round(inner_r2, 5) + 0.0 AS inner_r2, round(r2, 5) + 0.0 AS r2 FROM q JOIN r ON q.o = r.o AND r.i = r.o AND q.p = r.p WHERE nth = 1""")
+def nested_ridge(spark, d):
+    out = MO.nested_ridge(_folds(spark, d), "fold", ["x"], "y", [0.0, 1000.0, 20000.0])
+    return out.select("fold", "penalty", *[(F.round(c, 5) + 0.0).alias(c) for c in ("inner_r2", "r2")])
+
+
+@query("SELECT i::INTEGER AS \"group\", (SELECT count(*) FROM embeddings) // 7 + CASE WHEN i < (SELECT count(*) FROM embeddings) % 7 THEN 1 ELSE 0 END AS n FROM range(7) t(i)")
+def balanced_sizes(spark, d):
+    """The sizes that centres have room for; which rows they are is beyond SQL, and tested."""
+    from ..operators.learning import balanced_groups
+
+    return balanced_groups(points(spark, d), "id", "lon", "lat", 7).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def contiguity_groups(spark, d):
+    """Without SQL: merging is a loop; tested against one merge at a time. The cells that hold points, in six groups of neighbours."""
+    from ..operators.learning import contiguity_groups as groups
+
+    squares = _squares(spark, d)
+    units = G.centroid(squares).select(F.col("pid").alias("id"), "x", "y")
+    return groups(units, G.contiguity(squares, "rook").withColumnRenamed("pid", "id"), 6)
+
+
 # ---- space
 
 @query(f"WITH {_POINTS}, {_EDGES}, i AS (SELECT id FROM pt, e GROUP BY id, pid, lat, lon HAVING count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1), "

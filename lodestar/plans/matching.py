@@ -121,7 +121,7 @@ def hashed_draws(spark, d):
 @query(SQL_CANONICAL + _DRAWS.format(t="cand") + """ SELECT record, count(*) AS n_unique_sel, round((count(*) * sum(n * n) - sum(n) * sum(n)) / (count(*) * count(*))::DOUBLE, 3) + 0.0 AS var_sel, round(max(n) / sum(n)::DOUBLE, 4) AS top_share, round(avg(n), 2) AS mean_count, round(median(n), 2) AS median_count
   FROM (SELECT record, entity, count(*) AS n FROM draws GROUP BY ALL) GROUP BY record""")
 def selection_diagnostics(spark, d):
-    return D.selection_diagnostics(D.picks(records(spark, d), entities(spark, d), 20, 42, CANONICAL)[0], "at")
+    return D.record_diagnostics(records(spark, d), entities(spark, d), 20, 42, CANONICAL)
 
 
 @query(SQL_CANONICAL + _DRAWS.format(t="cand") + " SELECT s AS size, entity, count(*) AS draw_count FROM draws, (SELECT unnest([5, 10, 20]) AS s) WHERE draw < s GROUP BY ALL")

@@ -6,7 +6,7 @@ import importlib.util
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".orc": "orc"}
@@ -68,10 +68,44 @@ def count_rows(spark: SparkSession, path: str) -> int:
 
 
 def load_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each feature: properties and geometry."""
+    """One row for each feature, of a collection or a feature a line: properties and geometry."""
+    lines = spark.read.json(path)
+    if {"properties", "geometry"} <= set(lines.columns):
+        return lines.select("properties", "geometry")
     return spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
 
 
+def save_geojson(df: DataFrame, path: str, geometry: str = "geometry") -> None:
+    """A feature a line: all other columns are its properties. ``load_geojson`` reads it again."""
+    rest = [c for c in df.columns if c != geometry]
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), (F.struct(*rest) if rest else F.create_map()).alias("properties"), F.col(geometry).alias("geometry")))
+    df.select(feature.alias("value")).write.mode("overwrite").text(path)
+
+
+def _spread_bits(v: Column) -> Column:
+    """The sixteen bits of a number at the even places of another."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def z_order(x: Column, y: Column, box: tuple[float, float, float, float]) -> Column:
+    """A place along a curve that keeps near points of a box near: the bits of both coordinates in turn."""
+    x0, y0, x1, y1 = box
+    cell = lambda v, a, b: F.least(F.greatest(F.floor((v - a) / max(b - a, 1e-300) * 65536), F.lit(0)), F.lit(65535)).cast("bigint")
+    return _spread_bits(cell(x, x0, x1)).bitwiseOR(F.shiftleft(_spread_bits(cell(y, y0, y1)), 1))
+
+
+def save_for_boxes(df: DataFrame, path: str, x: str, y: str, files: int | None = None) -> None:
+    """Parquet in the order of a curve through (x, y), so files, row groups and pages hold small boxes, and a comparison
+    with a box (``in_box``, or plain) reads few of them. Rows without a place are in the first file."""
+    box = df.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = z_order(F.col(x).cast("double"), F.col(y).cast("double"), tuple(float(v or 0) for v in box))
+    placed = df.withColumn("_z", place)
+    placed.repartitionByRange(n, F.col("_z").asc_nulls_first()).sortWithinPartitions(F.col("_z").asc_nulls_first()).drop("_z").write.mode("overwrite").parquet(path)
+
+
 def in_box(df: DataFrame, box: tuple[float, float, float, float], columns: tuple[str, str, str, str] = ("min_x", "min_y", "max_x", "max_y")) -> DataFrame:
     """Rows whose stored bounds meet the box: comparisons of columns, which reach the parquet scan."""
     x0, y0, x1, y1 = box
