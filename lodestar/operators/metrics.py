@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..storage import stored
 
 
-def by_score(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, s, p (positives), n (negatives), null scores and labels left out."""
+def by_score(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = (), kind: str | None = "double") -> DataFrame:
+    """keys, s, p (positives), n (negatives), null scores and labels left out; without a kind scores keep their own type."""
     ok = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    return ok.groupBy(*keys, F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n"))
+    return ok.groupBy(*keys, (F.col(score).cast(kind) if kind else F.col(score)).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n"))
 
 
 def _range(s: Column, steps: int = 64) -> Column:
@@ -119,7 +119,7 @@ def r_squared(y: Column, fitted: Column) -> Column:
 
 def ks_statistic(df: DataFrame, value: str, sample: str) -> DataFrame:
     """ks, n1, n0: the largest distance of the two empirical distributions; sample is 1 or 0."""
-    run = running(by_score(df, value, sample), descending=False)
+    run = running(by_score(df, value, sample, kind=None), descending=False)
     return run.agg(F.max(F.abs(F.col("tp") / F.col("all_p") - F.col("fp") / F.col("all_n"))).alias("ks"), F.max("all_p").alias("n1"), F.max("all_n").alias("n0"))
 
 

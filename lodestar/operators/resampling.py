@@ -261,25 +261,56 @@ def spatial_blocks(df: DataFrame, x: str, y: str, n: int) -> DataFrame:
     return df.crossJoin(ends).withColumn("block", (cell(x, "_x0", "_x1") * side + cell(y, "_y0", "_y1")) % n).drop("_x0", "_x1", "_y0", "_y1")
 
 
-def group_folds(df: DataFrame, group: str, folds: int, most_groups: int = 100_000) -> DataFrame:
-    """fold: groups, largest first, each to the lightest fold.
+def _shared_out(size: int, count: int, load: list[int], first: int) -> tuple[list[int], list[list[int]]]:
+    """Deals so many groups of one size, each to the lightest fold (of equals the lower), and adds them to the load.
 
-    Up to ``most_groups`` sizes come to the driver; of more groups the largest are dealt to the folds in turn, forth and
-    back, where sizes are so many that this evens out.
+    The folds that take part in turn change only where the load of one more is reached: from which group on (counted
+    from ``first``) which folds take one each, in which order.
     """
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    if counts.count() > most_groups:
-        ranked = surrogate_key(counts.withColumnRenamed(group, "_g"), "_i", [F.col("n").desc(), F.col("_g")])
-        turn, back = F.pmod(F.col("_i") - 1, F.lit(folds)), F.pmod(F.floor((F.col("_i") - 1) / folds), F.lit(2)) == 1
-        plan = ranked.select("_g", F.when(back, folds - 1 - turn).otherwise(turn).cast("int").alias("fold"))
-        return df.join(plan, df[group].eqNullSafe(plan["_g"])).drop("_g")
-    sizes = counts.orderBy(F.col("n").desc(), group).toLocalIterator()
-    load, rows = [0] * folds, []
-    for r in sizes:
-        k = load.index(min(load))
-        load[k] += r["n"]
-        rows.append((r[group], k))
-    plan = df.sparkSession.createDataFrame(rows, f"_g {df.schema[group].dataType.simpleString()}, fold int")
+    level = [x // size for x in load]
+    order = sorted(range(len(load)), key=lambda f: (load[f] % size, f))
+    points, at, left = sorted(set(level)), first, count
+    starts, turns = [], []
+    for i, p in enumerate(points):
+        turn = [f for f in order if level[f] <= p]
+        span = len(turn) * (points[i + 1] - p) if i + 1 < len(points) else left
+        given = min(span, left)
+        if not given:
+            break
+        starts.append(at)
+        turns.append(turn)
+        for k, f in enumerate(turn):
+            load[f] += size * (given // len(turn) + (k < given % len(turn)))
+        at, left = at + given, left - given
+    return starts, turns
+
+
+def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
+    """fold: groups, largest first (of equals the smaller key), each to the lightest fold (of equals the lower).
+
+    Groups are numbered by range. The rule is worked out for all groups of one size at once, so the driver sees a row
+    for each distinct size (fewer than the root of twice the rows), whatever the number of groups.
+    """
+    counts = stored(df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")), "groups")
+    load, first, plan = [0] * folds, 0, []
+    for r in counts.groupBy("_n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.col("_n").desc()).toLocalIterator():
+        plan.append((r["_n"], *_shared_out(r["_n"], r["k"], load, first)))
+        first += r["k"]
+    turns = df.sparkSession.createDataFrame(plan, "_n bigint, _starts array<bigint>, _turns array<array<int>>")
+    ranked = surrogate_key(counts, "_i", [F.col("_n").desc(), F.col("_g")]).withColumn("_i", F.col("_i") - 1)
+    met = ranked.join(F.broadcast(turns) if len(plan) <= 100_000 else turns, "_n")
+    part = F.size(F.filter("_starts", lambda x: x <= F.col("_i"))) - 1
+    turn = F.get("_turns", part)
+    dealt = met.select("_g", F.get(turn, F.pmod(F.col("_i") - F.get("_starts", part), F.size(turn)).cast("int")).alias("fold"))
+    return df.join(dealt, df[group].eqNullSafe(dealt["_g"])).drop("_g")
+
+
+def dealt_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
+    """fold: groups, largest first, to the folds in turn, forth and back."""
+    counts = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = surrogate_key(counts, "_i", [F.col("n").desc(), F.col("_g")])
+    turn, back = F.pmod(F.col("_i") - 1, F.lit(folds)), F.pmod(F.floor((F.col("_i") - 1) / folds), F.lit(2)) == 1
+    plan = ranked.select("_g", F.when(back, folds - 1 - turn).otherwise(turn).cast("int").alias("fold"))
     return df.join(plan, df[group].eqNullSafe(plan["_g"])).drop("_g")
 
 

@@ -241,7 +241,7 @@ def weighted_draws(spark, d):
 
 @query("""WITH g AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) SELECT fold, sum(n)::BIGINT AS n, count(*) AS n_groups FROM (SELECT k, n, CASE WHEN ((row_number() OVER (ORDER BY n DESC, k) - 1) // 5) % 2 = 0 THEN (row_number() OVER (ORDER BY n DESC, k) - 1) % 5 ELSE 4 - (row_number() OVER (ORDER BY n DESC, k) - 1) % 5 END::INTEGER AS fold FROM g) GROUP BY fold""")
 def group_folds_dealt(spark, d):
-    return R.group_folds(read(spark, d, "customer"), "c_nationkey", 5, most_groups=0).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_nationkey").alias("n_groups"))
+    return R.dealt_folds(read(spark, d, "customer"), "c_nationkey", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_nationkey").alias("n_groups"))
 
 
 @query("""WITH s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity) AS ssr, count(*) AS n FROM lineitem),
