@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import RADIUS_KM, haversine
@@ -83,6 +85,16 @@ def drawn_counts(records: DataFrame, entities: DataFrame, draws: int, seed: int
     return _with_probability(counts)
 
 
+def drawn_counts_by_seed(records: DataFrame, entities: DataFrame, draws: int, seeds: Sequence[int], m: Matching = Matching()) -> DataFrame:
+    """seed, entity, draw_count: the draws of every seed are rows of one plan, and places are counted before they meet the lists."""
+    of, lists = _lists(records, entities, m)
+    mine = profiles(records, m).select("record", "profile").join(of, "profile").select("record", "list", "n")
+    drawn = mine.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    at = F.pmod(hash60(F.col("seed"), F.col("record"), F.col("draw")), "n").cast("int")
+    counts = drawn.groupBy("seed", "list", at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(lists, ["list", "at"]).groupBy("seed", "entity").agg(F.sum("n").alias("draw_count"))
+
+
 def draw_counts(draws: DataFrame) -> DataFrame:
     """entity, draw_count, probability, of the entities that were drawn."""
     return _with_probability(draws.groupBy("entity").agg(F.count(F.lit(1)).alias("draw_count")))

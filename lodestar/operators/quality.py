@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from hashlib import md5
+from json import JSONEncoder
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
@@ -181,6 +183,12 @@ def column_coverage(df: DataFrame, required: Sequence[str]) -> tuple[list[str],
     return present, [c for c in required if c not in df.columns], len(present) / len(required) if required else 1.0
 
 
+def config_hash(config: dict) -> str:
+    """MD5 of the configuration as JSON with sorted keys; what JSON does not know counts by its text."""
+    text = JSONEncoder(sort_keys=True, default=str).encode(config)
+    return md5(text.encode()).hexdigest()
+
+
 def table_hash(df: DataFrame) -> DataFrame:
     """n_rows and an order-free hash over all rows and columns."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("hash"))

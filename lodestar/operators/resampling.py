@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..storage import stored
 from .candidates import Matching, filtered, profiles, sized_candidates
 from .cleaning import surrogate_key
-from .disaggregation import expected_probability, hash60, hashed_draws, shares
+from .disaggregation import drawn_counts_by_seed, expected_probability, hash60, shares
 from .metrics import all_metrics, prefix_sums
 from .quantiles import quantiles
 
@@ -21,14 +21,10 @@ def nested_draw_counts(draws: DataFrame, sizes: Sequence[int]) -> DataFrame:
 
 
 def seed_sweep(records: DataFrame, entities: DataFrame, draws: int, seeds: Sequence[int], m: Matching = Matching()) -> DataFrame:
-    """seed, entity, draw_count."""
-    out = None
-    for s in seeds:
-        one = hashed_draws(records, entities, draws, s, m).groupBy("entity").agg(F.count(F.lit(1)).alias("draw_count")).withColumn("seed", F.lit(s))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    """seed, entity, draw_count, of all seeds by one plan."""
+    if not seeds:
         raise ValueError("no seed")
-    return out
+    return drawn_counts_by_seed(records, entities, draws, seeds, m)
 
 
 METRICS = ("roc_auc", "pr_auc", "brier")

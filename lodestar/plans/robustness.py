@@ -217,6 +217,33 @@ def matching_variants(spark, d):
     return out
 
 
+def _variant_metrics_sql() -> str:
+    parts = ["SELECT 'baseline' AS cfg, record, entity, 1.0::DOUBLE AS w FROM cand", "SELECT 'weighted', record, entity, 1.0::DOUBLE + built % 4 FROM cand JOIN ent USING (entity)"]
+    parts += ["""SELECT 'coarse_key', record, entity, 1.0::DOUBLE FROM (SELECT record, CAST(key AS INTEGER) % 5 AS ck, CASE WHEN zone LIKE 'A%' THEN regexp_replace(zone, '[0-9]+$', '') WHEN zone = 'B' THEN 'X' ELSE zone END AS z FROM rec)
+JOIN (SELECT entity, CAST(k AS INTEGER) % 5 AS ek, CASE WHEN ez LIKE 'A%' THEN regexp_replace(ez, '[0-9]+$', '') WHEN ez = 'B' THEN 'X' ELSE ez END AS e FROM ent) ON ck = ek AND z = e"""]
+    for name, (exempt, test, strict) in _PASSES.items():
+        keep = "ok" if strict else "ok OR NOT any_"
+        parts.append(f"SELECT '{name}', record, entity, 1.0::DOUBLE FROM (SELECT *, bool_or(ok) OVER (PARTITION BY record) AS any_ FROM (SELECT record, entity, ({exempt}) OR coalesce({test}, false) AS ok FROM cand JOIN rec USING (record) JOIN ent USING (entity))) WHERE {keep}")
+    return SQL_CANONICAL + f""", v AS ({' UNION ALL '.join(parts)}), sw AS (SELECT cfg, record, entity, w / sum(w) OVER (PARTITION BY cfg, record) AS s FROM v), m AS (SELECT cfg, count(DISTINCT record) AS m FROM v GROUP BY cfg),
+p0 AS (SELECT cfg, entity, sum(s) AS s FROM sw GROUP BY ALL), sc AS (SELECT cfg, entity, round(s / m, 9) AS s, {_TRUE} FROM p0 JOIN m USING (cfg) JOIN ent USING (entity)), {METRICS} SELECT cfg AS configuration, {_ROUNDED} FROM met"""
+
+
+@query(_variant_metrics_sql())
+def variant_metrics(spark, d):
+    """Variants by another key, by weights and by each filter, all scored together against one truth."""
+    rec, ent = records(spark, d), entities(spark, d)
+    coarse = lambda df: df.withColumn("key", F.col("key").cast("int") % 5)
+    ways = [("baseline", rec, ent, CANONICAL), ("coarse_key", coarse(rec), coarse(ent), CANONICAL)]
+    ways += [(name, rec, ent, Matching("canonical", filters=(f,), columns=COLUMNS)) for name, f in FILTERS.items()]
+    scores = None
+    for name, r, e, m in ways:
+        one = D.expected_probability(r, e, m).withColumn("configuration", F.lit(name))
+        scores = one if scores is None else scores.unionByName(one)
+    pairs = C.candidate_pairs(rec, ent, CANONICAL).join(ent.select(F.col("c_custkey").alias("entity"), "built"), "entity")
+    scores = scores.unionByName(D.weighted_probability(pairs, 1.0 + F.col("built") % 4).withColumn("configuration", F.lit("weighted")))
+    return rounded(R.score_metrics(_nine(scores, "configuration"), truth(spark, d), ("configuration",)), "configuration")
+
+
 def _filter_query(name: str):
     exempt, test, strict = _PASSES[name]
     keep = "ok" if strict else "ok OR NOT any_"
