@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..storage import stored
 from .cleaning import surrogate_key
+from .extra_trees import ExtraTreesRegressor
 from .metrics import r_squared
 
-#: Regressors by name; add to it to use a model of your own. Extra trees have no counterpart in Spark.
+#: Regressors by name; add to it to use a model of your own.
 MODELS: dict[str, Callable[[], object]] = {
     "ridge": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.0),
     "elastic_net": lambda: LinearRegression(regParam=0.1, elasticNetParam=0.5),
+    "extra_trees": lambda: ExtraTreesRegressor(trees=50, seed=42),
     "random_forest": lambda: RandomForestRegressor(numTrees=50, seed=42),
     "gradient_boosting": lambda: GBTRegressor(maxIter=30, seed=42),
 }

@@ -145,3 +145,30 @@ def test_moments_add_up():
     both, whole = of(every[:20]) + of(every[20:]), of(every)
     assert both.n == 50 and np.allclose(both.mean, whole.mean) and np.allclose(both.products, whole.products, rtol=1e-9)
     assert M.Ridge.fit(whole, 1.0, []).r2(whole) == pytest.approx(0.0)
+
+
+def test_extra_trees(spark):
+    """Grown by levels as by a plain version over the same thresholds; better than the mean on new rows."""
+    from lodestar.operators.extra_trees import ExtraTreesRegressor, Forest, grow
+
+    r = np.random.default_rng(1)
+    x = r.normal(0, 1, (400, 3))
+    y = np.where(x[:, 0] > 0.3, 5.0, 0.0) + x[:, 1] + r.normal(0, 0.1, 400)
+    df = spark.createDataFrame([(list(map(float, a)), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double").repartition(3)
+    forest = grow(df, 3, 4, 3, 2, 7)
+    again = grow(df.repartition(5), 3, 4, 3, 2, 7)
+    assert (forest.feature == again.feature).all() and np.allclose(forest.threshold, again.threshold)
+    where = forest.nodes(x, 3)
+    for t in range(4):
+        for node in np.unique(where[t]):
+            assert math.isclose(forest.value[t, node], y[where[t] == node].mean(), abs_tol=1e-9)
+        root = forest.feature[t, 0], forest.threshold[t, 0]
+        assert x[:, root[0]].min() <= root[1] <= x[:, root[0]].max()
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.createDataFrame([(Vectors.dense(a.tolist()), float(b)) for a, b in zip(x, y, strict=True)], ["features", "t"])
+    model = ExtraTreesRegressor(trees=12, depth=6).setLabelCol("t").fit(rows.limit(300))
+    fitted = np.array([p.prediction for p in model.transform(rows).collect()])
+    assert r2(y[300:], fitted[300:]) > 0.8 and isinstance(model.forest, Forest)
+    scores = L.cross_validate(spark.createDataFrame([(int(i % 3), *map(float, a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "f int, a double, b double, c double, y double"), "f", "extra_trees", ["a", "b", "c"], "y")
+    assert all(s.r2 > 0.6 for s in scores.collect())
