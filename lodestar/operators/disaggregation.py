@@ -157,7 +157,11 @@ def weighted_draws(pairs: DataFrame, weight: Column, draws: int, seed: int = 42)
     shares = pairs.withColumn("w", weight).select("record", "entity", (F.sum("w").over(upto) / F.sum("w").over(own)).alias("hi"))
     last = F.row_number().over(own.orderBy(F.col("hi").desc(), F.col("entity").desc())) == 1
     shares = shares.withColumn("hi", F.when(last, 1.0).otherwise(F.col("hi"))).withColumn("lo", F.coalesce(F.lag("hi").over(own.orderBy("hi", "entity")), F.lit(0.0)))
-    # each candidate finds the draws that fall between its bounds, so no record's candidates are gathered in a row
-    u = lambda i: hash60(F.lit(seed), F.col("record"), i) / F.lit(float(1 << 60))
-    drawn = shares.withColumn("draw", F.explode(F.filter(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: (u(i) >= F.col("lo")) & (u(i) < F.col("hi")))))
-    return drawn.select("record", "draw", "entity")
+    # draws and upper bounds in one falling order: a draw takes the last bound above it, so a record costs a row for each
+    # of its candidates and draws, and each draw is hashed once
+    u = hash60(F.lit(seed), F.col("record"), F.col("draw")) / F.lit(float(1 << 60))
+    drawn = pairs.select("record").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("v", u)
+    bounds = shares.select("record", F.col("hi").alias("v"), F.lit(1).alias("bound"), "lo", "entity", F.lit(None).cast("int").alias("draw"))
+    rows = bounds.unionByName(drawn.select("record", "v", F.lit(0).alias("bound"), F.lit(0.0).alias("lo"), F.lit(None).cast(pairs.schema["entity"].dataType).alias("entity"), "draw"))
+    down = own.orderBy(F.col("v").desc(), "bound", F.col("lo").desc()).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("entity", F.last("entity", True).over(down)).where("bound = 0").select("record", "draw", "entity")

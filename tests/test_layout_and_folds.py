@@ -77,3 +77,23 @@ def test_diagnostics_by_record_and_by_draw(spark, monkeypatch):
         monkeypatch.setattr(D, "FEW_DRAWS", few)
         out.append(sorted(map(tuple, D.record_diagnostics(records, entities, 31, 5, m).collect())))
     assert out[0] == out[1] and len(out[0]) == 20
+
+
+def test_weighted_draws_against_brute_force(spark):
+    """With weights of 0 at the beginning, in the middle and at the end."""
+    import hashlib
+
+    weights = {r: [(e, w) for e, w in enumerate(own)] for r, own in {1: [0, 2, 0, 0, 1, 3, 0], 2: [1], 3: [0, 0, 5], 4: [1, 1, 1, 1], 5: [4, 0]}.items()}
+    pairs = spark.createDataFrame([(r, e, float(w)) for r, own in weights.items() for e, w in own], "record int, entity int, w double").repartition(3)
+    got = {(x.record, x.draw): x.entity for x in D.weighted_draws(pairs, F.col("w"), 40, 9).collect()}
+    want = {}
+    for r, own in weights.items():
+        total = sum(w for _, w in own)
+        for i in range(40):
+            u, upto = int(hashlib.md5(f"9|{r}|{i}".encode()).hexdigest()[:15], 16) / (1 << 60), 0.0
+            for e, w in own:
+                upto += w
+                if upto / total > u:
+                    want[r, i] = e
+                    break
+    assert got == want and len(want) == 200
