@@ -141,7 +141,7 @@ def balanced_groups(df: DataFrame, key: str, x: str, y: str, k: int, seed: int =
         enter = leave.withColumn("_j", F.row_number().over(W.partitionBy("_m.to").orderBy("_m.cost", key))).where(F.col("_j") <= max(free.values()))
         enter = enter.where(F.col("_j") <= F.element_at(F.create_map(*[F.lit(v) for kv in free.items() for v in kv]), F.col("_m.to")))
         moved = stored(enter.select(F.col(key).alias("_key"), F.col("group").alias("_from"), F.col("_m.to").alias("_to")), "moved")
-        now = stored(now.join(moved, (now[key] == moved["_key"]) & (now["group"] == moved["_from"]), "left").withColumn("group", F.coalesce("_to", "group")).drop("_key", "_from", "_to"), "placed")
+        now = stored(now.join(moved, (now[key] == moved["_key"]) & (now["group"] == moved["_from"]), "left").withColumn("group", F.coalesce("_to", "group")).drop("_key", "_from", "_to"), "placed", now)
 
 
 def contiguity_groups(units: DataFrame, links: DataFrame, k: int) -> DataFrame:
@@ -170,10 +170,11 @@ def contiguity_groups(units: DataFrame, links: DataFrame, k: int) -> DataFrame:
         to = joined.select(F.col("b").alias("old"), F.col("a").alias("new"), "height")
         now = state.join(to, state["c"] == to["old"], "left").withColumn("c", F.coalesce("new", "c"))
         tops = joined.select(F.col("a").alias("c"), F.col("height").alias("h"))
-        state = stored(now.groupBy("c").agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), F.max("top").alias("t0")).join(tops, "c", "left").select("c", "n", "sx", "sy", F.coalesce("h", "t0").alias("top")), "clusters")
+        state_was, pairs_were = state, pairs
+        state = stored(now.groupBy("c").agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), F.max("top").alias("t0")).join(tops, "c", "left").select("c", "n", "sx", "sy", F.coalesce("h", "t0").alias("top")), "clusters", state_was)
         names = to.select("old", "new")
         moved = pairs.join(names.toDF("oa", "na"), F.col("a") == F.col("oa"), "left").join(names.toDF("ob", "nb"), F.col("b") == F.col("ob"), "left").select(F.coalesce("na", "a").alias("u"), F.coalesce("nb", "b").alias("v"))
-        pairs = stored(moved.where("u != v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
+        pairs = stored(moved.where("u != v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links", pairs_were)
     roots = units.select("id", F.col("id").alias("root"))
     if merges is not None:
         wanted = max(0, units.count() - k)
@@ -181,12 +182,11 @@ def contiguity_groups(units: DataFrame, links: DataFrame, k: int) -> DataFrame:
         up = stored(lowest.select(F.col("b").alias("at"), F.col("a").alias("next")), "parents")
         roots = stored(roots, "roots")
         while True:  # a unit's smallest id, by twice as long steps each time
-            ahead = roots.join(up, roots["root"] == up["at"], "left")
-            roots = stored(ahead.select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+            ahead = roots.select("id", "root").join(up, F.col("root") == F.col("at"), "left")
+            roots = stored(ahead.select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots", roots)
             if roots.where("moved").isEmpty():
                 break
             further = up.toDF("at", "mid").join(up.toDF("at2", "next"), F.col("mid") == F.col("at2"), "left")
-            up = stored(further.select("at", F.coalesce("next", "mid").alias("next")), "parents")
-            roots = roots.drop("moved")
+            up = stored(further.select("at", F.coalesce("next", "mid").alias("next")), "parents", up)
     numbers = surrogate_key(roots.select("root").distinct(), "g", [F.col("root")])
     return roots.join(numbers, "root").select("id", (F.col("g") - 1).cast("int").alias("group"))

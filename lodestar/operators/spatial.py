@@ -98,7 +98,7 @@ def _pyramid(b: DataFrame) -> tuple[DataFrame, DataFrame]:
         top = levels[-1]
         if top == DEEPEST or counts.where(f"level = {top} AND n > {LEAF}").isEmpty():
             return nodes, leaves
-        rest = stored(rest.join(found, "row", "left_anti"), "rest")
+        rest = stored(rest.join(found, "row", "left_anti"), "rest")  # the rows before are still those of the leaves
 
 
 def _near_leaves(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
@@ -117,7 +117,7 @@ def _near_leaves(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     asking = stored(_on_sphere(a.select("id", "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL"), "lat", "lon"), "asking")
     own = ["id", "lat", "lon", "X", "Y", "Z"]
     seen = asking.crossJoin(F.broadcast(nodes.where("level = 0").select("level", *CELL, "n")))  # one row
-    level = 0
+    level, kept = 0, None
     while True:
         size = F.pow(F.lit(2.0), 1 - F.col("level"))
         low = [F.col(c) * size - 1 for c in CELL]
@@ -128,7 +128,7 @@ def _near_leaves(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
         upto = W.partitionBy("id", "lat", "lon").orderBy("most", "level", *CELL)
         near = near.withColumn("sum", F.sum("n").over(upto.rowsBetween(W.unboundedPreceding, 0)))
         bound = F.min(F.when(F.col("sum") >= k, F.col("most"))).over(W.partitionBy("id", "lat", "lon"))
-        kept = stored(near.withColumn("bound", bound).where(F.col("bound").isNull() | (F.col("least") <= F.col("bound") * (1 + 1e-9) + 1e-12)).select(*own, "level", *CELL, "n"), "near")
+        kept = stored(near.withColumn("bound", bound).where(F.col("bound").isNull() | (F.col("least") <= F.col("bound") * (1 + 1e-9) + 1e-12)).select(*own, "level", *CELL, "n"), "near", kept)
         open_ = (F.col("n") > LEAF) & (F.col("level") == level) & F.lit(level < DEEPEST)
         if kept.where(open_).isEmpty():
             break

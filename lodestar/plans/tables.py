@@ -206,7 +206,7 @@ def fuzzy_contains(spark, d):
 
 @query()
 def fuzzy_jaro_winkler(spark, d):
-    """Without SQL: the reference's rule has no boost threshold, DuckDB's has; tested against literals."""
+    """Without SQL: this rule counts common beginnings whatever the similarity, DuckDB's does not; tested by brute force."""
     return _fuzzy(spark, d, "jaro_winkler", 0.4)
 
 

@@ -21,12 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
+def stored(df: DataFrame, name: str = "step", replaces: DataFrame | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts the lineage and survives lost executors.
 
-    The folder is the session's; what is written there can go when the session ends.
+    The folder is the session's; what is written there can go when the session ends. ``replaces``: a stored table that
+    nothing needs once this one is written, as in the steps of a loop; it is deleted.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if replaces is not None and (old := getattr(replaces, "stored_at", None)):
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    return out
