@@ -12,6 +12,10 @@ distinct profiles with a multiplicity. Which zone counts is settled on distinct
 made. A profile stays a pointer to its group until a filter bites: filters over
 a range join on buckets of the value, so only candidates that pass are made, and
 a profile without a filter that bites is one row for its whole group.
+
+Where numbers of candidates will do, none is made: every filter keeps an interval
+of the entity's value, so a profile's candidates are a box in its group, and a box
+is counted by ``boxes``. Numbers count as doubles there.
 """
 
 from __future__ import annotations
@@ -20,8 +24,11 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DataType, IntegralType, NumericType
 
 from ..functions.scalars import canonical_zone, stripped_zone
+from ..storage import stored
+from .boxes import box_counts
 
 
 @dataclass(frozen=True)
@@ -72,6 +79,32 @@ class Filter:
         known = F.lit(True) if self.kind == "at_most" or self.strict else F.col(f"r_{self.record}").isNotNull()
         return known if self.zone is None else known & F.coalesce(canonical_zone(F.col("zone")) == self.zone, F.lit(False))
 
+    def dimension(self) -> tuple[str, str]:
+        """The entity's column, and as what it counts."""
+        return self.entity, {"years": "year", "equal": "same"}.get(self.kind, "number")
+
+    def interval(self, record: DataType | None, entity: DataType) -> tuple[Column, Column]:
+        """The least and the largest coordinate that passes, over r_ columns; none passes if the first is above the second."""
+        empty = lambda ok, lo, hi: (F.when(ok, lo).otherwise(F.lit(1.0)), F.when(ok, hi).otherwise(F.lit(0.0)))
+        t = self.tolerance
+        if self.kind == "at_most":
+            return F.lit(float("-inf")), F.lit(float(t))
+        r = F.col(f"r_{self.record}")
+        if self.kind == "within":
+            r, t = r.cast("double"), float(t)
+            return empty((F.abs(r) < float("inf")) & F.lit(t >= 0), least_within(r, max(t, 0.0)), -least_within(-r, max(t, 0.0)))
+        if self.kind == "percent":
+            r, t = r.cast("double"), t / 100.0
+            least = F.greatest(r * (1 - t), F.lit(5e-324))  # above 0
+            return empty(r.isNotNull() & ~F.isnan(r * (1 - t)) & ~F.isnan(r * (1 + t)), least, r * (1 + t))
+        if self.kind == "years":
+            at = r.cast("int").cast("double")
+            return empty(at.isNotNull(), at - int(t), at + int(t))
+        at = _coordinate(r, "same", record, entity)
+        if _coordinate_type("same", record, entity) == "double":
+            return empty(at.isNotNull() & ~F.isnan(at), at, at)
+        return F.coalesce(at, F.lit(1)), F.coalesce(at, F.lit(0))
+
     def buckets(self) -> tuple[Column, Column]:
         """The record's bucket, and those of which an entity that passes has one, as an array."""
         if self.kind == "at_most":
@@ -93,6 +126,39 @@ class Filter:
         return F.floor(r / F.lit(width)).cast("bigint"), F.when(at.isNotNull(), F.array(at - 1, at, at + 1))
 
 
+def least_within(r: Column, t: float) -> Column:
+    """The least double e with abs(e - r) <= t, as doubles are subtracted; the greatest is that of -r, negated.
+
+    A difference rounds to t up to half a step beyond it. That bound is kept with its rounding error, exactly.
+    """
+    half = (math.nextafter(t, math.inf) - t) / 2
+    odd = bool(int(math.ldexp(math.frexp(t)[0], 53)) % 2)  # a difference halfway to the next double is rounded away
+
+    def added(a: Column, b: Column) -> tuple[Column, Column]:
+        x = a + b
+        return x, (a - (x - (x - a))) + (b - (x - a))
+
+    near, off = added(r, F.lit(-t))
+    y, left = added(near, off - half)
+    after = F.when(y == 0, F.lit(5e-324)).otherwise(y + F.abs(y) * (2.0**-53 * (1 + 2.0**-10)))
+    return F.when(left >= 0 if odd else left > 0, after).otherwise(y)
+
+
+def _coordinate_type(kind: str, record: DataType | None, entity: DataType) -> str:
+    if kind != "same" or isinstance(entity, NumericType) and isinstance(record, NumericType) and not (isinstance(entity, IntegralType) and isinstance(record, IntegralType)):
+        return "double"
+    return "bigint"
+
+
+def _coordinate(x: Column, kind: str, record: DataType | None, entity: DataType) -> Column:
+    """What a value counts as: a double, a year, an integer, or 64 bits that stand for anything else that can only be equal."""
+    if kind == "year":
+        return x.cast("int").cast("double")
+    if _coordinate_type(kind, record, entity) == "double":
+        return x.cast("double")
+    return x.cast("bigint") if isinstance(entity, IntegralType) and isinstance(record, IntegralType) else F.when(x.isNotNull(), F.xxhash64(x.cast("string")))
+
+
 @dataclass(frozen=True)
 class Matching:
     """variant: chain (weaker zones, key alone without a zone), strict (chain, but a zone is needed), canonical (normalised zones)."""
@@ -181,6 +247,46 @@ def filtered(records: DataFrame, entities: DataFrame, m: Matching) -> tuple[Data
     return rows.select("profile", "n_records", "key", "g", "n_group", "entity"), theirs.select("k", "g", "entity")
 
 
+def bounded(records: DataFrame, entities: DataFrame, m: Matching) -> tuple[DataFrame, DataFrame, list[int]]:
+    """profile, n_records, key, g, n and lo0, hi0, ...: the box that holds a profile's n candidates; the members (key, g,
+    entity, c0, ...); and the dimensions, the one with the most values first.
+
+    Filters apply in order: each cuts the boxes of the profiles that it concerns, and where nothing is left the box stays
+    as it was, or with a strict filter the profile goes. A value that is null or not a number lies above all bounds.
+    """
+    theirs = _members(entities, m)
+    rows = _settled(records, theirs, m).withColumn("n", F.col("n_group"))
+    type_of = lambda df, c: df.schema[c].dataType if c in df.columns else None
+    named = {}
+    for f in m.filters:
+        named.setdefault(f.dimension(), (f.dimension()[1], type_of(rows, f"r_{f.record}"), type_of(theirs, f"e_{f.entity}")))
+    ordered = sorted(named, key=lambda x: x[1] != "number")
+    at = {x: i for i, x in enumerate(ordered)}
+    kinds = [_coordinate_type(*named[x]) for x in ordered]
+    bottom = [F.lit(float("-inf")) if k == "double" else F.lit(-(1 << 63)).cast("bigint") for k in kinds]
+    top = [F.lit(float("nan")) if k == "double" else F.lit((1 << 63) - 1).cast("bigint") for k in kinds]
+    members = theirs.select(F.col("k").alias("key"), "g", "entity", *[F.coalesce(_coordinate(F.col(f"e_{x[0]}"), *named[x]), top[i]).alias(f"c{i}") for i, x in enumerate(ordered)])
+    rows = rows.withColumns({f"{end}{i}": v[i] for i in range(len(ordered)) for end, v in (("lo", bottom), ("hi", top))})
+    touched: list[int] = []
+    for nth, f in enumerate(m.filters):
+        if nth:  # each filter reads the rows more than once, so the plan would grow with a power of their number
+            rows = stored(rows, "boxed")
+        i = at[f.dimension()]
+        touched = sorted({*touched, i})
+        points = members.groupBy("key", "g", *[f"c{j}" for j in touched]).agg(F.count(F.lit(1)).alias("n"))
+        bounds = [f"{end}{j}" for j in touched for end in ("lo", "hi")]
+        lo, hi = f.interval(named[f.dimension()][1], named[f.dimension()][2])
+        asked = rows.withColumns({"_old_lo": F.col(f"lo{i}"), "_old_hi": F.col(f"hi{i}"), "_asked": f.applies(), "_lo": lo, "_hi": hi})
+        asked = asked.withColumns({f"lo{i}": F.when(F.col("_asked"), F.greatest(f"lo{i}", "_lo")).otherwise(F.col(f"lo{i}")), f"hi{i}": F.when(F.col("_asked"), F.least(f"hi{i}", "_hi")).otherwise(F.col(f"hi{i}"))})
+        counts = box_counts(points, asked.where("_asked").select("key", "g", *bounds), touched, ("key", "g")).withColumnRenamed("n", "_n")
+        met = asked.join(counts, ["key", "g", *bounds], "left").withColumn("_left", F.col("_asked") & (F.coalesce("_n", F.lit(0)) > 0))
+        if f.strict:
+            met = met.where(~F.col("_asked") | F.col("_left"))
+        kept = {f"lo{i}": F.when(~F.col("_asked") | F.col("_left"), F.col(f"lo{i}")).otherwise(F.col("_old_lo")), f"hi{i}": F.when(~F.col("_asked") | F.col("_left"), F.col(f"hi{i}")).otherwise(F.col("_old_hi")), "n": F.when(F.col("_left"), F.col("_n")).otherwise(F.col("n"))}
+        rows = met.withColumns(kept).select(*rows.columns)
+    return rows.select("profile", "n_records", "key", "g", "n", *[f"{end}{i}" for i in range(len(ordered)) for end in ("lo", "hi")]), members, list(range(len(ordered)))
+
+
 def candidates(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
     """profile, n_records and entity: one row for each distinct profile and each of its candidates."""
     rows, members = filtered(records, entities, m)
@@ -207,10 +313,8 @@ def candidate_pairs(records: DataFrame, entities: DataFrame, m: Matching = Match
 
 
 def profile_sizes(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
-    """profile, n_records and n, the number of its candidates; no candidate is made for a whole group."""
-    rows, _ = filtered(records, entities, m)
-    one = F.when(F.col("entity").isNull(), F.col("n_group")).otherwise(F.lit(1))
-    return rows.groupBy("profile").agg(F.first("n_records").alias("n_records"), F.sum(one).alias("n"))
+    """profile, n_records and n, the number of its candidates, none of which is made."""
+    return bounded(records, entities, m)[0].select("profile", "n_records", "n")
 
 
 def record_stats(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:

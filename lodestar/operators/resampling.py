@@ -195,7 +195,7 @@ def jackknife(records: DataFrame, entities: DataFrame, m: Matching = Matching())
     other entities are scaled. One row for each profile and candidate, whatever the number of records.
     """
     share = sized_candidates(records, entities, m).withColumn("own", 1.0 / F.col("n"))
-    total = shares(records, entities, m).withColumnRenamed("share", "sum")
+    total = shares(records, entities, m).select("entity", F.col("share").alias("sum"))
     matched = total.agg(F.round(F.sum("sum")).alias("matched"))  # a record's shares add up to one
     out = share.join(total, "entity").crossJoin(matched)
     return out.select("profile", "n_records", "entity", (F.col("sum") / F.col("matched")).alias("full"), F.try_divide(F.col("sum") - F.col("own"), F.col("matched") - 1).alias("without"))
