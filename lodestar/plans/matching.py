@@ -144,9 +144,8 @@ _WEIGHT = "exp(-power(abs(bal - price / 40.0) / 1000.0, 2) / 2)"
 SELECT entity, round(sum(w / t) / (SELECT count(DISTINCT record) FROM w), 6) + 0.0 AS probability FROM w JOIN (SELECT record, sum(w) AS t FROM w GROUP BY record) USING (record) GROUP BY entity""")
 def weighted_probability(spark, d):
     rec, ent = records(spark, d), entities(spark, d)
-    pairs = C.candidate_pairs(rec, ent, CANONICAL).join(rec.select(F.col("o_orderkey").alias("record"), "price"), "record").join(ent.select(F.col("c_custkey").alias("entity"), "bal"), "entity")
     weight = F.exp(-F.pow(F.abs(F.col("bal") - F.col("price") / 40.0) / 1000.0, 2) / 2) + 0.001
-    return D.weighted_probability(pairs, weight).select("entity", r6("probability", "probability"))
+    return D.weighted_by_values(rec, ent, weight, ("price",), ("bal",), CANONICAL).select("entity", r6("probability", "probability"))
 
 
 _SCORED = SQL_CANONICAL + """, p AS (SELECT entity, sum(1.0::DOUBLE / n) / (SELECT count(DISTINCT record) FROM cand) AS p FROM cand JOIN (SELECT record, count(*) AS n FROM cand GROUP BY record) USING (record) GROUP BY entity),
@@ -262,7 +261,7 @@ def parameter_sweep(spark, d):
     rec, ent = records(spark, d), entities(spark, d)
     out = None
     for zoned, m in ((True, CHAIN), (False, KEY_ONLY)):
-        one = C.candidate_pairs(rec, ent, m).agg(F.countDistinct("record").alias("n_matched"), F.countDistinct("entity").alias("n_entities"), F.count(F.lit(1)).alias("n_pairs")).select(F.lit(zoned).alias("zoned"), "*")
+        one = D.match_counts(rec, ent, m).select(F.lit(zoned).alias("zoned"), "n_matched", "n_entities", "n_pairs")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -285,6 +284,6 @@ def tolerance_sweep(spark, d):
     out = None
     for tol in (None, 100.0, 500.0, 2000.0):
         m = Matching(use_zone=False, filters=() if tol is None else (Filter("bfe", "bal", "within", tol),), columns=COLUMNS)
-        one = C.candidates(rec, ent, m).agg(F.sum("n_records").alias("n_pairs")).select(F.lit(tol).cast("double").alias("tol"), "n_pairs")
+        one = C.profile_sizes(rec, ent, m).agg(F.sum(F.col("n_records") * F.col("n")).alias("n_pairs")).select(F.lit(tol).cast("double").alias("tol"), "n_pairs")
         out = one if out is None else out.unionByName(one)
     return out

@@ -65,3 +65,15 @@ def test_no_candidate_is_made(tables):
     for df in (C.record_stats(*tables, m), D.shares(*tables, m)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "_entity" not in plan and "Join Cross" not in plan
+
+
+def test_weights_by_values_and_counts_need_no_pairs(tables):
+    records, entities = tables
+    m = Matching("canonical")
+    weight = F.coalesce(F.when(~F.isnan("bfe") & ~F.isnan("elev"), F.exp(-F.abs(F.col("bfe") - F.col("elev")))), F.lit(0.5))
+    pairs = C.candidate_pairs(records, entities, m).join(records.select(F.col("record_id").alias("record"), "bfe"), "record").join(entities.select(F.col("entity_id").alias("entity"), "elev"), "entity")
+    want = {r.entity: r.probability for r in D.weighted_probability(pairs, weight).collect()}
+    got = {r.entity: r.probability for r in D.weighted_by_values(records, entities, weight, ("bfe",), ("elev",), m).collect()}
+    assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-12 for e in want)
+    p = pairs.toPandas()
+    assert D.match_counts(records, entities, m).first().asDict() == {"n_pairs": len(p), "n_matched": p.record.nunique(), "n_entities": p.entity.nunique()}
