@@ -210,9 +210,7 @@ def matching_variants(spark, d):
     rec, ent = records(spark, d), entities(spark, d)
     out = None
     for name, f in FILTERS.items():
-        found = C.candidates(rec, ent, Matching("canonical", filters=(f,), columns=COLUMNS))
-        one = found.agg(F.sum("n_records").alias("n_pairs"), F.countDistinct("entity").alias("n_entities"))
-        one = one.crossJoin(C.profile_sizes(rec, ent, Matching("canonical", filters=(f,), columns=COLUMNS)).agg(F.sum("n_records").alias("n_matched"))).select(F.lit(name).alias("variant"), "n_pairs", "n_matched", "n_entities")
+        one = D.match_counts(rec, ent, Matching("canonical", filters=(f,), columns=COLUMNS)).select(F.lit(name).alias("variant"), "n_pairs", "n_matched", "n_entities")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -239,8 +237,8 @@ def variant_metrics(spark, d):
     for name, r, e, m in ways:
         one = D.expected_probability(r, e, m).withColumn("configuration", F.lit(name))
         scores = one if scores is None else scores.unionByName(one)
-    pairs = C.candidate_pairs(rec, ent, CANONICAL).join(ent.select(F.col("c_custkey").alias("entity"), "built"), "entity")
-    scores = scores.unionByName(D.weighted_probability(pairs, 1.0 + F.col("built") % 4).withColumn("configuration", F.lit("weighted")))
+    weighted = D.weighted_by_values(rec, ent, 1.0 + F.col("built") % 4, (), ("built",), CANONICAL)
+    scores = scores.unionByName(weighted.withColumn("configuration", F.lit("weighted")))
     return rounded(R.score_metrics(_nine(scores, "configuration"), truth(spark, d), ("configuration",)), "configuration")
 
 
