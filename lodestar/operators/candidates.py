@@ -268,9 +268,7 @@ def bounded(records: DataFrame, entities: DataFrame, m: Matching) -> tuple[DataF
     members = theirs.select(F.col("k").alias("key"), "g", "entity", *[F.coalesce(_coordinate(F.col(f"e_{x[0]}"), *named[x]), top[i]).alias(f"c{i}") for i, x in enumerate(ordered)])
     rows = rows.withColumns({f"{end}{i}": v[i] for i in range(len(ordered)) for end, v in (("lo", bottom), ("hi", top))})
     touched: list[int] = []
-    for nth, f in enumerate(m.filters):
-        if nth:  # each filter reads the rows more than once, so the plan would grow with a power of their number
-            rows = stored(rows, "boxed")
+    for f in m.filters:
         i = at[f.dimension()]
         touched = sorted({*touched, i})
         points = members.groupBy("key", "g", *[f"c{j}" for j in touched]).agg(F.count(F.lit(1)).alias("n"))
@@ -278,12 +276,15 @@ def bounded(records: DataFrame, entities: DataFrame, m: Matching) -> tuple[DataF
         lo, hi = f.interval(named[f.dimension()][1], named[f.dimension()][2])
         asked = rows.withColumns({"_old_lo": F.col(f"lo{i}"), "_old_hi": F.col(f"hi{i}"), "_asked": f.applies(), "_lo": lo, "_hi": hi})
         asked = asked.withColumns({f"lo{i}": F.when(F.col("_asked"), F.greatest(f"lo{i}", "_lo")).otherwise(F.col(f"lo{i}")), f"hi{i}": F.when(F.col("_asked"), F.least(f"hi{i}", "_hi")).otherwise(F.col(f"hi{i}"))})
+        # the bounds are long expressions and are read more than once here and by the caller, so the driver's plans would
+        # grow with a power of the reads; rows are written with their bounds, and again with what the filter left
+        asked = stored(asked, "asked")
         counts = box_counts(points, asked.where("_asked").select("key", "g", *bounds), touched, ("key", "g")).withColumnRenamed("n", "_n")
         met = asked.join(counts, ["key", "g", *bounds], "left").withColumn("_left", F.col("_asked") & (F.coalesce("_n", F.lit(0)) > 0))
         if f.strict:
             met = met.where(~F.col("_asked") | F.col("_left"))
         kept = {f"lo{i}": F.when(~F.col("_asked") | F.col("_left"), F.col(f"lo{i}")).otherwise(F.col("_old_lo")), f"hi{i}": F.when(~F.col("_asked") | F.col("_left"), F.col(f"hi{i}")).otherwise(F.col("_old_hi")), "n": F.when(F.col("_left"), F.col("_n")).otherwise(F.col("n"))}
-        rows = met.withColumns(kept).select(*rows.columns)
+        rows = stored(met.withColumns(kept).select(*rows.columns), "boxed", replaces=asked)
     return rows.select("profile", "n_records", "key", "g", "n", *[f"{end}{i}" for i in range(len(ordered)) for end in ("lo", "hi")]), members, list(range(len(ordered)))
 
 

@@ -76,3 +76,10 @@ def test_weights_by_values_and_counts_need_no_pairs(tables):
     assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-12 for e in want)
     p = pairs.toPandas()
     assert D.match_counts(records, entities, m).first().asDict() == {"n_pairs": len(p), "n_matched": p.record.nunique(), "n_entities": p.entity.nunique()}
+
+
+def test_plans_by_boxes_stay_short(tables):
+    """Rows and their bounds are written between the steps: the driver's plan does not grow with a power of the reads."""
+    m = Matching("canonical", filters=FILTERS["within"])
+    for df in (C.profile_sizes(*tables, m), D.shares(*tables, m), D.expected_probability(*tables, m)):
+        assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 40_000
