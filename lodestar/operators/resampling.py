@@ -153,23 +153,34 @@ def group_areas(group_shares: DataFrame, group: str, truth: DataFrame) -> DataFr
     return areas_without(every, each, truth)
 
 
-def resample_counts(rows: DataFrame, order: str, replicates: int, seed: int = 42) -> DataFrame:
-    """replicate, row (from 0 in the order given), times: n draws of n rows with replacement, for each replicate.
+def resample_draws(rows: DataFrame, order: str, replicates: int, seed: int = 42) -> DataFrame:
+    """replicate, row (from 0 in the order given): one row for each of n draws of n rows with replacement, for each replicate.
 
     Draw i of a replicate is row hash(seed, replicate, i) mod n, so any partitioning draws the same.
     """
     numbered = surrogate_key(rows.select(order), "i", [F.col(order)]).select((F.col("i") - 1).alias("i"))
     total = rows.agg(F.count(F.lit(1)).alias("n"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = numbered.repartition(n, "i")  # a number and its draws take few bytes until it is unfolded, so the default is one task for all
     drawn = numbered.crossJoin(total).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    at = F.pmod(hash60(F.lit(seed), F.col("replicate"), F.col("i")), "n")
-    return drawn.groupBy("replicate", at.alias("row")).agg(F.count(F.lit(1)).alias("times"))
+    return drawn.select("replicate", F.pmod(hash60(F.lit(seed), F.col("replicate"), F.col("i")), "n").alias("row"))
+
+
+def resample_counts(rows: DataFrame, order: str, replicates: int, seed: int = 42) -> DataFrame:
+    """replicate, row, times: how often each row is drawn, of those that are, as of ``resample_draws``."""
+    return resample_draws(rows, order, replicates, seed).groupBy("replicate", "row").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _drawn(draws: DataFrame, numbered: DataFrame) -> DataFrame:
+    """The draws with their rows. Nearly all draws of a task differ, so they are neither counted nor sorted first: they
+    stream past a hash table of the numbered rows of their partition, and a task's memory is that of those rows."""
+    return draws.join(numbered.hint("shuffle_hash"), "row")
 
 
 def resampled_means(df: DataFrame, key: str, value: str, replicates: int = 100, seed: int = 42) -> DataFrame:
-    """replicate, mean of n draws of n rows with replacement."""
+    """replicate, mean of n draws of n rows with replacement; draws without a value are left out."""
     numbered = surrogate_key(df.select(key, value), "i", [F.col(key)]).select((F.col("i") - 1).alias("row"), value)
-    counts = resample_counts(df, key, replicates, seed)
-    return counts.join(numbered, "row").groupBy("replicate").agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("mean"))
+    return _drawn(resample_draws(df, key, replicates, seed), numbered).groupBy("replicate").agg(F.avg(value).alias("mean"))
 
 
 def resampled_metrics(records: DataFrame, entities: DataFrame, truth: DataFrame, replicates: int = 100, seed: int = 42, m: Matching = Matching()) -> DataFrame:
@@ -179,8 +190,8 @@ def resampled_metrics(records: DataFrame, entities: DataFrame, truth: DataFrame,
     rows, members = filtered(records, entities, m)
     mine = profiles(records, m).select("record", "profile").join(rows.select("profile", "key", "g", "n_group"), "profile", "left")
     numbered = surrogate_key(mine.select("record", "key", "g", "n_group"), "i", [F.col("record")]).withColumn("row", F.col("i") - 1)
-    counts = resample_counts(records.select(F.col(m.columns.record).alias("record")), "record", replicates, seed)
-    grouped = counts.join(numbered.where(F.col("g").isNotNull()), "row").groupBy("replicate", "key", "g", "n_group").agg(F.sum("times").alias("times"))
+    draws = resample_draws(records.select(F.col(m.columns.record).alias("record")), "record", replicates, seed)
+    grouped = _drawn(draws, numbered.where(F.col("g").isNotNull()).select("row", "key", "g", "n_group")).groupBy("replicate", "key", "g", "n_group").agg(F.count(F.lit(1)).alias("times"))
     spread = grouped.join(members, (F.col("key") == F.col("k")) & (grouped["g"] == members["g"]))
     scores = spread.groupBy("replicate", "entity").agg(F.sum(F.col("times") / F.col("n_group")).alias("share"))
     total = grouped.groupBy("replicate").agg(F.sum("times").alias("total"))

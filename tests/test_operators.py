@@ -410,3 +410,18 @@ def test_distances_by_reach(spark):
     points = spark.createDataFrame([(i, r.uniform(-300, 300), r.uniform(-300, 300)) for i in range(30)] + [(99, 5000.0, 5000.0)], "id bigint, x double, y double")
     near, far = ({x.id: x.distance for x in G.distance_to_polygons(points, polygons, most_stated=n).collect()} for n in (10_000, 0))
     assert near.keys() == far.keys() and all(near[i] == pytest.approx(far[i]) for i in near)
+
+
+def test_draws_are_not_counted_by_row(spark):
+    """Nearly all draws differ, so a task that counts them by row holds them all; null values are no part of a mean."""
+    import hashlib
+
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else float(i)) for i in range(40)], "k bigint, v double")
+    means = R.resampled_means(df, "k", "v", 3)
+    got = {r["replicate"]: r["mean"] for r in means.collect()}
+    for rep in range(3):
+        drawn = [int(hashlib.md5(f"42|{rep}|{i}".encode()).hexdigest()[:15], 16) % 40 for i in range(40)]
+        known = [float(x) for x in drawn if x % 5]
+        assert abs(got[rep] - sum(known) / len(known)) < 1e-9
+    plan = means._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [replicate" in plan and "row#" not in "".join(x for x in plan.split("\n") if "Aggregate [" in x)
