@@ -54,16 +54,20 @@ def intervals(metrics: DataFrame, lo: float = 0.025, hi: float = 0.975) -> DataF
 
 def size_metrics(draws: DataFrame, sizes: Sequence[int], truth: DataFrame) -> DataFrame:
     """size and its metrics: the draws of a size are the first so many of each record."""
-    counts = nested_draw_counts(draws, sizes)
-    scores = counts.withColumn("probability", F.col("draw_count") / F.sum("draw_count").over(W.partitionBy("size")))
-    return score_metrics(scores.select("size", "entity", "probability"), truth, ("size",))
+    return count_metrics(nested_draw_counts(draws, sizes), truth, "size")
+
+
+def count_metrics(counts: DataFrame, truth: DataFrame, key: str) -> DataFrame:
+    """key and its metrics from (key, entity, draw_count): an entity scores its share of the key's draws."""
+    counts = stored(counts, "counts")  # read for the totals and for the shares
+    totals = counts.groupBy(key).agg(F.sum("draw_count").alias("total"))
+    scores = counts.join(F.broadcast(totals), key).select(key, "entity", (F.col("draw_count") / F.col("total")).alias("probability"))  # a row a key
+    return score_metrics(scores, truth, (key,))
 
 
 def seed_metrics(records: DataFrame, entities: DataFrame, draws: int, seeds: Sequence[int], truth: DataFrame, m: Matching = Matching()) -> DataFrame:
     """seed and its metrics."""
-    counts = seed_sweep(records, entities, draws, seeds, m)
-    scores = counts.withColumn("probability", F.col("draw_count") / F.sum("draw_count").over(W.partitionBy("seed")))
-    return score_metrics(scores.select("seed", "entity", "probability"), truth, ("seed",))
+    return count_metrics(seed_sweep(records, entities, draws, seeds, m), truth, "seed")
 
 
 def sweep_metrics(configurations: Sequence[tuple[str, DataFrame, DataFrame, Matching]], truth: DataFrame) -> DataFrame:

@@ -47,8 +47,8 @@ def _nine(scores: DataFrame, *keys: str) -> DataFrame:
 @query(SQL_CANONICAL + _draws(20, "42") + f""", ct AS (SELECT z AS cfg, entity, count(*) AS c FROM draws, (SELECT unnest([5, 10, 20]) AS z) WHERE draw < z GROUP BY ALL),
 sc AS (SELECT cfg, entity, c / (sum(c) OVER (PARTITION BY cfg))::DOUBLE AS s, {_TRUE} FROM ct JOIN ent USING (entity)), {METRICS} SELECT cfg AS size, {_ROUNDED} FROM met""")
 def convergence_metrics(spark, d):
-    draws = D.hashed_draws(records(spark, d), entities(spark, d), 20, 42, CANONICAL)
-    return rounded(R.size_metrics(draws, [5, 10, 20], truth(spark, d)), "size")
+    counts = D.drawn_counts_by_size(records(spark, d), entities(spark, d), [5, 10, 20], 42, CANONICAL)
+    return rounded(R.count_metrics(counts, truth(spark, d), "size"), "size")
 
 
 @query(SQL_CANONICAL + _draws(5, "1, 2, 3, 4") + f""", ct AS (SELECT seed AS cfg, entity, count(*) AS c FROM draws GROUP BY ALL),

@@ -425,3 +425,16 @@ def test_draws_are_not_counted_by_row(spark):
         assert abs(got[rep] - sum(known) / len(known)) < 1e-9
     plan = means._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [replicate" in plan and "row#" not in "".join(x for x in plan.split("\n") if "Aggregate [" in x)
+
+
+def test_counts_by_size_are_those_of_the_draws(spark):
+    records = spark.createDataFrame([(i, str(i % 3), None) for i in range(40)], "record_id bigint, key string, zone string")
+    entities = spark.createDataFrame([(i, str(i % 3), None) for i in range(15)], "entity_id bigint, key string, zone string")
+    m = C.Matching(use_zone=False)
+    rows = lambda df: sorted(map(tuple, df.select("size", "entity", "draw_count").collect()))
+    counts = D.drawn_counts_by_size(records, entities, [2, 5, 7], 3, m)
+    assert rows(counts) == rows(R.nested_draw_counts(D.hashed_draws(records, entities, 7, 3, m), [2, 5, 7]))
+    truth = entities.where("entity_id > 6").select(F.col("entity_id").alias("entity"))
+    for df in (R.count_metrics(counts, truth, "size"), R.seed_metrics(records, entities, 3, [1, 2], truth, m)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.split("\n") if "Window [" in x and "draw_count" in x]
