@@ -39,7 +39,8 @@ def guideline(k: Column) -> Column:
 ['author-year', 'numeric'][doc_id % 2 + 1] AS style, 'EPS' AS vector, 'TIFF' AS raster, CAST(600 + doc_id % 400 AS VARCHAR) AS dpi, ['true', NULL][doc_id % 2 + 1] AS data_required,
 CAST(1000 + doc_id % 500 AS VARCHAR) AS apc, 'USD' AS currency FROM documents""")
 def guideline_updates(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", T.guideline_updates(guideline(F.col("doc_id"))).alias("m"))
+    texts = read(spark, d, "documents").select("doc_id", guideline(F.col("doc_id")).alias("text"))  # made once, not in each expression
+    docs = texts.select("doc_id", T.guideline_updates(F.col("text")).alias("m"))
     paths = {
         "abstract_min": "abstract.min_words", "abstract_max": "abstract.max_words", "word_limit": "paper_types.research_article.word_limit", "review": "submission.peer_review",
         "system": "submission.system", "fee": "submission.fee", "spacing": "text_formatting.line_spacing", "font": "text_formatting.font.family", "size_pt": "text_formatting.font.size_pt",

@@ -52,3 +52,8 @@ def test_query_without_sql_runs(spark, name):
 def test_entry(spark):
     assert 0 < entry.entry(spark).first()["roc_auc"] < 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_guidelines_are_made_once(spark):
+    df = catalog.queries()["guideline_updates"](spark, FOLDER)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Abstract: ") == 1
