@@ -4,6 +4,8 @@ A mergeable sketch gives two values between which a rank must lie, a fraction of
 pass then counts the rows below each bracket, another counts the distinct values inside, and prefix sums in two levels
 find the values at the ranks. No task holds more than a range of a bracket's distinct values, and a value that a third
 of all rows have is one row. Quantiles interpolate between neighbours.
+
+A sketch depends on the order in which its parts arrive, so it is written once: both counts must see the same brackets.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..storage import stored
 from .metrics import running
 
 #: Accuracy of the sketch; its ranks are off by a share of 1 / ACCURACY at most, and brackets reach MARGIN times as far.
@@ -29,7 +32,7 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[
     keys = list(by)
     v = df.select(*keys, F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
     ends = [x for p in shares for x in (max(0.0, p - MARGIN / ACCURACY), min(1.0, p + MARGIN / ACCURACY))]
-    sketch = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", ends, ACCURACY).alias("ends"))
+    sketch = stored(v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", ends, ACCURACY).alias("ends")), "sketch")
     # the extremes and small tables have open brackets
     low = [F.when((F.col("n") <= SMALL) | F.lit(p <= MARGIN / ACCURACY), float("-inf")).otherwise(F.col("ends")[2 * i]) for i, p in enumerate(shares)]
     high = [F.when((F.col("n") <= SMALL) | F.lit(p >= 1 - MARGIN / ACCURACY), float("nan")).otherwise(F.col("ends")[2 * i + 1]) for i, p in enumerate(shares)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import numpy as np
@@ -44,6 +45,16 @@ def test_quantiles_by_key_and_of_nothing(spark, monkeypatch):
     assert Q.quantiles(df.where("x < 0"), "x", (0.5, 0.1)).collect() == [([None, None],)]
 
 
+def test_quantiles_from_a_sketch_that_differs_each_time(spark, monkeypatch):
+    """As on several executors, where the parts of a sketch merge in the order in which they arrive."""
+    monkeypatch.setattr(Q, "SMALL", 10)
+    sketch = F.percentile_approx
+    moved = F.udf(lambda ends: [x + os.urandom(1)[0] % 11 - 5 for x in ends], "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: moved(sketch(*a)))
+    got = Q.quantiles(spark.range(30_001).select(F.col("id").cast("double").alias("x")), "x", [i / 10 for i in range(11)]).first()["_e"]
+    assert got == [3000.0 * i for i in range(11)]
+
+
 def area(rows):
     pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
     return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)) if pos and neg else None
