@@ -21,6 +21,7 @@ is counted by ``boxes``. Numbers count as doubles there.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -182,12 +183,12 @@ def _attempts(m: Matching) -> Column:
     return F.when(F.col("zone").isNull(), alone if m.variant == "chain" else none).otherwise(F.filter(weaker, lambda x: x["z"].isNotNull()))
 
 
-def profiles(records: DataFrame, m: Matching) -> DataFrame:
-    """Distinct (key, zone, filter values) of each record as a struct."""
+def profiles(records: DataFrame, m: Matching, also: Sequence[str] = ()) -> DataFrame:
+    """Distinct (key, zone, filter values) of each record as a struct; also: further columns to keep."""
     c = m.columns
     names = list(dict.fromkeys(f.record for f in m.filters if f.kind != "at_most"))
     zoned = m.use_zone or any(f.zone for f in m.filters)
-    keyed = records.select(F.col(c.record).alias("record"), F.col(c.key).cast("string").alias("key"), (F.col(c.zone).cast("string") if zoned else F.lit(None).cast("string")).alias("zone"), *[F.col(x).alias(f"r_{x}") for x in names])
+    keyed = records.select(F.col(c.record).alias("record"), F.col(c.key).cast("string").alias("key"), (F.col(c.zone).cast("string") if zoned else F.lit(None).cast("string")).alias("zone"), *[F.col(x).alias(f"r_{x}") for x in names], *also)
     parts = ["key", "zone", *[f"r_{x}" for x in names]]
     return keyed.withColumn("profile", F.struct(*parts))
 
@@ -196,14 +197,14 @@ def profiles(records: DataFrame, m: Matching) -> DataFrame:
 ALL = "*"
 
 
-def _members(entities: DataFrame, m: Matching) -> DataFrame:
-    """k, g, entity and the filters' values: each entity in the groups of its key that records can point to."""
+def _members(entities: DataFrame, m: Matching, also: Sequence[str] = ()) -> DataFrame:
+    """k, g, entity and the filters' values: each entity in the groups of its key that records can point to; also: further columns to keep."""
     c = m.columns
     used = list(dict.fromkeys(f.entity for f in m.filters))
     zone = canonical_zone(F.col(c.zone)) if m.variant == "canonical" else F.upper(F.col(c.zone))
     own = F.concat(F.lit("="), zone)
     groups = F.array(F.lit(ALL)) if not m.use_zone else F.array(own, F.lit(ALL)) if m.variant == "chain" else F.array(own)
-    theirs = entities.where(F.col(c.key).isNotNull()).select(F.col(c.entity).alias("entity"), F.col(c.key).cast("string").alias("k"), F.explode(groups).alias("g"), *[F.col(x).alias(f"e_{x}") for x in used])
+    theirs = entities.where(F.col(c.key).isNotNull()).select(F.col(c.entity).alias("entity"), F.col(c.key).cast("string").alias("k"), F.explode(groups).alias("g"), *[F.col(x).alias(f"e_{x}") for x in used], *also)
     return theirs.where(F.col("g").isNotNull())
 
 
@@ -218,6 +219,17 @@ def _settled(records: DataFrame, members: DataFrame, m: Matching) -> DataFrame:
     return mine.join(best, (F.col("key") == F.col("bk")) & F.col("zone").eqNullSafe(F.col("bz"))).drop("bk", "bz")
 
 
+def grouped(records: DataFrame, entities: DataFrame, of_record: Column, of_entity: Column, m: Matching = Matching()) -> tuple[DataFrame, DataFrame]:
+    """record, key, g, x of the records that have candidates, and entity, key, g, x of the entities in the groups; without
+    filters a record's candidates are the entities with its key and g. x: a value of each."""
+    if m.filters:
+        raise ValueError("candidates by group are without filters")
+    theirs = _members(entities.withColumn("_x", of_entity), m, ("_x",))
+    to = _settled(records, theirs, m).select("profile", "g")
+    mine = profiles(records.withColumn("_x", of_record), m, ("_x",)).join(to, "profile").select("record", "key", "g", F.col("_x").alias("x"))
+    return mine, theirs.select("entity", F.col("k").alias("key"), "g", F.col("_x").alias("x"))
+
+
 def filtered(records: DataFrame, entities: DataFrame, m: Matching) -> tuple[DataFrame, DataFrame]:
     """Rows (profile, n_records, key, g, n_group, entity): a null entity stands for all members of the group; and the members (k, g, entity).
 

@@ -144,8 +144,7 @@ _WEIGHT = "exp(-power(abs(bal - price / 40.0) / 1000.0, 2) / 2)"
 SELECT entity, round(sum(w / t) / (SELECT count(DISTINCT record) FROM w), 6) + 0.0 AS probability FROM w JOIN (SELECT record, sum(w) AS t FROM w GROUP BY record) USING (record) GROUP BY entity""")
 def weighted_probability(spark, d):
     rec, ent = records(spark, d), entities(spark, d)
-    weight = F.exp(-F.pow(F.abs(F.col("bal") - F.col("price") / 40.0) / 1000.0, 2) / 2) + 0.001
-    return D.weighted_by_values(rec, ent, weight, ("price",), ("bal",), CANONICAL).select("entity", r6("probability", "probability"))
+    return D.gaussian_probability(rec, ent, F.col("price") / 40.0, F.col("bal"), 1000.0, 0.001, CANONICAL).select("entity", r6("probability", "probability"))
 
 
 _SCORED = SQL_CANONICAL + """, p AS (SELECT entity, sum(1.0::DOUBLE / n) / (SELECT count(DISTINCT record) FROM cand) AS p FROM cand JOIN (SELECT record, count(*) AS n FROM cand GROUP BY record) USING (record) GROUP BY entity),
