@@ -14,14 +14,14 @@ a range join on buckets of the value, so only candidates that pass are made, and
 a profile without a filter that bites is one row for its whole group.
 
 Where numbers of candidates will do, none is made: every filter keeps an interval
-of the entity's value, so a profile's candidates are a box in its group, and a box
-is counted by ``boxes``. Numbers count as doubles there.
+of the entity's value, so a record's candidates are a box in its group, and boxes
+are counted by ``boxes``, for all filters at once. Numbers count as doubles there.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -29,7 +29,7 @@ from pyspark.sql.types import DataType, IntegralType, NumericType
 
 from ..functions.scalars import canonical_zone, stripped_zone
 from ..storage import stored
-from .boxes import box_counts
+from .boxes import counts_by_subset, dealt_boxes, dealt_points, numbered
 
 
 @dataclass(frozen=True)
@@ -211,12 +211,17 @@ def _members(entities: DataFrame, m: Matching, also: Sequence[str] = ()) -> Data
 def _settled(records: DataFrame, members: DataFrame, m: Matching) -> DataFrame:
     """profile, its parts, n_records, g and n_group: the group that each distinct profile points to, if it has members."""
     mine = profiles(records, m).where(F.col("key").isNotNull()).groupBy("profile").agg(F.count(F.lit(1)).alias("n_records")).select("profile", "n_records", "profile.*")
-    tried = mine.select("key", "zone").distinct().withColumn("a", F.explode(_attempts(m)))
+    best = _best(mine.select("key", "zone").distinct(), members, m).select(F.col("key").alias("bk"), F.col("zone").alias("bz"), "g", "n_group")
+    return mine.join(best, (F.col("key") == F.col("bk")) & F.col("zone").eqNullSafe(F.col("bz"))).drop("bk", "bz")
+
+
+def _best(zones: DataFrame, members: DataFrame, m: Matching) -> DataFrame:
+    """key, zone, g and n_group of the distinct pairs (key, zone) that find members: the group of the first attempt that does."""
+    tried = zones.select("key", "zone", F.explode(_attempts(m)).alias("a"))
     tried = tried.select("key", "zone", "a.priority", F.coalesce(F.concat(F.lit("="), F.col("a.z")), F.lit(ALL)).alias("z"))
     sizes = members.groupBy("k", "g").agg(F.count(F.lit(1)).alias("n_group"))
     there = tried.join(sizes, (F.col("key") == F.col("k")) & (F.col("z") == F.col("g")))
-    best = there.groupBy("key", "zone").agg(F.min_by(F.struct("g", "n_group"), "priority").alias("b")).select(F.col("key").alias("bk"), F.col("zone").alias("bz"), "b.g", "b.n_group")
-    return mine.join(best, (F.col("key") == F.col("bk")) & F.col("zone").eqNullSafe(F.col("bz"))).drop("bk", "bz")
+    return there.groupBy("key", "zone").agg(F.min_by(F.struct("g", "n_group"), "priority").alias("b")).select("key", "zone", "b.g", "b.n_group")
 
 
 def grouped(records: DataFrame, entities: DataFrame, of_record: Column, of_entity: Column, m: Matching = Matching()) -> tuple[DataFrame, DataFrame]:
@@ -259,45 +264,57 @@ def filtered(records: DataFrame, entities: DataFrame, m: Matching) -> tuple[Data
     return rows.select("profile", "n_records", "key", "g", "n_group", "entity"), theirs.select("k", "g", "entity")
 
 
-def bounded(records: DataFrame, entities: DataFrame, m: Matching) -> tuple[DataFrame, DataFrame, list[int]]:
-    """profile, n_records, key, g, n and lo0, hi0, ...: the box that holds a profile's n candidates; the members (key, g,
-    entity, c0, ...); and the dimensions, the one with the most values first.
+def bounded(keyed: DataFrame, own: Sequence[str], entities: DataFrame, m: Matching) -> tuple[DataFrame, DataFrame, list[int]]:
+    """own, n, where its candidates are counted (tile, lot, parts, grp) and lo0, hi0, ...: the box in its group that holds
+    them, a bound null where there is none; the group's members (tile, part, lot, grp, entity, c0, ...); the dimensions.
 
-    Filters apply in order: each cuts the boxes of the profiles that it concerns, and where nothing is left the box stays
-    as it was, or with a strict filter the profile goes. A value that is null or not a number lies above all bounds.
+    keyed: rows of ``profiles``, or of distinct ones; own: the columns that tell its rows apart. Every row comes back, with
+    n = 0 without a candidate. Filters apply in order: each cuts the boxes of the rows that it concerns, and where nothing
+    is left the box stays as it was, or with a strict filter n is 0. So one count for each set of filters decides.
     """
     theirs = _members(entities, m)
-    rows = _settled(records, theirs, m).withColumn("n", F.col("n_group"))
+    n_of = F.sum("n_records") if "n_records" in own else F.count(F.lit(1))
+    zones = stored(keyed.groupBy("key", "zone").agg(n_of.alias("n_rows")), "zones")
+    best = _best(zones, theirs, m).withColumnsRenamed({"key": "bk", "zone": "bz"})
+    zones = stored(zones.join(best, (F.col("key") == F.col("bk")) & F.col("zone").eqNullSafe(F.col("bz")), "left").drop("bk", "bz"), "zones", replaces=zones)
+    n_rows = zones.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"]
+    groups, shared, in_parts = numbered(zones.where("g is not null").groupBy("key", "g").agg(F.max("n_group").alias("n_group"), F.sum("n_rows").alias("n_rows")), n_rows)
+    deal = ["grp", "tile", "parts", "lots"]
+    to = zones.join(groups.select(F.col("key").alias("gk"), F.col("g").alias("gg"), *deal), (F.col("key") == F.col("gk")) & (F.col("g") == F.col("gg")), "left")
+    to = to.select(F.col("key").alias("bk"), F.col("zone").alias("bz"), "n_group", *deal)
+    rows = keyed.join(to, F.col("key").eqNullSafe(F.col("bk")) & F.col("zone").eqNullSafe(F.col("bz")))
+
     type_of = lambda df, c: df.schema[c].dataType if c in df.columns else None
     named = {}
     for f in m.filters:
         named.setdefault(f.dimension(), (f.dimension()[1], type_of(rows, f"r_{f.record}"), type_of(theirs, f"e_{f.entity}")))
-    ordered = sorted(named, key=lambda x: x[1] != "number")
-    at = {x: i for i, x in enumerate(ordered)}
-    kinds = [_coordinate_type(*named[x]) for x in ordered]
-    bottom = [F.lit(float("-inf")) if k == "double" else F.lit(-(1 << 63)).cast("bigint") for k in kinds]
-    top = [F.lit(float("nan")) if k == "double" else F.lit((1 << 63) - 1).cast("bigint") for k in kinds]
-    members = theirs.select(F.col("k").alias("key"), "g", "entity", *[F.coalesce(_coordinate(F.col(f"e_{x[0]}"), *named[x]), top[i]).alias(f"c{i}") for i, x in enumerate(ordered)])
-    rows = rows.withColumns({f"{end}{i}": v[i] for i in range(len(ordered)) for end, v in (("lo", bottom), ("hi", top))})
-    touched: list[int] = []
-    for f in m.filters:
-        i = at[f.dimension()]
-        touched = sorted({*touched, i})
-        points = members.groupBy("key", "g", *[f"c{j}" for j in touched]).agg(F.count(F.lit(1)).alias("n"))
-        bounds = [f"{end}{j}" for j in touched for end in ("lo", "hi")]
-        lo, hi = f.interval(named[f.dimension()][1], named[f.dimension()][2])
-        asked = rows.withColumns({"_old_lo": F.col(f"lo{i}"), "_old_hi": F.col(f"hi{i}"), "_asked": f.applies(), "_lo": lo, "_hi": hi})
-        asked = asked.withColumns({f"lo{i}": F.when(F.col("_asked"), F.greatest(f"lo{i}", "_lo")).otherwise(F.col(f"lo{i}")), f"hi{i}": F.when(F.col("_asked"), F.least(f"hi{i}", "_hi")).otherwise(F.col(f"hi{i}"))})
-        # the bounds are long expressions and are read more than once here and by the caller, so the driver's plans would
-        # grow with a power of the reads; rows are written with their bounds, and again with what the filter left
-        asked = stored(asked, "asked")
-        counts = box_counts(points, asked.where("_asked").select("key", "g", *bounds), touched, ("key", "g")).withColumnRenamed("n", "_n")
-        met = asked.join(counts, ["key", "g", *bounds], "left").withColumn("_left", F.col("_asked") & (F.coalesce("_n", F.lit(0)) > 0))
-        if f.strict:
-            met = met.where(~F.col("_asked") | F.col("_left"))
-        kept = {f"lo{i}": F.when(~F.col("_asked") | F.col("_left"), F.col(f"lo{i}")).otherwise(F.col("_old_lo")), f"hi{i}": F.when(~F.col("_asked") | F.col("_left"), F.col(f"hi{i}")).otherwise(F.col("_old_hi")), "n": F.when(F.col("_left"), F.col("_n")).otherwise(F.col("n"))}
-        rows = stored(met.withColumns(kept).select(*rows.columns), "boxed", replaces=asked)
-    return rows.select("profile", "n_records", "key", "g", "n", *[f"{end}{i}" for i in range(len(ordered)) for end in ("lo", "hi")]), members, list(range(len(ordered)))
+    at = {x: i for i, x in enumerate(named)}
+    dim_of = [at[f.dimension()] for f in m.filters]
+    members = theirs.join(groups.select("key", "g", *deal), (F.col("k") == F.col("key")) & (theirs["g"] == groups["g"]))
+    members = dealt_points(members.select("entity", *deal, *[_coordinate(F.col(f"e_{x[0]}"), *named[x]).alias(f"c{i}") for x, i in at.items()]), "entity")
+    ends = {}
+    for f, filter_ in enumerate(m.filters):
+        lo, hi = filter_.interval(named[filter_.dimension()][1], named[filter_.dimension()][2])
+        ends |= {f"lo{f}": F.when(filter_.applies(), lo), f"hi{f}": F.when(filter_.applies(), hi)}
+    asked = dealt_boxes(rows.select(*own, F.coalesce("n_group", F.lit(0)).alias("n_group"), *deal, *[x.alias(c) for c, x in ends.items()]), own[0], shared)
+    kept = [*own, "tile", "lot", "parts", "grp", "n_group", *ends]
+    counts = counts_by_subset(asked, members, dim_of, kept, in_parts).withColumn("_sets", F.array("n_group", *[f"n{s}" for s in range(1, 1 << len(m.filters))]))
+    state, none = F.lit(0), F.lit(False)
+    for f, filter_ in enumerate(m.filters):
+        counts = counts.withColumn(f"_s{f}", state)  # the set of filters that have cut the box so far
+        more = F.get("_sets", F.col(f"_s{f}") + (1 << f)) > 0
+        if filter_.strict:
+            none = none | F.col(f"lo{f}").isNotNull() & ~more
+        state = F.when(more, F.col(f"_s{f}") + (1 << f)).otherwise(F.col(f"_s{f}"))
+    counts = counts.withColumn("_s", state)
+    n = F.when(none, F.lit(0).cast("bigint")).otherwise(F.get("_sets", "_s"))
+
+    def cut(end: str, d: int, pick: Callable[..., Column]) -> Column:
+        of = [F.when(F.col("_s").bitwiseAND(F.lit(1 << f)) > 0, F.col(f"{end}{f}")) for f in range(len(dim_of)) if dim_of[f] == d]
+        return pick(*of) if len(of) > 1 else of[0]
+
+    box = [cut(end, d, pick).alias(f"{end}{d}") for d in at.values() for end, pick in (("lo", F.greatest), ("hi", F.least))]
+    return counts.select(*own, "tile", "lot", "parts", "grp", n.alias("n"), *box), members, list(at.values())
 
 
 def candidates(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
@@ -326,12 +343,18 @@ def candidate_pairs(records: DataFrame, entities: DataFrame, m: Matching = Match
 
 
 def profile_sizes(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
-    """profile, n_records and n, the number of its candidates, none of which is made."""
-    return bounded(records, entities, m)[0].select("profile", "n_records", "n")
+    """profile, n_records and n, the number of its candidates, none of which is made; only profiles that have one."""
+    if not m.filters:
+        return _settled(records, _members(entities, m), m).select("profile", "n_records", F.col("n_group").alias("n"))
+    mine = profiles(records, m).groupBy("profile").agg(F.count(F.lit(1)).alias("n_records")).select("profile", "n_records", "profile.*")
+    return bounded(mine, ("profile", "n_records"), entities, m)[0].where("n > 0").select("profile", "n_records", "n")
 
 
 def record_stats(records: DataFrame, entities: DataFrame, m: Matching = Matching()) -> DataFrame:
     """record, n_candidates, matched: one row per record, matched or not."""
+    if m.filters:
+        counts = bounded(profiles(records, m).drop("profile"), ("record",), entities, m)[0]
+        return counts.select("record", F.col("n").alias("n_candidates"), (F.col("n") > 0).alias("matched"))
     counts = profile_sizes(records, entities, m).select("profile", "n")
     mine = profiles(records, m).select("record", "profile")
     joined = mine.join(counts, mine["profile"].eqNullSafe(counts["profile"]), "left")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import candidates as C, disaggregation as D
+from lodestar.operators import boxes, candidates as C, disaggregation as D
 from lodestar.operators.candidates import Filter, Matching
 
 FILTERS = {
@@ -83,3 +83,49 @@ def test_plans_by_boxes_stay_short(tables):
     m = Matching("canonical", filters=FILTERS["within"])
     for df in (C.profile_sizes(*tables, m), D.shares(*tables, m), D.expected_probability(*tables, m)):
         assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+
+
+THREE = (Filter("year", "built", "years", 6), Filter("bfe", "elev", "within", 2.0), Filter("name", "name", "equal"), Filter("", "elev", "at_most", 6.0, zone="A"), Filter("bfe", "elev", "percent", 30.0, strict=True))
+
+
+@pytest.mark.parametrize("m", [Matching("chain", filters=THREE), Matching("canonical", filters=THREE[:2]), Matching(use_zone=False, filters=FILTERS["strict"])])
+def test_groups_dealt_over_tiles(tables, monkeypatch, m):
+    """Groups of more records and members than a tile takes, and groups that share one; three columns and a group without members."""
+    monkeypatch.setattr(boxes, "TILE", 7)
+    monkeypatch.setattr(boxes, "SMALL", 12)
+    records, entities = tables
+    pairs = C.candidate_pairs(records, entities, m).toPandas()
+    sizes = pairs.groupby("record").size().to_dict()
+    assert len(sizes) < 300 and {r.record: r.n_candidates for r in C.record_stats(records, entities, m).collect()} == {i: sizes.get(i, 0) for i in range(300)}
+    pairs["share"] = 1 / pairs["record"].map(sizes)
+    want = pairs.groupby("entity")["share"].agg(["sum", "size"])
+    got = {r.entity: (r.share, r.n_records) for r in D.shares(records, entities, m).collect()}
+    assert {e: n for e, (_, n) in got.items()} == want["size"].to_dict()
+    assert all(abs(got[e][0] - s) < 1e-9 for e, s in want["sum"].items())
+
+
+@pytest.mark.parametrize("side", ["records", "entities"])
+def test_a_side_without_rows(tables, side):
+    records, entities = (t.where("false") if name == side else t for name, t in zip(("records", "entities"), tables, strict=True))
+    m = Matching("chain", filters=FILTERS["years first"])
+    assert {r.n_candidates for r in C.record_stats(records, entities, m).collect()} == (set() if side == "records" else {0})
+    assert D.shares(records, entities, m).collect() == D.expected_probability(records, entities, m).collect() == []
+
+
+def rows_stored(monkeypatch, run):
+    """The rows of each table that is written between steps."""
+    n, real = [], C.stored
+    for module in (boxes, C):
+        monkeypatch.setattr(module, "stored", lambda df, *a, **k: (out := real(df, *a, **k), n.append(out.count()))[0])
+    return run(), n
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_numbers_write_no_row_of_a_record(tables, monkeypatch):
+    """Only pairs of a key and a zone are written, and records are shuffled once, whatever the number of filters."""
+    m = Matching("chain", filters=THREE)
+    df, n = rows_stored(monkeypatch, lambda: C.record_stats(*tables, m))
+    assert 0 < max(n) <= 18 and shuffles(df) <= 3  # records; members; sizes of groups for these
