@@ -165,7 +165,8 @@ def _summer(dims: Sequence[int], columns: Sequence[str], kept: Sequence[str]) ->
         for boxes, index, first, past in _built(points, places, ordered).runs(_array(rows, "grp")[0], lo, hi, np.arange(rows.num_rows)):
             for c in columns:
                 w = weights[c][boxes]
-                sums[c][index.order] += np.cumsum(np.bincount(first, w, n + 1) - np.bincount(past, w, n + 1))[:n]
+                opened = np.bincount(first, w, n + 1).astype(np.longdouble) - np.bincount(past, w, n + 1)
+                sums[c][index.order] += np.cumsum(opened)[:n].astype(float)
         return pa.table({name: points.column(name) for name in kept} | {c: pa.array(sums[c]) for c in columns})
 
     return add_up
@@ -175,7 +176,8 @@ def box_sums(rows: DataFrame, points: DataFrame, dims: Sequence[int], columns: S
     """kept and, for each column of the boxes, its sum over those of a tile that hold the point: one row a point and lot.
 
     Rows (tile, lot, parts, grp, the columns, lo0, hi0, ...): bounds by dimension, both included, null without a bound. Sums
-    of doubles are differences of prefix sums, so a sum of no box may be off 0 by rounding; one of whole numbers is not.
+    of doubles are differences of prefix sums, of more bits than a double where the machine has them, so a sum of no box
+    may be off 0 by rounding; one of whole numbers is not.
     """
     out = StructType([*points.select(*kept).schema, *[StructField(c, DoubleType()) for c in columns]])
     return parted(rows).groupBy(*_AT).cogroup(points.groupBy(*_AT)).applyInArrow(_summer(dims, columns, kept), out)

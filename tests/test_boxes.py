@@ -129,3 +129,10 @@ def test_numbers_write_no_row_of_a_record(tables, monkeypatch):
     m = Matching("chain", filters=THREE)
     df, n = rows_stored(monkeypatch, lambda: C.record_stats(*tables, m))
     assert 0 < max(n) <= 18 and shuffles(df) <= 3  # records; members; sizes of groups for these
+
+
+def test_shares_write_no_row_of_a_record(tables, monkeypatch):
+    """Records are shuffled twice, to be counted and to be summed; members meet them there."""
+    m = Matching("chain", filters=THREE)
+    df, n = rows_stored(monkeypatch, lambda: D.shares(*tables, m))
+    assert 0 < max(n) <= 18 and shuffles(df) <= 6
